@@ -7,12 +7,16 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash
+from . import decontaminate, exact_dedup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_mix_sources": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
-SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {
+    "op8_exact_dedup": exact_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
