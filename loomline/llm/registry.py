@@ -7,16 +7,20 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, simhash
+from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_mix_sources": mixing.query,
+    "op5_url_rules": url_rules.query,
+    "op6_quality": quality.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
 }
 
 SQL: dict[str, str] = {
+    "op5_url_rules": url_rules.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
