@@ -7,9 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, url_rules
+from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zip": warc.query,
     "op2_toxicity": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_mix_sources": mixing.query,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_zip": warc.SQL,
     "op5_url_rules": url_rules.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
