@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -30,6 +32,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """``df`` with a column that names each row, the same in every job that reads it.
+
+    Rows of a file scan are named by file and position; any other frame is written to the shared folder first.
+    """
+    try:
+        return df.withColumn(name, F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index"))
+    except AnalysisException:
+        return written(df.withColumn(name, F.uuid()), "keyed")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of ``shared_dir`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
