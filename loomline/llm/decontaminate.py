@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import keyed, written
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -224,10 +224,11 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows, with all its columns. Ids must be unique and not null."""
-    gone = contamination(docs, benchmark, id_col, text_col).filter(contaminated()).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows, with all its columns."""
+    rows = keyed(docs, "__row")
+    gone = contamination(rows, benchmark, "__row", text_col, block_bytes=block_bytes).filter(contaminated()).select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

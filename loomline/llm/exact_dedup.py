@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_safe_join
-from ..sources.shared import written
+from ..sources.shared import keyed, written
 
 #: Characters that normalisation deletes: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,8 +22,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = True) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_chars, keep_id, group_size, kept, text_sha256``.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = True, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, row_key, n_chars, keep_id, group_size, kept, text_sha256``.
+
+    ``row_key`` is ``row_col``, a name for each row, or made here.
 
     Of equal normalised texts the row with the most code points, then the smallest id, is kept; a null id counts as
     the largest. Null text counts as empty, so all blank texts form one group. Of rows that repeat with the same id
@@ -31,19 +33,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
 
     ``hash_all=False`` leaves ``text_sha256`` null for rows without another row of the same length and prefix, and
-    reads and hashes only the surviving rows' texts, by ids that must be unique and not null; True takes the hash
+    reads and hashes only the surviving rows' texts; True takes the hash
     during the first scan, for results that ask for it in every row.
     """
-    spark = docs.sparkSession
     norm = normalised(F.col("__text"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    named = docs if row_col else keyed(docs, row_col := "__row")
+    base = named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.col(row_col).alias("row_key"))
     light = base.select(
         "doc_id",
         F.coalesce(F.length("__text"), F.lit(0)).cast("long").alias("n_chars"),
         F.length(norm).cast("long").alias("norm_len"),
         F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix_hash"),
         (F.sha2(norm, 256) if hash_all else F.lit(None).cast("string")).alias("sha"),
-        F.uuid().alias("row_key"),
+        "row_key",
     )
     light = written(light, "exact-light")
     total = light.count()
@@ -54,9 +56,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     alive = hot_safe_join(light, refined, ["norm_len", "prefix_hash"], "n_prefix", total, "inner")
     if not hash_all:
-        sha = written(base.join(alive.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.sha2(norm, 256).alias("sha")), "exact-sha")
-        alive = alive.drop("sha").join(sha, "doc_id")
-        light = light.drop("sha").join(sha, "doc_id", "left")
+        sha = written(base.join(alive.select("row_key"), "row_key", "left_semi").select("row_key", F.sha2(norm, 256).alias("sha")), "exact-sha")
+        alive = alive.drop("sha").join(sha, "row_key")
+        light = light.drop("sha").join(sha, "row_key", "left")
     best = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), F.col("row_key"))
     groups = alive.groupBy("norm_len", "prefix_hash", "sha").agg(F.count("*").alias("group_size"), F.max(best).alias("best"))
     groups = groups.filter("group_size > 1").withColumn("n_rows", F.col("group_size"))
@@ -65,6 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = hot_safe_join(light, groups, keys, "n_rows", total)
     return out.select(
         "doc_id",
+        "row_key",
         "n_chars",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(-F.col("best.minus_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -74,9 +77,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops, with all its columns. Ids must be unique and not null."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` without the rows that ``exact_groups`` drops, with all its columns."""
+    rows = keyed(docs, "__row")
+    gone = exact_groups(rows, id_col, text_col, row_col="__row").filter("not kept").select(F.col("row_key").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

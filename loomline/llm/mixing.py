@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.skew import hot_safe_join
-from ..sources.shared import written
+from ..sources.shared import keyed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and length are dealt by hash to so many slots; only one slot of a length needs ranking.
@@ -96,15 +96,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return s.withColumn("target", F.least(full, F.col("weight") * level).cast("double")).drop("weight")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, row_key, source, size, source_size, target, taken``.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes of the document: 0 or a
     multiple of its size, ``most`` times at most. Each source's sum of ``taken`` is below its target by less than its
     shortest unused document wherever such a sum exists. A null source is a source of its own. Rows that repeat are
     chosen one by one. Other columns are not read. An empty table gives an empty result.
     """
-    light = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.uuid().alias("row_key")), "mix-light")
+    named = docs if row_col else keyed(docs, row_col := "__row")
+    light = written(named.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(row_col).alias("row_key")), "mix-light")
     light = light.withColumn("pick", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     light = light.withColumns({"slot": F.pmod("pick", F.lit(SLOTS)), "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
     slots = written(light.groupBy("skey", "size", "slot").agg(F.count("*").alias("n")), "mix-slots")
@@ -131,10 +132,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plain = dealt.filter("not part").withColumn("more", (F.col("need") > 0).cast("long"))
     rank = F.row_number().over(W.partitionBy("skey", "size", "slot").orderBy("pick", "doc_id", "row_key"))
     ranked = dealt.filter("part").withColumn("more", (rank <= F.col("need")).cast("long"))
-    out = plain.unionByName(ranked).select("doc_id", "skey", "size", "more")
+    out = plain.unionByName(ranked).select("doc_id", "row_key", "skey", "size", "more")
     few = aims.count() <= 100_000
     out = out.join(F.broadcast(aims) if few else aims, "skey")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    return out.select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with its columns and ``size``, ``taken`` and ``repeats`` (taken / size).
+
+    ``docs`` must not have columns of these three names.
+    """
+    rows = keyed(docs, "__row")
+    takes = mix(rows, id_col, text_col, source_col, row_col="__row", **options).filter("taken > 0")
+    takes = takes.select(F.col("row_key").alias("__row"), "size", "taken", (F.col("taken") / F.col("size")).cast("long").alias("repeats"))
+    return rows.join(takes, "__row").select(*docs.columns, "size", "taken", "repeats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-
 #: The fit uses at most so many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -173,12 +171,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(light: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensemble:
-    """Fit on rows of ``light`` (``doc_id`` and statistics) that ``labels`` (``doc_id, quality``) marks, at most ``fit_rows``."""
-    names = [c for c in light.columns if c != "doc_id"]
+def measured(docs: DataFrame, *more: str) -> DataFrame:
+    """``more`` columns of ``docs`` and the statistics of its ``text``."""
+    return docs.select(*more, *[c.alias(n) for n, c in statistics(F.col("text")).items()])
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensemble:
+    """Fit on the texts of ``docs`` that ``labels`` (``doc_id, quality``) marks and are not held out, at most ``fit_rows``."""
+    names = list(statistics(F.col("text")))
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
     few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    rows = light.join(F.broadcast(few), "doc_id").orderBy("doc_id").select("y", *names).toPandas()
+    sample = measured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", "y")
+    rows = sample.toPandas().sort_values(["doc_id", "y", *names])
     return fit(names, rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
@@ -190,16 +194,16 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     count each time. Without labels the score is 0.5; an empty table gives an empty result. Other columns, labels
     among them, are no inputs of the score.
     """
-    light = written(docs.select(F.col("doc_id"), *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "quality-light")
-    model = train(light, labels, fit_rows)
-    score = model.column()
-    return light.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = measured(docs, "doc_id").select("doc_id", train(docs, labels, fit_rows).column().alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted 0, with all its columns. Ids must be unique and not null."""
-    gone = quality(docs.select("doc_id", "text"), labels).filter("predicted = 0").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def drop_rejected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows that ``quality`` predicts 0, with all its columns; one pass without a shuffle."""
+    model = train(docs, labels, fit_rows)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    rows = measured(docs.select(whole, F.col("text")), "__doc")
+    return rows.filter(model.column() >= THRESHOLD).select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

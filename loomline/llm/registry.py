@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_warc_zip": warc.query,
     "op2_toxicity": toxicity.query,
     "op3_simhash_near_dedup": simhash.query,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
-from ..sources.shared import written
+from ..sources.shared import keyed, written
 
 RADIUS = 2
 #: Above this many fingerprints in a segment's bucket the full ball (2,080 lookups) is cheaper than the bucket.
@@ -59,13 +59,15 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed 64-bit integer, a row per row of ``docs``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, row_key, fp`` with the fingerprint as a signed 64-bit integer, a row per row of ``docs``."""
+    named = docs if row_col else keyed(docs, row_col := "__row")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    rows = named.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("row_key"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, row_key string, fp long")
 
 
 def links(prints: DataFrame, big: int = BIG) -> DataFrame:
@@ -93,29 +95,34 @@ def links(prints: DataFrame, big: int = BIG) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, component_id``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, row_key, fp, component_id, first``.
+
+    ``first`` marks the row of each component with the smallest id, null ids last, one of them where rows repeat.
 
     ``component_id`` is the smallest id among the documents whose fingerprints can be reached over links of two or
     fewer differing bits. Empty and null texts have fingerprint 0, which links as any other. Null ids are carried but
     never name a component (it is null if no id of the component is known). Repeated rows stay; other columns are
     not read. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "simhash-docs")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-distinct")
+    prints = written(fingerprints(docs, id_col, text_col, row_col), "simhash-docs")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")).alias("best")
+    distinct = written(prints.groupBy("fp").agg(best, F.count("*").alias("n")), "simhash-distinct")
     parts = connected_components(links(distinct.select("fp")))
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = written(named, "simhash-parts")
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n_prints"))
+    lowest = named.groupBy("component").agg(F.min("best").alias("best"), F.count("*").alias("n_prints"))
     total = named.agg(F.count("*"), F.sum("n")).first()
-    ids = hot_safe_join(named, lowest, ["component"], "n_prints", total[0]).select("fp", "component_id", "n")
-    return hot_safe_join(prints, written(ids, "simhash-ids"), ["fp"], "n", total[1] or 0).select("doc_id", "fp", "component_id")
+    ids = hot_safe_join(named.drop("best"), lowest, ["component"], "n_prints", total[0]).select("fp", "best", "n")
+    out = hot_safe_join(prints, written(ids, "simhash-ids"), ["fp"], "n", total[1] or 0)
+    return out.select("doc_id", "row_key", "fp", F.col("best.doc_id").alias("component_id"), (F.col("row_key") == F.col("best.row_key")).alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of smallest id of each component. Ids must be unique and not null."""
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` with the ``first`` row of each component, with all its columns."""
+    rows = keyed(docs, "__row")
+    gone = near_duplicates(rows, id_col, text_col, "__row").filter("not first").select(F.col("row_key").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
