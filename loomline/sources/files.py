@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow import fs
 
 
@@ -32,10 +34,13 @@ def put(uri: str, parts: list[bytes]) -> None:
     """Write a file under another name and move it into place, so that a reader sees all of it or nothing."""
     where, path = store(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path + ".part") as out:
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with where.open_output_stream(part) as out:
         for p in parts:
             out.write(p)
-    where.move(path + ".part", path)
+    if not isinstance(where, fs.LocalFileSystem) and where.get_file_info(path).type != fs.FileType.NotFound:
+        where.delete_file(path)  # of an earlier attempt; a local move replaces it
+    where.move(part, path)
 
 
 def local_path(uri: str) -> str | None:
