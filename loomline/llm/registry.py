@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, language_model, mixing, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_language_model": language_model.query,
 }
 
 SQL: dict[str, str] = {
