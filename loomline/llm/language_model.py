@@ -32,8 +32,8 @@ from .elias_fano import NgramTrie
 
 #: A chunk is closed at so many tokens; a task holds one.
 CHUNK_TOKENS = 1 << 20
-#: One word shard and one bigram shard for so many bytes of the input's files.
-SHARD_BYTES = 12 << 20
+#: One word shard and one bigram shard for so many bytes of text.
+SHARD_BYTES = 20 << 20
 #: Prior masses that are tried.
 GRID = tuple(float(10 ** (k / 2)) for k in range(0, 13))
 #: A context goes to more than one shard if it has more than this share of a shard's mean number of tokens.
@@ -64,10 +64,11 @@ def unpack(data) -> list[np.ndarray]:
     return out
 
 
-def by_shard(shard: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A permutation that sorts by shard, then ``order`` (first key first), and where each shard in it begins."""
+def by_shard(shard: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A permutation that sorts by shard, then ``order`` (first key first), and where each shard lies in it."""
     at = np.lexsort((*order[::-1], shard))
-    return at, np.flatnonzero(np.diff(shard[at], prepend=-1))
+    begin = np.flatnonzero(np.diff(shard[at], prepend=-1)).tolist()
+    return at, list(zip(begin, [*begin[1:], len(at)], strict=False))
 
 
 def prior_fit(pairs: np.ndarray, n: np.ndarray, context: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -110,8 +111,8 @@ def _cut(folder: str, n_shards: int, chunk_tokens: int):
             put(f"{folder}/chunks/{name}", [pack(text, n.astype(np.int32), is_train.astype(np.uint8), words, np.frombuffer(ids.getvalue(), np.uint8))])
             asked = np.delete(np.arange(len(local)), 1)
             shard = (words[asked] % np.uint64(n_shards)).astype(np.int64)
-            at, begin = by_shard(shard, words[asked])
-            rows = [(int(shard[at[i]]), name, pack(words[asked][at[i:j]], c[asked][at[i:j]].astype(np.uint32))) for i, j in zip(begin, [*begin[1:], len(at)], strict=True)]
+            at, places = by_shard(shard, words[asked])
+            rows = [(int(shard[at[i]]), name, pack(words[asked][at[i:j]], c[asked][at[i:j]].astype(np.uint32))) for i, j in places]
             rows.append((-1, name, pack(fit)))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["shard", "chunk", "blob"])
 
@@ -214,17 +215,17 @@ def _ask_pairs(folder: str, n_shards: int, total: int):
         number, c = np.full(len(words), ABSENT, np.int64), np.zeros(len(words), np.int64)
         asked = np.delete(np.arange(len(words)), 1)
         shard = (words[asked] % np.uint64(table["v"][0].as_py())).astype(np.int64)
-        at, begin = by_shard(shard, words[asked])
+        at, places = by_shard(shard, words[asked])
         replies = {s.as_py(): b for s, b in zip(table["shard"], table["blob"], strict=True)}
-        for i, j in zip(begin, [*begin[1:], len(at)], strict=True):
+        for i, j in places:
             number[asked[at[i:j]]], c[asked[at[i:j]]] = unpack(replies[int(shard[at[i]])].as_buffer())
         number[1], c[1] = BEGIN_ID, c[0]
         put(f"{folder}/numbers/{name}", [pack(number, c)])
         _, _, v, w, n, _ = _pairs(text, sizes, is_train.astype(bool), number, c)
         shard = pair_shard(number[v], number[w], c[v], total, n_shards)
-        at, begin = by_shard(shard, number[v], number[w])
+        at, places = by_shard(shard, number[v], number[w])
         rows = []
-        for i, j in zip(begin, [*begin[1:], len(at)], strict=True):
+        for i, j in places:
             mine = at[i:j]
             heads = np.flatnonzero(np.diff(number[v[mine]], prepend=-1))
             of = v[mine][heads]
@@ -304,10 +305,10 @@ def _score(folder: str, n_shards: int, total: int, known: int, mass: float):
         number, c = _get(f"{folder}/numbers/{name}")
         v, ask, pv, pw, _, inverse = _pairs(text, sizes, is_train.astype(bool), number, c)
         shard = pair_shard(number[pv], number[pw], c[pv], total, n_shards)
-        at, begin = by_shard(shard, number[pv], number[pw])
+        at, places = by_shard(shard, number[pv], number[pw])
         replies = {s.as_py(): b for s, b in zip(table["shard"], table["blob"], strict=True)}
         value = np.full(len(pv), np.nan)
-        for i, j in zip(begin, [*begin[1:], len(at)], strict=True):
+        for i, j in places:
             code, book = unpack(replies[int(shard[at[i]])].as_buffer())
             value[at[i:j]] = np.where(code >= 0, book[np.maximum(code, 0)], np.nan)
         base = np.log10((c[text] + 1.0) / (total + known + 1))
@@ -333,8 +334,8 @@ def language_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     spark = docs.sparkSession
     folder = shared_dir(spark, "lm")
     if n_shards is None:
-        n_bytes = docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        n_shards = max(8, -(-int(str(n_bytes)) // SHARD_BYTES))
+        n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        n_shards = max(8, -(-n_bytes // SHARD_BYTES))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     asked = rows.mapInArrow(_cut(folder, n_shards, chunk_tokens), "shard long, chunk string, blob binary")

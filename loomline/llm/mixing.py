@@ -141,12 +141,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with its columns and ``size``, ``taken`` and ``repeats`` (taken / size).
 
-    ``docs`` must not have columns of these three names.
+    Columns of ``docs`` with one of these three names give way to them.
     """
     rows = keyed(docs, "__row")
     takes = mix(rows, id_col, text_col, source_col, row_col="__row", **options).filter("taken > 0")
     takes = takes.select(F.col("row_key").alias("__row"), "size", "taken", (F.col("taken") / F.col("size")).cast("long").alias("repeats"))
-    return rows.join(takes, "__row").select(*docs.columns, "size", "taken", "repeats")
+    new = ("size", "taken", "repeats")
+    return rows.drop(*new).join(takes, "__row").select(*[c for c in docs.columns if c.lower() not in new], *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
