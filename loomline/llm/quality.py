@@ -14,32 +14,38 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: The fit uses at most so many labelled rows, those with the smallest hash of their id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text by name; null counts as empty, ratios of an empty text are 0."""
+NAMES = (
+    "log_words", "chars_per_word", "capitals_per_word", "symbols_per_word", "pipes_per_word", "bangs_per_word",
+    "digits_per_word", "stops_per_word", "commas_per_word", "distinct_words", "distinct_lines", "words_per_line",
+)
+
+
+def statistics(text: Column) -> Column:
+    """Statistics of a whole text as an array in the order of NAMES; null counts as empty, ratios of an empty text are 0.
+
+    Counts are bound once per row (``let``), so that neither ratios nor rules scan the text again.
+    """
     t = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    words, chars = F.greatest(count(WORD), F.lit(1.0)), F.greatest(F.length(t).cast("double"), F.lit(1.0))
-    lines = F.split(t, "\n")
-    return {
-        "log_words": F.log1p(count(WORD)),
-        "chars_per_word": chars / words,
-        "capitals_per_word": count(r"\p{Lu}{2,}") / words,
-        "symbols_per_word": count(r"[#$%&*<>=+~^@\\_{}\[\]]+") / words,
-        "pipes_per_word": count(r"\|") / words,
-        "bangs_per_word": count(r"!+") / words,
-        "digits_per_word": count(r"[0-9]+") / words,
-        "stops_per_word": count(r"[.?;:]") / words,
-        "commas_per_word": count(",") / words,
-        "distinct_words": F.size(F.array_distinct(F.split(t, " "))).cast("double") / words,
-        "distinct_lines": F.size(F.array_distinct(lines)).cast("double") / F.size(lines),
-        "words_per_line": words / F.size(lines),
-    }
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    split = lambda c: let(F.split(t, c), lambda x: F.array(F.size(x), F.size(F.array_distinct(x))))
+    counts = [count(WORD), F.length(t), count(r"\p{Lu}{2,}"), count(r"[#$%&*<>=+~^@\\_{}\[\]]+"), less("|"), count("!+"), count("[0-9]+"), less(".?;:"), less(",")]
+    raw = F.concat(F.array(*[c.cast("int") for c in counts]), split(" "), split("\n"))
+
+    def ratios(c: Column) -> Column:
+        words = F.greatest(c[0].cast("double"), F.lit(1.0))
+        per = [F.greatest(c[1].cast("double"), F.lit(1.0)) / words, *[c[i] / words for i in range(2, 9)]]
+        return F.array(F.log1p(c[0].cast("double")), *per, c[10] / words, c[12].cast("double") / c[11], words / c[11])
+
+    return let(raw, ratios)
 
 
 @dataclass(frozen=True)
@@ -57,18 +63,22 @@ class Rule:
 
 @dataclass
 class Ensemble:
-    names: list[str]
+    names: tuple[str, ...]
     bias: float
     rules: list[Rule] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score, from 0 to 1, over columns named as the statistics."""
+    def column(self, text: Column) -> Column:
+        """The score, from 0 to 1, of a text, in one expression."""
+        return let(statistics(text), self.over)
+
+    def over(self, stats: Column) -> Column:
+        """The score over an array of the statistics."""
         z = F.lit(self.bias)
         for rule, w in zip(self.rules, self.weights, strict=True):
             every = F.lit(True)
             for f, op, cut in rule.tests:
-                c = F.col(self.names[f])
+                c = stats[f]
                 every = every & (c <= F.lit(cut) if op == "<=" else c > F.lit(cut))
             z = z + F.when(every, F.lit(w)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -146,7 +156,7 @@ def lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
     return float(b - mean @ w), w
 
 
-def fit(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, penalty: float = 1e-3) -> Ensemble:
+def fit(names: tuple[str, ...], x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, penalty: float = 1e-3) -> Ensemble:
     """The ensemble of ``x`` (rows by statistics) and labels ``y``; without both labels, a constant of the share."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
@@ -171,19 +181,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """``more`` columns of ``docs`` and the statistics of its ``text``."""
-    return docs.select(*more, *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-
-
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensemble:
     """Fit on the texts of ``docs`` that ``labels`` (``doc_id, quality``) marks and are not held out, at most ``fit_rows``."""
-    names = list(statistics(F.col("text")))
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
     few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    sample = measured(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "doc_id", "y")
-    rows = sample.toPandas().sort_values(["doc_id", "y", *names])
-    return fit(names, rows[names].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("x")).toArrow()
+    x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
+    order = np.lexsort((*x.T, rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
+    return fit(NAMES, x[order], rows["y"].to_numpy()[order])
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -194,16 +199,13 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     count each time. Without labels the score is 0.5; an empty table gives an empty result. Other columns, labels
     among them, are no inputs of the score.
     """
-    out = measured(docs, "doc_id").select("doc_id", train(docs, labels, fit_rows).column().alias("score"))
+    out = docs.select("doc_id", train(docs, labels, fit_rows).column(F.col("text")).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the rows that ``quality`` predicts 0, with all its columns; one pass without a shuffle."""
-    model = train(docs, labels, fit_rows)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
-    rows = measured(docs.select(whole, F.col("text")), "__doc")
-    return rows.filter(model.column() >= THRESHOLD).select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
+    return docs.filter(train(docs, labels, fit_rows).column(F.col("text")) >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

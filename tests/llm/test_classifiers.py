@@ -20,9 +20,10 @@ def test_rules_separate_and_compile_to_the_same_scores(spark):
     assert np.mean([got[i].predicted == y for i, _, y in rows if got[i].held_out]) > 0.95
     model = quality.train(docs, labels)
     assert model.rules and len(model.rules) < 120
-    table = quality.measured(docs, "doc_id").toPandas()
-    want = model.score(table[model.names].to_numpy(float))
-    assert np.allclose(want, [got[None if np.isnan(i) else i].score for i in table.doc_id], atol=1e-9)
+    table = docs.select("doc_id", quality.statistics(docs.text).alias("x")).collect()
+    want = model.score(np.array([r.x for r in table]))
+    assert np.allclose(want, [got[r.doc_id].score for r in table], atol=1e-9)
+    assert np.isfinite([r.x for r in table]).all()
     kept = quality.drop_rejected(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(x.score >= quality.THRESHOLD for x in got.values())
 
