@@ -56,9 +56,10 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = F.struct(F.lit(c).alias("criterion"), phrase.alias("phrase"), F.concat(F.lit(f"has a larger {c}, way "), (way % 2).cast("string")).alias("description"), F.when(gap > 0, "A").otherwise("B").alias("winner"))
         all_q.append(F.when(F.abs(gap) > least, q))
     q = F.filter(F.array(*all_q), lambda x: x.isNotNull())
-    won = F.aggregate(q, F.lit(0), lambda n, x: n + F.when(x["winner"] == "A", 1).otherwise(-1))
+    j = p.select("pair_index", "first", "other", "a", "b", q.alias("qualities"))
+    won = F.aggregate("qualities", F.lit(0), lambda n, x: n + F.when(x["winner"] == "A", 1).otherwise(-1))
     winner = F.when(won > 0, "A").when(won < 0, "B").otherwise(F.when(F.col("pair_index") % 2 == 0, "A").otherwise("B"))
-    return p.select("pair_index", "first", "other", "a", "b", q.alias("qualities")).withColumn("winner", winner)
+    return j.withColumn("winner", winner)
 
 
 def members(spark: SparkSession) -> DataFrame:
