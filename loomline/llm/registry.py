@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_model, mixing, quality, simhash, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, language_model, mixing, paragraphs, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.query,
     "op5_url_rules": url_rules.query,
     "op6_quality": quality.query,
+    "op7_paragraph_minhash": paragraphs.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_language_model": language_model.query,
