@@ -138,3 +138,37 @@ def test_paired_statistics(spark):
     assert [(r.v, r.i) for r in numbered(n, ["v"]).orderBy("v").collect()] == [(i, i) for i in range(50)]
     deck = stats.sign_deck(n.select("v"), "v").groupBy("sign").count().collect()
     assert {(r.sign, r["count"]) for r in deck} == {(1, 25), (-1, 25)}
+
+
+def test_l1_weights_meet_the_optimality_conditions():
+    from loomline.operators import selection
+
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (120, 6))
+    y = (r.random(120) < kernels.sigmoid(x @ np.array([2, -1, 0, 0, 0, 0.0]))).astype(float)
+    for c in (0.05, 1.0):
+        w = selection.l1_logistic(x, y, c)
+        g = -c * (x.T @ (y - kernels.sigmoid(x @ w)))
+        assert np.abs(g[w == 0]).max(initial=0) <= 1 + 1e-4 and np.abs(g[w != 0] + np.sign(w[w != 0])).max(initial=0) < 1e-3
+    folds = selection.group_folds(np.array(list("aaaabbbccdefgh")), 3)
+    assert len({(g, f) for g, f in zip("aaaabbbccdefgh", folds, strict=True)}) == 8 and max(np.bincount(folds)) - min(np.bincount(folds)) <= 1
+
+
+def test_spans_budgets_subsets_and_designs(spark):
+    import pandas as pd
+
+    from loomline.operators import selection
+
+    assert selection.span(10, 4) == [0, 3, 6, 9] and selection.span(3, 5) == [0, 1, 2] and selection.span(5, 0) == []
+    sizes = np.arange(1.0, 21)
+    for budget in (0, 5, 50, 1000):
+        best = max((k for k in range(1, 21) if sizes[selection.span(20, k)].sum() <= budget), default=0)
+        assert selection.packed(sizes, budget) == selection.span(20, best)
+    assert len(selection.subsets(5, 2, 100)) == 10 and len(set(selection.subsets(20, 5, 50))) == 50
+    assert abs(selection.subset_curve(np.eye(4))[2] - 3) < 1e-9
+    pool = pd.DataFrame({"item": range(30), "band": [i % 5 for i in range(30)], "prompt": [i % 3 for i in range(30)]})
+    got = selection.balanced_selection(pool, 10, 1)
+    assert sorted(np.bincount([i % 5 for i in got]).tolist()) == [2] * 5 and {i % 3 for i in got} == {0, 1, 2}
+    d = selection.near_orthogonal(spark.range(1), 24, [2, 3, 4], 20).first()
+    x = np.array(d.design)
+    assert x.shape == (24, 3) and all(np.ptp(np.bincount(x[:, j])) == 0 for j in range(3)) and d.worst < 0.3
