@@ -236,13 +236,13 @@ def price_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_cache_partition", """
 WITH r AS (SELECT conv_id, turn, md5(conv_id || ':' || (turn // 2)) AS h FROM conversations),
-c AS (SELECT md5(conv_id || ':' || (turn // 2)) AS h, min(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END) AS bad FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1)
+c AS (SELECT md5(conv_id || ':' || (turn // 2)) AS h, min(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END) AS bad FROM conversations WHERE role = 'user' GROUP BY 1)
 SELECT CASE WHEN h IN (SELECT h FROM c WHERE bad = 0) THEN 'hit' ELSE 'miss' END AS part, count(*) AS n, count(DISTINCT h) AS requests FROM r GROUP BY 1""")
 def cache_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     h = F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.expr("turn div 2").cast("string"))).alias("request_hash")
-    cache = c.filter("conv_id % 3 <> 0").select(h, F.when(F.col("turn") % 5 == 4, "failed").alias("error"), "text")
-    kept = costs.merged_cache(cache.filter("turn % 2 = 0"), cache.filter("turn % 2 <> 0"))
+    cache = c.filter("role = 'user'").select(h, F.when(F.col("turn") % 5 == 4, "failed").alias("error"), "text")
+    kept = costs.merged_cache(cache.filter("error is not null"), cache)
     parts = costs.cache_split(c.select("conv_id", "turn", h), kept)
     both = [p.withColumn("part", F.lit(n)) for p, n in zip(parts, ("hit", "miss"), strict=True)]
     return both[0].unionByName(both[1]).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("request_hash").alias("requests"))
@@ -287,14 +287,14 @@ def failure_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_pivot_panels", """
 WITH a AS (SELECT user_id AS item, event_type AS criterion, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT user_id AS item, event_type AS criterion, avg(value) AS v FROM events WHERE event_id % 2 = 1 AND user_id % 4 <> 0 GROUP BY 1, 2),
+b AS (SELECT user_id AS item, event_type AS criterion, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
 m AS (SELECT item, criterion, avg(v) AS v FROM (SELECT * FROM a UNION ALL SELECT b.* FROM b WHERE criterion IN (SELECT criterion FROM a)) GROUP BY 1, 2)
 SELECT item, round(max(CASE WHEN criterion = 'click' THEN v END), 6) AS click, round(max(CASE WHEN criterion = 'view' THEN v END), 6) AS view, round(max(CASE WHEN criterion = 'purchase' THEN v END), 6) AS purchase FROM m GROUP BY 1""")
 def pivot_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of a panel averaged cell by cell over the first run's criteria, then one column per criterion."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("criterion"), "value", "event_id")
     mean = lambda d: d.groupBy("item", "criterion").agg(F.avg("value").alias("v"))
-    a, b = mean(e.filter("event_id % 2 = 0")), mean(e.filter("event_id % 2 = 1 and item % 4 <> 0"))
+    a, b = mean(e.filter("event_id % 2 = 0")), mean(e.filter("event_id % 2 = 1"))
     m = a.unionByName(b.join(a.select("criterion").distinct(), "criterion", "left_semi")).groupBy("item", "criterion").agg(F.avg("v").alias("v"))
     return m.groupBy("item").pivot("criterion", ["click", "view", "purchase"]).agg(F.round(F.first("v"), 6))
 

@@ -113,14 +113,14 @@ def item_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q_deidentify", r"""
-WITH d AS (SELECT doc_id, 'See [the page](http://x.test/a) at https://y.test/b CMV: reddit users of r/topic, deltas awarded   ' || substr(coalesce(text, ''), 1, 40) AS t FROM documents),
+WITH d AS (SELECT doc_id, 'See [the page](http://x.test/a) at https://y.test/b CMV: reddit users of r/topic, deltas awarded   ' || coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g') AS t FROM d),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)changemyview', ' this forum ', 'g'), '(?i)cmv\w*:?', ' ', 'g'), '(?i)/?r/\s*\w+', ' a forum ', 'g'), '(?i)subreddit\w*', ' forum ', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\breddit(ors?)?\b', ' ', 'g'), '(?i)\bdelta\s*bot\b', ' ', 'g'), '(?i)!?\bdeltas?\b', ' point ', 'g'), '(?i)\baward(ed|ing|s)?\b\s*(a\s*)?(point|view|change)?', ' ', 'g') AS t FROM b)
 SELECT doc_id, trim(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), chr(9) || chr(10) || chr(13) || ' ') AS clean FROM c""")
 def deidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = "See [the page](http://x.test/a) at https://y.test/b CMV: reddit users of r/topic, deltas awarded   "
-    t = F.concat(F.lit(lead), F.substring(F.coalesce("text", F.lit("")), 1, 40))
+    t = F.concat(F.lit(lead), F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", T.deidentified(t).alias("clean"))
 
 
