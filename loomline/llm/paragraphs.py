@@ -10,7 +10,7 @@ block by block, and a block pair gives a spanning forest of its links, not the l
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,34 +69,32 @@ def band_keys(s: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.ndarray
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs of enough words: document, row, position, words, and a hash that names the normalised text."""
+    """Paragraphs of enough words: document, row, position, words, a hash that names the normalised text, band keys."""
+    bands, rows = tuned_bands()
+    a, b = coefficients(bands * rows)
     for batch in batches:
-        rows, at = [], []
+        out, at = [], []
         for i, text in enumerate(batch.column(2)):
             for p, line in enumerate((text.as_py() or "").split("\n")):
                 w = words(line)
                 if len(w) >= LEAST_WORDS:
                     at.append(i)
-                    rows.append((p, len(w), xxhash.xxh128_hexdigest(b" ".join(w))))
+                    out.append((p, len(w), xxhash.xxh128_hexdigest(b" ".join(w)), band_keys(shingles(w), bands, rows, a, b)))
         take = pa.array(at, pa.int64())
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["doc_id", "row_key", "paragraph", "n_words", "name"])
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "row_key", "paragraph", "n_words", "name", "keys"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles and band keys of the chosen paragraphs (positions and names) of each document."""
-    bands, rows = tuned_bands()
-    a, b = coefficients(bands * rows)
+    """Shingles of the chosen paragraphs (positions and names) of each document."""
     for batch in batches:
-        names, sets, keys = [], [], []
+        names, sets = [], []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             lines = (text.as_py() or "").split("\n")
             for x in wanted.as_py():
-                s = shingles(words(lines[x["paragraph"]]))
                 names.append(x["name"])
-                sets.append(s.view(np.int64))
-                keys.append(band_keys(s, bands, rows, a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["name", "shingles", "keys"])
+                sets.append(shingles(words(lines[x["paragraph"]])).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sets, pa.list_(pa.int64()))], ["name", "shingles"])
 
 
 def forest(names: list[str], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[str, str]]:
@@ -132,39 +130,38 @@ def forest(names: list[str], sets: list[np.ndarray], first: int, similarity: flo
 
 def _blocks(similarity: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("name") if (pdf["lo"] == pdf["hi"]).all() else pdf.sort_values("own", ascending=False).drop_duplicates("name")
-        first = int(pdf["own"].sum()) if (pdf["lo"] != pdf["hi"]).any() else len(pdf)
+        # the lower block's members come first; within one block all are its members
         pdf = pdf.sort_values(["own", "name"], ascending=[False, True])
-        links = forest(pdf["name"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]], first, similarity)
+        links = forest(pdf["name"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]], int(pdf["own"].sum()), similarity)
         return pd.DataFrame(links, columns=["src", "dst"], dtype=object)
 
     return run
 
 
-def similar(distinct: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
-    """Links ``src, dst`` between names of ``distinct`` (``name, shingles, keys``) that collide in a band and are similar.
+def similar(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+    """Links ``src, dst`` between names of ``distinct`` (``name, keys``) that collide in a band and are similar.
 
-    Every such pair is a link or joined by others: crowded buckets give spanning forests.
+    ``fetch`` gives ``name, shingles`` for a frame of distinct names: only paragraphs with a candidate are read again.
+    Every similar pair that collides is a link or joined by others: crowded buckets give spanning forests.
     """
-    sets = distinct.select("name", "shingles")
     members = distinct.select("name", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = written(sizes, "para-buckets")
-    some = sizes.filter(F.col("n") > crowded).limit(1).count() > 0
-    small = written(members.join(sizes.filter(F.col("n") <= crowded), ["band", "key"]).select("band", "key", "name"), "para-members")
+    members = written(members.join(sizes, ["band", "key"]), "para-members")
+    small = members.filter(F.col("n") <= crowded).select("band", "key", "name")
     pairs = small.join(small.withColumnRenamed("name", "other"), ["band", "key"]).filter("name < other").select("name", "other").distinct()
     pairs = written(pairs, "para-pairs")
+    big = members.filter(F.col("n") > crowded)
+    names = pairs.select("name").union(pairs.select("other")).union(big.select("name")).distinct()
+    sets = written(fetch(names), "para-sets")
     both = pairs.join(sets.select("name", F.col("shingles").alias("a")), "name").join(sets.select(F.col("name").alias("other"), F.col("shingles").alias("b")), "other")
     common = F.size(F.array_intersect("a", "b"))
     links = both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select(F.col("name").alias("src"), F.col("other").alias("dst"))
-    if some:
-        big = sizes.filter(F.col("n") > crowded).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        dealt = members.join(F.broadcast(big) if big.count() < 100_000 else big, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-        dealt = dealt.select("band", "key", "name", "block", each).select("band", "key", "name", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") == F.least("block", "with")).cast("int").alias("own"))
-        dealt = dealt.join(sets, "name")
-        links = links.unionByName(dealt.groupBy("band", "key", "lo", "hi").applyInPandas(_blocks(similarity), "src string, dst string"))
-    return links
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = big.withColumn("block", F.pmod(F.xxhash64("name"), blocks).cast("int"))
+    dealt = dealt.select("band", "key", "name", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    dealt = dealt.select("band", "key", "name", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).cast("int").alias("own"))
+    dealt = dealt.join(sets, "name").groupBy("band", "key", "lo", "hi")
+    return links.unionByName(dealt.applyInPandas(_blocks(similarity), "src string, dst string"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
@@ -177,13 +174,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    light = written(rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name string"), "para-light")
+    light = written(rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name string, keys array<long>"), "para-light")
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "paragraph")
-    distinct = written(light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n")), "para-distinct")
-    wanted = distinct.groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "name")).alias("wanted"))
-    chosen = rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted")
-    prints = written(chosen.mapInArrow(_chosen, "name string, shingles array<long>, keys array<long>"), "para-prints")
-    parts = connected_components(similar(prints, similarity, crowded)).withColumnRenamed("node", "name")
+    distinct = written(light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "para-distinct")
+
+    def fetch(names: DataFrame) -> DataFrame:
+        place = F.struct(F.col("first.paragraph").alias("paragraph"), "name")
+        wanted = distinct.select("name", "first").join(names, "name", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(place).alias("wanted"))
+        return rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted").mapInArrow(_chosen, "name string, shingles array<long>")
+
+    parts = connected_components(similar(distinct.select("name", "keys"), fetch, similarity, crowded)).withColumnRenamed("node", "name")
+    light, distinct = light.drop("keys"), distinct.drop("keys")
     named = written(distinct.join(parts, "name", "left").withColumn("component", F.coalesce("component", "name")), "para-parts")
     whole = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.count("*").alias("n_names"))
     total = named.agg(F.count("*"), F.sum("n")).first()
