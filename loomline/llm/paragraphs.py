@@ -23,12 +23,14 @@ from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
 from ..sources.shared import keyed, written
 
-SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.995
+SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.99
 #: Shorter paragraphs are left alone: headings, bylines and stock sentences are no passages.
 LEAST_WORDS = 25
 #: Hash functions at most; bands are tuned within them.
-HASHES = 192
+HASHES = 128
 CROWDED, BLOCK = 400, 400
+#: Up to so many keys of buckets with three members or more are broadcast; more meet in a shuffled join.
+FEW_KEYS = 500_000
 
 PRIME = np.uint64((1 << 61) - 1)
 
@@ -79,25 +81,25 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = words(line)
                 if len(w) >= LEAST_WORDS:
                     at.append(i)
-                    out.append((p, len(w), xxhash.xxh128_hexdigest(b" ".join(w)), band_keys(shingles(w), bands, rows, a, b)))
+                    out.append((p, len(w), xxhash.xxh128_digest(b" ".join(w)), band_keys(shingles(w), bands, rows, a, b)))
         take = pa.array(at, pa.int64())
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "row_key", "paragraph", "n_words", "name", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "row_key", "paragraph", "n_words", "name", "keys"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the chosen paragraphs (positions and names) of each document."""
+    """Shingles of the chosen paragraphs (positions and numbers) of each document."""
     for batch in batches:
-        names, sets = [], []
+        ids, sets = [], []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             lines = (text.as_py() or "").split("\n")
             for x in wanted.as_py():
-                names.append(x["name"])
+                ids.append(x["id"])
                 sets.append(shingles(words(lines[x["paragraph"]])).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sets, pa.list_(pa.int64()))], ["name", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
 
-def forest(names: list[str], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[str, str]]:
+def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among the first ``first`` members and from them to the others."""
     parent = list(range(len(names)))
 
@@ -131,37 +133,43 @@ def forest(names: list[str], sets: list[np.ndarray], first: int, similarity: flo
 def _blocks(similarity: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # the lower block's members come first; within one block all are its members
-        pdf = pdf.sort_values(["own", "name"], ascending=[False, True])
-        links = forest(pdf["name"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]], int(pdf["own"].sum()), similarity)
-        return pd.DataFrame(links, columns=["src", "dst"], dtype=object)
+        pdf = pdf.sort_values(["own", "id"], ascending=[False, True])
+        links = forest(pdf["id"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]], int(pdf["own"].sum()), similarity)
+        return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
 
     return run
 
 
 def similar(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
-    """Links ``src, dst`` between names of ``distinct`` (``name, keys``) that collide in a band and are similar.
+    """Links ``src, dst`` between paragraphs of ``distinct`` (``id, keys``) that collide in a band and are similar.
 
-    ``fetch`` gives ``name, shingles`` for a frame of distinct names: only paragraphs with a candidate are read again.
-    Every similar pair that collides is a link or joined by others: crowded buckets give spanning forests.
+    Keys of different bands differ by their seed. A bucket of two is its smallest and largest id; only buckets of more
+    are met with their members. ``fetch`` gives ``id, shingles`` for a frame of distinct ids: only paragraphs with a
+    candidate are read again. Every similar pair that collides is a link or joined by others: crowded buckets give
+    spanning forests.
     """
-    members = distinct.select("name", F.posexplode("keys").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(members.join(sizes, ["band", "key"]), "para-members")
-    small = members.filter(F.col("n") <= crowded).select("band", "key", "name")
-    pairs = small.join(small.withColumnRenamed("name", "other"), ["band", "key"]).filter("name < other").select("name", "other").distinct()
-    pairs = written(pairs, "para-pairs")
+    members = distinct.select("id", F.explode("keys").alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    sizes = written(sizes.filter("n > 1"), "para-buckets")
+    more = sizes.filter("n > 2").select("key", "n")
+    few = more.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    members = written(members.join(F.broadcast(more) if few else more, "key"), "para-members")
+    small = members.filter(F.col("n") <= crowded).select("key", F.col("id").alias("a"))
+    pairs = small.join(small.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
+    pairs = written(pairs.unionByName(sizes.filter("n = 2").select("a", "b")).distinct(), "para-pairs")
     big = members.filter(F.col("n") > crowded)
-    names = pairs.select("name").union(pairs.select("other")).union(big.select("name")).distinct()
-    sets = written(fetch(names), "para-sets")
-    both = pairs.join(sets.select("name", F.col("shingles").alias("a")), "name").join(sets.select(F.col("name").alias("other"), F.col("shingles").alias("b")), "other")
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select(F.col("name").alias("src"), F.col("other").alias("dst"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(big.select("id")).distinct()
+    sets = written(fetch(ids), "para-sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = big.withColumn("block", F.pmod(F.xxhash64("name"), blocks).cast("int"))
-    dealt = dealt.select("band", "key", "name", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("band", "key", "name", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).cast("int").alias("own"))
-    dealt = dealt.join(sets, "name").groupBy("band", "key", "lo", "hi")
-    return links.unionByName(dealt.applyInPandas(_blocks(similarity), "src string, dst string"))
+    dealt = big.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.select("key", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    dealt = dealt.select("key", "id", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).cast("int").alias("own"))
+    dealt = dealt.join(sets, "id").groupBy("key", "lo", "hi")
+    return links.unionByName(dealt.applyInPandas(_blocks(similarity), "src long, dst long"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
@@ -174,21 +182,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    light = written(rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name string, keys array<long>"), "para-light")
+    light = written(rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name binary, keys array<long>"), "para-light")
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "paragraph")
-    distinct = written(light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "para-distinct")
+    distinct = light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "para-distinct")
 
-    def fetch(names: DataFrame) -> DataFrame:
-        place = F.struct(F.col("first.paragraph").alias("paragraph"), "name")
-        wanted = distinct.select("name", "first").join(names, "name", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(place).alias("wanted"))
-        return rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted").mapInArrow(_chosen, "name string, shingles array<long>")
+    def fetch(ids: DataFrame) -> DataFrame:
+        place = F.struct(F.col("first.paragraph").alias("paragraph"), "id")
+        wanted = distinct.select("id", "first").join(ids, "id", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(place).alias("wanted"))
+        return rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted").mapInArrow(_chosen, "id long, shingles array<long>")
 
-    parts = connected_components(similar(distinct.select("name", "keys"), fetch, similarity, crowded)).withColumnRenamed("node", "name")
+    parts = connected_components(similar(distinct.select("id", "keys"), fetch, similarity, crowded)).withColumnRenamed("node", "id")
     light, distinct = light.drop("keys"), distinct.drop("keys")
-    named = written(distinct.join(parts, "name", "left").withColumn("component", F.coalesce("component", "name")), "para-parts")
+    named = written(distinct.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "para-parts")
     whole = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.count("*").alias("n_names"))
     total = named.agg(F.count("*"), F.sum("n")).first()
-    kept = hot_safe_join(named.drop("first"), written(whole, "para-classes"), ["component"], "n_names", total[0]).filter("class_size > 1").select("name", "keep", "class_size", "n")
+    kept = hot_safe_join(named.drop("first", "id"), written(whole.filter("class_size > 1"), "para-classes"), ["component"], "n_names", total[0], "inner").select("name", "keep", "class_size", "n")
     out = hot_safe_join(light, written(kept, "para-kept"), ["name"], "n", total[1] or 0, "inner")
     same = (F.col("row_key") == F.col("keep.row_key")) & (F.col("paragraph") == F.col("keep.paragraph"))
     return out.select("doc_id", "row_key", "paragraph", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), same.alias("kept"), "class_size")
