@@ -24,8 +24,10 @@ from ..operators.skew import hot_safe_join
 from ..sources.shared import keyed, written
 
 SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.99
-#: Shorter paragraphs are left alone: headings, bylines and stock sentences are no passages.
-LEAST_WORDS = 25
+#: A paragraph has a word; those of fewer than SHINGLE words are one shingle, so they repeat by exact text only.
+LEAST_WORDS = 1
+#: Sets of fewer distinct shingles are similar to none but equal ones: one key, not one a band.
+LEAST_NEAR = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)
 #: Hash functions at most; bands are tuned within them.
 HASHES = 128
 CROWDED, BLOCK = 400, 400
@@ -63,7 +65,9 @@ def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(s: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band from the least values of multiply-shift hashes."""
+    """One 64-bit key per band from the least values of multiply-shift hashes; one key of all for sets below LEAST_NEAR."""
+    if len(s) < LEAST_NEAR:
+        return np.array([xxhash.xxh64_intdigest(s.tobytes(), bands)], np.uint64).view(np.int64)
     x = s[:, None] * a + b
     least = (x ^ x >> np.uint64(29)).min(axis=0)
     raw = least.reshape(bands, rows)
@@ -71,7 +75,7 @@ def band_keys(s: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.ndarray
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs of enough words: document, row, position, words, a hash that names the normalised text, band keys."""
+    """Paragraphs: document, row, position, words, a hash that names the normalised text, band keys."""
     bands, rows = tuned_bands()
     a, b = coefficients(bands * rows)
     for batch in batches:
@@ -175,8 +179,8 @@ def similar(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], simila
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
     """One row per paragraph that repeats: ``doc_id, row_key, paragraph, n_words, keep_doc_id, keep_paragraph, kept, class_size``.
 
-    Paragraphs are the lines of a text, from position 0, with at least LEAST_WORDS words between ASCII blanks; A-Z are
-    lower-cased and blanks collapsed for the comparison. Of each class the paragraph of the smallest id, then row and
+    Paragraphs are the lines of a text, from position 0, with any word between ASCII blanks; A-Z are lower-cased and
+    blanks collapsed for the comparison. Of each class the paragraph of the smallest id, then row and
     position, is kept (null ids last); the others can be removed. Null and empty texts have no paragraph; repeated rows
     repeat their paragraphs; other columns are not read; an empty table gives an empty result.
     """

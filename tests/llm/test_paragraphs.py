@@ -60,3 +60,29 @@ def test_bands_are_tuned_for_recall():
     bands, rows = P.tuned_bands(0.8, 0.995, 192)
     assert bands * rows <= 192 and 1 - (1 - 0.8**rows) ** bands >= 0.995
     assert P.tuned_bands(0.5, 0.99, 400)[1] < P.tuned_bands(0.9, 0.99, 400)[1]
+
+
+def floorless(rows, similarity=0.8):
+    """Classes of lines by their words alone, with no constant of the module."""
+    found = []
+    for i, (_, text) in enumerate(rows):
+        for p, line in enumerate(text.split("\n")):
+            w = line.lower().split()
+            if w:
+                found.append((i, p, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}))
+    group = list(range(len(found)))
+    for i, (_, _, a) in enumerate(found):
+        for j, (_, _, b) in enumerate(found[:i]):
+            if len(a & b) >= similarity * len(a | b) - 1e-9:
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted((f[0], f[1], group.count(g)) for f, g in zip(found, group, strict=True) if group.count(g) > 1)
+
+
+def test_short_paragraphs_repeat_too(spark):
+    nine = "one two three four five six seven eight nine"
+    texts = ["Read more", f"read  MORE\n{nine}", f"{nine} ten\nread", nine[:-5], "a b c d e\nla la la la la la", "\n \nA b c d e\n" + "la " * 9, "a b c d"]
+    rows = list(enumerate(texts))
+    want = floorless(rows)
+    assert {(0, 0, 2), (1, 1, 3), (4, 0, 2), (4, 1, 2)} <= set(want)
+    got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.paragraph, x.class_size) for x in got) == want
