@@ -5,6 +5,9 @@ Of the distinct ones, MinHash bands tuned for high recall collide; colliding pai
 similarity of their word shingles, and verified links are joined to components. Of each component the first
 paragraph stays. Buckets of more than CROWDED paragraphs are not joined with themselves: their members are compared
 block by block, and a block pair gives a spanning forest of its links, not the links.
+
+Line breaks hide passages that repeat inside longer lines or are broken elsewhere. ``passages`` cuts each text, as one
+stream of words, into overlapping blocks that start where the content says so, and joins blocks that repeat to runs.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
@@ -33,6 +37,8 @@ HASHES = 128
 CROWDED, BLOCK = 400, 400
 #: Up to so many keys of buckets with three members or more are broadcast; more meet in a shuffled join.
 FEW_KEYS = 500_000
+#: Words of a block, and starts among which the least hash is one: a run of PASSAGE + STARTS - 1 = 51 words holds a block.
+PASSAGE, STARTS = 32, 20
 
 PRIME = np.uint64((1 << 61) - 1)
 
@@ -207,5 +213,86 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     return out.select("doc_id", "row_key", "paragraph", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), same.alias("kept"), "class_size")
 
 
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every ``n`` consecutive word hashes."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for i in range(n if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
+    out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(29)
+
+
+def block_starts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and names of blocks: of any STARTS starts in a row, the first with the least shingle hash is one.
+
+    The choice looks at the words of a run only, so equal runs of PASSAGE + STARTS - 1 words or more share a block. An
+    occurrence that overlaps an earlier one of the same block is left out: a word repeated on end is no passage.
+    """
+    names = rolling(h, PASSAGE)
+    if not len(names):
+        return np.empty(0, np.int64), names
+    least = rolling(h, SHINGLE)[: len(names)]
+    span = min(STARTS, len(names))
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(least, span).argmin(axis=1) + np.arange(len(names) - span + 1))
+    names = names[at]
+    if len(np.unique(names)) < len(names):
+        last: dict[int, int] = {}
+        keep = []
+        for i, (p, x) in enumerate(zip(at.tolist(), names.tolist(), strict=True)):
+            if p - last.get(x, -PASSAGE) >= PASSAGE:
+                last[x] = p
+                keep.append(i)
+        at, names = at[keep], names[keep]
+    return at, names
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the names, starts and lines of their blocks."""
+    for batch in batches:
+        cols = ([], [], [])
+        for text in batch.column(2):
+            lines = [words(line) for line in (text.as_py() or "").split("\n")]
+            h = np.fromiter((xxhash.xxh64_intdigest(w) for line in lines for w in line), np.uint64)
+            at, names = block_starts(h)
+            line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
+            for c, x in zip(cols, (names.view(np.int64), at.astype(np.int32), line.astype(np.int32)), strict=True):
+                c.append(x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["doc_id", "row_key", "names", "starts", "lines"])
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per run of words that repeats, wherever lines break: the columns of ``repeats``, ``first_word, keep_first_word``.
+
+    Every run of PASSAGE + STARTS - 1 = 51 words that occurs twice word by word (A-Z lower-cased) is found, shorter ones
+    of PASSAGE words or more by chance. A row runs from the first to the last of the blocks in a row that lie alike in
+    the same kept document, so up to STARTS - 1 equal words at either end can lie outside; ``paragraph`` is the line it
+    starts in, ``first_word`` its place among the words of the text, ``class_size`` the places of its commonest block.
+    Of each block the place of the smallest id, then row and position, is kept.
+    """
+    rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    light = rows.mapInArrow(_blocked, f"doc_id {kind}, row_key string, names array<long>, starts array<int>, lines array<int>").filter(F.size("names") > 0)
+    light = written(light.withColumn("row", F.monotonically_increasing_id()), "pass-light")
+    blocks = light.select("row", F.explode(F.arrays_zip("names", "starts", "lines")).alias("e")).select("row", F.col("e.names").alias("name"), F.col("e.starts").alias("at"), F.col("e.lines").alias("line"))
+    names = written(blocks.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "pass-names")
+    total = names.agg(F.sum("n")).first()[0] or 0
+    hits = hot_safe_join(blocks, names.withColumn("places", F.col("n")), ["name"], "n", total, "inner")
+    hits = written(hits.join(light.select("row", "doc_id", "row_key"), "row"), "pass-hits")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "at", "line")
+    keep = written(hits.groupBy("name").agg(F.min(place).alias("keep"), F.count("*").alias("n")), "pass-keep")
+    met = hot_safe_join(hits, keep, ["name"], "n", total, "inner").withColumn("shift", F.col("at") - F.col("keep.at"))
+    alike = W.partitionBy("row", "keep.row_key", "shift").orderBy("at")
+    met = met.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(alike) > STARTS, F.lit(True)).cast("int"))
+    met = met.withColumn("run", F.sum("new").over(alike))
+    out = met.groupBy("row", F.col("keep.row_key").alias("keep_row"), "shift", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.min("line").alias("paragraph"), F.min("at").alias("first_word"), (F.max("at") - F.min("at") + PASSAGE).alias("n_words"),
+        F.first("keep.doc_id").alias("keep_doc_id"), F.min("keep.line").alias("keep_paragraph"), F.min("keep.at").alias("keep_first_word"), F.max("places").alias("class_size"),
+    )
+    kept = (F.col("row_key") == F.col("keep_row")) & (F.col("shift") == 0)
+    return out.select("doc_id", "row_key", "paragraph", "first_word", "n_words", "keep_doc_id", "keep_paragraph", "keep_first_word", kept.alias("kept"), "class_size")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    """Lines that repeat (``first_word`` is null) and runs of words that repeat across line breaks or inside lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return repeats(docs).unionByName(passages(docs), allowMissingColumns=True).drop("row_key")

@@ -86,3 +86,42 @@ def test_short_paragraphs_repeat_too(spark):
     assert {(0, 0, 2), (1, 1, 3), (4, 0, 2), (4, 1, 2)} <= set(want)
     got = P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.paragraph, x.class_size) for x in got) == want
+
+
+def test_passages_repeat_across_line_breaks(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    shared = [some(n) for n in (51, 51, 55, 80, 140)]
+    rows, texts = [], []
+    for i in range(40):
+        w = some(r.randrange(60))
+        for p in r.sample(shared, i % 3):
+            w += p + some(r.randrange(1, 60))
+        texts.append(w)
+        rows.append((i, "".join(x + r.choice([" "] * 9 + ["\n"]) for x in w)))
+    rows += [(None, rows[2][1].upper()), (41, None), (42, ""), (43, "word " * 5_000)]
+    texts += [texts[2], [], [], ["word"] * 5_000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.passages(docs).collect()
+    at = {}
+    for d, w in enumerate(texts[:41]):
+        for i in range(len(w) - 50):
+            at.setdefault(tuple(w[i : i + 51]), []).append((d, i))
+    want = [x for places in at.values() if len(places) > 1 for x in places]
+    assert len(want) > 500
+    number = {i: n for n, (i, _) in enumerate(rows)}
+    found = {}
+    for x in got:
+        d, k = texts[number[x.doc_id]], texts[number[x.keep_doc_id]]
+        run = d[x.first_word : x.first_word + x.n_words]
+        assert run == k[x.keep_first_word : x.keep_first_word + x.n_words] and len(run) == x.n_words >= P.PASSAGE
+        before = len(" ".join([""] + d[: x.first_word]))
+        assert x.doc_id is None or x.doc_id == 43 or rows[number[x.doc_id]][1][:before].count("\n") == x.paragraph
+        assert x.kept == ((x.doc_id, x.first_word) == (x.keep_doc_id, x.keep_first_word)) and x.class_size > 1
+        found.setdefault(number[x.doc_id], []).append((x.first_word, x.first_word + x.n_words))
+    for d, i in want:
+        assert any(min(b, i + 51) - max(a, i) >= P.PASSAGE for a, b in found[d])
+    lines = {(x.doc_id, x.paragraph) for x in P.repeats(docs).collect() if x.n_words > 50}
+    assert len(lines) < len(found)
+    assert P.passages(docs.limit(0)).count() == 0
