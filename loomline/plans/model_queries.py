@@ -104,12 +104,27 @@ q AS (SELECT ia AS item, criterion, list({{'sign': 1.0::DOUBLE, 'c': {BETA}::DOU
 r AS (SELECT item, criterion, comps, list_reduce(range(12), lambda x, i: CAST(x AS DOUBLE) - (0.001::DOUBLE * x + list_sum(list_transform(comps, lambda q: q.sign * (1 / (1 + exp(-(q.sign * x + q.c))) - q.w)))) / (0.001::DOUBLE + list_sum(list_transform(comps, lambda q: (1 / (1 + exp(-(q.sign * x + q.c)))) * (1 - 1 / (1 + exp(-(q.sign * x + q.c))))))), 0.0::DOUBLE) AS s FROM q)
 SELECT item, criterion, round(least(greatest(s, -6), 6), 4) + 0.0::DOUBLE AS score FROM r"""))
 def frozen_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of first-shown items against the others' frozen scores; clamped to -6 to 6."""
+    """Scores of first-shown items against the others' frozen scores; clamped to -6 to 6, as in the SQL."""
+    s = frozen_scores(spark, sf_dir)
+    return s.select("item", "criterion", (F.round(F.least(F.greatest("s", F.lit(-6.0)), F.lit(6.0)), 4) + 0.0).alias("score"))
+
+
+def frozen_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of first-shown items by criterion, in the order of their pairs: ``item, criterion, l``."""
     c = cells(spark, sf_dir).filter("x <> 0")
     q = F.struct(F.lit(1.0).alias("sign"), (BETA - score_of(F.col("ib"), F.col("k"))).alias("c"), F.when(F.col("x") == 1, 1.0).otherwise(0.0).alias("w"))
     comps = c.groupBy(F.col("ia").alias("item"), "criterion").agg(F.array_sort(F.collect_list(F.struct("pair_index", q.alias("q")))).alias("l"))
-    s = comps.select("item", "criterion", choice.frozen_score(F.transform("l", lambda x: x["q"])).alias("s"))
-    return s.select("item", "criterion", (F.round(F.least(F.greatest("s", F.lit(-6.0)), F.lit(6.0)), 4) + 0.0).alias("score"))
+    return comps.select("item", "criterion", F.transform("l", lambda x: x["q"]).alias("l"))
+
+
+def frozen_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frozen_comparisons(spark, sf_dir).select("item", "criterion", choice.frozen_score(F.col("l")).alias("s"))
+
+
+@query("q_frozen_score_unclamped")
+def frozen_unclamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of ``q_frozen_score_newton`` as the fit gives them, without its clamp: the reference has none."""
+    return frozen_scores(spark, sf_dir).select("item", "criterion", (F.round("s", 4) + 0.0).alias("score"))
 
 
 def runs(spark: SparkSession, sf_dir: str, rounds: int = 6) -> DataFrame:

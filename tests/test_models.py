@@ -3,10 +3,13 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from loomline.operators import choice, graph, kernels, rationale, stats
 from loomline.operators.order import numbered
+from loomline.plans import QUERIES
+from loomline.plans import model_queries as M
 
 
 def problem(n=8, k=3, t=120, seed=0):
@@ -172,3 +175,20 @@ def test_spans_budgets_subsets_and_designs(spark):
     d = selection.near_orthogonal(spark.range(1), 24, [2, 3, 4], 20).first()
     x = np.array(d.design)
     assert x.shape == (24, 3) and all(np.ptp(np.bincount(x[:, j])) == 0 for j in range(3)) and d.worst < 0.3
+
+
+def bisected(comparisons, ridge=1e-3):
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        x = (low + high) / 2
+        slope = ridge * x + sum(q.sign * (1 / (1 + math.exp(-(q.sign * x + q.c))) - q.w) for q in comparisons)
+        low, high = (x, high) if slope < 0 else (low, x)
+    return low
+
+
+def test_unclamped_frozen_scores_are_the_minimum(spark):
+    want = {(x.item, x.criterion): bisected(x.l) for x in M.frozen_comparisons(spark, DATA).collect()}
+    got = {(x.item, x.criterion): x.score for x in QUERIES["q_frozen_score_unclamped"](spark, DATA).collect()}
+    assert want.keys() == got.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-3
+    assert len({round(x, 3) for x in got.values() if abs(x) > 6}) > 2
