@@ -25,15 +25,15 @@ from pyspark.sql import Window as W
 
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
-from ..sources.shared import keyed, written
+from ..sources.shared import keyed, remove, shared_dir, written
 
-SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.99
+SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.995
 #: A paragraph has a word; those of fewer than SHINGLE words are one shingle, so they repeat by exact text only.
 LEAST_WORDS = 1
 #: Sets of fewer distinct shingles are similar to none but equal ones: one key, not one a band.
 LEAST_NEAR = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)
 #: Hash functions at most; bands are tuned within them.
-HASHES = 128
+HASHES = 192
 CROWDED, BLOCK = 400, 400
 #: Up to so many keys of buckets with three members or more are broadcast; more meet in a shuffled join.
 FEW_KEYS = 500_000
@@ -192,10 +192,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """
     rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    light = written(rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name binary, keys array<long>"), "para-light")
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "para-keyed")
+    light = rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name binary, keys array<long>")
+    light.write.parquet(path)
+    light = spark.read.schema(light.schema).parquet(path)
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "paragraph")
     distinct = light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "para-distinct")
+    # only distinct paragraphs need their keys from here on: those of every line make way for the shuffle of keys
+    light = written(light.drop("keys"), "para-light")
+    remove(spark, path)
 
     def fetch(ids: DataFrame) -> DataFrame:
         place = F.struct(F.col("first.paragraph").alias("paragraph"), "id")
@@ -203,7 +209,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         return rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted").mapInArrow(_chosen, "id long, shingles array<long>")
 
     parts = connected_components(similar(distinct.select("id", "keys"), fetch, similarity, crowded)).withColumnRenamed("node", "id")
-    light, distinct = light.drop("keys"), distinct.drop("keys")
+    distinct = distinct.drop("keys")
     named = written(distinct.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "para-parts")
     whole = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.count("*").alias("n_names"))
     total = named.agg(F.count("*"), F.sum("n")).first()

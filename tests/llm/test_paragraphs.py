@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from loomline.llm import paragraphs as P
 
 
@@ -125,3 +127,16 @@ def test_passages_repeat_across_line_breaks(spark):
     lines = {(x.doc_id, x.paragraph) for x in P.repeats(docs).collect() if x.n_words > 50}
     assert len(lines) < len(found)
     assert P.passages(docs.limit(0)).count() == 0
+
+
+def test_default_bands_keep_links_at_the_threshold():
+    bands, rows = P.tuned_bands()
+    assert 1 - (1 - P.SIMILARITY**rows) ** bands >= 0.995
+    a, b = P.coefficients(bands * rows)
+    r = np.random.default_rng(6)
+    met = []
+    for _ in range(3000):
+        s = r.integers(0, 1 << 63, 50, dtype=np.uint64)
+        one, two = (P.band_keys(np.sort(x), bands, rows, a, b) for x in (s[:45], np.concatenate([s[:40], s[45:]])))
+        met.append(bool((one == two).any()))
+    assert np.mean(met) >= 0.993
