@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Paths handed out by ``shared_dir`` and not removed since.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests on one machine) a temporary folder stands in for it.
+    Where that setting is absent a temporary folder stands in for it in local mode (tests on one machine); on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomline-"))
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomline-"))
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -40,7 +47,7 @@ def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
     try:
         return df.withColumn(name, F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index"))
     except AnalysisException:
-        return written(df.withColumn(name, F.uuid()), "keyed")
+        return keyed(written(df, "keyed"), name)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -48,3 +55,22 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def settled(df: DataFrame, tag: str, since: int = 0) -> DataFrame:
+    """``written``, and afterwards every path handed out from number ``since`` (of ``made``) on but this one is removed.
+
+    For a step whose result is whole in ``df``: what it wrote on the way is read no more.
+    """
+    spark = df.sparkSession
+    out = written(df, tag)
+    for path in _MADE[since:-1]:
+        remove(spark, path)
+    return out
+
+
+def made() -> int:
+    """How many paths ``shared_dir`` has handed out that are not removed."""
+    return len(_MADE)
