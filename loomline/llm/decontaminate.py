@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.marks import without
 from ..sources.shared import keyed, written
 from .fm_index import FMIndex
 
@@ -228,7 +229,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without contaminated rows, with all its columns."""
     rows = keyed(docs, "__row")
     gone = contamination(rows, benchmark, "__row", text_col, block_bytes=block_bytes).filter(contaminated()).select(F.col("doc_id").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return without(rows, "__row", gone).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

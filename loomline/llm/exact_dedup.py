@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.marks import marked, without
 from ..operators.skew import hot_safe_join
 from ..sources.shared import keyed, written
 
@@ -33,8 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
 
     ``hash_all=False`` leaves ``text_sha256`` null for rows without another row of the same length and prefix, and
-    reads and hashes only the surviving rows' texts; True takes the hash
-    during the first scan, for results that ask for it in every row.
+    normalises and hashes only the surviving rows' whole texts; True takes the hash during the first scan, for
+    results that ask for it in every row.
     """
     norm = normalised(F.col("__text"))
     named = docs if row_col else keyed(docs, row_col := "__row")
@@ -56,7 +57,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     alive = hot_safe_join(light, refined, ["norm_len", "prefix_hash"], "n_prefix", total, "inner")
     if not hash_all:
-        sha = written(base.join(alive.select("row_key"), "row_key", "left_semi").select("row_key", F.sha2(norm, 256).alias("sha")), "exact-sha")
+        sha = written(marked(base, "row_key", alive, "__alive").filter("__alive").select("row_key", F.sha2(norm, 256).alias("sha")), "exact-sha")
         alive = alive.drop("sha").join(sha, "row_key")
         light = light.drop("sha").join(sha, "row_key", "left")
     best = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus_id"), F.col("row_key"))
@@ -79,8 +80,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops, with all its columns."""
     rows = keyed(docs, "__row")
-    gone = exact_groups(rows, id_col, text_col, row_col="__row").filter("not kept").select(F.col("row_key").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = exact_groups(rows, id_col, text_col, hash_all=False, row_col="__row").filter("not kept").select(F.col("row_key").alias("__row"))
+    return without(rows, "__row", gone).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.marks import without
 from ..operators.skew import hot_safe_join
 from ..sources.shared import keyed, written
 
@@ -122,7 +123,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with the ``first`` row of each component, with all its columns."""
     rows = keyed(docs, "__row")
     gone = near_duplicates(rows, id_col, text_col, "__row").filter("not first").select(F.col("row_key").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return without(rows, "__row", gone).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
