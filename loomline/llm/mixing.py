@@ -1,75 +1,111 @@
 """Mixing sources to target weights by fitting each source's budget with a subset sum over document lengths.
 
 Every source gets whole epochs of all its documents and a rest below one epoch. For the rest, documents are counted
-by exact length; an equal share of each length is taken at first, the largest lengths that still fit come next, and
-a bounded knapsack over a bit set of reachable sums picks the lengths that close the gap. The documents of a length
-are then chosen by a seeded hash, so reruns agree.
+by exact length; an equal share of each length and the longest that still fit are a start, and a bounded knapsack over
+reachable sums adds documents and gives others back until the budget is met. The documents of a length are then chosen
+by a seeded hash, so reruns agree.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.marks import marked
+from ..operators.order import numbered
 from ..operators.skew import hot_safe_join
 from ..sources.shared import keyed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and length are dealt by hash to so many slots; only one slot of a length needs ranking.
 SLOTS = 1024
-#: The knapsack's budget: at most this many times the source's longest document, and at most KNAPSACK_WORDS.
-KNAPSACK_LENGTHS, KNAPSACK_WORDS = 2, 1 << 18
+#: Up to so many sources are broadcast.
+FEW_SOURCES = 100_000
+#: The knapsack starts with so many lengths and widens; a table of sums never has more than MOST_SUMS entries.
+LENGTHS, MOST_SUMS = 64, 1 << 26
+
+
+def source_key(source: Column) -> Column:
+    """A name for each source, null among them."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take so that the sum of lengths comes as near below ``budget`` as it can.
+def best_subset(items: list[tuple[int, int]], most: int) -> dict[int, int]:
+    """Of ``items`` (length, number) a choice whose sum of lengths is the largest up to ``most``: a bounded knapsack.
 
-    ``counts`` maps a length to its number of documents. Lengths below 1 are never needed. If all fit, all are taken.
+    Bit s of ``reach`` is set if some choice of the items so far sums to s; ``first`` notes the step that did it.
+    """
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+    first = np.full(most + 1, -1, np.int32)
+    for n, free in items:
+        power = 1
+        while free > 0:
+            k = min(power, free)
+            new = (reach << (n * k)) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((n, k))
+                reach |= new
+            free, power = free - k, power * 2
+        if reach >> most & 1:
+            break
+    at, out = reach.bit_length() - 1, {}
+    while at:
+        n, k = steps[first[at]]
+        out[n] = out.get(n, 0) + k
+        at -= n * k
+    return out
+
+
+def fit_budget(counts: dict[int, int], budget: int, most_sums: int = MOST_SUMS) -> dict[int, int]:
+    """How many documents of each length to take so that the sum of lengths is the largest up to ``budget``.
+
+    ``counts`` maps a length to its number of documents; lengths below 1 are never needed. An equal share of each
+    length and the longest that still fit are a start. Then a bounded knapsack over the rest may add documents and give
+    some back: at most q of a length for m of the lengths, with m and q doubled until the budget itself is reached or
+    all documents were free to move. So the sum is the best there is, unless the budget cannot be reached and a table
+    that tells so would have more than ``most_sums`` entries; then it is the best of the tables before.
     """
-    left = {n: c for n, c in sorted(counts.items(), reverse=True) if n > 0 and c > 0}
+    left = {n: c for n, c in sorted(counts.items()) if n > 0 and c > 0}
     total = sum(n * c for n, c in left.items())
     if budget <= 0 or not left:
         return {}
     if budget >= total:
-        return dict(left)
+        return left
+    unit = math.gcd(*left)
+    left, budget, total = {n // unit: c for n, c in left.items()}, budget // unit, total // unit
     taken = {n: c * budget // total for n, c in left.items()}
     rest = budget - sum(n * k for n, k in taken.items())
-    bound = min(KNAPSACK_WORDS, KNAPSACK_LENGTHS * max(left))
-    for n, c in left.items():
-        k = min(c - taken[n], max(0, rest - bound) // n)
+    for n in reversed(left):
+        k = min(left[n] - taken[n], rest // n)
         taken[n] += k
         rest -= n * k
-    for n, c in left.items():
-        if rest <= KNAPSACK_WORDS:
+    m, q = LENGTHS, 1
+    while rest:
+        chosen = list(left)[:m]
+        back = {n: min(taken[n], q) for n in chosen}
+        most = rest + sum(n * k for n, k in back.items())
+        if most >= most_sums:
             break
-        k = min(c - taken[n], rest // n)
-        taken[n] += k
-        rest -= n * k
-    # bounded knapsack: bit s of `reach` is set if some choice of the items so far sums to s
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for n, c in left.items():
-        free, power = min(c - taken[n], rest // n), 1
-        while free > 0:
-            k = min(power, free)
-            wider = (reach | reach << (n * k)) & mask
-            if wider != reach:
-                steps.append((n, k, reach))
-                reach = wider
-            free, power = free - k, power * 2
-        if reach >> rest & 1:
+        items = [(n, back[n] + min(left[n] - taken[n], q)) for n in reversed(chosen)]
+        better = best_subset(items, most)
+        for n in chosen:
+            taken[n] += better.get(n, 0) - back[n]
+        rest = most - sum(n * k for n, k in better.items())
+        if m >= len(left) and q >= max(left.values()):
             break
-    at = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[n] += k
-            at -= n * k
-    return {n: k for n, k in taken.items() if k}
+        m, q = 2 * m, 2 * q
+    return {n * unit: k for n, k in taken.items() if k}
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -78,9 +114,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     Sources by code point, null last, take ``weights`` in turn and share ``share`` of all sizes; a target stops at
     ``most`` times its source's size and the excess goes to the others by weight. Only sums reach the driver.
     """
-    order = W.orderBy(F.col("source").isNull(), "source")
-    nth = (F.row_number().over(order) - 1) % len(weights)
-    s = written(sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (nth + 1).cast("int"))), "mix-sources")
+    nth = F.col("place") % len(weights)
+    s = numbered(sizes.withColumn("unknown", F.col("source").isNull()), ["unknown", "source"], "place")
+    s = written(s.drop("unknown").withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (nth + 1).cast("int"))), "mix-sources").drop("place")
     total = s.agg(F.sum("source_size")).first()[0] or 0
     budget, level = share * total, 0.0
     full = F.col("source_size") * most
@@ -96,18 +132,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return s.withColumn("target", F.least(full, F.col("weight") * level).cast("double")).drop("weight")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, row_key, source, size, source_size, target, taken``.
-
-    ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes of the document: 0 or a
-    multiple of its size, ``most`` times at most. Each source's sum of ``taken`` is below its target by less than its
-    shortest unused document wherever such a sum exists. A null source is a source of its own. Rows that repeat are
-    chosen one by one. Other columns are not read. An empty table gives an empty result.
-    """
-    named = docs if row_col else keyed(docs, row_col := "__row")
-    light = written(named.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(row_col).alias("row_key")), "mix-light")
-    light = light.withColumn("pick", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    light = light.withColumns({"slot": F.pmod("pick", F.lit(SLOTS)), "skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
+def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``doc_id, row_key, source, size``) with ``skey`` and ``more`` (one copy beyond whole epochs: 0 or 1);
+    and per ``skey`` its ``source, source_size, target, epochs``."""
+    light = rows.withColumn("pick", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    light = light.withColumns({"slot": F.pmod("pick", F.lit(SLOTS)), "skey": source_key(F.col("source"))})
     slots = written(light.groupBy("skey", "size", "slot").agg(F.count("*").alias("n")), "mix-slots")
     lengths = slots.groupBy("skey", "size").agg(F.sum("n").alias("n"))
     sizes = lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -132,22 +161,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plain = dealt.filter("not part").withColumn("more", (F.col("need") > 0).cast("long"))
     rank = F.row_number().over(W.partitionBy("skey", "size", "slot").orderBy("pick", "doc_id", "row_key"))
     ranked = dealt.filter("part").withColumn("more", (rank <= F.col("need")).cast("long"))
-    out = plain.unionByName(ranked).select("doc_id", "row_key", "skey", "size", "more")
-    few = aims.count() <= 100_000
-    out = out.join(F.broadcast(aims) if few else aims, "skey")
-    return out.select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    return plain.unionByName(ranked).select("doc_id", "row_key", "skey", "size", "more"), aims
+
+
+def _light(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col("__row").alias("row_key")), "mix-light")
+
+
+def _with_aims(rows: DataFrame, aims: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(aims) if aims.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else aims, "skey")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, row_key, source, size, source_size, target, taken``.
+
+    ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes of the document: 0 or a
+    multiple of its size, ``most`` times at most. Each source's sum of ``taken`` is the largest up to its rounded
+    target (see ``fit_budget``). A null source is a source of its own. Documents of one length tie: those with the
+    smallest seeded hash of their id, then id, then row are taken. Rows that repeat are chosen one by one. Other
+    columns are not read. An empty table gives an empty result; texts without words take and are given nothing.
+    """
+    out, aims = _plan(_light(keyed(docs, "__row"), id_col, text_col, source_col), weights, share, most, seed)
+    return _with_aims(out, aims).select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with its columns and ``size``, ``taken`` and ``repeats`` (taken / size).
 
-    Columns of ``docs`` with one of these three names give way to them.
+    Columns of ``docs`` with one of these three names give way to them. Texts are not shuffled.
     """
     rows = keyed(docs, "__row")
-    takes = mix(rows, id_col, text_col, source_col, row_col="__row", **options).filter("taken > 0")
-    takes = takes.select(F.col("row_key").alias("__row"), "size", "taken", (F.col("taken") / F.col("size")).cast("long").alias("repeats"))
-    new = ("size", "taken", "repeats")
-    return rows.drop(*new).join(takes, "__row").select(*[c for c in docs.columns if c.lower() not in new], *new)
+    out, aims = _plan(_light(rows, id_col, text_col, source_col), weights, share, most, seed)
+    chosen = out.filter("more > 0").select(F.col("row_key").alias("__row"))
+    aims = aims.select("skey", F.col("epochs").alias("__epochs"))
+    met = _with_aims(marked(rows, "__row", chosen, "__more").withColumn("skey", source_key(F.col(source_col))), aims)
+    new = {"repeats": F.col("__epochs") + F.col("__more").cast("long"), "size": word_count(F.col(text_col))}
+    met = met.withColumns(new).withColumn("taken", F.col("size") * F.col("repeats")).filter("taken > 0")
+    return met.select(*[c for c in docs.columns if c.lower() not in ("size", "taken", "repeats")], "size", "taken", "repeats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

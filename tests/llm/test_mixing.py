@@ -1,21 +1,34 @@
-import itertools
 import random
 
 from loomline.llm import mixing
 
 
+def best_sum(counts, budget):
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + k * n for s in sums for k in range(c + 1) if s + k * n <= budget}
+    return max(sums)
+
+
 def test_fit_budget_reaches_the_best_sum():
     r = random.Random(1)
-    for _ in range(60):
-        counts = {r.randrange(0, 30): r.randrange(0, 4) for _ in range(5)}
-        budget = r.randrange(0, 120)
-        items = [n for n, c in counts.items() for _ in range(c)]
-        best = max(s for k in range(len(items) + 1) for c in itertools.combinations(items, k) if (s := sum(c)) <= budget)
+    for case in range(3000):
+        top = r.choice((4, 12, 30, 90))
+        counts = {r.randrange(0, top): r.randrange(0, 5) for _ in range(r.randrange(1, 6))}
+        budget = r.randrange(0, 40 + 4 * top)
         took = mixing.fit_budget(counts, budget)
         assert all(k <= counts[n] for n, k in took.items())
-        got = sum(n * k for n, k in took.items())
-        assert got <= budget and best - got <= 2 * max(items, default=1)
-    assert mixing.fit_budget({5: 10, 3: 10, 1: 1}, 37) and sum(n * k for n, k in mixing.fit_budget({5: 10, 3: 10, 1: 1}, 37).items()) == 37
+        assert sum(n * k for n, k in took.items()) == best_sum(counts, budget), case
+    assert sum(n * k for n, k in mixing.fit_budget({4: 3, 1: 3, 14: 4, 23: 3}, 68).items()) == 68
+    assert sum(n * k for n, k in mixing.fit_budget({6: 90_000, 10: 70_000, 4: 5}, 600_001).items()) == 600_000
+
+
+def test_fit_budget_of_many_lengths_meets_the_budget():
+    r = random.Random(4)
+    counts = {n: r.randrange(1, 2000) for n in r.sample(range(500, 40_000), 3000)}
+    budget = sum(n * c for n, c in counts.items()) // 3 + 17
+    took = mixing.fit_budget(counts, budget)
+    assert all(0 < k <= counts[n] for n, k in took.items()) and sum(n * k for n, k in took.items()) == budget
 
 
 def test_mix_is_near_targets_and_repeatable(spark):
