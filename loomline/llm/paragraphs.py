@@ -1,116 +1,343 @@
 """Substring dedup: paragraphs that repeat, exactly or nearly, by MinHash banding.
 
-Equal paragraphs (after normalisation) are collapsed first, so a passage that a third of all documents hold is one row.
-Of the distinct ones, MinHash bands tuned for high recall collide; colliding pairs are verified by the exact Jaccard
-similarity of their word shingles, and verified links are joined to components. Of each component the first
-paragraph stays. Buckets of more than CROWDED paragraphs are not joined with themselves: their members are compared
-block by block, and a block pair gives a spanning forest of its links, not the links.
-
-Line breaks hide passages that repeat inside longer lines or are broken elsewhere. ``passages`` cuts each text, as one
-stream of words, into overlapping blocks that start where the content says so, and joins blocks that repeat to runs.
+Paragraphs are of two kinds. Lines are what the text itself sets apart. Blocks are windows of PASSAGE words of the whole
+text, as one stream, that start where the content says so; they find passages inside longer lines or broken elsewhere.
+Both go the same way: band keys tuned for recall are shuffled with the paragraph's name (a 64-bit hash of its words,
+so equal paragraphs are one), paragraphs that share a key are verified by the exact Jaccard similarity of their word
+shingles, links become components, and of each component the first paragraph stays. Blocks of one component that follow
+each other are joined to runs.
+
+No text is shuffled: the first pass over the texts gives keys, the second the places and shingles of paragraphs whose
+names a bitmap of fixed size does not rule out. No bucket is joined with itself: buckets of up to CROWDED paragraphs
+are compared in one place, larger ones first with one of their members, and what this leaves apart block by block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
-from ..sources.shared import keyed, remove, shared_dir, written
-
-SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.995
-#: A paragraph has a word; those of fewer than SHINGLE words are one shingle, so they repeat by exact text only.
-LEAST_WORDS = 1
-#: Sets of fewer distinct shingles are similar to none but equal ones: one key, not one a band.
-LEAST_NEAR = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)
-#: Hash functions at most; bands are tuned within them.
-HASHES = 192
-CROWDED, BLOCK = 400, 400
-#: Up to so many keys of buckets with three members or more are broadcast; more meet in a shuffled join.
-FEW_KEYS = 500_000
+from ..sources.shared import keyed, written
+
+SIMILARITY, SHINGLE = 0.8, 5
+#: Chance that a pair at SIMILARITY collides. A near copy of a passage shares several blocks, of which one must meet.
+LINE_RECALL, BLOCK_RECALL = 0.995, 0.9
+#: Pairs at half of SIMILARITY may collide with this chance; it costs comparisons, not results.
+LOOSE = 0.25
 #: Words of a block, and starts among which the least hash is one: a run of PASSAGE + STARTS - 1 = 51 words holds a block.
-PASSAGE, STARTS = 32, 20
+PASSAGE, STARTS = 24, 28
+#: Buckets of more paragraphs are not compared at once, and of a larger one so many on each side.
+CROWDED, BLOCK = 400, 400
+#: The filters of names have 2 ** FILTER_BITS bits (32 MB) at most.
+FILTER_BITS = 28
+#: Texts are worked on together up to so many bytes; a longer text alone, cut between words for hashing.
+GROUP, SLICE = 1 << 17, 1 << 20
+#: A task remembers so many names to emit repeated ones twice only.
+REMEMBERED = 1 << 20
+
+LINE, RUN = 0, 1
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE[65:91] = _VALUE[97:123]
+_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_TOP = np.uint64((1 << 64) - 1)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def bands_of(similarity: float, recall: float, loose: float = LOOSE) -> tuple[int, int]:
+    """Bands and rows per band: pairs at ``similarity`` collide with chance ``recall``, at half of it at most ``loose``."""
+    rows = 1
+    while True:
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+        if 1 - (1 - (similarity / 2) ** rows) ** bands <= loose:
+            return bands, rows
+        rows += 1
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2 ** 64 for i below ``n`` at least."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = _POWERS[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(1 << 18, n) - 1, base, np.uint64)]), dtype=np.uint64)
+    return have
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _MIX
+    return x ^ x >> np.uint64(29)
+
+
+def spans_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of spans from the running sums of values times powers of ``base``; equal spans are equal wherever they lie."""
+    raw = (sums[end] - sums[begin]) * powers(inverse(base), int(begin.max()) + 1 if len(begin) else 1)[begin]
+    return mixed(raw + (end - begin).astype(np.uint64) * _MIX)
+
+
+def running(values: np.ndarray, base: int) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values))[: len(values)], out=sums[1:])
+    return sums
+
+
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word between ASCII blanks (A-Z lower-cased) and the byte it starts at."""
+    if len(buf) > SLICE:
+        cut = np.flatnonzero(_BLANK[buf[SLICE:]])
+        if len(cut):
+            at = SLICE + int(cut[0])
+            parts, offset = [], 0
+            while offset < len(buf):
+                parts.append((offset, word_hashes(buf[offset:at])))
+                offset = at
+                cut = np.flatnonzero(_BLANK[buf[at + SLICE :][: 4 * SLICE]])
+                at = at + SLICE + int(cut[0]) if len(cut) else len(buf)
+            return np.concatenate([h for _, (h, _) in parts]), np.concatenate([s + o for o, (_, s) in parts])
+    blank = _BLANK[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    return spans_hash(running(_VALUE[buf], _P), begin, end, _P), begin
+
+
+def slide_min(x: np.ndarray, k: int) -> np.ndarray:
+    """The least of every ``k`` neighbours."""
+    span = 1
+    while span * 2 <= k:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (k - span)], x[k - span :]) if span < k else x
+
+
+def coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(seed)
+    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+class MinHash:
+    """Band keys of sets of shingles."""
+
+    def __init__(self, similarity: float, recall: float, seed: int):
+        self.bands, self.rows = bands_of(similarity, recall)
+        self.a, self.b = coefficients(self.bands * self.rows, seed)
+        self.seed = seed
+
+    def keys(self, least: Callable[[np.uint64, np.uint64], np.ndarray]) -> np.ndarray:
+        """A row of keys per set; ``least(a, b)`` gives each set's minimum of ``a * shingle + b``."""
+        out = []
+        for band in range(self.bands):
+            key = np.uint64(self.seed * 1_000_003 + band)
+            for i in range(band * self.rows, (band + 1) * self.rows):
+                key = mixed((key ^ least(self.a[i], self.b[i])) * np.uint64(_P))
+            out.append(key)
+        return np.stack(out, axis=1).view(np.int64)
+
+
+@dataclass
+class Stream:
+    """Words of several texts in a row, with their lines and blocks."""
+
+    shingle: np.ndarray  # of the SHINGLE words from each word on; of no use where these cross a line or text
+    first: np.ndarray  # the first word of each text
+    doc: np.ndarray  # by word
+    line: np.ndarray  # by word, counted over all texts
+    line_zero: np.ndarray  # by text: the count at its first line
+    begin: np.ndarray  # lines: first word
+    end: np.ndarray
+    line_name: np.ndarray
+    at: np.ndarray  # blocks: first word
+    block_name: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Stream:
+        buf = np.frombuffer(b"\n".join(texts), np.uint8)
+        h, start = word_hashes(buf)
+        bytes_at = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        doc = np.searchsorted(bytes_at, start, side="right") - 1
+        breaks = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int32)])
+        line = breaks[start]
+        n = len(h)
+        begin = np.flatnonzero(np.diff(line, prepend=-1))
+        end = np.append(begin[1:], n)
+        sums = running(h, _Q)
+        shingle = spans_hash(sums, np.arange(max(0, n - SHINGLE + 1)), np.arange(SHINGLE, n + 1) if n >= SHINGLE else np.zeros(0, np.int64), _Q)
+        at = block_starts(shingle, doc)
+        line_name = spans_hash(sums, begin, end, _Q)
+        block_name = mixed(spans_hash(sums, at, at + PASSAGE, _Q) + np.uint64(RUN))
+        return cls(shingle, np.searchsorted(doc, np.arange(len(texts))), doc, line, breaks[bytes_at], begin, end, line_name, at, block_name)
+
+    def line_keys(self, mh: MinHash) -> tuple[np.ndarray, np.ndarray]:
+        """Which lines have SHINGLE words or more, and their keys."""
+        which = np.flatnonzero(self.end - self.begin >= SHINGLE)
+        if not len(which):
+            return which, np.zeros((0, mh.bands), np.int64)
+        sets = self.shingle[self.line[: len(self.shingle)] == self.line[SHINGLE - 1 :]]
+        size = self.end[which] - self.begin[which] - (SHINGLE - 1)
+        offset = np.concatenate([[0], np.cumsum(size)[:-1]])
+        return which, mh.keys(lambda a, b: np.minimum.reduceat(sets * a + b, offset))
+
+    def block_keys(self, mh: MinHash) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros((0, mh.bands), np.int64)
+        return mh.keys(lambda a, b: slide_min(self.shingle * a + b, PASSAGE - SHINGLE + 1)[self.at])
+
+    def line_set(self, i: int) -> np.ndarray:
+        return np.unique(self.shingle[self.begin[i] : self.end[i] - (SHINGLE - 1)])
+
+    def block_set(self, i: int) -> np.ndarray:
+        return np.unique(self.shingle[self.at[i] : self.at[i] + PASSAGE - (SHINGLE - 1)])
+
+
+def block_starts(shingle: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """First words of blocks: of any STARTS places in a row where a block fits, the first with the least shingle is one.
+
+    The choice looks at the words of a run only, so equal runs of PASSAGE + STARTS - 1 words or more share a block. A
+    text with fewer places has the least of them.
+    """
+    n = len(doc) - PASSAGE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    fits = doc[:n] == doc[PASSAGE - 1 :]
+    bits = max(1, int(n).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    packed = np.where(fits, shingle[:n] & ~mask | np.arange(n, dtype=np.uint64), _TOP)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], fits, [False]]).view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    found = []
+    if n >= STARTS:
+        whole = fits[: n - STARTS + 1] & fits[STARTS - 1 :] & (doc[: n - STARTS + 1] == doc[STARTS - 1 : n])
+        found.append(slide_min(packed, STARTS)[whole])
+    few = end - begin < STARTS
+    if few.any():
+        pairs = np.stack([begin[few], np.minimum(end[few], n - 1)], axis=1).reshape(-1)
+        found.append(np.minimum.reduceat(packed, pairs)[::2] if end[few][-1] < n else np.array([packed[a:b].min() for a, b in zip(begin[few], end[few], strict=True)], np.uint64))
+    return np.unique(np.concatenate(found) & mask).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+def streams(column: pa.Array) -> Iterator[tuple[int, Stream]]:
+    """Texts of a column in groups: the number of the first, and their words."""
+    texts, first, size = [], 0, 0
+    for i, t in enumerate(column.cast(pa.binary())):
+        t = t.as_py() or b""
+        if texts and size + len(t) > GROUP:
+            yield first, Stream.of(texts)
+            texts, first, size = [], i, 0
+        texts.append(t)
+        size += len(t) + 1
+    if texts:
+        yield first, Stream.of(texts)
+
+
+def _keys(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``key, name``: all keys of a paragraph the first time a task meets it, one of them the second time."""
+        by_line, by_block = MinHash(similarity, LINE_RECALL, 1), MinHash(similarity, BLOCK_RECALL, 2)
+        once: set[int] = set()
+        twice: set[int] = set()
+
+        def fresh(names: list[int]) -> tuple[list[int], list[int]]:
+            all_of, one_of = [], []
+            for i, x in enumerate(names):
+                if x not in once:
+                    once.add(x)
+                    all_of.append(i)
+                elif x not in twice:
+                    twice.add(x)
+                    one_of.append(i)
+            return all_of, one_of
+
+        for batch in batches:
+            key, name = [], []
+            for _, s in streams(batch.column(0)):
+                which, keys = s.line_keys(by_line)
+                short = np.setdiff1d(np.arange(len(s.begin)), which)
+                for names, k in ((s.line_name[which], keys), (s.block_name, s.block_keys(by_block)), (s.line_name[short], mixed(s.line_name[short] + np.uint64(7)).view(np.int64)[:, None])):
+                    names = names.view(np.int64)
+                    all_of, one_of = fresh(names.tolist())
+                    key += [k[all_of].reshape(-1), k[one_of, 0]]
+                    name += [np.repeat(names[all_of], k.shape[1]), names[one_of]]
+                if len(once) > REMEMBERED:
+                    once, twice = set(), set()
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(name))], ["key", "name"])
+
+    return run
 
-PRIME = np.uint64((1 << 61) - 1)
 
+def name_filter(names: DataFrame) -> np.ndarray:
+    """A bitmap of the first bits of ``names`` (column ``name``, random numbers), of a size that grows to a fixed one."""
+    n = names.count()
+    bits = min(FILTER_BITS, max(15, (16 * n).bit_length()))
+    at = F.shiftrightunsigned("name", 64 - bits) + 1
+    found = names.select(F.bitmap_bucket_number(at).alias("block"), F.bitmap_bit_position(at).alias("bit"))
+    found = found.repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in found.toLocalIterator():
+        out[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
-    """Bands and rows per band: the most rows for which pairs at ``similarity`` still collide with chance ``recall``."""
-    best = (hashes, 1)
-    for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if bands * rows > hashes:
-            break
-        best = (bands, rows)
-    return best
-
-
-def words(paragraph: str) -> list[bytes]:
-    return paragraph.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(w: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles; fewer words are one shingle."""
-    h = xxhash.xxh64_intdigest
-    grams = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or [b" ".join(w)]
-    return np.unique(np.fromiter((h(g) for g in grams), np.uint64, len(grams)))
-
-
-def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(1)
-    return r.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
-
-
-def band_keys(s: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band from the least values of multiply-shift hashes; one key of all for sets below LEAST_NEAR."""
-    if len(s) < LEAST_NEAR:
-        return np.array([xxhash.xxh64_intdigest(s.tobytes(), bands)], np.uint64).view(np.int64)
-    x = s[:, None] * a + b
-    least = (x ^ x >> np.uint64(29)).min(axis=0)
-    raw = least.reshape(bands, rows)
-    return np.fromiter((xxhash.xxh64_intdigest(raw[i].tobytes(), i) for i in range(bands)), np.uint64, bands).view(np.int64)
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs: document, row, position, words, a hash that names the normalised text, band keys."""
-    bands, rows = tuned_bands()
-    a, b = coefficients(bands * rows)
-    for batch in batches:
-        out, at = [], []
-        for i, text in enumerate(batch.column(2)):
-            for p, line in enumerate((text.as_py() or "").split("\n")):
-                w = words(line)
-                if len(w) >= LEAST_WORDS:
-                    at.append(i)
-                    out.append((p, len(w), xxhash.xxh128_digest(b" ".join(w)), band_keys(shingles(w), bands, rows, a, b)))
-        take = pa.array(at, pa.int64())
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "row_key", "paragraph", "n_words", "name", "keys"])
-
-
-def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the chosen paragraphs (positions and numbers) of each document."""
-    for batch in batches:
-        ids, sets = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            lines = (text.as_py() or "").split("\n")
-            for x in wanted.as_py():
-                ids.append(x["id"])
-                sets.append(shingles(words(lines[x["paragraph"]])).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+def passes(names: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = names >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _places(filters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of paragraphs that pass the first filter, and once a task the shingles of those that pass the second."""
+        every, near = filters.value
+        told: set[int] = set()
+        for batch in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            sets, of = [], []
+            for first, s in streams(batch.column(2)):
+                lines, blocks = np.flatnonzero(passes(s.line_name, every)), np.flatnonzero(passes(s.block_name, every))
+                for kind, at, size, name in ((LINE, s.begin[lines], (s.end - s.begin)[lines], s.line_name[lines]), (RUN, s.at[blocks], np.full(len(blocks), PASSAGE), s.block_name[blocks])):
+                    doc = s.doc[at]
+                    new = (doc + first, np.full(len(at), kind, np.int8), s.line[at] - s.line_zero[doc], at - s.first[doc], size, name.view(np.int64))
+                    for c, x in zip(cols, new, strict=True):
+                        c.append(x)
+                for names, one in ((s.line_name, s.line_set), (s.block_name, s.block_set)):
+                    for i in np.flatnonzero(passes(names, near)).tolist():
+                        x = int(names[i])
+                        if x not in told and (one == s.block_set or s.end[i] - s.begin[i] >= SHINGLE):
+                            told.add(x)
+                            of.append(x)
+                            sets.append(one(i).view(np.int64))
+                if len(told) > REMEMBERED:
+                    told = set()
+            doc, kind, line, at, size, name = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+            take = pa.array(doc, pa.int64())
+            none = lambda k, t: pa.nulls(k, t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.int8()), pa.array(line, pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none(len(doc), pa.list_(pa.int64()))], PLACE)
+            if of:
+                k = len(of)
+                yield pa.RecordBatch.from_arrays([none(k, batch.column(0).type), none(k, batch.column(1).type), none(k, pa.int8()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int32()), pa.array(np.array(of, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], PLACE)
+
+    return run
+
+
+PLACE = ["doc_id", "row_key", "kind", "line", "at", "n_words", "name", "shingles"]
 
 
 def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links among the first ``first`` members and from them to the others."""
+    if len(names) == 2:
+        common = len(set(sets[0].tolist()).intersection(sets[1].tolist()))
+        return [(names[0], names[1])] if first and common >= similarity * (len(sets[0]) + len(sets[1]) - common) - 1e-9 else []
     parent = list(range(len(names)))
 
     def root(i: int) -> int:
@@ -119,20 +346,17 @@ def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: flo
             i = parent[i]
         return i
 
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    values, inv = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(inverse, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
-    by_value = owner[order]
+    by_value = owner[np.argsort(inv, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(inv, minlength=len(values)))])
     sizes = np.array([len(s) for s in sets])
     place = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for i in range(first):
-        mine = inverse[place[i] : place[i + 1]]
-        common = np.zeros(len(sets), np.int64)
-        np.add.at(common, np.concatenate([by_value[starts[v] : starts[v + 1]] for v in mine]), 1)
-        near = np.flatnonzero(common >= similarity * (sizes + sizes[i] - common) - 1e-9)
-        for j in near.tolist():
+        mine = inv[place[i] : place[i + 1]]
+        common = np.bincount(np.concatenate([by_value[starts[v] : starts[v + 1]] for v in mine]), minlength=len(sets))
+        for j in np.flatnonzero(common >= similarity * (sizes + sizes[i] - common) - 1e-9).tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[a] = b
@@ -140,159 +364,139 @@ def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: flo
     return out
 
 
-def _blocks(similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the lower block's members come first; within one block all are its members
-        pdf = pdf.sort_values(["own", "id"], ascending=[False, True])
-        links = forest(pdf["id"].tolist(), [np.asarray(s, np.int64) for s in pdf["shingles"]], int(pdf["own"].sum()), similarity)
-        return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+def _forests(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``key, lo, hi, own, name, shingles`` sorted by the first three: links of each group, own members first."""
+        group, names, sets, own = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            order = sorted(range(len(names)), key=lambda i: -own[i])
+            return forest([names[i] for i in order], [sets[i] for i in order], sum(own), similarity) if len(names) > 1 else []
+
+        for batch in batches:
+            out = []
+            key, lo, hi, mine, name = (batch.column(i).to_pylist() for i in range(5))
+            lists = batch.column(5)
+            flat, offset = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                if (key[i], lo[i], hi[i]) != group:
+                    out += links()
+                    group, names, sets, own = (key[i], lo[i], hi[i]), [], [], []
+                names.append(name[i])
+                own.append(mine[i])
+                sets.append(flat[offset[i] : offset[i + 1]])
+            yield _pairs(out)
+        yield _pairs(links())
 
     return run
 
 
-def similar(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
-    """Links ``src, dst`` between paragraphs of ``distinct`` (``id, keys``) that collide in a band and are similar.
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["src", "dst"])
+
+
+def grouped_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links within groups of bounded size; ``rows``: ``key, lo, hi, own, name, shingles``."""
+    dealt = rows.select("key", "lo", "hi", "own", "name", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(_forests(similarity), "src long, dst long")
+
+
+def similar(near: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+    """Links ``src, dst``: a path of links joins any two names that share a key and are similar.
 
-    Keys of different bands differ by their seed. A bucket of two is its smallest and largest id; only buckets of more
-    are met with their members. ``fetch`` gives ``id, shingles`` for a frame of distinct ids: only paragraphs with a
-    candidate are read again. Every similar pair that collides is a link or joined by others: crowded buckets give
-    spanning forests.
+    ``near``: ``key, name, n`` (paragraphs of the key); ``sets``: ``name, shingles``. Buckets above ``crowded`` are
+    compared with their least name first, in one row per member. Members that this and all smaller buckets leave
+    outside their bucket's largest component are then compared with the bucket's other members, block by block.
     """
-    members = distinct.select("id", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
-    sizes = written(sizes.filter("n > 1"), "para-buckets")
-    more = sizes.filter("n > 2").select("key", "n")
-    few = more.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-    members = written(members.join(F.broadcast(more) if few else more, "key"), "para-members")
-    small = members.filter(F.col("n") <= crowded).select("key", F.col("id").alias("a"))
-    pairs = small.join(small.withColumnRenamed("a", "b"), "key").filter("a < b").select("a", "b")
-    pairs = written(pairs.unionByName(sizes.filter("n = 2").select("a", "b")).distinct(), "para-pairs")
-    big = members.filter(F.col("n") > crowded)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(big.select("id")).distinct()
-    sets = written(fetch(ids), "para-sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = big.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = dealt.select("key", "id", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("key", "id", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).cast("int").alias("own"))
-    dealt = dealt.join(sets, "id").groupBy("key", "lo", "hi")
-    return links.unionByName(dealt.applyInPandas(_blocks(similarity), "src long, dst long"))
+    full = near.join(sets, "name")
+    small = full.filter(F.col("n") <= crowded).withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(1)})
+    links = written(grouped_links(small, similarity), "para-links")
+    big = near.filter(F.col("n") > crowded)
+    if not big.limit(1).count():
+        return links
+    big = written(big.join(sets, "name"), "para-crowded")
+    total = big.count()
+    pivot = big.groupBy("key").agg(F.min_by("shingles", "name").alias("p_shingles"), F.min("name").alias("p_name"), F.max("n").alias("n_rows"))
+    met = hot_safe_join(big, written(pivot, "para-pivots"), ["key"], "n_rows", total, "inner")
+    common = F.size(F.array_intersect("shingles", "p_shingles"))
+    star = met.filter((F.col("name") != F.col("p_name")) & (common >= similarity * (F.size("shingles") + F.size("p_shingles") - common) - 1e-9))
+    links = written(links.unionByName(star.select(F.col("p_name").alias("src"), F.col("name").alias("dst"))), "para-stars")
+    parts = connected_components(links).withColumnRenamed("node", "name")
+    big = written(big.join(parts, "name", "left").withColumn("part", F.coalesce("component", "name")).drop("component"), "para-parts")
+    by_part = big.groupBy("key", "part").agg(F.count("*").alias("m"))
+    most = by_part.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n_rows"))
+    most = written(most.filter("n_rows > top.m").select("key", F.col("top.part").alias("top"), (F.col("n_rows") - F.col("top.m")).alias("left"), "n_rows"), "para-left")
+    if not most.limit(1).count():
+        return links
+    # both sides are dealt to blocks: those outside the largest part to `lo`, all members to `hi`
+    met = hot_safe_join(big.drop("n"), most.withColumn("n", F.col("n_rows")), ["key"], "n_rows", total, "inner")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda c: F.pmod(F.xxhash64("name"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    outside = met.filter("part <> top").select("key", deal("left").alias("lo"), every("n").alias("hi"), F.lit(1).alias("own"), "name", "shingles")
+    others = met.select("key", every("left").alias("lo"), deal("n").alias("hi"), F.lit(0).alias("own"), "name", "shingles")
+    return links.unionByName(grouped_links(outside.unionByName(others), similarity))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
-    """One row per paragraph that repeats: ``doc_id, row_key, paragraph, n_words, keep_doc_id, keep_paragraph, kept, class_size``.
+    """Paragraphs that repeat: ``doc_id, row_key, paragraph, first_word, n_words, keep_doc_id, keep_paragraph,
+    keep_first_word, kept, class_size``, a row per line or run.
 
-    Paragraphs are the lines of a text, from position 0, with any word between ASCII blanks; A-Z are lower-cased and
-    blanks collapsed for the comparison. Of each class the paragraph of the smallest id, then row and
-    position, is kept (null ids last); the others can be removed. Null and empty texts have no paragraph; repeated rows
-    repeat their paragraphs; other columns are not read; an empty table gives an empty result.
-    """
-    rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "para-keyed")
-    light = rows.mapInArrow(_split, f"doc_id {kind}, row_key string, paragraph int, n_words int, name binary, keys array<long>")
-    light.write.parquet(path)
-    light = spark.read.schema(light.schema).parquet(path)
-    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "paragraph")
-    distinct = light.groupBy("name").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "para-distinct")
-    # only distinct paragraphs need their keys from here on: those of every line make way for the shuffle of keys
-    light = written(light.drop("keys"), "para-light")
-    remove(spark, path)
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        place = F.struct(F.col("first.paragraph").alias("paragraph"), "id")
-        wanted = distinct.select("id", "first").join(ids, "id", "left_semi").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(place).alias("wanted"))
-        return rows.select("row_key", "text").join(wanted, "row_key").select("text", "wanted").mapInArrow(_chosen, "id long, shingles array<long>")
-
-    parts = connected_components(similar(distinct.select("id", "keys"), fetch, similarity, crowded)).withColumnRenamed("node", "id")
-    distinct = distinct.drop("keys")
-    named = written(distinct.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "para-parts")
-    whole = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.count("*").alias("n_names"))
-    total = named.agg(F.count("*"), F.sum("n")).first()
-    kept = hot_safe_join(named.drop("first", "id"), written(whole.filter("class_size > 1"), "para-classes"), ["component"], "n_names", total[0], "inner").select("name", "keep", "class_size", "n")
-    out = hot_safe_join(light, written(kept, "para-kept"), ["name"], "n", total[1] or 0, "inner")
-    same = (F.col("row_key") == F.col("keep.row_key")) & (F.col("paragraph") == F.col("keep.paragraph"))
-    return out.select("doc_id", "row_key", "paragraph", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), same.alias("kept"), "class_size")
-
-
-def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every ``n`` consecutive word hashes."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for i in range(n if len(out) else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    out = (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(29)
-
-
-def block_starts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and names of blocks: of any STARTS starts in a row, the first with the least shingle hash is one.
-
-    The choice looks at the words of a run only, so equal runs of PASSAGE + STARTS - 1 words or more share a block. An
-    occurrence that overlaps an earlier one of the same block is left out: a word repeated on end is no passage.
-    """
-    names = rolling(h, PASSAGE)
-    if not len(names):
-        return np.empty(0, np.int64), names
-    least = rolling(h, SHINGLE)[: len(names)]
-    span = min(STARTS, len(names))
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(least, span).argmin(axis=1) + np.arange(len(names) - span + 1))
-    names = names[at]
-    if len(np.unique(names)) < len(names):
-        last: dict[int, int] = {}
-        keep = []
-        for i, (p, x) in enumerate(zip(at.tolist(), names.tolist(), strict=True)):
-            if p - last.get(x, -PASSAGE) >= PASSAGE:
-                last[x] = p
-                keep.append(i)
-        at, names = at[keep], names[keep]
-    return at, names
-
-
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the names, starts and lines of their blocks."""
-    for batch in batches:
-        cols = ([], [], [])
-        for text in batch.column(2):
-            lines = [words(line) for line in (text.as_py() or "").split("\n")]
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for line in lines for w in line), np.uint64)
-            at, names = block_starts(h)
-            line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
-            for c, x in zip(cols, (names.view(np.int64), at.astype(np.int32), line.astype(np.int32)), strict=True):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))], ["doc_id", "row_key", "names", "starts", "lines"])
-
-
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of words that repeats, wherever lines break: the columns of ``repeats``, ``first_word, keep_first_word``.
-
-    Every run of PASSAGE + STARTS - 1 = 51 words that occurs twice word by word (A-Z lower-cased) is found, shorter ones
-    of PASSAGE words or more by chance. A row runs from the first to the last of the blocks in a row that lie alike in
-    the same kept document, so up to STARTS - 1 equal words at either end can lie outside; ``paragraph`` is the line it
-    starts in, ``first_word`` its place among the words of the text, ``class_size`` the places of its commonest block.
-    Of each block the place of the smallest id, then row and position, is kept.
+    Lines hold a word between ASCII blanks; A-Z are lower-cased and blanks collapsed for the comparison; their
+    ``first_word`` is null. Lines of fewer than SHINGLE words are one shingle, so they repeat by exact text only.
+
+    Runs are blocks that follow each other alike in the same kept text; ``first_word`` is the first's place among
+    the words of the text, ``paragraph`` the line it starts in, ``class_size`` the places of its commonest block.
+    Every run of PASSAGE + STARTS - 1 = 51 words that occurs twice word by word is found, its row up to STARTS - 1 words
+    short at either end; shorter and edited ones by chance. A place that overlaps an earlier one of its class in the
+    same text is left out: a word repeated on end is no passage.
+
+    Of each class the place of the smallest id (null last), then row and position, is kept; the others can be removed.
+    Null and empty texts have no paragraph; repeated rows repeat their paragraphs; other columns are not read; an
+    empty table gives an empty result. Names are 64-bit hashes. Working on a text takes some 100 bytes a word of it.
     """
     rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    light = rows.mapInArrow(_blocked, f"doc_id {kind}, row_key string, names array<long>, starts array<int>, lines array<int>").filter(F.size("names") > 0)
-    light = written(light.withColumn("row", F.monotonically_increasing_id()), "pass-light")
-    blocks = light.select("row", F.explode(F.arrays_zip("names", "starts", "lines")).alias("e")).select("row", F.col("e.names").alias("name"), F.col("e.starts").alias("at"), F.col("e.lines").alias("line"))
-    names = written(blocks.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "pass-names")
-    total = names.agg(F.sum("n")).first()[0] or 0
-    hits = hot_safe_join(blocks, names.withColumn("places", F.col("n")), ["name"], "n", total, "inner")
-    hits = written(hits.join(light.select("row", "doc_id", "row_key"), "row"), "pass-hits")
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "at", "line")
-    keep = written(hits.groupBy("name").agg(F.min(place).alias("keep"), F.count("*").alias("n")), "pass-keep")
-    met = hot_safe_join(hits, keep, ["name"], "n", total, "inner").withColumn("shift", F.col("at") - F.col("keep.at"))
-    alike = W.partitionBy("row", "keep.row_key", "shift").orderBy("at")
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    keys = rows.select("text").mapInArrow(_keys(similarity), "key long, name long").repartition("key")
+    shared = keys.groupBy("key", "name").agg(F.count("*").alias("times")).withColumn("n", F.count("*").over(W.partitionBy("key")))
+    shared = written(shared.filter("n > 1 or times > 1"), "para-shared")
+    # buckets of the same names, whatever their band, are one
+    sign = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("x"), F.sum(F.shiftright(F.xxhash64("name", F.lit(1)), 20)).alias("y"), F.min("name").alias("a"), F.max("name").alias("b")]
+    buckets = shared.filter("n > 1").groupBy("key").agg(*sign).groupBy("n", "x", "y", "a", "b").agg(F.min("key").alias("key"))
+    near = written(shared.filter("n > 1").join(buckets.select("key"), "key", "left_semi").select("key", "name", "n"), "para-near")
+    filters = spark.sparkContext.broadcast((name_filter(shared.select("name").distinct()), name_filter(near.select("name").distinct())))
+    found = rows.mapInArrow(_places(filters), f"doc_id {kind}, row_key string, kind byte, line int, at int, n_words int, name long, shingles array<long>")
+    found = written(found, "para-places")
+    sets = found.filter("kind is null").groupBy("name").agg(F.first("shingles").alias("shingles"))
+    parts = connected_components(similar(near, sets, similarity, crowded)).withColumnRenamed("node", "name")
+
+    places = found.filter("kind is not null").drop("shingles")
+    named = places.groupBy("name").agg(F.count("*").alias("n")).join(parts, "name", "left").withColumn("part", F.coalesce("component", "name"))
+    named = written(named.select("name", "part", "n"), "para-parts")
+    classes = named.groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1").select("part")
+    named = named.join(classes, "part", "left_semi")
+    total = places.count()
+    met = hot_safe_join(places, written(named, "para-named"), ["name"], "n", total, "inner")
+    before = F.lag("at").over(W.partitionBy("part", "row_key", "kind").orderBy("at"))
+    met = written(met.withColumn("before", before).filter(f"kind = {LINE} or before is null or at - before >= {PASSAGE}").drop("before"), "para-met")
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "at", "line")
+    classes = met.groupBy("part").agg(F.min(at).alias("keep"), F.count("*").alias("class_size")).filter("class_size > 1").withColumn("n", F.col("class_size"))
+    met = hot_safe_join(met, written(classes, "para-classes"), ["part"], "n", total, "inner")
+    kept = (F.col("row_key") == F.col("keep.row_key")) & (F.col("at") == F.col("keep.at"))
+    shown = ["doc_id", "row_key", F.col("line").alias("paragraph")]
+    lines = met.filter(f"kind = {LINE}").select(*shown, F.lit(None).cast("int").alias("first_word"), "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_paragraph"), F.lit(None).cast("int").alias("keep_first_word"), kept.alias("kept"), "class_size")
+    return lines.unionByName(runs(met.filter(f"kind = {RUN}")))
+
+
+def runs(blocks: DataFrame) -> DataFrame:
+    """Blocks of one text that lie alike in one kept text, at most STARTS words apart, as one row."""
+    met = blocks.withColumn("shift", F.col("at") - F.col("keep.at"))
+    alike = W.partitionBy("row_key", "keep.row_key", "shift").orderBy("at")
     met = met.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(alike) > STARTS, F.lit(True)).cast("int"))
     met = met.withColumn("run", F.sum("new").over(alike))
-    out = met.groupBy("row", F.col("keep.row_key").alias("keep_row"), "shift", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.min("line").alias("paragraph"), F.min("at").alias("first_word"), (F.max("at") - F.min("at") + PASSAGE).alias("n_words"),
-        F.first("keep.doc_id").alias("keep_doc_id"), F.min("keep.line").alias("keep_paragraph"), F.min("keep.at").alias("keep_first_word"), F.max("places").alias("class_size"),
+    out = met.groupBy("row_key", F.col("keep.row_key").alias("keep_row"), "shift", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("line").alias("paragraph"), F.min("at").alias("first_word"), (F.max("at") - F.min("at") + PASSAGE).alias("n_words"),
+        F.first("keep.doc_id").alias("keep_doc_id"), F.min("keep.line").alias("keep_paragraph"), F.min("keep.at").alias("keep_first_word"), F.max("class_size").alias("class_size"),
     )
     kept = (F.col("row_key") == F.col("keep_row")) & (F.col("shift") == 0)
     return out.select("doc_id", "row_key", "paragraph", "first_word", "n_words", "keep_doc_id", "keep_paragraph", "keep_first_word", kept.alias("kept"), "class_size")
@@ -300,5 +504,4 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that repeat (``first_word`` is null) and runs of words that repeat across line breaks or inside lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repeats(docs).unionByName(passages(docs), allowMissingColumns=True).drop("row_key")
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
