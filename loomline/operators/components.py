@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, shared_dir
+from .skew import hot_safe_join
 
-#: A node's rows are dealt over so many tasks in the joins of a star step.
-SALTS = 16
+#: Up to so many distinct edges (a few MB of numbers) are joined in one task; more in distributed star steps.
+FEW_EDGES = 500_000
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Rows (u, v, m): m is the smallest node among u and its v. Rows of one u are salted, its minimum is not."""
-    low = edges.groupBy("u").agg(F.min("v").alias("v_low")).select("u", F.least("u", "v_low").alias("m"))
-    low = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(low, ["u", "salt"]).select("u", "v", "m")
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v, m): m is the smallest node among u and its v. A node with much of the edges is no hot key."""
+    low = edges.groupBy("u").agg(F.min("v").alias("v_low"), F.count("*").alias("n")).select("u", F.least("u", "v_low").alias("m"), "n")
+    return hot_safe_join(edges, low, ["u"], "n", total, "inner")
 
 
-def connected_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
+def labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node of each one's component, by passing minima on and jumping pointers."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        for end in (low[a], low[b]):  # whole trees move, not the node alone
+            np.minimum.at(new, end, least)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[low]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def connected_components(edges: DataFrame, max_steps: int = 100, few: int = FEW_EDGES) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges`` has columns ``src`` and ``dst`` of one orderable type; loops, repeats, both directions and rows with
     a null are allowed and add nothing. Returns ``node, component`` with the smallest node of each component, for
     nodes that have an edge to another node; an empty input gives an empty result.
 
-    Each step takes two shuffles of at most the edges there are and is written to the shared folder, so lineage
-    stays short; a node's edges are pre-aggregated to a minimum and salted where they are joined with it.
+    Up to ``few`` distinct edges are joined in one task; the result is the same. With more, each step takes two
+    shuffles of at most the edges there are and is written to the shared folder, so lineage stays short; a node's
+    edges are pre-aggregated to a minimum, and those of nodes with many are joined with it where they are.
     """
     spark = edges.sparkSession
     clean = edges.filter("src is not null and dst is not null and src <> dst")
@@ -35,11 +55,20 @@ def connected_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     path = shared_dir(spark, "components")
     now.write.parquet(path)
     now = spark.read.schema(now.schema).parquet(path)
+    total = now.count()
+    if total <= few:
+        kind = now.schema["u"].dataType.simpleString()
+
+        def local(pdf: pd.DataFrame) -> pd.DataFrame:
+            nodes, low = labels(pdf["u"].to_numpy(), pdf["v"].to_numpy())
+            return pd.DataFrame({"node": nodes, "component": low})
+
+        return now.groupBy(F.lit(0).alias("one")).applyInPandas(local, f"node {kind}, component {kind}")
     before = None
     for _ in range(max_steps):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large)
+        large = _star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _star(large, 2 * total)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         new = shared_dir(spark, "components")
         small.write.parquet(new)
@@ -49,7 +78,7 @@ def connected_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_steps} steps")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,6 +1,8 @@
 import random
 
-from loomline.operators.components import connected_components
+import numpy as np
+
+from loomline.operators.components import FEW_EDGES, connected_components, labels
 from loomline.operators.skew import hot_safe_join
 
 
@@ -28,15 +30,26 @@ def test_components_match_union_find(spark):
         [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(None, 3), (4, None)],
     ]
     for edges in cases:
-        got = connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
-        assert {x.node: x.component for x in got} == brute(edges)
-        assert len(got) == len(brute(edges))
+        for few in (FEW_EDGES, 0):
+            got = connected_components(spark.createDataFrame(edges, "src long, dst long"), few=few).collect()
+            assert {x.node: x.component for x in got} == brute(edges)
+            assert len(got) == len(brute(edges))
+
+
+def test_labels_in_one_task_match_union_find():
+    r = random.Random(4)
+    for n in (1, 5, 60, 400):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(n)] + [(i, i + 1) for i in range(0, n, 3)]
+        nodes, low = labels(*map(np.array, zip(*edges, strict=True)))
+        want = brute(edges)
+        assert all(want.get(a, a) == b for a, b in zip(nodes.tolist(), low.tolist(), strict=True))
 
 
 def test_components_of_nothing_and_of_strings(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
-    got = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")).collect()
-    assert {x.node: x.component for x in got} == {"a": "a", "b": "a", "c": "a"}
+    for few in (FEW_EDGES, 0):
+        got = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string"), few=few).collect()
+        assert {x.node: x.component for x in got} == {"a": "a", "b": "a", "c": "a"}
 
 
 def test_hot_safe_join_equals_a_join(spark):
