@@ -32,11 +32,13 @@ SIMILARITY, SHINGLE = 0.8, 5
 #: Chance that a pair at SIMILARITY collides. A near copy of a passage shares several blocks, of which one must meet.
 LINE_RECALL, BLOCK_RECALL = 0.995, 0.9
 #: Pairs at half of SIMILARITY may collide with this chance; it costs comparisons, not results.
-LOOSE = 0.25
+LOOSE = 0.45
 #: Words of a block, and starts among which the least hash is one: a run of PASSAGE + STARTS - 1 = 51 words holds a block.
 PASSAGE, STARTS = 24, 28
 #: Buckets of more paragraphs are not compared at once, and of a larger one so many on each side.
 CROWDED, BLOCK = 400, 400
+#: Up to so many names that are linked to others (16 MB) are broadcast.
+FEW_PARTS = 1_000_000
 #: The filters of names have 2 ** FILTER_BITS bits (32 MB) at most.
 FILTER_BITS = 28
 #: Texts are worked on together up to so many bytes; a longer text alone, cut between words for hashing.
@@ -189,10 +191,15 @@ class Stream:
         offset = np.concatenate([[0], np.cumsum(size)[:-1]])
         return which, mh.keys(lambda a, b: np.minimum.reduceat(sets * a + b, offset))
 
-    def block_keys(self, mh: MinHash) -> np.ndarray:
+    def block_keys(self, mh: MinHash) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of blocks, and which of them say anything new: a block overlaps the one before, and shares keys with it."""
         if not len(self.at):
-            return np.zeros((0, mh.bands), np.int64)
-        return mh.keys(lambda a, b: slide_min(self.shingle * a + b, PASSAGE - SHINGLE + 1)[self.at])
+            return np.zeros((0, mh.bands), np.int64), np.zeros((0, mh.bands), bool)
+        keys = mh.keys(lambda a, b: slide_min(self.shingle * a + b, PASSAGE - SHINGLE + 1)[self.at])
+        new = np.ones(keys.shape, bool)
+        apart = (np.diff(self.at) >= PASSAGE) | (np.diff(self.doc[self.at]) != 0)
+        new[1:] = apart[:, None] | (keys[1:] != keys[:-1])
+        return keys, new
 
     def line_set(self, i: int) -> np.ndarray:
         return np.unique(self.shingle[self.begin[i] : self.end[i] - (SHINGLE - 1)])
@@ -243,32 +250,35 @@ def streams(column: pa.Array) -> Iterator[tuple[int, Stream]]:
 
 def _keys(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``key, name``: all keys of a paragraph the first time a task meets it, one of them the second time."""
+        """``key, name``: a paragraph's name as its own key and its band keys the first time a task meets it, its name again
+        the second time."""
         by_line, by_block = MinHash(similarity, LINE_RECALL, 1), MinHash(similarity, BLOCK_RECALL, 2)
         once: set[int] = set()
         twice: set[int] = set()
 
         def fresh(names: list[int]) -> tuple[list[int], list[int]]:
-            all_of, one_of = [], []
+            first, second = [], []
             for i, x in enumerate(names):
                 if x not in once:
                     once.add(x)
-                    all_of.append(i)
+                    first.append(i)
                 elif x not in twice:
                     twice.add(x)
-                    one_of.append(i)
-            return all_of, one_of
+                    second.append(i)
+            return first, second
 
         for batch in batches:
             key, name = [], []
             for _, s in streams(batch.column(0)):
                 which, keys = s.line_keys(by_line)
                 short = np.setdiff1d(np.arange(len(s.begin)), which)
-                for names, k in ((s.line_name[which], keys), (s.block_name, s.block_keys(by_block)), (s.line_name[short], mixed(s.line_name[short] + np.uint64(7)).view(np.int64)[:, None])):
+                none = np.zeros((len(short), 0), np.int64)
+                for names, k, new in ((s.line_name[which], keys, np.ones(keys.shape, bool)), (s.block_name, *s.block_keys(by_block)), (s.line_name[short], none, none.astype(bool))):
                     names = names.view(np.int64)
-                    all_of, one_of = fresh(names.tolist())
-                    key += [k[all_of].reshape(-1), k[one_of, 0]]
-                    name += [np.repeat(names[all_of], k.shape[1]), names[one_of]]
+                    first, second = fresh(names.tolist())
+                    new = new[first]
+                    key += [names[first], names[second], k[first][new]]
+                    name += [names[first], names[second], np.repeat(names[first], new.sum(axis=1))]
                 if len(once) > REMEMBERED:
                     once, twice = set(), set()
             if key:
@@ -303,7 +313,7 @@ def _places(filters):
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             sets, of = [], []
-            for first, s in streams(batch.column(2)):
+            for first, s in streams(batch.column(3)):
                 lines, blocks = np.flatnonzero(passes(s.line_name, every)), np.flatnonzero(passes(s.block_name, every))
                 for kind, at, size, name in ((LINE, s.begin[lines], (s.end - s.begin)[lines], s.line_name[lines]), (RUN, s.at[blocks], np.full(len(blocks), PASSAGE), s.block_name[blocks])):
                     doc = s.doc[at]
@@ -322,19 +332,23 @@ def _places(filters):
             doc, kind, line, at, size, name = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
             take = pa.array(doc, pa.int64())
             none = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.int8()), pa.array(line, pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none(len(doc), pa.list_(pa.int64()))], PLACE)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in range(3)], pa.array(kind, pa.int8()), pa.array(line, pa.int32()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int64()), none(len(doc), pa.list_(pa.int64()))], PLACE)
             if of:
-                k = len(of)
-                yield pa.RecordBatch.from_arrays([none(k, batch.column(0).type), none(k, batch.column(1).type), none(k, pa.int8()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int32()), pa.array(np.array(of, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], PLACE)
+                k, flat = len(of), pa.array(np.concatenate(sets))
+                sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*[none(k, batch.column(c).type) for c in range(3)], none(k, pa.int8()), none(k, pa.int32()), none(k, pa.int32()), none(k, pa.int32()), pa.array(np.array(of, np.uint64).view(np.int64)), sets], PLACE)
 
     return run
 
 
-PLACE = ["doc_id", "row_key", "kind", "line", "at", "n_words", "name", "shingles"]
+PLACE = ["doc_id", "row", "row_key", "kind", "line", "at", "n_words", "name", "shingles"]
 
 
 def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the first ``first`` members and from them to the others."""
+    """Edges that join what the links among the first ``first`` members and from them to the others join.
+
+    Each edge leads to the least member of its tree, so that buckets that share members give the same edges.
+    """
     if len(names) == 2:
         common = len(set(sets[0].tolist()).intersection(sets[1].tolist()))
         return [(names[0], names[1])] if first and common >= similarity * (len(sets[0]) + len(sets[1]) - common) - 1e-9 else []
@@ -352,16 +366,14 @@ def forest(names: list[int], sets: list[np.ndarray], first: int, similarity: flo
     starts = np.concatenate([[0], np.cumsum(np.bincount(inv, minlength=len(values)))])
     sizes = np.array([len(s) for s in sets])
     place = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
     for i in range(first):
         mine = inv[place[i] : place[i + 1]]
         common = np.bincount(np.concatenate([by_value[starts[v] : starts[v + 1]] for v in mine]), minlength=len(sets))
         for j in np.flatnonzero(common >= similarity * (sizes + sizes[i] - common) - 1e-9).tolist():
             a, b = root(i), root(j)
             if a != b:
-                parent[a] = b
-                out.append((names[i], names[j]))
-    return out
+                parent[max(a, b, key=names.__getitem__)] = min(a, b, key=names.__getitem__)
+    return [(names[r], names[i]) for i in range(len(names)) if (r := root(i)) != i]
 
 
 def _forests(similarity: float):
@@ -438,9 +450,9 @@ def similar(near: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, cr
     return links.unionByName(grouped_links(outside.unionByName(others), similarity))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowded: int = CROWDED, with_rows: bool = True) -> DataFrame:
     """Paragraphs that repeat: ``doc_id, row_key, paragraph, first_word, n_words, keep_doc_id, keep_paragraph,
-    keep_first_word, kept, class_size``, a row per line or run.
+    keep_first_word, kept, class_size``, a row per line or run. ``with_rows=False`` leaves ``row_key`` null.
 
     Lines hold a word between ASCII blanks; A-Z are lower-cased and blanks collapsed for the comparison; their
     ``first_word`` is null. Lines of fewer than SHINGLE words are one shingle, so they repeat by exact text only.
@@ -448,60 +460,68 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     Runs are blocks that follow each other alike in the same kept text; ``first_word`` is the first's place among
     the words of the text, ``paragraph`` the line it starts in, ``class_size`` the places of its commonest block.
     Every run of PASSAGE + STARTS - 1 = 51 words that occurs twice word by word is found, its row up to STARTS - 1 words
-    short at either end; shorter and edited ones by chance. A place that overlaps an earlier one of its class in the
-    same text is left out: a word repeated on end is no passage.
+    short at either end; shorter and edited ones by chance. A block that overlaps the place it would repeat is left
+    out; a word repeated on end repeats itself beyond that.
 
     Of each class the place of the smallest id (null last), then row and position, is kept; the others can be removed.
     Null and empty texts have no paragraph; repeated rows repeat their paragraphs; other columns are not read; an
     empty table gives an empty result. Names are 64-bit hashes. Working on a text takes some 100 bytes a word of it.
     """
-    rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row_key"), F.col(text_col).alias("text"))
+    rows = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.col("__row") if with_rows else F.lit(None).cast("string")).alias("row_key"), F.col(text_col).alias("text"))
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     keys = rows.select("text").mapInArrow(_keys(similarity), "key long, name long").repartition("key")
     shared = keys.groupBy("key", "name").agg(F.count("*").alias("times")).withColumn("n", F.count("*").over(W.partitionBy("key")))
-    shared = written(shared.filter("n > 1 or times > 1"), "para-shared")
+    shared = written(shared.filter("n > 1 or (times > 1 and key = name)"), "para-shared")
     # buckets of the same names, whatever their band, are one
     sign = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("x"), F.sum(F.shiftright(F.xxhash64("name", F.lit(1)), 20)).alias("y"), F.min("name").alias("a"), F.max("name").alias("b")]
     buckets = shared.filter("n > 1").groupBy("key").agg(*sign).groupBy("n", "x", "y", "a", "b").agg(F.min("key").alias("key"))
     near = written(shared.filter("n > 1").join(buckets.select("key"), "key", "left_semi").select("key", "name", "n"), "para-near")
     filters = spark.sparkContext.broadcast((name_filter(shared.select("name").distinct()), name_filter(near.select("name").distinct())))
-    found = rows.mapInArrow(_places(filters), f"doc_id {kind}, row_key string, kind byte, line int, at int, n_words int, name long, shingles array<long>")
+    # the places are written once, so the row numbers of that one job name their rows
+    found = rows.mapInArrow(_places(filters), f"doc_id {kind}, row long, row_key string, kind byte, line int, at int, n_words int, name long, shingles array<long>")
     found = written(found, "para-places")
     sets = found.filter("kind is null").groupBy("name").agg(F.first("shingles").alias("shingles"))
-    parts = connected_components(similar(near, sets, similarity, crowded)).withColumnRenamed("node", "name")
+    parts = written(connected_components(similar(near, sets, similarity, crowded)).withColumnRenamed("node", "name"), "para-parts")
 
     places = found.filter("kind is not null").drop("shingles")
-    named = places.groupBy("name").agg(F.count("*").alias("n")).join(parts, "name", "left").withColumn("part", F.coalesce("component", "name"))
-    named = written(named.select("name", "part", "n"), "para-parts")
-    classes = named.groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1").select("part")
-    named = named.join(classes, "part", "left_semi")
     total = places.count()
-    met = hot_safe_join(places, written(named, "para-named"), ["name"], "n", total, "inner")
-    before = F.lag("at").over(W.partitionBy("part", "row_key", "kind").orderBy("at"))
-    met = written(met.withColumn("before", before).filter(f"kind = {LINE} or before is null or at - before >= {PASSAGE}").drop("before"), "para-met")
-    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key", "at", "line")
-    classes = met.groupBy("part").agg(F.min(at).alias("keep"), F.count("*").alias("class_size")).filter("class_size > 1").withColumn("n", F.col("class_size"))
+    if parts.limit(FEW_PARTS + 1).count() <= FEW_PARTS:
+        met = places.join(F.broadcast(parts), "name", "left")
+    else:
+        linked = places.groupBy("name").agg(F.count("*").alias("n"))
+        met = hot_safe_join(places, written(parts.join(linked, "name"), "para-linked"), ["name"], "n", total, "left")
+    met = written(met.select("*", F.coalesce("component", "name").alias("part")).drop("component", "name"), "para-met")
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at", "line")
+    classes = met.groupBy("part").agg(F.min(at).alias("keep"), F.count("*").alias("class_size"), F.max("row").alias("last"), F.max("at").alias("far"), F.min("at").alias("near"), F.max("kind").alias("k"))
+    lone = (F.col("k") == RUN) & (F.col("keep.row") == F.col("last")) & (F.col("far") - F.col("near") < PASSAGE)
+    classes = classes.filter((F.col("class_size") > 1) & ~lone).select("part", "keep", "class_size", F.col("class_size").alias("n"))
     met = hot_safe_join(met, written(classes, "para-classes"), ["part"], "n", total, "inner")
-    kept = (F.col("row_key") == F.col("keep.row_key")) & (F.col("at") == F.col("keep.at"))
-    shown = ["doc_id", "row_key", F.col("line").alias("paragraph")]
-    lines = met.filter(f"kind = {LINE}").select(*shown, F.lit(None).cast("int").alias("first_word"), "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_paragraph"), F.lit(None).cast("int").alias("keep_first_word"), kept.alias("kept"), "class_size")
+    same, off = F.col("row") == F.col("keep.row"), F.col("at") - F.col("keep.at")
+    met = met.filter(~(same & (F.col("kind") == RUN) & (off != 0) & (F.abs(off) < PASSAGE)))
+    lines = met.filter(f"kind = {LINE}").select("doc_id", "row_key", F.col("line").alias("paragraph"), F.lit(None).cast("int").alias("first_word"), "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_paragraph"), F.lit(None).cast("int").alias("keep_first_word"), (same & (off == 0)).alias("kept"), "class_size")
     return lines.unionByName(runs(met.filter(f"kind = {RUN}")))
 
 
 def runs(blocks: DataFrame) -> DataFrame:
-    """Blocks of one text that lie alike in one kept text, at most STARTS words apart, as one row."""
-    met = blocks.withColumn("shift", F.col("at") - F.col("keep.at"))
-    alike = W.partitionBy("row_key", "keep.row_key", "shift").orderBy("at")
-    met = met.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(alike) > STARTS, F.lit(True)).cast("int"))
-    met = met.withColumn("run", F.sum("new").over(alike))
-    out = met.groupBy("row_key", F.col("keep.row_key").alias("keep_row"), "shift", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("line").alias("paragraph"), F.min("at").alias("first_word"), (F.max("at") - F.min("at") + PASSAGE).alias("n_words"),
-        F.first("keep.doc_id").alias("keep_doc_id"), F.min("keep.line").alias("keep_paragraph"), F.min("keep.at").alias("keep_first_word"), F.max("class_size").alias("class_size"),
+    """Blocks of one text that lie alike in one kept text, at most STARTS words apart, as one row.
+
+    Of blocks of one class that overlap in a text the first stands for the others.
+    """
+    b = blocks.select("row", "part", "doc_id", "row_key", "line", "at", "class_size", F.col("keep.row").alias("keep_row"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.at").alias("keep_at"))
+    b = b.withColumn("shift", F.col("at") - F.col("keep_at")).repartition("row", "keep_row")  # serves all that follows
+    before = F.col("at") - F.lag("at").over(W.partitionBy("row", "keep_row", "part").orderBy("at"))
+    b = b.withColumn("before", before).filter(F.coalesce(F.col("before") >= PASSAGE, F.lit(True))).drop("before", "part")
+    alike = W.partitionBy("row", "keep_row", "shift").orderBy("at")
+    b = b.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(alike) > STARTS, F.lit(True)).cast("int"))
+    b = b.withColumn("run", F.sum("new").over(alike))
+    out = b.groupBy("row", "keep_row", "shift", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.min("line").alias("paragraph"), F.min("at").alias("first_word"), (F.max("at") - F.min("at") + PASSAGE).alias("n_words"),
+        F.first("keep_doc_id").alias("keep_doc_id"), F.min("keep_line").alias("keep_paragraph"), F.min("keep_at").alias("keep_first_word"), F.max("class_size").alias("class_size"),
     )
-    kept = (F.col("row_key") == F.col("keep_row")) & (F.col("shift") == 0)
+    kept = (F.col("row") == F.col("keep_row")) & (F.col("shift") == 0)
     return out.select("doc_id", "row_key", "paragraph", "first_word", "n_words", "keep_doc_id", "keep_paragraph", "keep_first_word", kept.alias("kept"), "class_size")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that repeat (``first_word`` is null) and runs of words that repeat across line breaks or inside lines."""
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_rows=False).drop("row_key")
