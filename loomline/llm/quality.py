@@ -184,8 +184,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensemble:
     """Fit on the texts of ``docs`` that ``labels`` (``doc_id, quality``) marks and are not held out, at most ``fit_rows``."""
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
-    few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("x")).toArrow()
+    first = [F.xxhash64("doc_id"), "doc_id", "y"]
+    few = usable.orderBy(*first).limit(fit_rows)
+    # where an id repeats, each of its rows meets each of its labels; the bound holds for the pairs
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(*first, F.xxhash64("text")).limit(fit_rows)
+    rows = sample.select("doc_id", "y", statistics(F.col("text")).alias("x")).toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
     return fit(NAMES, x[order], rows["y"].to_numpy()[order])

@@ -1,9 +1,9 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over words and their beginnings, each at three levels: found at least once, twice, three times.
-For every labelled text that names a group, copies with the identity
-terms swapped for others of their kind are made, and the fit penalises squared differences of
-the scores' logits between text and copy. So a word that merely names a group gains no weight from the company it keeps in the sample.
+For every labelled text that names a group, copies with the identity terms swapped for others of their kind and
+language are made, and the fit penalises squared differences of the scores' logits between text and copy. So a word
+that merely names a group gains no weight from the company it keeps in the sample.
 """
 
 from __future__ import annotations
@@ -25,25 +25,64 @@ BUCKETS = 1 << 20
 #: A word stands for itself and for its first so many characters; counts above LEVELS are alike.
 PREFIXES, LEVELS = (3, 4, 5, 6, 7), 3
 THRESHOLD = 0.7
-#: Features enter the model if their log odds stand out by so many standard errors.
+#: Parameters of the model, not of the data: features enter if their log odds in the sample stand out by so many standard
+#: errors, and of those at most the first MOST_WORDS, so that the dense fit has a bounded size.
 LEAST_Z, MOST_WORDS = 5.0, 1024
-#: Terms of a kind stand in for one another.
+#: Terms of a kind and language stand in for one another (lower case, words between letters).
 IDENTITY = {
-    "gender": ("woman", "man", "women", "men", "female", "male", "girl", "boy", "transgender", "nonbinary"),
-    "religion": ("christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic"),
-    "origin": ("african", "asian", "european", "american", "mexican", "arab", "indian", "chinese", "german", "french", "spanish", "turkish", "polish"),
-    "orientation": ("gay", "lesbian", "straight", "bisexual", "queer"),
-    "colour": ("black", "white", "brown"),
-    "ability": ("blind", "deaf", "disabled", "autistic"),
-    "age": ("old", "young", "elderly"),
+    "gender en": "woman man women men female male girl boy girls boys transgender nonbinary",
+    "gender de": "frau mann frauen männer mädchen junge jungen weiblich männlich",
+    "gender fr": "femme homme femmes hommes fille garçon filles garçons",
+    "gender es": "mujer hombre mujeres hombres niña niño niñas niños",
+    "religion en": "christian muslim jewish hindu buddhist sikh atheist catholic",
+    "religions en": "christians muslims jews hindus buddhists sikhs atheists catholics",
+    "religion de": "christen muslime juden hindus buddhisten atheisten katholiken",
+    "religion fr": "chrétiens musulmans juifs hindous bouddhistes athées catholiques",
+    "religion es": "cristianos musulmanes judíos hindúes budistas ateos católicos",
+    "origin en": "african asian european american mexican arab indian chinese german french spanish turkish polish",
+    "origins en": "africans asians europeans americans mexicans arabs indians germans turks poles",
+    "origin de": "afrikaner asiaten europäer amerikaner mexikaner araber inder chinesen deutsche türken polen",
+    "origin fr": "africains asiatiques européens américains mexicains arabes indiens chinois allemands turcs polonais",
+    "origin es": "africanos asiáticos europeos americanos mexicanos árabes indios chinos alemanes turcos polacos",
+    "orientation en": "gay lesbian straight bisexual queer",
+    "orientations en": "gays lesbians heterosexuals bisexuals queers",
+    "orientation de": "schwule lesben heterosexuelle bisexuelle",
+    "orientation fr": "gays lesbiennes hétérosexuels bisexuels",
+    "orientation es": "gays lesbianas heterosexuales bisexuales",
+    "colour en": "black white brown",
+    "colour de": "schwarze weiße braune",
+    "colour fr": "noirs blancs métis",
+    "colour es": "negros blancos mestizos",
+    "ability en": "blind deaf disabled autistic",
+    "ability de": "blinde taube behinderte autisten",
+    "ability fr": "aveugles sourds handicapés autistes",
+    "ability es": "ciegos sordos discapacitados autistas",
+    "age en": "old young elderly",
+    "age de": "alte junge ältere",
+    "age fr": "vieux jeunes aînés",
+    "age es": "viejos jóvenes ancianos",
 }
-SWAPS = {w.encode(): [x.encode() for x in group if x != w] for group in IDENTITY.values() for w in group}
+#: Weight of the squared logit changes under swaps, against a log loss summed over labelled texts.
+FAIRNESS = 4.0
 #: Copies of a labelled text with other identity terms.
 COPIES = 3
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
 
 
+def swaps_of(groups: dict[str, str]) -> dict[bytes, list[bytes]]:
+    """For each term the others of its groups."""
+    out: dict[bytes, dict[bytes, None]] = {}
+    for terms in groups.values():
+        listed = [t.encode() for t in terms.split()]
+        for t in listed:
+            out.setdefault(t, {}).update(dict.fromkeys(x for x in listed if x != t))
+    return {t: list(others) for t, others in out.items() if others}
+
+
+SWAPS = swaps_of(IDENTITY)
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of letters (ASCII ones lower-cased), apostrophes and non-ASCII characters."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
@@ -65,29 +104,38 @@ def leveled(counts: Counter[bytes]) -> list[int]:
     return sorted(LEVELS * j + i for j, n in total.items() for i in range(min(n, LEVELS)))
 
 
-def features(text: str | None) -> tuple[list[int], list[list[int]]]:
+def features(text: str | None, swaps: dict[bytes, list[bytes]] = SWAPS) -> tuple[list[int], list[list[int]]]:
     """Features of a text, and those of its counterfactual copies (none if it names no group)."""
     bag = Counter(words(text))
-    named = sorted(bag.keys() & SWAPS.keys())
+    named = sorted(bag.keys() & swaps.keys())
     copies = []
     for i in range(COPIES if named else 0):
-        other = Counter({w: n for w, n in bag.items() if w not in SWAPS})
+        other = Counter({w: n for w, n in bag.items() if w not in swaps})
         for w in named:
-            other[SWAPS[w][(zlib.crc32(w) + i) % len(SWAPS[w])]] += bag[w]
+            other[swaps[w][(zlib.crc32(w) + i) % len(swaps[w])]] += bag[w]
         copies.append(leveled(other))
     return leveled(bag), copies
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        both = [features(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.list_(pa.int32())))], ["y", "here", "copies"])
+def _features(swaps: dict[bytes, list[bytes]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [features(t.as_py(), swaps) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.list_(pa.int32())))], ["y", "here", "copies"])
+
+    return run
 
 
 @dataclass
 class Model:
     bias: float
     weights: dict[int, float]
+    #: Labelled texts that name a group, and so took part in the penalty.
+    swapped: int = 0
+
+    def logit(self, here: list[int]) -> float:
+        """The logit of a text with these features."""
+        return self.bias + sum(self.weights.get(j, 0.0) for j in here)
 
 
 def _matrix(rows: list, place: dict[int, int]) -> np.ndarray:
@@ -97,7 +145,7 @@ def _matrix(rows: list, place: dict[int, int]) -> np.ndarray:
     return x
 
 
-def fit(y: np.ndarray, here: list, copies: list, ridge: float = 1.0, fairness: float = 4.0, steps: int = 25) -> Model:
+def fit(y: np.ndarray, here: list, copies: list, ridge: float = 1.0, fairness: float = FAIRNESS, steps: int = 25) -> Model:
     """Newton steps on log loss + ridge * |w|^2 / 2 + fairness / 2 * sum of squared logit changes between text and copies."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
@@ -128,20 +176,24 @@ def fit(y: np.ndarray, here: list, copies: list, ridge: float = 1.0, fairness: f
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
-    return Model(float(w[-1]), {j: float(w[i]) for j, i in place.items()})
+    return Model(float(w[-1]), {j: float(w[i]) for j, i in place.items()}, sum(len(c) > 0 for c in copies))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks, not held out, at most ``fit_rows``."""
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, groups: dict[str, str] = IDENTITY, fairness: float = FAIRNESS) -> Model:
+    """Fit on the texts of ``docs`` that ``labels`` (``doc_id, toxic``) marks, not held out, at most ``fit_rows``.
+
+    Where an id repeats, each of its rows meets each of its labels; the bound holds for the pairs.
+    """
     usable = labels.select("doc_id", F.col("toxic").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
-    few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text")
-    rows = sample.mapInArrow(_features, "y double, here array<int>, copies array<array<int>>").toArrow()
-    return fit(rows["y"].to_numpy(), [x.values.to_numpy() for x in rows["here"]], [x.as_py() for x in rows["copies"]])
+    first = [F.xxhash64("doc_id"), "doc_id", "y"]
+    few = usable.orderBy(*first).limit(fit_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(*first, F.xxhash64("text")).limit(fit_rows).select("y", "text")
+    rows = sample.mapInArrow(_features(swaps_of(groups)), "y double, here array<int>, copies array<array<int>>").toArrow()
+    return fit(rows["y"].to_numpy(), [x.values.to_numpy() for x in rows["here"]], [x.as_py() for x in rows["copies"]], fairness=fairness)
 
 
 def _score(model: Model):
@@ -171,14 +223,16 @@ def _score(model: Model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, groups: dict[str, str] = IDENTITY, fairness: float = FAIRNESS) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text``): ``doc_id, held_out, score, predicted``.
 
-    Learns from ``labels`` of rows that are not held out, at most ``fit_rows`` of them; scores whole texts. Null and
-    empty texts get the model's bias. A null id is not held out and has no label. Repeated rows stay. Without labels
-    the score is 0.5; an empty table gives an empty result. Other columns are no inputs of the score.
+    Learns from ``labels`` of rows that are not held out, at most ``fit_rows`` of them; scores whole texts. ``groups``
+    are the terms that stand in for one another and ``fairness`` the weight of their penalty, which is on logits, not
+    on scores; texts that name no group are not touched by it. Null and empty texts get the model's bias. A null id is
+    not held out and has no label. Repeated rows stay. Without labels the score is 0.5; an empty table gives an empty
+    result. Other columns, whatever their names, are no inputs of the score.
     """
-    model = train(docs, labels, fit_rows)
+    model = train(docs, labels, fit_rows, groups, fairness)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -69,6 +69,63 @@ def test_toxicity_scores_whole_texts(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def named_rows():
+    """Toxic texts that often name one group, and clean ones that seldom do: a sample whose company misleads."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = [f"w{int(x)}" for x in r.integers(0, 300, 20)] + (["nasty"] * int(r.integers(1, 3)) if toxic and r.random() < 0.8 else [])
+        if r.random() < (0.9 if toxic else 0.02):
+            w.append(["muslims", "Musulmans"][i % 2])
+        rows.append((i, " ".join(w), int(toxic)))
+    return rows
+
+
+def test_neutral_mentions_are_spared_at_the_shipped_penalty(spark):
+    rows = named_rows()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    r = np.random.default_rng(5)
+    clean = [" ".join(f"w{int(x)}" for x in r.integers(0, 300, 20)) for _ in range(150)]
+    extra = [(2000 + i, t + " muslims", None) for i, t in enumerate(clean)] + [(3000 + i, t + " christians", None) for i, t in enumerate(clean)] + [(4000 + i, t + " nasty nasty muslims", None) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + extra], "doc_id long, text string")
+    wrong, caught, gap = [], [], []
+    for fairness in (0.0, toxicity.FAIRNESS):
+        got = {x.doc_id: x for x in toxicity.toxicity(docs, labels, fairness=fairness).collect()}
+        wrong.append(sum(got[2000 + i].predicted for i in range(150)))
+        caught.append(sum(got[4000 + i].predicted for i in range(150)))
+        gap.append(np.mean([abs(got[2000 + i].score - got[3000 + i].score) for i in range(150)]))
+    assert wrong[0] > 30 and wrong[1] <= wrong[0] / 10
+    assert caught[1] >= 0.9 * 150
+    assert gap[1] < gap[0] / 10
+    model = toxicity.train(docs, labels)
+    assert model.swapped > 100 and toxicity.train(docs, labels, groups={}).swapped == 0
+
+
+def test_scores_are_those_of_the_features(spark):
+    rows = named_rows()[:200]
+    docs = spark.createDataFrame([(i, t, 0.5, "x", 7) for i, t, _ in rows] + [(5, "again nasty", 0.1, "y", 8), (900, None, 0.0, "", 0)], "doc_id long, text string, score double, toxic string, y int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.toxicity(docs, labels).collect()
+    want = [1 / (1 + np.exp(-model.logit(toxicity.features(t)[0]))) for t in [t for _, t, _ in rows] + ["again nasty", None]]
+    assert len(got) == 202 and np.allclose(sorted(x.score for x in got), sorted(want), atol=1e-12)
+
+
+def test_fits_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(2, f"text {i} nasty") for i in range(50)] + [(4, "fine words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 1), (4, 0)], "doc_id long, toxic int")
+    assert [x.score for x in toxicity.toxicity(docs, labels, fit_rows=3).select("score").limit(1).collect()]
+    q = labels.withColumnRenamed("toxic", "quality")
+    assert quality.quality(docs, q, fit_rows=3).count() == 51
+
+
+def test_groups_hold_plurals_and_four_languages():
+    swaps = toxicity.swaps_of(toxicity.IDENTITY)
+    assert b"christians" in swaps[b"muslims"] and "juifs".encode() in swaps[b"musulmans"] and b"juden" in swaps[b"muslime"]
+    assert b"muslims" not in swaps[b"muslims"] and not set(swaps[b"muslime"]) & {b"christians"}
+
+
 @pytest.mark.parametrize("word", ["a", "äöü", "longerword"])
 def test_beginnings_are_cut_by_letters(word):
     assert len(toxicity.buckets(word.encode())) == 1 + sum(len(word) > k for k in toxicity.PREFIXES)
