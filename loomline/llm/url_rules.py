@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
 from ..sources.shared import written
@@ -20,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Up to so many rules are broadcast; more are met in a shuffled join.
 FEW_RULES = 100_000
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]+)"
 TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'>\s;]+)"
@@ -54,16 +55,15 @@ def resolved(link: Column, host: Column, path: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``src, dst`` between addresses: a page's first canonical link and first refresh target."""
+    """Edges ``src, dst`` between addresses: every canonical link and every refresh target of a page."""
     p = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).filter("html is not null")
-    host, path, query = parts(F.col("url"))
-    found = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1),
-    )
-    e = p.select(host.alias("host"), path.alias("path"), query.alias("query"), F.explode(F.filter(found, lambda x: x != "")).alias("link"))
-    h, q, r = parts(resolved(F.col("link"), F.col("host"), F.col("path")))
-    e = e.select(address(F.col("host"), F.col("path"), F.col("query")).alias("src"), address(h, q, r).alias("dst"))
+    links = lambda tag, of: F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda x: F.regexp_extract(x, of, 1))
+    found = F.filter(F.concat(links(CANONICAL, HREF), links(REFRESH, TARGET)), lambda x: x != "")
+    # parts are bound once per row and link (`let`): named again and again they would be cut again each time
+    page = let(F.col("url"), lambda u: F.struct(*[c.alias(n) for c, n in zip(parts(u), ("host", "path", "query"), strict=True)]))
+    e = p.select("url", F.explode(found).alias("link")).select(page.alias("p"), "link")
+    goal = let(resolved(F.col("link"), F.col("p.host"), F.col("p.path")), lambda u: address(*parts(u)))
+    e = e.select(address(F.col("p.host"), F.col("p.path"), F.col("p.query")).alias("src"), goal.alias("dst"))
     return e.filter("src is not null and dst is not null and src <> dst")
 
 
@@ -135,9 +135,9 @@ q AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM p),
 l AS (
-  SELECT host, path, query, replace(unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^"''>\s;]+)', 1)]), '&amp;', '&') AS link
+  SELECT host, path, query, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|canonical\b)[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*[''"]?([^"''>\s;]+)', 1)))), '&amp;', '&') AS link
   FROM q WHERE host <> ''),
 m AS (
   SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || query AS src,

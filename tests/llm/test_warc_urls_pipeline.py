@@ -111,6 +111,109 @@ def test_redirect_classes_carry_blocks_and_allows_win(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_every_link_of_a_page_counts(spark):
+    html = """<LINK href='http://a.test/1' rel='alternate canonical'><link rel=canonical href=//b.test/2><link rel="stylesheet" href="http://c.test/3">
+      <meta http-equiv=refresh content="3; URL='?q=1'"><meta http-equiv="refresh" content="0;url=/x#y">"""
+    pages = spark.createDataFrame([(1, "HTTP://P.test/d/e?z", html), (2, "no", html), (3, "http://q.test", None)], "page_id long, url string, html string")
+    got = {(x.src, x.dst) for x in url_rules.page_edges(pages).collect()}
+    assert got == {("p.test/d/e?z", d) for d in ("a.test/1", "b.test/2", "p.test/d/e?q=1", "p.test/x")}
+
+
+def test_repeated_pages_and_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.test/xy", None)] * 3 + [(None, "http://a.b.test/xy", None)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("block", "b.test", "/xy"), ("allow", "a.b.test", "/"), ("block", "a.b.test", "/x"), ("allow", "a.b.test", "/x")], "decision string, host string, path string")
+    got = url_rules.judge(pages, rules).collect()
+    assert len(got) == 4 and {(x.rule, x.verdict) for x in got} == {("a.b.test/x", "allow")}
+
+
+def test_stages_match_brute_force(spark):
+    import random
+
+    from test_dedup import brute_fingerprint
+
+    from loomline.llm import decontaminate, quality
+
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcdefgh") * r.randrange(1, 5) + r.choice("xyz") for _ in range(n))
+    bench = [text(30), text(13), text(5), None, ""]
+    rows = []
+    for i in range(160):
+        t = text(r.randrange(1, 120))
+        if i % 6 == 0:
+            t += " " + r.choice(bench[:3])
+        if rows and i % 5 == 0:
+            t = r.choice(rows)[1]
+        if i % 9 == 0:
+            t = (t or "").replace(" ", "  ")
+        rows.append((i, t, "en", r.choice(["s", "t", None]), 1))
+    rows += [(None, rows[3][1], None, "s", 2), (7, rows[7][1], "en", "t", 3), (500, None, "en", None, None), (501, " ", "en", "u", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 160, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    short = lambda rows: Counter(x[:2] for x in rows)
+    run = lambda name, rows: [tuple(x) for x in stage[name](spark, spark.createDataFrame(rows, docs.schema), folder).collect()]
+
+    scores = quality.quality(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    assert Counter(x[0] for x in run("quality classifier", rows)) == Counter(x.doc_id for x in scores if x.predicted)
+
+    best = {}
+    for i, x in enumerate(rows):
+        key = "".join((x[1] or "").split())
+        mine = (-len(x[1] or ""), x[0] is None, x[0] or 0, i)
+        best[key] = min(best.get(key, mine), mine)
+    kept = [rows[b[3]] for b in best.values()]
+    assert short(run("exact dedup", rows)) == short(kept)  # of rows that repeat with one id, either stays
+
+    prints = [brute_fingerprint(x[1]) for x in kept]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for i, g in enumerate(group):
+        mine = (kept[i][0] is None, kept[i][0] or 0, i)
+        first[g] = min(first.get(g, mine), mine)
+    near = [kept[f[2]] for f in first.values()]
+    assert short(run("near dedup", kept)) == short(near)
+
+    windows = [w[i : i + min(13, len(w))] for t in bench for w in [decontaminate.words(t)] if w for i in range(len(w) - min(13, len(w)) + 1)]
+    clean = []
+    for x in near:
+        w = decontaminate.words(x[1])
+        hit = {i + j for p in windows for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p for j in range(len(p))}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append(x)
+    assert short(run("decontamination", near)) == short(clean) and len(clean) < len(near)
+
+    out = stage["mixing"](spark, spark.createDataFrame(clean, docs.schema), folder).collect()
+    size = {x[0]: len((x[1] or "").split()) for x in clean}
+    assert all(x["size"] == size[x.doc_id] and x.taken == x["size"] * x.repeats and 1 <= x.repeats <= 3 for x in out)
+    names = sorted({x[3] for x in clean if x[3] is not None}) + [None]
+    total = {s: sum(size[x[0]] for x in clean if x[3] == s) for s in names}
+    level, capped = 0.0, set()
+    while True:
+        free = {s: [1, 2, 3][names.index(s) % 3] for s in names if s not in capped}
+        level = (sum(total.values()) - sum(3 * total[s] for s in capped)) / sum(free.values()) if free else 0
+        over = {s for s, w in free.items() if w * level > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    for s in names:
+        target = 3 * total[s] if s in capped else level * [1, 2, 3][names.index(s) % 3]
+        assert abs(sum(x.taken for x in out if x.source == s) - target) <= 1, s
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of words", "en", "s", 3, f"k{i}", i, True) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long, row_key string, fp long, kept boolean")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert set(docs.columns) <= set(out.columns), name
+        assert {(x.row_key, x.fp) for x in out.collect()} <= {(f"k{i}", i) for i in range(12)}, name
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (5_000, "", "en", None, 0), (5_000, "", "en", None, 0)], docs.schema)
