@@ -1,14 +1,15 @@
 """Language-model scores from an Elias-Fano n-gram trie that is built and queried in shards.
 
 The model is a bigram model with a Dirichlet prior around the add-one unigram model: with c the training counts,
-p(w | v) = (c(v, w) + m p(w)) / (c(v) + m); m is the value of a grid with the best leave-one-out likelihood of the
-training text. p(w) = (c(w) + 1) / (N + V + 1) gives unknown words one share. Both sum to one over the known words
-and the unknown.
+p(w | v) = (c(v, w) + m p(w)) / (c(v) + m). p(w) = (c(w) + 1) / (N + V + 1) gives unknown words one share. Both sum to
+one over the known words and the unknown. m is the value of a grid with the best leave-one-out likelihood, summed over
+all chunks of training text, each by its own counts: it is needed before bigrams are counted over chunks.
 
 Texts are cut into chunks of bounded size whose words are kept as numbers in files of the shared folder. Chunks and
 shards exchange packed arrays: each chunk asks every word shard for the counts of its distinct words, then every
-bigram shard about its distinct bigrams. A bigram shard adds up the counts, writes its trie (contexts, then words
-relative to their context, with quantised log probabilities), maps the file and answers from it. Equal words and
+bigram shard about its distinct bigrams. A bigram shard adds up the counts, writes its trie (contexts with quantised
+backoff weights, then words relative to their context with quantised log probabilities), maps the file and answers
+from it: the probability of a bigram it holds, else the backoff weight of its context. Equal words and
 bigrams are counted within a chunk before they travel, and a context with much of the text is dealt to several
 shards by its next word, so no shard holds more than its share. Counts cover all training text.
 """
@@ -113,7 +114,7 @@ def _cut(folder: str, n_shards: int, chunk_tokens: int):
             shard = (words[asked] % np.uint64(n_shards)).astype(np.int64)
             at, places = by_shard(shard, words[asked])
             rows = [(int(shard[at[i]]), name, pack(words[asked][at[i:j]], c[asked][at[i:j]].astype(np.uint32))) for i, j in places]
-            rows.append((-1, name, pack(fit)))
+            rows.append((-1 - xxhash.xxh64_intdigest(name) % n_shards, name, pack(fit)))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["shard", "chunk", "blob"])
 
         for b in batches:
@@ -149,6 +150,13 @@ def previous(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return v
 
 
+def _curves(batches):
+    """Likelihood curves as rows ``k, value``."""
+    for b in batches:
+        found = [unpack(x.as_buffer())[0] for x in b.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(GRID), dtype=np.int32), len(found))), pa.array(np.concatenate(found) if found else np.zeros(0))], ["k", "value"])
+
+
 REPLY = "chunk string, shard long, blob binary, n long, v long"
 
 
@@ -161,7 +169,7 @@ def _count_words(n_shards: int):
         asked = [unpack(x.as_buffer()) for x in table["blob"]]
         if shard < 0:
             total = np.sum([x[0] for x in asked], axis=0)
-            return pa.table([["fit"], [shard], [pack(total)], [0], [0]], schema=_schema())
+            return pa.table([[None], [shard], [pack(total)], [0], [0]], schema=_schema())
         words, inverse = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
         c = np.bincount(inverse, np.concatenate([x[1] for x in asked]), len(words)).astype(np.int64)
         number = np.where(c > 0, (np.cumsum(c > 0) - 1) * n_shards + shard + 1, ABSENT)
@@ -252,7 +260,8 @@ def _answer_pairs(folder: str, total: int, known: int, mass: float):
             sizes.append(len(w))
         v, w, n, cv, cw = (np.concatenate(x) for x in (vs, ws, ns, cvs, cws))
         del vs, ws, ns, cvs, cws
-        order = np.lexsort((w, v))
+        small = len(v) and max(v.max(), w.max()) < 1 << 31
+        order = np.argsort(v << 32 | w, kind="stable") if small else np.lexsort((w, v))
         first = np.ones(len(order), bool)
         first[1:] = (np.diff(v[order]) != 0) | (np.diff(w[order]) != 0)
         group = np.empty(len(order), np.int64)
@@ -269,10 +278,13 @@ def _answer_pairs(folder: str, total: int, known: int, mass: float):
         uri = f"{folder}/trie/{shard}.ngt"
         put(uri, trie.to_bytes())
         with mapped(uri) as trie:
-            at = trie.child(1, trie.child(0, np.zeros(len(v), np.int64), v), w)
-            found = np.where(at >= 0, trie.codes[1][np.maximum(at, 0)].astype(np.int16) if len(trie.codes[1]) else -1, -1).astype(np.int16)
-            book = np.array(trie.books[1])
-        rows = [(name, pack(found[g], book)) for name, g in zip(chunks, np.split(group, np.cumsum(sizes)[:-1]), strict=True)]
+            context = trie.child(0, np.zeros(len(v), np.int64), v)
+            at = trie.child(1, context, w)
+            code = lambda level, i: np.where(i >= 0, trie.codes[level][np.maximum(i, 0)].astype(np.int16) if len(trie.codes[level]) else 0, 0)
+            # a bigram's code, or a backoff's below -1, or -1 for a context that no training text of this shard has
+            found = np.where(at >= 0, code(1, at), np.where(context >= 0, -2 - code(0, context), -1)).astype(np.int16)
+            books = np.array(trie.books[1]), np.array(trie.books[0])
+        rows = [(name, pack(found[g], *books)) for name, g in zip(chunks, np.split(group, np.cumsum(sizes)[:-1]), strict=True)]
         return pa.table([[x for x, _ in rows], [shard] * len(rows), [x for _, x in rows]], schema=pa.schema([("chunk", pa.string()), ("shard", pa.int64()), ("blob", pa.binary())]))
 
     return run
@@ -307,14 +319,17 @@ def _score(folder: str, n_shards: int, total: int, known: int, mass: float):
         shard = pair_shard(number[pv], number[pw], c[pv], total, n_shards)
         at, places = by_shard(shard, number[pv], number[pw])
         replies = {s.as_py(): b for s, b in zip(table["shard"], table["blob"], strict=True)}
-        value = np.full(len(pv), np.nan)
-        for i, j in places:
-            code, book = unpack(replies[int(shard[at[i]])].as_buffer())
-            value[at[i:j]] = np.where(code >= 0, book[np.maximum(code, 0)], np.nan)
         base = np.log10((c[text] + 1.0) / (total + known + 1))
+        # by pair: a known bigram's value, or the weight of its context that its word's own odds are added to
+        value, whole = np.log10(mass / (c[pv] + mass)), np.zeros(len(pv), bool)
+        for i, j in places:
+            code, book, weights = unpack(replies[int(shard[at[i]])].as_buffer())
+            mine = at[i:j]
+            whole[mine] = code >= 0
+            value[mine] = np.where(code >= 0, book[np.maximum(code, 0)], np.where(code < -1, weights[np.maximum(-2 - code, 0)], value[mine]))
+        # unknown words are asked of no shard; their contexts' weights follow from the counts
         token = base + np.where(number[v] >= 0, np.log10(mass / (c[v] + mass)), 0.0)
-        asked = value[inverse]
-        token[ask] = np.where(np.isnan(asked), token[ask], asked)
+        token[ask] = value[inverse] + np.where(whole[inverse], 0.0, base[ask])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out = [pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_all().column(0), pa.array(~is_train.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((c[text] > 0).astype(np.int64), starts)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(token, starts))]
         return pa.Table.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -342,13 +357,13 @@ def language_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     replies = written(asked.repartition(parts, "shard").groupBy("shard").applyInArrow(_count_words(n_shards), REPLY), "lm-words")
     total, known = replies.agg(F.sum("n"), F.sum("v")).first()
     total, known = total or 0, known or 0
-    fit = replies.filter("chunk = 'fit'").first()
-    mass = GRID[int(np.argmax(unpack(fit.blob)[0]))] if fit else GRID[0]
-    told = replies.filter("chunk <> 'fit'").select("chunk", "shard", "blob", F.lit(n_shards).cast("long").alias("v"))
+    fits = replies.filter("chunk is null").select("blob").mapInArrow(_curves, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()
+    mass = GRID[max(fits, key=lambda r: (r.value, -r.k)).k] if fits else GRID[0]
+    told = replies.filter("chunk is not null").select("chunk", "shard", "blob", F.lit(n_shards).cast("long").alias("v"))
     pairs = told.repartition(parts, "chunk").groupBy("chunk").applyInArrow(_ask_pairs(folder, n_shards, total), "shard long, chunk string, blob binary")
     answers = pairs.repartition(parts, "shard").groupBy("shard").applyInArrow(_answer_pairs(folder, total, known, mass), "chunk string, shard long, blob binary")
     # a chunk without known bigrams still has its documents: its first word reply stands in
-    every = replies.filter("chunk <> 'fit'").groupBy("chunk").agg(F.lit(-1).cast("long").alias("shard"), F.lit(b"").alias("blob"))
+    every = replies.filter("chunk is not null").groupBy("chunk").agg(F.lit(-1).cast("long").alias("shard"), F.lit(b"").alias("blob"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers = written(answers, "lm-answers").unionByName(every)
