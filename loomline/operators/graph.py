@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import md5_number
+from ..sources.shared import written
 from .components import connected_components
 
 
@@ -80,6 +81,44 @@ def without(pairs: DataFrame, forbidden: DataFrame) -> DataFrame:
     return keyed.join(f, ["lo", "hi"], "left_anti").drop("lo", "hi")
 
 
+def avoiding(pairs: DataFrame, forbidden: DataFrame, seed: str = "swap", proposals: int = 8, max_steps: int = 60) -> DataFrame:
+    """``pairs`` (``pair_index, round, a, b``: perfect matchings) without ``forbidden`` edges, all degrees as they were.
+
+    A forbidden pair a-b swaps partners with another pair c-d of its round to a-c and b-d. In a step every such pair
+    proposes some pairs by hash at once; proposals whose new edges are forbidden, there already or proposed twice
+    fall away, and of the others each pair takes part in one at most. Only forbidden pairs and their proposals are
+    joined with the graph, and steps go on until none is left.
+    """
+    edge = lambda x, y: F.array_sort(F.array(x, y))
+    barred = written(forbidden.select(edge("a", "b").alias("e")).distinct(), "barred")
+    now = written(pairs.select("pair_index", "round", "a", "b"), "swapped")
+    per_round = now.groupBy("round").agg(F.min("pair_index").alias("from"), F.count("*").alias("n"))
+    for step in range(max_steps):
+        bad = now.withColumn("e", edge("a", "b")).join(barred, "e", "left_semi").drop("e")
+        bad = written(bad, "bad")
+        if not bad.limit(1).count():
+            return now
+        t = bad.join(F.broadcast(per_round), "round").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(proposals - 1))))
+        h = md5_number(F.concat_ws(":", F.lit(seed), F.lit(str(step)), F.col("pair_index").cast("string"), F.col("t").cast("string")))
+        t = t.select("pair_index", "a", "b", "t", (F.col("from") + h % F.col("n")).alias("other"))
+        met = t.join(now.select(F.col("pair_index").alias("other"), F.col("a").alias("c"), F.col("b").alias("d")), "other").filter("pair_index <> other")
+        met = met.join(bad.select(F.col("pair_index").alias("other")), "other", "left_anti")
+        met = met.withColumns({"e1": edge("a", "c"), "e2": edge("b", "d")})
+        taken = barred.unionByName(now.select(edge("a", "b").alias("e")))
+        for e in ("e1", "e2"):
+            met = met.join(taken.withColumnRenamed("e", e), e, "left_anti")
+        met = written(met.withColumn("id", F.xxhash64("pair_index", "t")), "proposals")
+        # one proposal a pair, a partner and a new edge: the one with the least hash at each of them
+        ends = met.select("id", F.explode(F.array(F.array("pair_index"), F.array("other"), "e1", "e2")).alias("at"))
+        first = ends.groupBy("at").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        won = ends.join(first, ["at", "id"]).groupBy("id").agg(F.count("*").alias("n")).filter("n = 4").select("id")
+        won = written(met.join(won, "id"), "swaps")
+        new = won.select("pair_index", "a", F.col("c").alias("b")).unionByName(won.select(F.col("other").alias("pair_index"), F.col("b").alias("a"), F.col("d").alias("b")))
+        new = new.withColumnsRenamed({"a": "x", "b": "y"})
+        now = written(now.join(new, "pair_index", "left").select("pair_index", "round", F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), "swapped")
+    raise RuntimeError(f"forbidden edges are left after {max_steps} steps")
+
+
 def same_group_edges(items: DataFrame, group: str, item: str) -> DataFrame:
     """The edge between the two items of each group of exactly two."""
     g = items.groupBy(group).agg(F.count("*").alias("n"), F.min(item).alias("a"), F.max(item).alias("b"))

@@ -21,6 +21,23 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "i") -> DataF
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__at", "__part", "__in", "__before", "__n")
 
 
+def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by, value, n, rank`` of each distinct value within ``by``: ties share their mean rank, from 1.
+
+    Distinct values are counted first and dealt by range; within a range a running sum, before it sums of whole ranges.
+    """
+    keys = [*by, value]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    placed = written(counts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "ranks")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    inside = F.sum("n").over(W.partitionBy("__part").orderBy("__at")) - F.col("n")
+    sizes = placed.groupBy("__part").agg(F.sum("n").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    run = placed.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn("__below", F.col("__before") + F.col("__inside"))
+    first = run.groupBy(*by).agg(F.min("__below").alias("__first"))
+    return run.join(first, by).select(*keys, "n", (F.col("__below") - F.col("__first") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank of ``value`` within ``by``, ties sharing their mean rank."""
     ordered = F.rank().over(W.partitionBy(*by).orderBy(value))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import guarded_corr, md5_number
-from .order import average_rank
+from ..sources.shared import written
+from .order import average_ranks, numbered
+from .skew import hot_safe_join
 
 
 def sign_test(n_win: Column, n_loss: Column) -> Column:
@@ -50,6 +52,9 @@ def win_rates(diffs: DataFrame) -> DataFrame:
 def sign_deck(units: DataFrame, key: str, by: tuple[str, ...] = (), seed: str = "42") -> DataFrame:
     """A balanced +1/-1 sign per unit within ``by``, in the order of a seeded hash; an odd one out gets -1."""
     h = md5_number(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    if not by:
+        placed = numbered(units.withColumn("__h", h), ["__h", key], "__rank")
+        return placed.withColumn("sign", F.when(F.col("__rank") < units.count() // 2, 1).otherwise(-1)).drop("__h", "__rank")
     w = W.partitionBy(*by)
     rank, n = F.row_number().over(w.orderBy(h, key)), F.count("*").over(w)
     return units.withColumn("sign", F.when(rank <= F.floor(n / 2), 1).otherwise(-1))
@@ -62,7 +67,8 @@ def correlations(left: DataFrame, right: DataFrame, item: str = "item") -> DataF
 
 def ranked(long: DataFrame, name: str, value: str) -> DataFrame:
     """Values replaced by their average ranks within each ``name``: Pearson on these is Spearman."""
-    return long.withColumn(value, average_rank(value, [name]).cast("double"))
+    at = written(average_ranks(long, [name], value), "ranked")
+    return hot_safe_join(long, at, [name, value], "n", long.count(), "inner").drop(value).withColumnRenamed("rank", value)
 
 
 def effective_rank(r: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import graph_queries, model_queries, selection_queries, stat_queries, text_queries
+from . import assembly_queries, evaluation_queries, graph_queries, model_queries, request_queries, selection_queries, stat_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph_queries", "model_queries", "selection_queries", "stat_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "assembly_queries", "evaluation_queries", "graph_queries", "model_queries", "request_queries", "selection_queries", "stat_queries", "text_queries"]

@@ -13,7 +13,8 @@ from ..functions.numeric import md5_number
 from ..functions.text import normalise_phrase
 from ..operators import graph
 from ..operators.order import numbered
-from .registry import table
+from ..sources.shared import written
+from .registry import once, table
 
 ROUNDS = 4
 #: criterion, threshold of its count's gap
@@ -24,6 +25,7 @@ WORDINGS = tuple((c, i, p) for c, _ in CRITERIA for i, p in enumerate((f"The {c}
 MEMBERS = tuple((p, c, i) for i, (p, c) in enumerate([(c, c) for c, _ in CRITERIA] + [(f"{c} overall", c) for c, _ in CRITERIA[:3]] + [("lines overall", "layout")]))
 
 
+@once
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``i, doc_id`` and four counts of each document."""
     docs = table(spark, sf_dir, "documents")
@@ -32,17 +34,19 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(docs.select("doc_id", "source", *cols), ["doc_id"])
 
 
-def pairs(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+@once
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_index, round, a, b, first, other``: item numbers, and document ids in slot order."""
     it = items(spark, sf_dir).select("i", "doc_id")
     n = table(spark, sf_dir, "documents").count()
-    p = graph.circle_pairs(spark, n - n % 2, rounds)
+    p = graph.circle_pairs(spark, n - n % 2, ROUNDS)
     ids = lambda c: it.select(F.col("i").alias(c), F.col("doc_id").alias(f"id_{c}"))
     p = p.join(ids("a"), "a").join(ids("b"), "b")
     front = graph.shown_first(F.col("id_a"), F.col("id_b"))
     return p.select("pair_index", "round", "a", "b", F.when(front, F.col("id_a")).otherwise(F.col("id_b")).alias("first"), F.when(front, F.col("id_b")).otherwise(F.col("id_a")).alias("other"))
 
 
+@once
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_index, first, other, winner, qualities``: qualities are structs of criterion, phrase, description, winner."""
     it = items(spark, sf_dir)
@@ -59,7 +63,7 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = p.select("pair_index", "first", "other", "a", "b", q.alias("qualities"))
     won = F.aggregate("qualities", F.lit(0), lambda n, x: n + F.when(x["winner"] == "A", 1).otherwise(-1))
     winner = F.when(won > 0, "A").when(won < 0, "B").otherwise(F.when(F.col("pair_index") % 2 == 0, "A").otherwise("B"))
-    return j.withColumn("winner", winner)
+    return written(j.withColumn("winner", winner), "judgments")
 
 
 def members(spark: SparkSession) -> DataFrame:

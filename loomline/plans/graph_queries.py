@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from ..functions.numeric import md5_number
 from ..operators import graph, rationale
 from ..operators.components import connected_components
+from ..operators.skew import hot_safe_join
+from ..sources.shared import written
 from .fixtures import CTES, ROUNDS, items, judgments, members, pairs
-from .registry import query, table
+from .registry import once, query, table
 
 
 def sql(body: str, recursive: bool = False) -> str:
@@ -50,6 +52,21 @@ def graph_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("degree_mean", "mean_gap")})
 
 
+@query("q_avoiding_report", sql(f" SELECT n // 2 * {ROUNDS} AS n_pairs, 0 AS n_forbidden, 0 AS n_repeated, {ROUNDS} AS degree_min, {ROUNDS} AS degree_max, true AS some_were_there FROM size"))
+def avoiding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matchings rid of forbidden edges by swaps: none is left, no pair repeats, and every degree is what it was."""
+    p = pairs(spark, sf_dir)
+    barred = p.filter("pair_index % 37 = 0").select("a", "b")
+    q = written(graph.avoiding(p, barred), "avoiding")
+    e = q.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n_barred = e.join(barred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_semi").agg(F.count("*").cast("int").alias("n_forbidden"))
+    twice = e.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").cast("int").alias("n_repeated"))
+    d = graph.degrees(q).agg(F.min("degree").cast("int").alias("degree_min"), F.max("degree").cast("int").alias("degree_max"))
+    total = q.agg(F.count("*").alias("n_pairs"))
+    some = barred.agg((F.count("*") > 0).alias("some_were_there"))
+    return total.join(n_barred, how="left", on=F.lit(True)).join(twice, how="left", on=F.lit(True)).join(d, how="left", on=F.lit(True)).join(some, how="left", on=F.lit(True))
+
+
 @query("q_graph_components", """
 WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey + 1000000000 AS b FROM orders),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -125,9 +142,8 @@ LEFT JOIN (SELECT phrase_norm, {pick}(criterion, ord) AS criterion FROM members
 
     @query(f"q_taxonomy_{rule}_{rest}", sql(body))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = phrases(spark, sf_dir)
-        m = rationale.place(p, members(spark), rule, rest)
-        return p.join(F.broadcast(m) if rest == "none" else m, "phrase_norm", "left").groupBy("phrase_norm", "criterion").agg(F.count("*").alias("n_cited"))
+        n = phrases(spark, sf_dir).groupBy("phrase_norm").agg(F.count("*").alias("n_cited"))
+        return n.join(rationale.place(n, members(spark), rule, rest), "phrase_norm", "left").select("phrase_norm", "criterion", "n_cited")
 
 
 _placed("last", "self", "phrase_norm", "arg_max")
@@ -135,9 +151,13 @@ _placed("first", "other", "'Other'", "arg_min")
 _placed("last", "none", "NULL", "arg_max")
 
 
+@once
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases with their criterion; a phrase that much of the text cites is no hot key."""
     p = phrases(spark, sf_dir)
-    return p.join(rationale.place(p, members(spark), "last", "none"), "phrase_norm")
+    n = p.groupBy("phrase_norm").agg(F.count("*").alias("n"))
+    at = written(n.join(rationale.place(n, members(spark), "last", "none"), "phrase_norm"), "placed")
+    return hot_safe_join(p, at, ["phrase_norm"], "n", p.count(), "inner")
 
 
 PLACED_SQL = """,

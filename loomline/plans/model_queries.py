@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import bin_index, log_sigmoid
 from ..operators import choice, kernels, rationale
+from ..sources.shared import written
 from .fixtures import CRITERIA, items, judgments
 from .graph_queries import PLACED_SQL, cited, sql
-from .registry import query
+from .registry import once, query
 
 NAMES = [c for c, _ in CRITERIA]
 BETA = 0.1
@@ -32,6 +33,7 @@ terms AS (SELECT *, 1 / (1 + exp(-zc)) AS pc, 1 / (1 + exp(-zd)) AS pd, tanh(dd)
 """
 
 
+@once
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair and criterion with its verdict: ``pair_index, ia, ib, criterion, k, x, d, g``."""
     it, j = items(spark, sf_dir), judgments(spark, sf_dir)
@@ -40,7 +42,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = j.join(end("first", "ia"), "first").join(end("other", "ib"), "other").select("pair_index", "ia", "ib", ks.alias("e")).select("pair_index", "ia", "ib", "e.*")
     x = rationale.verdict_tensor(cited(spark, sf_dir))
     out = p.join(x, ["pair_index", "criterion"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
-    return out.withColumns({"d": score_of(F.col("ia"), F.col("k")) - score_of(F.col("ib"), F.col("k")), "g": 0.3 * F.col("k") - 0.5})
+    return written(out.withColumns({"d": score_of(F.col("ia"), F.col("k")) - score_of(F.col("ib"), F.col("k")), "g": 0.3 * F.col("k") - 0.5}), "cells")
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +104,10 @@ def ece_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_frozen_score_newton", sql(GRID_SQL + f""",
 q AS (SELECT ia AS item, criterion, list({{'sign': 1.0::DOUBLE, 'c': {BETA}::DOUBLE - CAST(((ib * 37 + k * 11) % 101 - 50) / 25.0 AS DOUBLE), 'w': pos}} ORDER BY pair_index) AS comps FROM terms WHERE x <> 0 GROUP BY 1, 2),
 r AS (SELECT item, criterion, comps, list_reduce(range(12), lambda x, i: CAST(x AS DOUBLE) - (0.001::DOUBLE * x + list_sum(list_transform(comps, lambda q: q.sign * (1 / (1 + exp(-(q.sign * x + q.c))) - q.w)))) / (0.001::DOUBLE + list_sum(list_transform(comps, lambda q: (1 / (1 + exp(-(q.sign * x + q.c)))) * (1 - 1 / (1 + exp(-(q.sign * x + q.c))))))), 0.0::DOUBLE) AS s FROM q)
-SELECT item, criterion, round(least(greatest(s, -6), 6), 4) + 0.0::DOUBLE AS score FROM r"""))
+SELECT item, criterion, round(s, 4) + 0.0::DOUBLE AS score FROM r"""))
 def frozen_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of first-shown items against the others' frozen scores; clamped to -6 to 6, as in the SQL."""
-    s = frozen_scores(spark, sf_dir)
-    return s.select("item", "criterion", (F.round(F.least(F.greatest("s", F.lit(-6.0)), F.lit(6.0)), 4) + 0.0).alias("score"))
+    """Scores of first-shown items against the others' frozen scores, in twelve Newton steps."""
+    return frozen_scores(spark, sf_dir).select("item", "criterion", (F.round("s", 4) + 0.0).alias("score"))
 
 
 def frozen_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +122,6 @@ def frozen_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen_comparisons(spark, sf_dir).select("item", "criterion", choice.frozen_score(F.col("l")).alias("s"))
 
 
-@query("q_frozen_score_unclamped")
-def frozen_unclamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of ``q_frozen_score_newton`` as the fit gives them, without its clamp: the reference has none."""
-    return frozen_scores(spark, sf_dir).select("item", "criterion", (F.round("s", 4) + 0.0).alias("score"))
-
-
 def runs(spark: SparkSession, sf_dir: str, rounds: int = 6) -> DataFrame:
     """Comparison cells within each source, every source a run of its own: ``run, t, a, b, w, k, x, r``.
 

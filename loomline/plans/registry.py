@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Tables that the running query has made so far; None outside of queries.
+_MADE: dict | None = None
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; what ``once`` marks is made once in it."""
+
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            global _MADE
+            before, _MADE = _MADE, {}
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _MADE = before
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return f
@@ -21,5 +35,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def once(f: Query) -> Query:
+    """A table of fixtures that one query makes once, however often it is asked for."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _MADE is None:
+            return f(spark, sf_dir)
+        key = (f.__module__, f.__name__, sf_dir)
+        if key not in _MADE:
+            _MADE[key] = f(spark, sf_dir)
+        return _MADE[key]
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

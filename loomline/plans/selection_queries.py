@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import md5_number
 from ..operators import selection
+from .graph_queries import sql
 from .registry import query, table
-from .stat_queries import NAMES, items, matched
+from .stat_queries import MATCHED_SQL, NAMES, items, matched
 
 
 @query("q_l1_paired")
@@ -29,7 +30,14 @@ def matched_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.matched_k(it, NAMES, reps=20)
 
 
-@query("q_pack_to_budget")
+@query("q_pack_to_budget", sql(MATCHED_SQL + """,
+c AS (SELECT CASE WHEN pair_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, pair_id, n_chars / 4.0::DOUBLE AS est_tokens FROM mp JOIN documents d ON d.doc_id = pos_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY est_tokens, pair_id) - 1 AS place, count(*) OVER (PARTITION BY split) AS n FROM c),
+k AS (SELECT DISTINCT split, n, unnest(range(1, n + 1)) AS k FROM r),
+p AS (SELECT DISTINCT split, k, CASE WHEN k = 1 THEN 0 ELSE CAST(round_even(j * ((n - 1)::DOUBLE / (k - 1)), 0) AS BIGINT) END AS place FROM (SELECT *, unnest(range(k)) AS j FROM k)),
+s AS (SELECT p.split, p.k, sum(est_tokens) AS total FROM p JOIN r ON r.split = p.split AND r.place = p.place GROUP BY 1, 2),
+b AS (SELECT split, max(k) AS k FROM s WHERE total <= 20000 * CASE split WHEN 'train' THEN 1.0::DOUBLE / 3 ELSE 2.0::DOUBLE / 3 END GROUP BY 1)
+SELECT r.split, r.pair_id, r.est_tokens FROM b JOIN p USING (split, k) JOIN r ON r.split = p.split AND r.place = p.place"""))
 def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An even span of pairs, short to long, in a token budget split one to two between train and test."""
     m = matched(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos_id"), "n_chars"), "pos_id")

@@ -51,7 +51,7 @@ v AS (SELECT doc_id, {OVERLAP_SQL.format(a='sa', o='so')} || {OVERLAP_SQL.format
 SELECT doc_id, round(v[1], 6) AS stop_common, round(v[4], 6) AS stop_jaccard, round(v[5], 6) AS content_common, round(v[8], 6) AS content_jaccard,
   round(v[9], 6) AS all_common, round(v[10], 6) AS all_reply, round(v[11], 6) AS all_op, round(v[12], 6) AS all_jaccard FROM v""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _with_benchmark(spark, sf_dir).select("doc_id", T.word_set_overlap(T.letter_tokens(F.col("text")), T.letter_tokens(F.col("op_text"))).alias("v"))
+    d = _with_benchmark(spark, sf_dir).select("doc_id", T.let(T.letter_tokens(F.col("text")), lambda a: T.let(T.letter_tokens(F.col("op_text")), lambda o: T.word_set_overlap(a, o))).alias("v"))
     names = {"stop_common": 0, "stop_jaccard": 3, "content_common": 4, "content_jaccard": 7, "all_common": 8, "all_reply": 9, "all_op": 10, "all_jaccard": 11}
     return d.select("doc_id", *[F.round(F.col("v")[i], 6).alias(n) for n, i in names.items()])
 

@@ -162,11 +162,16 @@ def test_spans_budgets_subsets_and_designs(spark):
 
     from loomline.operators import selection
 
-    assert selection.span(10, 4) == [0, 3, 6, 9] and selection.span(3, 5) == [0, 1, 2] and selection.span(5, 0) == []
-    sizes = np.arange(1.0, 21)
-    for budget in (0, 5, 50, 1000):
-        best = max((k for k in range(1, 21) if sizes[selection.span(20, k)].sum() <= budget), default=0)
-        assert selection.packed(sizes, budget) == selection.span(20, best)
+    even = lambda n, k: sorted(set(np.rint(np.linspace(0, n - 1, k)).astype(int).tolist())) if k else []
+    sizes = {"train": np.arange(1.0, 71), "test": np.array([3.0, 3.0, 50.0])}
+    rows = spark.createDataFrame([(s, i, float(x)) for s, xs in sizes.items() for i, x in enumerate(xs)], "split string, pair_id int, est_tokens double")
+    for budget in (0, 5, 107, 1000, 10_000):
+        got = selection.pack_to_budget(rows, budget, {"train": 0.5, "test": 0.5}).collect()
+        for s, xs in sizes.items():
+            best = max((k for k in range(1, len(xs) + 1) if xs[even(len(xs), k)].sum() <= budget / 2), default=0)
+            assert sorted(r.pair_id for r in got if r.split == s) == even(len(xs), best), (budget, s)
+    assert selection.pack_to_budget(rows.limit(0), 10, {"train": 1.0}).count() == 0
+    assert selection.subsets(4, 2, 10) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)] and all(len(set(x)) == 5 for x in selection.subsets(20, 5, 50))
     assert len(selection.subsets(5, 2, 100)) == 10 and len(set(selection.subsets(20, 5, 50))) == 50
     assert abs(selection.subset_curve(np.eye(4))[2] - 3) < 1e-9
     pool = pd.DataFrame({"item": range(30), "band": [i % 5 for i in range(30)], "prompt": [i % 3 for i in range(30)]})
