@@ -73,6 +73,18 @@ def panel_fault(text: Column, names: Column, low: int = 0, high: int = 10) -> Co
     )
 
 
+def elicited(text: Column, exactly: int | None = None, least: int = 1) -> Column:
+    """Features ``array<struct<name, description>>`` of an elicited panel, trimmed, blank names and evidence dropped.
+
+    Null unless there are ``exactly`` so many or, without that, ``least`` of them and no name twice.
+    """
+    raw = F.from_json(json_block(text), "features array<struct<name:string,evidence:string,description:string>>")["features"]
+    kept = F.transform(F.filter(raw, lambda x: F.coalesce(F.trim(x["name"]), F.lit("")) != ""), lambda x: F.struct(F.trim(x["name"]).alias("name"), F.trim(F.coalesce(x["description"], F.lit(""))).alias("description")))
+    names = F.transform(kept, lambda x: x["name"])
+    good = F.size(kept) == exactly if exactly is not None else (F.size(kept) >= least) & (F.size(F.array_distinct(names)) == F.size(names))
+    return F.when(good, kept)
+
+
 def verdict(text: Column) -> Column:
     """A or B from the answer's JSON field ``winner``, else from a phrase; null if neither."""
     by_json = F.get_json_object(json_block(text), "$.winner")

@@ -51,6 +51,12 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def unit_vector(v: Column) -> Column:
+    """An array of numbers at length one; of length zero as it is."""
+    n = F.sqrt(cosine(v, v))
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of two arrays in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

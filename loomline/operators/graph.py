@@ -27,6 +27,13 @@ def circle_pairs(spark: SparkSession, n: int, rounds: int, first_round: int = 0)
     return spark.range(half * rounds).select(F.col("id").alias("pair_index"), r.cast("int").alias("round"), a.cast("long").alias("a"), b.cast("long").alias("b"))
 
 
+def numbered_pairs(df: DataFrame, number: str, n: int) -> DataFrame:
+    """``df`` with ``a, b``, the pair of nodes below ``n`` that ``number`` stands for: (0, 1), (0, 2), ... (n - 2, n - 1)."""
+    k = F.col(number)
+    a = F.floor((2 * n - 1 - F.sqrt(F.lit(float((2 * n - 1) ** 2)) - 8 * k)) / 2).cast("long")
+    return df.withColumn("a", a).withColumn("b", (k - F.expr(f"a * (2 * {n} - a - 1) div 2") + F.col("a") + 1).cast("long"))
+
+
 def shown_first(a: Column, b: Column) -> Column:
     """True if the first of two ids takes slot A: parity of a hash of both."""
     return md5_number(F.concat_ws(":", a.cast("string"), b.cast("string"))) % 2 == 0

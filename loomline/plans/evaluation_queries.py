@@ -228,21 +228,21 @@ def pooled_panel_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_panel_outer_join", CELLS3 + """,
 a AS (SELECT item, avg(v) AS a FROM raw WHERE cell = 1 AND item % 3 > 0 GROUP BY 1), b AS (SELECT item, avg(v) AS b FROM raw WHERE cell = 2 AND item % 5 > 0 GROUP BY 1)
-SELECT coalesce(a.item, b.item) AS item, round(a, 6) AS a, round(b, 6) AS b FROM a FULL JOIN b ON a.item = b.item""")
+SELECT coalesce(a.item, b.item) AS item, round(a, 9) AS a, round(b, 9) AS b FROM a FULL JOIN b ON a.item = b.item""")
 def panel_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two cells side by side with every item of either."""
     c = cells3(spark, sf_dir)
-    side = lambda k, m, n: c.filter((F.col("cell") == k) & (F.col("item") % m > 0)).groupBy("item").agg(F.round(F.avg("v"), 6).alias(n))
+    side = lambda k, m, n: c.filter((F.col("cell") == k) & (F.col("item") % m > 0)).groupBy("item").agg(F.round(F.avg("v"), 9).alias(n))
     return side(1, 3, "a").join(side(2, 5, "b"), "item", "full_outer")
 
 
 @query("q_panel_left_join", CELLS3 + """,
 a AS (SELECT item, avg(v) AS a FROM raw WHERE cell = 1 AND item % 3 > 0 GROUP BY 1), b AS (SELECT item, avg(v) AS b FROM raw WHERE cell = 2 AND item % 5 > 0 GROUP BY 1)
-SELECT a.item, round(a, 6) AS a, round(b, 6) AS b FROM a LEFT JOIN b ON a.item = b.item""")
+SELECT a.item, round(a, 9) AS a, round(b, 9) AS b FROM a LEFT JOIN b ON a.item = b.item""")
 def panel_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a second cell beside the items of the first; unrated ones stay null."""
     c = cells3(spark, sf_dir)
-    side = lambda k, m, n: c.filter((F.col("cell") == k) & (F.col("item") % m > 0)).groupBy("item").agg(F.round(F.avg("v"), 6).alias(n))
+    side = lambda k, m, n: c.filter((F.col("cell") == k) & (F.col("item") % m > 0)).groupBy("item").agg(F.round(F.avg("v"), 9).alias(n))
     return side(1, 3, "a").join(side(2, 5, "b"), "item", "left")
 
 
