@@ -47,10 +47,12 @@ class Phrases:
     items: list[tuple[np.ndarray, np.ndarray]]  # by length: offsets per window, item numbers
     ids: list
     shortest: int
+    #: The number of words that no phrase has; 0, which ends runs, if they are not to be indexed.
+    unknown: int = 0
 
 
-def phrases(rows: list[tuple], window: int = WINDOW) -> Phrases:
-    """``rows``: (item_id, text). Items with one id are one item; an item of fewer words, but not none, is one window."""
+def phrases(rows: list[tuple], window: int = WINDOW, whole: bool = False) -> Phrases:
+    """``rows``: (item_id, text). ``whole``: also words that no phrase has are to be indexed. Items with one id are one item; an item of fewer words, but not none, is one window."""
     vocabulary: dict[bytes, int] = {}
     numbers: dict = {}
     found: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
@@ -65,13 +67,14 @@ def phrases(rows: list[tuple], window: int = WINDOW) -> Phrases:
         by_length.append(np.frombuffer(b"".join(table), np.int32).reshape(-1, k))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in table.values()])])
         items.append((offsets, np.array([n for x in table.values() for n in sorted(x)], np.int64)))
-    return Phrases(vocabulary, by_length, items, list(numbers), min(found, default=0))
+    unknown = len(vocabulary) + 1 if whole else 0
+    return Phrases(vocabulary, by_length, items, list(numbers), 1 if whole else min(found, default=0), unknown)
 
 
 def search_shard(codes: np.ndarray, n_words: np.ndarray, p: Phrases) -> tuple[list[list[tuple[int, int]]], list[list[int]]]:
     """Merged hit spans (word offsets, end exclusive) and item numbers of each document.
 
-    ``codes``: the documents' words as vocabulary numbers, 0 where unknown and after each document.
+    ``codes``: the documents' words as vocabulary numbers, ``p.unknown`` where unknown, 0 after each document.
     """
     n_docs = len(n_words)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
@@ -85,7 +88,7 @@ def search_shard(codes: np.ndarray, n_words: np.ndarray, p: Phrases) -> tuple[li
     width = end - begin + 1  # with the separator, which is the 0 behind each run
     seg_at = np.concatenate([[0], np.cumsum(width)])
     place = np.arange(seg_at[-1]) - np.repeat(seg_at[:-1], width) + np.repeat(begin, width)
-    index = FMIndex(codes[place], len(p.vocabulary) + 1)
+    index = FMIndex(codes[place], max(len(p.vocabulary), p.unknown) + 1)
     doc_at = np.concatenate([[0], np.cumsum(n_words + 1)])
     cover = np.zeros(len(place) + 1, np.int32)
     pairs = []
@@ -142,7 +145,7 @@ def _search(shared, columns: list[str]):
             at = 0
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 found = words(text.as_py())
-                codes = np.fromiter((get(w, 0) for w in found), np.int32, len(found))
+                codes = np.fromiter((get(w, p.unknown) for w in found), np.int32, len(found))
                 parts += [codes, zero]
                 n_words.append(len(codes))
                 kept += int((codes != 0).sum())
@@ -160,9 +163,9 @@ def _search(shared, columns: list[str]):
     return run
 
 
-def _scan(docs: DataFrame, columns: list[str], rows: list[tuple], window: int) -> tuple[DataFrame, list]:
+def _scan(docs: DataFrame, columns: list[str], rows: list[tuple], window: int, whole: bool) -> tuple[DataFrame, list]:
     spark = docs.sparkSession
-    p = phrases(rows, window)
+    p = phrases(rows, window, whole)
     ids, p.ids = p.ids, list(range(len(p.ids)))
     shared = spark.sparkContext.broadcast(p)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
@@ -170,7 +173,7 @@ def _scan(docs: DataFrame, columns: list[str], rows: list[tuple], window: int) -
     return out, ids
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, spans, item_ids, n_items``.
 
     ``spans`` are the merged word ranges covered by occurrences of windows of the test texts, ``n_hit`` the words in
@@ -178,6 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words have no window; items that share an id, or have none, are one item, and a null id is not listed. Repeated
     documents are judged one by one; an empty table on either side gives no hits. Other columns are not read.
 
+    A shard's index holds the runs of words that the test phrases use, where alone they can occur; ``whole`` indexes all
+    words, for the same result at more cost. A text is never cut, so a shard is as large as its longest text at least.
+
     Test texts above ``block_bytes`` are searched block by block against all documents and the spans merged.
     """
     spark = docs.sparkSession
@@ -186,14 +192,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = tests.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     if n_blocks == 1:
-        out, ids = _scan(base, ["doc_id"], [tuple(r) for r in tests.collect()], window)
+        out, ids = _scan(base, ["doc_id"], [tuple(r) for r in tests.collect()], window, whole)
         out = _named(spark, out, ids, ["doc_id", "n_words", "spans"])
     else:
         base = written(base.withColumn("row_key", F.uuid()), "decontam-docs")
         cut = written(tests.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), "decontam-tests")
         merged = None
         for b in range(n_blocks):
-            out, ids = _scan(base, ["row_key", "doc_id"], [tuple(r) for r in cut.filter(F.col("block") == b).select("item", "text").collect()], window)
+            out, ids = _scan(base, ["row_key", "doc_id"], [tuple(r) for r in cut.filter(F.col("block") == b).select("item", "text").collect()], window, whole)
             out = _named(spark, out, ids, ["row_key", "doc_id", "n_words", "spans"])
             merged = out if merged is None else merged.unionByName(out)
         merged = merged.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.sum("n_items").alias("n_items"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from loomline.llm import decontaminate
 from loomline.llm.fm_index import FMIndex, suffix_ranks
@@ -57,8 +58,8 @@ def test_contamination_matches_brute_force(spark):
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    for block in (decontaminate.BLOCK_BYTES, 100):
-        got = decontaminate.contamination(d, b, block_bytes=block).collect()
+    for block, whole in ((decontaminate.BLOCK_BYTES, False), (decontaminate.BLOCK_BYTES, True), (100, False)):
+        got = decontaminate.contamination(d, b, block_bytes=block, whole=whole).collect()
         assert sorted(((x.doc_id, x.n_words, x.n_hit, list(x.item_ids)) for x in got), key=str) == want
         assert all(x.n_hit == sum(s.end - s.start for s in x.spans) for x in got)
     kept = decontaminate.drop_contaminated(d, b)
@@ -71,3 +72,25 @@ def test_contamination_of_nothing(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [x.n_hit for x in decontaminate.contamination(d, b).collect()] == [0]
     assert decontaminate.contamination(d.limit(0), b).count() == 0
+
+
+def test_shards_end_between_documents(monkeypatch):
+    r = random.Random(8)
+    rows = [(str(i), " ".join(r.choice("abcd") for _ in range(14))) for i in range(4)]
+    docs = [" ".join(r.choice("abcdz") for _ in range(r.randrange(0, 60))) + " " + r.choice(rows)[1] for _ in range(40)]
+    p = decontaminate.phrases(rows)
+
+    class Shared:
+        value = p
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(docs)], ["doc_id", "__text"])
+
+    def found():
+        out = [b for b in decontaminate._search(Shared, ["doc_id"])(iter([batch.slice(0, 7), batch.slice(7)]))]
+        return len(out), [x for b in out for x in b.to_pylist()]
+
+    one, want = found()
+    for name in ("SHARD_INDEXED", "SHARD_READ"):
+        monkeypatch.setattr(decontaminate, name, 100)
+        n, got = found()
+        assert n > one == 1 and got == want
