@@ -193,7 +193,7 @@ def bisected(comparisons, ridge=1e-3):
 
 def test_unclamped_frozen_scores_are_the_minimum(spark):
     want = {(x.item, x.criterion): bisected(x.l) for x in M.frozen_comparisons(spark, DATA).collect()}
-    got = {(x.item, x.criterion): x.score for x in QUERIES["q_frozen_score_unclamped"](spark, DATA).collect()}
+    got = {(x.item, x.criterion): x.score for x in QUERIES["q_frozen_score_newton"](spark, DATA).collect()}
     assert want.keys() == got.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-3
     assert len({round(x, 3) for x in got.values() if abs(x) > 6}) > 2
