@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +52,56 @@ def cache_records(spark: SparkSession, path: str) -> DataFrame:
     return r.filter("request_hash is not null")
 
 
+def payload(body: Any, field: str) -> dict | None:
+    """The first object with a list ``field`` in a parsed answer, in reading order, wherever it is nested or quoted as JSON."""
+    todo = [body]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) and f'"{field}"' in x:
+            try:
+                x = json.loads(x)
+            except ValueError:
+                continue
+        if isinstance(x, dict) and isinstance(x.get(field), list):
+            return x
+        if isinstance(x, dict | list):
+            todo += reversed(list(x.values()) if isinstance(x, dict) else x)
+    return None
+
+
+def batch_scores(spark: SparkSession, path: str, field: str = "scores") -> DataFrame:
+    """Scores of a batch's output lines: ``rep, item, name, score``, a row per score.
+
+    ``custom_id`` has three parts, ``kind:b<rep>:<item>``; lines with another id, or without a payload, give no rows.
+    """
+
+    def found(bodies: pd.Series) -> pd.Series:
+        out = []
+        for b in bodies:
+            try:
+                got = payload(json.loads(b), field) if b else None
+            except ValueError:
+                got = None
+            out.append(None if got is None else json.dumps(got[field]))
+        return pd.Series(out, dtype=object)
+
+    lines = spark.read.text(path).select(F.get_json_object("value", "$.custom_id").alias("id"), F.get_json_object("value", "$.response.body").alias("body"))
+    parts = F.split("id", ":")
+    lines = lines.filter(F.size(parts) == 3).select(F.substring(parts[1], 2, 9).try_cast("int").alias("rep"), parts[2].alias("item"), F.pandas_udf(found, "string")("body").alias("found"))
+    e = F.explode(F.from_json("found", "array<struct<dimension:string,score:double>>")).alias("e")
+    return lines.select("rep", "item", e).select("rep", "item", F.col("e.dimension").alias("name"), "e.score")
+
+
+def layered(*settings: dict) -> dict:
+    """Settings of which each layer (shared, corpus, run) overrides those before it, nested ones name by name."""
+    out: dict = {}
+    for layer in settings:
+        for name, value in layer.items():
+            both = isinstance(value, dict) and isinstance(out.get(name), dict)
+            out[name] = layered(out[name], value) if both else value
+    return out
+
+
 def write_chunked_lines(df: DataFrame, path: str, order: str, max_bytes: int = 150_000_000) -> None:
     """JSON lines in files below ``max_bytes``, rows in ``order``.
 

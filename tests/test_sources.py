@@ -28,6 +28,20 @@ def test_loaders(spark, tmp_path):
     assert [(r.request_hash, r.usage.input_tokens) for r in loaders.cache_records(spark, str(tmp_path / "c")).collect()] == [("h", 5)]
 
 
+def test_scores_are_found_wherever_a_batch_puts_them(spark, tmp_path):
+    scores = [{"dimension": "tone", "score": 3}, {"dimension": "depth", "score": 4.5}]
+    bodies = [{"output": [{"content": [{"text": json.dumps({"scores": scores})}]}]}, {"a": {"scores": "none"}, "b": [{"scores": scores[:1]}]}, {"text": '{"scores" broken'}, {}]
+    lines = [{"custom_id": f"m:b00{i}:L{i}", "response": {"body": b}} for i, b in enumerate(bodies)] + [{"custom_id": "other", "response": {"body": bodies[0]}}, {"custom_id": "m:b7:L9"}]
+    (tmp_path / "out.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = sorted(map(tuple, loaders.batch_scores(spark, str(tmp_path / "out.jsonl")).collect()))
+    assert got == [(0, "L0", "depth", 4.5), (0, "L0", "tone", 3.0), (1, "L1", "tone", 3.0)]
+
+
+def test_settings_are_layered():
+    a, b = {"x": 1, "n": {"p": 1, "q": 2}}, {"n": {"q": 3}, "y": [1]}
+    assert loaders.layered(a, b, {"y": []}) == {"x": 1, "n": {"p": 1, "q": 3}, "y": []} and a["n"]["q"] == 2
+
+
 def test_lines_are_written_in_bounded_files(spark, tmp_path):
     df = spark.range(500).withColumn("body", F.repeat(F.lit("x"), 50))
     loaders.write_chunked_lines(df, str(tmp_path / "out"), "id", 5000)
