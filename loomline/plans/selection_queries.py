@@ -47,5 +47,5 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_near_orthogonal")
 def near_orthogonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced design of 40 items and five dials, the best of 64 candidates."""
-    return selection.near_orthogonal(table(spark, sf_dir, "region"), 40, [3, 3, 2, 2, 4], 64)
+    """A balanced design of 40 items and five dials, the best of 256 candidates."""
+    return selection.near_orthogonal(table(spark, sf_dir, "region"), 40, [3, 3, 2, 2, 4], 256)

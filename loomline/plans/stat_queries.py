@@ -148,7 +148,7 @@ def recovery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_bootstrap_bands", sql(""",
 u AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN (length > 1500) = (quality = 1) THEN 1.0 ELSE 0.0 END AS a, CASE WHEN (commas > 12) = (quality = 1) THEN 1.0 ELSE 0.0 END AS b FROM items JOIN labels USING (doc_id)),
-x AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 8) AS BIGINT) % (SELECT count(*) FROM u) AS i FROM (SELECT unnest(range(40)) AS rep), (SELECT unnest(range((SELECT count(*) FROM u))) AS pos)),
+x AS (SELECT rep, CAST('0x' || substr(md5('0:' || rep || ':' || pos), 1, 8) AS BIGINT) % (SELECT count(*) FROM u) AS i FROM (SELECT unnest(range(400)) AS rep), (SELECT unnest(range((SELECT count(*) FROM u))) AS pos)),
 m AS (SELECT rep, avg(a) AS a, avg(b) AS b FROM x JOIN u USING (i) GROUP BY 1)
 SELECT round(quantile_cont(a, 0.025), 6) AS a_lo, round(quantile_cont(a, 0.975), 6) AS a_hi, round(quantile_cont(b, 0.025), 6) AS b_lo, round(quantile_cont(b, 0.975), 6) AS b_hi,
   round(quantile_cont(a - b, 0.025), 6) AS d_lo, round(quantile_cont(a - b, 0.975), 6) AS d_hi, count(*) FILTER (a > b) AS wins FROM m"""))
@@ -157,7 +157,7 @@ def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = items(spark, sf_dir).drop("i").join(table(spark, sf_dir, "labels"), "doc_id")
     right = lambda c: F.when(c == (F.col("quality") == 1), 1.0).otherwise(0.0)
     u = numbered(t.select("doc_id", right(F.col("length") > 1500).alias("a"), right(F.col("commas") > 12).alias("b")), ["doc_id"])
-    m = stats.replicate_index(u, u.count(), 40).join(u, "i").groupBy("rep").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).withColumn("d", F.col("a") - F.col("b"))
+    m = stats.replicate_index(u, u.count(), 400).join(u, "i").groupBy("rep").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).withColumn("d", F.col("a") - F.col("b"))
     band = [F.round(F.percentile(c, F.lit(p)), 6).alias(f"{c}_{n}") for c in ("a", "b", "d") for n, p in (("lo", 0.025), ("hi", 0.975))]
     return m.agg(*band, F.count_if(F.col("d") > 0).alias("wins"))
 

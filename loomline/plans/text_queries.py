@@ -181,9 +181,9 @@ def hash_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q_html_unescape", r"""
-SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""")
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g') AS body FROM pages""")
 def html_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("t")).select("page_id", T.html_unescaped(F.col("t")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", T.html_unescaped(F.col("html")).alias("body"))
 
 
 @query("q_rounding", """
