@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ensem
     first = [F.xxhash64("doc_id"), "doc_id", "y"]
     few = usable.orderBy(*first).limit(fit_rows)
     # where an id repeats, each of its rows meets each of its labels; the bound holds for the pairs
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(*first, F.xxhash64("text")).limit(fit_rows)
-    rows = sample.select("doc_id", "y", statistics(F.col("text")).alias("x")).toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), statistics(F.col("text")).alias("x"))
+    rows = sample.orderBy(*first, "h").limit(fit_rows).select("doc_id", "y", "x").toArrow()
     x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
     return fit(NAMES, x[order], rows["y"].to_numpy()[order])
