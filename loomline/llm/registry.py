@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_model, mixing, paragraphs, quality, simhash, toxicity, url_rules, warc
+from . import collocations, decontaminate, exact_dedup, language_model, lexical, mixing, paragraphs, pieces, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_language_model": language_model.query,
+    "op11_lexical_search": lexical.query,
+    "op12_collocations": collocations.query,
+    "op13_sentencepiece": pieces.query,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +31,6 @@ SQL: dict[str, str] = {
     "op5_url_rules": url_rules.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_lexical_search": lexical.SQL,
+    "op12_collocations": collocations.SQL,
 }
