@@ -1,17 +1,20 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps over contracted edges."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, shared_dir
 from .skew import hot_safe_join
 
-#: Up to so many distinct edges (a few MB of numbers) are joined in one task; more in distributed star steps.
-FEW_EDGES = 500_000
+#: Bytes of edges that a task contracts at once.
+BUFFER = 1 << 25
 
 
 def _star(edges: DataFrame, total: int) -> DataFrame:
@@ -20,52 +23,86 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
     return hot_safe_join(edges, low, ["u"], "n", total, "inner")
 
 
-def labels(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the edges and the smallest node of each one's component, by passing minima on and jumping pointers."""
-    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)], at[len(src) :]
-    low = np.arange(len(nodes))
+def labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component among nodes 0 to n - 1, by passing minima on and jumping pointers."""
+    low = np.arange(n)
     while True:
-        least = np.minimum(low[a], low[b])
+        least = np.minimum(low[src], low[dst])
         new = low.copy()
-        for end in (low[a], low[b]):  # whole trees move, not the node alone
+        for end in (low[src], low[dst]):  # whole trees move, not the node alone
             np.minimum.at(new, end, least)
         while (new[new] != new).any():
             new = new[new]
         new = new[low]
         if (new == low).all():
-            return nodes, nodes[low]
+            return low
         low = new
 
 
-def connected_components(edges: DataFrame, max_steps: int = 100, few: int = FEW_EDGES) -> DataFrame:
+def contracted(u: pa.Array, v: pa.Array) -> pa.RecordBatch:
+    """A star around the smallest node of each component of these edges: the same components with the fewest edges."""
+    both = pa.concat_arrays([u, v]).dictionary_encode()
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[both.indices.to_numpy()]
+    low = labels(at[: len(u)], at[len(u) :], len(order))
+    leaf = np.flatnonzero(low < np.arange(len(low)))
+    take = lambda i: both.dictionary.take(pa.array(order[i], pa.int64()))
+    return pa.RecordBatch.from_arrays([take(leaf), take(low[leaf])], ["u", "v"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def star() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        one = lambda c: pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0)
+        return contracted(one(t["u"]), one(t["v"]))
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) > BUFFER:
+            out = star()
+            if out.nbytes > BUFFER // 2:  # little to gain from holding it any longer
+                yield out
+                held = []
+            else:
+                held = [out]
+    if held:
+        yield star()
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+
+
+def connected_components(edges: DataFrame, max_steps: int = 100, contract: bool = True) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges`` has columns ``src`` and ``dst`` of one orderable type; loops, repeats, both directions and rows with
     a null are allowed and add nothing. Returns ``node, component`` with the smallest node of each component, for
     nodes that have an edge to another node; an empty input gives an empty result.
 
-    Up to ``few`` distinct edges are joined in one task; the result is the same. With more, each step takes two
-    shuffles of at most the edges there are and is written to the shared folder, so lineage stays short; a node's
-    edges are pre-aggregated to a minimum, and those of nodes with many are joined with it where they are.
+    Every task first contracts the edges it holds, 32 MB at a time, to stars with the same components (not with
+    ``contract=False``; the result is the same). Then large-star and small-star steps alternate until nothing changes,
+    whatever the size: each takes shuffles of at most the edges there are and is written to the shared folder, so
+    lineage stays short; a node's edges are pre-aggregated to a minimum, and those of nodes with many are joined with
+    it where they are.
     """
     spark = edges.sparkSession
     clean = edges.filter("src is not null and dst is not null and src <> dst")
-    now = clean.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    now = clean.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    kind = now.schema["u"].dataType.simpleString()
+    if contract:
+        now = now.mapInArrow(_contract, f"u {kind}, v {kind}")
     path = shared_dir(spark, "components")
-    now.write.parquet(path)
+    now.distinct().write.parquet(path)
     now = spark.read.schema(now.schema).parquet(path)
-    total = now.count()
-    if total <= few:
-        kind = now.schema["u"].dataType.simpleString()
-
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            nodes, low = labels(pdf["u"].to_numpy(), pdf["v"].to_numpy())
-            return pd.DataFrame({"node": nodes, "component": low})
-
-        return now.groupBy(F.lit(0).alias("one")).applyInPandas(local, f"node {kind}, component {kind}")
-    before = None
-    for _ in range(max_steps):
+    before = _state(now)
+    total = before[0]
+    for _ in range(max_steps if total else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _star(large, 2 * total)
@@ -75,11 +112,12 @@ def connected_components(edges: DataFrame, max_steps: int = 100, few: int = FEW_
         now = spark.read.schema(small.schema).parquet(new)
         remove(spark, path)
         path = new
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
-        if state == before:
+        state = _state(now)
+        if state == before:  # stars around the smallest nodes stay as they are, nothing else does
             break
         before, total = state, state[0]
     else:
-        raise RuntimeError(f"components did not settle in {max_steps} steps")
+        if total:
+            raise RuntimeError(f"components did not settle in {max_steps} steps")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,6 +23,16 @@ def priced(requests: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumns({"price_in": F.coalesce("p.price_in", F.lit(DEFAULT_PRICE[0])), "price_out": F.coalesce("p.price_out", F.lit(DEFAULT_PRICE[1]))}).drop("p")
 
 
+#: Units of ``cost_units`` in a USD: half hundredths of a cent a million tokens.
+UNITS = 2e10
+
+
+def cost_units(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, batch: Column) -> Column:
+    """A cost as a whole number of ``1 / UNITS`` USD, so that sums are exact in any order; prices have four decimals."""
+    whole = lambda c: F.round(c * 10_000).cast("long")
+    return (tokens_in * whole(price_in) + tokens_out * whole(price_out)) * F.when(batch, int(2 * BATCH_SHARE)).otherwise(2)
+
+
 def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, batch: Column) -> Column:
     full = (tokens_in * price_in + tokens_out * price_out) / 1e6
     return full * F.when(batch, BATCH_SHARE).otherwise(1.0)

@@ -17,8 +17,9 @@ from .stat_queries import DIALS_SQL, MATCHED_SQL, NAMES, dials, features, long,
 REPS = 100
 MD5 = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 #: Forecasts of three gates per document, a hashed outcome, a masked seventh, and the observed rate as reference.
+#: Forecasts are multiples of 1/512, so that their sums are exact in any order.
 CELLS_SQL = f"""
-WITH f AS (SELECT doc_id AS t, source, lang, k, ((doc_id * 37 + k * 11) % 101 + 0.5::DOUBLE) / 102.0::DOUBLE AS p,
+WITH f AS (SELECT doc_id AS t, source, lang, k, ((doc_id * 37 + k * 11) % 101 * 5 + 6) / 512.0::DOUBLE AS p,
     CASE WHEN {MD5.format("doc_id || ':' || k")} % 100 < (doc_id * 37 + k * 11) % 101 - 5 * k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM documents, (SELECT CAST(unnest(range(3)) AS INTEGER) AS k) WHERE (doc_id + k) % 7 <> 0),
 c AS (SELECT *, avg(y) OVER (PARTITION BY k) AS pr FROM f)"""
 U = f"{MD5.format('''rep || ':' || t''')} / 4294967296.0::DOUBLE"
@@ -33,7 +34,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("t"), "source", "lang", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).filter("(t + k) % 7 <> 0")
     base = (F.col("t") * 37 + F.col("k") * 11) % 101
     h = md5_number(F.concat_ws(":", F.col("t").cast("string"), F.col("k").cast("string"))) % 100
-    c = d.withColumns({"p": (base + 0.5) / 102.0, "y": F.when(h < base - 5 * F.col("k"), 1.0).otherwise(0.0)})
+    c = d.withColumns({"p": (base * 5 + 6) / 512.0, "y": F.when(h < base - 5 * F.col("k"), 1.0).otherwise(0.0)})
     return c.join(F.broadcast(c.groupBy("k").agg(F.avg("y").alias("pr"))), "k")
 
 

@@ -139,31 +139,31 @@ def pointwise_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 COST_SQL = f"""
 WITH prices(name, pi, po) AS (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in PRICES)}),
 u AS (SELECT event_id, user_id % 10 AS rep, 'judge' AS model, 1000 + event_id % 700 AS tin, 100 + event_id % 90 AS tout FROM events),
-c AS (SELECT u.*, (tin * pi + tout * po) / 1e6 * 0.5 AS usd FROM u JOIN prices ON name = model)"""
+c AS (SELECT u.*, tin * CAST(round(pi * 10000) AS BIGINT) + tout * CAST(round(po * 10000) AS BIGINT) AS units FROM u JOIN prices ON name = model)"""
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch requests of ten replicates with tokens and price."""
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("rep"), F.lit("judge").alias("model"), (1000 + F.col("event_id") % 700).alias("tin"), (100 + F.col("event_id") % 90).alias("tout"))
     e = costs.priced(e, spark.createDataFrame(list(PRICES), "name string, price_in double, price_out double"))
-    return e.withColumn("usd", costs.usd(F.col("tin"), F.col("tout"), F.col("price_in"), F.col("price_out"), F.lit(True)))
+    return e.withColumn("units", costs.cost_units(F.col("tin"), F.col("tout"), F.col("price_in"), F.col("price_out"), F.lit(True)))
 
 
-@query("q_replicate_costs", COST_SQL + " SELECT rep, count(*) AS n, CAST(sum(tin) AS BIGINT) AS tokens_in, CAST(sum(tout) AS BIGINT) AS tokens_out, round(sum(usd), 6) AS usd FROM c GROUP BY 1")
+@query("q_replicate_costs", COST_SQL + " SELECT rep, count(*) AS n, CAST(sum(tin) AS BIGINT) AS tokens_in, CAST(sum(tout) AS BIGINT) AS tokens_out, sum(units)::DOUBLE / 2e10::DOUBLE AS usd FROM c GROUP BY 1")
 def replicate_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage(spark, sf_dir).groupBy("rep").agg(F.count("*").alias("n"), F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.round(F.sum("usd"), 6).alias("usd"))
+    return usage(spark, sf_dir).groupBy("rep").agg(F.count("*").alias("n"), F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), (F.sum("units") / costs.UNITS).alias("usd"))
 
 
 @query("q_drawn_replicate_costs", COST_SQL + f""",
-r AS (SELECT rep AS i, sum(usd) AS usd FROM c GROUP BY 1),
+r AS (SELECT rep AS i, sum(units) AS units FROM c GROUP BY 1),
 x AS (SELECT b, j, {MD5.format("'cost:' || b || ':' || j")} % 10 AS i FROM (SELECT unnest(range(50)) AS b), (SELECT unnest(range(4)) AS j))
-SELECT CAST(b AS INTEGER) AS b, round(sum(r.usd) + 0.01 * b + 0.2, 6) AS usd FROM x JOIN r USING (i) GROUP BY b""")
+SELECT CAST(b AS INTEGER) AS b, (sum(r.units) + 200000000 * b + 4000000000)::DOUBLE / 2e10::DOUBLE AS usd FROM x JOIN r USING (i) GROUP BY b""")
 def drawn_replicate_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a replicate costs: four elicitations drawn with replacement, a fusion call of its own, and scoring."""
-    r = usage(spark, sf_dir).groupBy(F.col("rep").alias("i")).agg(F.sum("usd").alias("usd"))
+    r = usage(spark, sf_dir).groupBy(F.col("rep").alias("i")).agg(F.sum("units").alias("units"))
     x = spark.range(50).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
     x = x.withColumn("i", md5_number(F.concat_ws(":", F.lit("cost"), F.col("b").cast("string"), F.col("j").cast("string"))) % 10)
-    return x.join(F.broadcast(r), "i").groupBy("b").agg(F.sum("usd").alias("usd")).select("b", F.round(F.col("usd") + 0.01 * F.col("b") + 0.2, 6).alias("usd"))
+    return x.join(F.broadcast(r), "i").groupBy("b").agg(F.sum("units").alias("units")).select("b", ((F.col("units") + F.lit(200_000_000).cast("long") * F.col("b") + 4_000_000_000) / costs.UNITS).alias("usd"))
 
 
 @query("q_cost_projection", COST_SQL + """,

@@ -224,14 +224,14 @@ PRICES = (("gpt-small", 0.25, 2.0), ("gpt-small-mini", 0.1, 0.8), ("judge", 1.0,
 WITH prices(name, pi, po) AS (VALUES {', '.join(f"('{n}', {a}, {b})" for n, a, b in PRICES)}),
 q AS (SELECT event_id, ['gpt-small', 'gpt-small-mini-2026', 'gpt-small-2026', 'judge', 'other'][1 + event_id % 5] AS model, 1000 + event_id % 700 AS tin, 100 + event_id % 90 AS tout, event_id % 2 = 0 AS batch FROM events),
 m AS (SELECT q.*, coalesce(arg_max(pi, length(name)), 2.5) AS pi, coalesce(arg_max(po, length(name)), 10.0) AS po FROM q LEFT JOIN prices ON starts_with(model, name) GROUP BY ALL)
-SELECT model, count(*) AS n, CAST(sum(tin) AS BIGINT) AS input_tokens, round(sum((tin * CAST(pi AS DOUBLE) + tout * CAST(po AS DOUBLE)) / 1e6 * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1::DOUBLE END), 5) AS usd FROM m GROUP BY 1""")
+SELECT model, count(*) AS n, CAST(sum(tin) AS BIGINT) AS input_tokens, sum((tin * CAST(round(pi * 10000) AS BIGINT) + tout * CAST(round(po * 10000) AS BIGINT)) * CASE WHEN batch THEN 1 ELSE 2 END)::DOUBLE / 2e10::DOUBLE AS usd FROM m GROUP BY 1""")
 def price_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("gpt-small", "gpt-small-mini-2026", "gpt-small-2026", "judge", "other")))
     usage = F.concat(F.lit('{"prompt_tokens": '), 1000 + F.col("event_id") % 700, F.lit(', "completion_tokens": '), 100 + F.col("event_id") % 90, F.lit("}"))
     e = table(spark, sf_dir, "events").select(F.get(names, (F.col("event_id") % 5).cast("int")).alias("model"), (F.col("event_id") % 2 == 0).alias("batch"), usage.alias("usage"))
     e = costs.priced(e.withColumns(costs.tokens_used(F.col("usage"))), spark.createDataFrame(list(PRICES), "name string, price_in double, price_out double"))
-    cost = costs.usd(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out"), F.col("batch"))
-    return e.groupBy("model").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum(cost), 5).alias("usd"))
+    cost = costs.cost_units(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out"), F.col("batch"))
+    return e.groupBy("model").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), (F.sum(cost) / costs.UNITS).alias("usd"))
 
 
 @query("q_cache_partition", """
