@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,55 @@ def poisson_weight(rep: Column, unit: Column) -> Column:
     return F.when(rep == 0, 1).otherwise(n)
 
 
-def resampled_bins(cells: DataFrame, by: list[str], unit: str, reps: int, bins: int = 10) -> DataFrame:
+SUMS = ("n", "sp", "sy", "se", "sr")
+#: Units that are weighed for all replicates at once.
+UNITS = 1024
+
+
+def weights(hashes: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) counts of units (in rows, by 64-bit hashes) in replicates 1 to ``reps``; replicate 0 holds all once."""
+    z = hashes.astype(np.uint64)[:, None] + np.arange(reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ z >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
+    out = np.searchsorted(np.array(POISSON), u, side="right").astype(float)
+    out[:, 0] = 1.0
+    return out
+
+
+def _weighed(by: list[str], reps: int):
+    """Sums of a batch for all replicates: the weights of its units times its rows, by group and bin."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, g in frame.groupby([*by, "bin"], dropna=False, sort=False):
+                total = np.zeros((reps + 1, len(SUMS)))
+                for i in range(0, len(g), UNITS):
+                    part = g.iloc[i : i + UNITS]
+                    total += weights(part["h"].to_numpy().view(np.uint64), reps).T @ part[list(SUMS)].to_numpy(float)
+                yield pd.DataFrame([{**dict(zip([*by, "bin"], key, strict=True)), "sums": [row.tolist() for row in total]}])
+
+    return run
+
+
+def resampled_bins(cells: DataFrame, by: list[str], unit: str, reps: int, bins: int = 10, md5: bool = False) -> DataFrame:
     """Per group, replicate and bin the sums that all statistics need.
 
     ``cells`` has ``p, y, pr`` (forecast, outcome, reference forecast) and the resampled ``unit``: all cells of a unit
-    get its weight. Cells are summed by unit and bin before they are copied for the replicates.
+    get its weight. Cells are summed by unit and bin first. A task multiplies its units' weights with their sums, so a
+    row a group, bin and task is shuffled and no row is copied for a replicate; with ``md5`` the weights are those of
+    ``poisson_weight``, which SQL has too, and rows are copied.
     """
     se = lambda c: F.sum(F.pow(F.col(c) - F.col("y"), F.lit(2.0)))
     rows = cells.withColumn("bin", bin_index(F.col("p"), bins)).groupBy(*by, unit, "bin")
     rows = rows.agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("y").alias("sy"), se("p").alias("se"), se("pr").alias("sr"))
+    if not md5:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
+        parts = rows.withColumn("h", F.xxhash64(unit)).drop(unit).mapInPandas(_weighed(by, reps), f"{kinds + ', ' if by else ''}bin int, sums array<array<double>>")
+        parts = parts.select(*by, "bin", F.posexplode("sums").alias("rep", "s"))
+        return parts.groupBy(*by, "rep", "bin").agg(F.sum(F.get("s", F.lit(0))).cast("long").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(c) for i, c in enumerate(SUMS) if i])
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", poisson_weight(F.col("rep"), F.col(unit)))
-    return rows.groupBy(*by, "rep", "bin").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "sp", "sy", "se", "sr")])
+    return rows.groupBy(*by, "rep", "bin").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS])
 
 
 def statistics_of(bins: DataFrame, by: list[str]) -> DataFrame:
@@ -51,13 +92,13 @@ def intervals(stats: DataFrame, by: list[str], names: tuple[str, ...], level: fl
     return stats.groupBy(*by).agg(F.max(F.when(F.col("rep") == 0, F.col("n"))).alias("n"), *out)
 
 
-def calibration_intervals(cells: DataFrame, by: list[str], unit: str, reps: int = 2000, bins: int = 10, level: float = 0.95) -> DataFrame:
-    return intervals(statistics_of(resampled_bins(cells, by, unit, reps, bins), [*by, "rep"]), by, STATS, level)
+def calibration_intervals(cells: DataFrame, by: list[str], unit: str, reps: int = 2000, bins: int = 10, level: float = 0.95, md5: bool = False) -> DataFrame:
+    return intervals(statistics_of(resampled_bins(cells, by, unit, reps, bins, md5), [*by, "rep"]), by, STATS, level)
 
 
-def bin_rates(cells: DataFrame, by: list[str], unit: str, reps: int = 2000, bins: int = 10, level: float = 0.95) -> DataFrame:
+def bin_rates(cells: DataFrame, by: list[str], unit: str, reps: int = 2000, bins: int = 10, level: float = 0.95, md5: bool = False) -> DataFrame:
     """Mean forecast and observed rate per bin, with percentile bounds of the rate over replicates that hold the bin."""
-    b = resampled_bins(cells, by, unit, reps, bins)
+    b = resampled_bins(cells, by, unit, reps, bins, md5)
     n = F.when(F.col("n") > 0, F.col("n"))
     b = b.select(*by, "bin", "rep", "n", (F.col("sp") / n).alias("p_mean"), (F.col("sy") / n).alias("y_mean"))
     return intervals(b, [*by, "bin"], ("p_mean", "y_mean"), level)

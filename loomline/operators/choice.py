@@ -45,25 +45,16 @@ def frozen_score(comparisons: Column, ridge: float = 1e-3, steps: int = 12) -> C
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
 
 
-def fit_gated(cells: DataFrame, run: str = "run", ridge: float = 1e-3) -> DataFrame:
-    """Gated fits, one per ``run``, of dense cells ``run, t, a, b, k, x``: a row per criterion with kappa and rho."""
+HOLISTIC = "gamma double, beta double, se_gamma double, se_beta double, spread double, noise double, se_spread double, spread_denoised double, kappa double, kappa_winner double, rho double, sign double, nll double, restart_gap double, accuracy double, steps int"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index=["t", "a", "b"], columns="k", values="x").sort_index()
-        pairs = wide.index.to_frame()[["a", "b"]].to_numpy()
-        nodes, numbers = np.unique(pairs, return_inverse=True)
-        m = kernels.Gated(numbers.reshape(pairs.shape), wide.to_numpy(float), len(nodes), ridge)
-        p, steps = m.fit()
-        s, g, b = m.split(p)
-        d = m.diagnostics(p)
-        return pd.DataFrame({run: pdf[run].iloc[0], "k": wide.columns, "gamma": g, "beta": b, "spread": s.std(axis=0), "kappa": [x for x, _ in d], "rho": [x for _, x in d], "nll": m.value(p), "grad": float(np.abs(m.slope(p)).max()), "steps": steps})
 
-    kind = cells.schema[run].dataType.simpleString()
-    return cells.groupBy(run).applyInPandas(fit, f"{run} {kind}, k int, gamma double, beta double, spread double, kappa double, rho double, nll double, grad double, steps int")
+def fit_holistic(cells: DataFrame, run: str = "run", ridge: float = 1e-3, seed: int = 0) -> DataFrame:
+    """Holistic fits, one per ``run``, of dense cells ``run, t, a, b, w, k, r``; a row per criterion.
 
-
-def fit_holistic(cells: DataFrame, run: str = "run", ridge: float = 1e-3) -> DataFrame:
-    """Holistic fits, one per ``run``, of dense cells ``run, t, a, b, w, k, r``."""
+    ``kappa`` and ``rho`` are those of the mention channel, ``kappa_winner`` that of the winners. ``sign`` is the
+    correlation of scores with wins while mentioned; ``restart_gap`` is the difference in value to a fit from a random
+    start, near 0 as the likelihood is concave. A run is one task of K n^2 numbers for K criteria and n items.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index=["t", "a", "b", "w"], columns="k", values="r").sort_index()
@@ -71,13 +62,37 @@ def fit_holistic(cells: DataFrame, run: str = "run", ridge: float = 1e-3) -> Dat
         nodes, numbers = np.unique(at[["a", "b"]].to_numpy(), return_inverse=True)
         m = kernels.Holistic(numbers.reshape(-1, 2), at["w"].to_numpy(), wide.to_numpy(float), len(nodes), ridge)
         p, steps = m.fit()
+        again, _ = m.fit(start=np.random.default_rng(seed).normal(0, 0.1, m.size))
         s, g, b = m.split(p)
-        d = m.diagnostics(p)
         z, _ = m.logits(p)
-        return pd.DataFrame({run: pdf[run].iloc[0], "k": wide.columns, "gamma": g, "beta": b, "spread": s.std(axis=0), "kappa": [x for x, _ in d], "rho": [x for _, x in d], "nll": m.value(p), "accuracy": float(((z > 0) == (m.w > 0)).mean()), "steps": steps})
+        return pd.DataFrame({run: pdf[run].iloc[0], "k": wide.columns, "gamma": g, "beta": b, **m.inference(p), "sign": m.signs(p), "nll": m.value(p), "restart_gap": abs(m.value(p) - m.value(again)), "accuracy": float(((z > 0) == (m.w > 0)).mean()), "steps": steps})[[run, "k", *[c.split()[0] for c in HOLISTIC.split(", ")]]]
+
+    kind = cells.schema[run].dataType.simpleString()
+    return cells.groupBy(run).applyInPandas(fit, f"{run} {kind}, k int, {HOLISTIC}")
+
+
+def holistic_forecasts(cells: DataFrame, run: str = "run", ridge: float = 1e-3) -> DataFrame:
+    """Forecasts of held-out pairs: ``run, held, t, k, w, r, p_win, p_mention``, from fits without their fold.
+
+    Dense cells ``run, t, a, b, w, k, r, fold``; every run and fold is a fit of its own, side by side. ``p_mention``
+    takes the winner as known, as the model does. An item that no training pair has scores 0.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index=["t", "a", "b", "w", "fold"], columns="k", values="r").sort_index()
+        at = wide.index.to_frame(index=False)
+        nodes, numbers = np.unique(at[["a", "b"]].to_numpy(), return_inverse=True)
+        pairs, w, r = numbers.reshape(-1, 2), at["w"].to_numpy(), wide.to_numpy(float)
+        out = (at["fold"] == pdf["held"].iloc[0]).to_numpy()
+        p, _ = kernels.Holistic(pairs[~out], w[~out], r[~out], len(nodes), ridge).fit()
+        z, zm = kernels.Holistic(pairs[out], w[out], r[out], len(nodes), ridge).logits(p)
+        k, n = r.shape[1], int(out.sum())
+        flat = {"t": np.repeat(at["t"][out], k), "k": np.tile(wide.columns, n), "w": np.repeat(w[out], k), "r": r[out].ravel().astype(int), "p_win": np.repeat(kernels.sigmoid(z), k), "p_mention": kernels.sigmoid(zm).ravel()}
+        return pd.DataFrame({run: pdf[run].iloc[0], "held": pdf["held"].iloc[0], **flat})
 
     kind = cells.schema[run].dataType.simpleString()
-    return cells.groupBy(run).applyInPandas(fit, f"{run} {kind}, k int, gamma double, beta double, spread double, kappa double, rho double, nll double, accuracy double, steps int")
+    folds = cells.select(run, F.col("fold").alias("held")).distinct()
+    return cells.join(folds, run).groupBy(run, "held").applyInPandas(fit, f"{run} {kind}, held int, t long, k int, w int, r int, p_win double, p_mention double")
 
 
 def fit_bradley_terry(comparisons: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFrame:

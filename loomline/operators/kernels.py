@@ -15,22 +15,18 @@ def log_sigmoid(z: np.ndarray) -> np.ndarray:
     return np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
 
 
-def incidence(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Rows with 1 at ``a`` and -1 at ``b``."""
-    m = np.zeros((len(a), n))
-    m[np.arange(len(a)), a] += 1
-    m[np.arange(len(a)), b] -= 1
-    return m
-
-
 def newton(x: np.ndarray, value, slope, curve, tol: float, steps: int = 200) -> tuple[np.ndarray, int]:
-    """Minimise by damped Newton steps with a positive definite ``curve``; halve a step until the value falls."""
+    """Minimise by damped Newton steps; halve a step until the value falls.
+
+    ``curve`` gives a positive definite matrix, or a function that solves with it.
+    """
     f = value(x)
     for i in range(steps):
         g = slope(x)
         if np.abs(g).max() < tol:
             return x, i
-        step = np.linalg.solve(curve(x), g)
+        h = curve(x)
+        step = h(g) if callable(h) else np.linalg.solve(h, g)
         t = 1.0
         while t > 1e-10:
             new = x - t * step
@@ -44,118 +40,38 @@ def newton(x: np.ndarray, value, slope, curve, tol: float, steps: int = 200) ->
     return x, steps
 
 
-class Gated:
-    """Citation gate and direction gate over a verdict tensor in -1, 0, 1; scores s (n, K), gates g (K), position b."""
-
-    def __init__(self, pairs: np.ndarray, x: np.ndarray, n: int, ridge: float = 1e-3):
-        self.a, self.b, self.x, self.n, self.ridge = pairs[:, 0], pairs[:, 1], x, n, ridge
-        self.K = x.shape[1]
-        self.cited, self.pos = (x != 0).astype(float), (x == 1).astype(float)
-
-    def split(self, p: np.ndarray):
-        n, k = self.n, self.K
-        return p[: n * k].reshape(n, k), p[n * k : n * k + k], p[-1]
-
-    def logits(self, p: np.ndarray):
-        s, g, b = self.split(p)
-        d = s[self.a] - s[self.b]
-        return d, np.abs(d) + np.log1p(np.exp(-2 * np.abs(d))) + g, d + b
-
-    def value(self, p: np.ndarray) -> float:
-        _, zc, zd = self.logits(p)
-        s = p[: self.n * self.K]
-        ll = np.where(self.cited > 0, log_sigmoid(zc), log_sigmoid(-zc)).sum()
-        ll += (self.pos * log_sigmoid(zd) + (self.cited - self.pos) * log_sigmoid(-zd)).sum()
-        return float(0.5 * self.ridge * (s @ s) - ll)
-
-    def pieces(self, p: np.ndarray):
-        d, zc, zd = self.logits(p)
-        pc, pd, t = sigmoid(zc), sigmoid(zd), np.tanh(d)
-        rc, rd = self.cited - pc, self.pos - self.cited * pd
-        wc, wd = pc * (1 - pc), self.cited * pd * (1 - pd)
-        return t, rc, rd, wc, wd
+def laplacian(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The weighted Laplacian of the graph with an edge a pair."""
+    m = -np.bincount(a * n + b, w, n * n).reshape(n, n)
+    m += m.T
+    m[np.arange(n), np.arange(n)] = 0.0
+    m[np.arange(n), np.arange(n)] = -m.sum(axis=1)
+    return m
 
-    def slope(self, p: np.ndarray) -> np.ndarray:
-        t, rc, rd, _, _ = self.pieces(p)
-        u = -(rc * t + rd)
-        g = self.ridge * p[: self.n * self.K].reshape(self.n, self.K)
-        np.add.at(g, self.a, u)
-        np.add.at(g, self.b, -u)
-        return np.concatenate([g.ravel(), -rc.sum(axis=0), [-rd.sum()]])
-
-    def curve(self, p: np.ndarray) -> np.ndarray:
-        """Expected Hessian: a block per criterion, each with its gate, and one border for the position term."""
-        n, k = self.n, self.K
-        t, _, _, wc, wd = self.pieces(p)
-        h = np.zeros((n * k + k + 1, n * k + k + 1))
-        m = incidence(self.a, self.b, n)
-        for j in range(k):
-            at = np.arange(n) * k + j
-            h[np.ix_(at, at)] = m.T @ (m * (wc[:, j] * t[:, j] ** 2 + wd[:, j])[:, None])
-            c = m.T @ (wc[:, j] * t[:, j])
-            h[at, n * k + j] = h[n * k + j, at] = c
-            h[n * k + j, n * k + j] = wc[:, j].sum()
-            c = m.T @ wd[:, j]
-            h[at, -1] = h[-1, at] = c
-        h[-1, -1] = wd.sum()
-        h[np.arange(n * k), np.arange(n * k)] += self.ridge
-        h[np.arange(n * k, len(h)), np.arange(n * k, len(h))] += 1e-9
-        return h
 
-    def start(self) -> np.ndarray:
-        share = np.clip(self.cited.mean(axis=0), 1e-6, 1 - 1e-6)
-        first = np.clip(self.pos.sum() / max(1.0, self.cited.sum()), 1e-6, 1 - 1e-6)
-        return np.concatenate([np.zeros(self.n * self.K), np.log(share / (1 - share)) - math.log(2), [math.log(first / (1 - first))]])
+def connection(m: np.ndarray) -> float:
+    """Largest over second smallest eigenvalue of a Laplacian; infinite if its graph is not connected."""
+    if len(m) < 2:
+        return math.inf
+    ev = np.linalg.eigvalsh(m)
+    return float(ev[-1] / ev[1]) if ev[1] > 1e-12 * max(1.0, ev[-1]) else math.inf
 
-    def fit(self, tol: float = 1e-6) -> tuple[np.ndarray, int]:
-        p = self.start()
-        # from the symmetric point all slopes of the gate vanish; scores of signed wins break the tie
-        won = np.zeros((self.n, self.K))
-        np.add.at(won, self.a, self.x)
-        np.add.at(won, self.b, -self.x)
-        p[: self.n * self.K] = 0.1 * np.tanh(won).ravel()
-        p, steps = newton(p, self.value, self.slope, self.curve, tol)
-        s, g, b = self.split(p)
-        return np.concatenate([(s - s.mean(axis=0)).ravel(), g, [b]]), steps
 
-    def scores_per_pair(self, p: np.ndarray) -> np.ndarray:
-        """Score vectors (one row per pair) of the log likelihood, for the sandwich's meat."""
-        t, rc, rd, _, _ = self.pieces(p)
-        n, k = self.n, self.K
-        u = np.zeros((len(self.a), n * k + k + 1))
-        rows = np.arange(len(self.a))
-        for j in range(k):
-            d = rc[:, j] * t[:, j] + rd[:, j]
-            np.add.at(u, (rows, self.a * k + j), d)
-            np.add.at(u, (rows, self.b * k + j), -d)
-        u[:, n * k : n * k + k] = rc
-        u[:, -1] = rd.sum(axis=1)
-        return u
-
-    def sandwich(self, p: np.ndarray) -> np.ndarray:
-        inverse = np.linalg.inv(self.curve(p))
-        u = self.scores_per_pair(p) @ inverse
-        return u.T @ u
-
-    def diagnostics(self, p: np.ndarray) -> list[tuple[float, float]]:
-        """(kappa, rho) of each criterion."""
-        t, _, _, wc, wd = self.pieces(p)
-        var = np.diag(self.sandwich(p))[: self.n * self.K].reshape(self.n, self.K)
-        s, _, _ = self.split(p)
-        out = []
-        for j in range(self.K):
-            kappa = condition(self.a, self.b, wc[:, j] * t[:, j] ** 2 + wd[:, j], self.n)
-            spread = s[:, j].var()
-            out.append((kappa, (spread - var[:, j].mean()) / spread if spread > 0 else math.nan))
-        return out
+def condition(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> float:
+    return connection(laplacian(a, b, w, n))
 
 
 class Holistic:
-    """Winner by the sum of all criteria, mentions by each criterion on the winner's side."""
+    """Winner by the sum of all criteria, mentions by each criterion on the winner's side.
+
+    The curvature is a block of n + 1 a criterion (scores and gate) plus, through the winner, one n by n block that all
+    criteria share, and the position term. ``solver`` works on these: K n^2 numbers, not (K n)^2.
+    """
 
     def __init__(self, pairs: np.ndarray, w: np.ndarray, r: np.ndarray, n: int, ridge: float = 1e-3, gates: bool = True):
         self.a, self.b, self.w, self.r, self.n, self.ridge, self.gates = pairs[:, 0], pairs[:, 1], w.astype(float), r.astype(float), n, ridge, gates
         self.K, self.eta = r.shape[1], 2.0 * w - 1
+        self.size = n * self.K + (self.K if gates else 0) + 1
 
     def split(self, p: np.ndarray):
         n, k = self.n, self.K
@@ -172,88 +88,140 @@ class Holistic:
         ll = np.where(self.w > 0, log_sigmoid(z), log_sigmoid(-z)).sum() + np.where(self.r > 0, log_sigmoid(zm), log_sigmoid(-zm)).sum()
         return float(0.5 * self.ridge * (s @ s) - ll)
 
-    def slope(self, p: np.ndarray) -> np.ndarray:
+    def spread(self, w: np.ndarray) -> np.ndarray:
+        """Weights a pair (in rows, one or several columns) put on the first item and taken from the second."""
+        w = w if w.ndim == 2 else w[:, None]
+        return np.stack([np.bincount(self.a, c, self.n) - np.bincount(self.b, c, self.n) for c in w.T], axis=1)
+
+    def misses(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z, zm = self.logits(p)
-        u, v = sigmoid(z) - self.w, sigmoid(zm) - self.r
-        t = u[:, None] + self.eta[:, None] * v
-        g = self.ridge * p[: self.n * self.K].reshape(self.n, self.K)
-        np.add.at(g, self.a, t)
-        np.add.at(g, self.b, -t)
+        return sigmoid(z) - self.w, sigmoid(zm) - self.r
+
+    def slope(self, p: np.ndarray) -> np.ndarray:
+        u, v = self.misses(p)
+        g = self.ridge * p[: self.n * self.K].reshape(self.n, self.K) + self.spread(u[:, None] + self.eta[:, None] * v)
         return np.concatenate([g.ravel(), v.sum(axis=0) if self.gates else [], [u.sum()]])
 
-    def curve(self, p: np.ndarray) -> np.ndarray:
+    def weights(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z, zm = self.logits(p)
-        wz, wm = sigmoid(z) * sigmoid(-z), sigmoid(zm) * sigmoid(-zm)
-        n, k = self.n, self.K
-        m = incidence(self.a, self.b, n)
-        size = n * k + (k if self.gates else 0) + 1
-        h = np.zeros((size, size))
-        shared = m.T @ (m * wz[:, None])
-        for i in range(k):
-            at = np.arange(n) * k + i
-            for j in range(k):
-                h[np.ix_(at, np.arange(n) * k + j)] = shared
-            h[np.ix_(at, at)] += m.T @ (m * wm[:, i][:, None])
-            if self.gates:
-                c = m.T @ (self.eta * wm[:, i])
-                h[at, n * k + i] = h[n * k + i, at] = c
-                h[n * k + i, n * k + i] = wm[:, i].sum()
-            h[at, -1] = h[-1, at] = m.T @ wz
-        h[-1, -1] = wz.sum()
-        h[np.arange(n * k), np.arange(n * k)] += self.ridge
-        h[np.arange(n * k, size), np.arange(n * k, size)] += 1e-9
-        return h
+        return sigmoid(z) * sigmoid(-z), sigmoid(zm) * sigmoid(-zm)
+
+    def solver(self, p: np.ndarray, jitter: float = 1e-9):
+        """A function that solves curvature times columns = right sides (``size`` rows).
 
-    def fit(self, tol: float = 1e-7) -> tuple[np.ndarray, int]:
-        p, steps = newton(np.zeros(self.n * self.K + (self.K if self.gates else 0) + 1), self.value, self.slope, self.curve, tol)
+        With x_k = B_k^-1 (r_k - q) for what the criteria share, q = L y + c b with y the sum of all scores, one system
+        of n + 1 is left for y and the position term b.
+        """
+        n, k, (wz, wm) = self.n, self.K, self.weights(p)
+        own = []
+        for j in range(k):
+            h = np.zeros((n + self.gates, n + self.gates))
+            h[:n, :n] = laplacian(self.a, self.b, wm[:, j], n)
+            if self.gates:
+                h[:n, n] = h[n, :n] = self.spread(self.eta * wm[:, j])[:, 0]
+                h[n, n] = wm[:, j].sum()
+            h[np.arange(len(h)), np.arange(len(h))] += np.append(np.full(n, self.ridge), [jitter] * self.gates)
+            own.append(inverted(h))
+        shared, side = laplacian(self.a, self.b, wz, n), self.spread(wz)[:, 0]
+        total = sum(m[:n, :n] for m in own)
+        last = np.zeros((n + 1, n + 1))
+        last[:n, :n] = np.eye(n) + total @ shared
+        last[:n, n], last[n, :n], last[n, n] = total @ side, side, wz.sum() + jitter
+        last = inverted(last)
+
+        def solve(right: np.ndarray) -> np.ndarray:
+            columns = right if right.ndim == 2 else right[:, None]
+            m = columns.shape[1]
+            r = columns[: n * k].reshape(n, k, m)
+            x = [inverse @ (np.concatenate([r[:, j], columns[n * k + j : n * k + j + 1]]) if self.gates else r[:, j]) for j, inverse in enumerate(own)]
+            y = last @ np.concatenate([sum(part[:n] for part in x), columns[-1:]])
+            q = shared @ y[:n] + np.outer(side, y[n])
+            x = [part - inverse[:, :n] @ q for part, inverse in zip(x, own, strict=True)]
+            out = np.concatenate([np.stack([part[:n] for part in x], axis=1).reshape(n * k, m), *([part[n:] for part in x] if self.gates else []), y[n:]])
+            return out if right.ndim == 2 else out[:, 0]
+
+        return solve
+
+    def fit(self, tol: float = 1e-7, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        p, steps = newton(np.zeros(self.size) if start is None else start, self.value, self.slope, self.solver, tol)
         p = p.copy()
         s = p[: self.n * self.K].reshape(self.n, self.K)
         s -= s.mean(axis=0)
         return p, steps
 
-    def scores_per_pair(self, p: np.ndarray) -> np.ndarray:
-        z, zm = self.logits(p)
-        u, v = sigmoid(z) - self.w, sigmoid(zm) - self.r
-        n, k = self.n, self.K
-        out = np.zeros((len(self.a), len(p)))
-        rows = np.arange(len(self.a))
+    def moved(self, p: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Every pair's slope vector times ``columns`` (``size`` rows)."""
+        (u, v), n, k = self.misses(p), self.n, self.K
+        out = np.outer(u, columns[-1])
         for j in range(k):
-            t = u + self.eta * v[:, j]
-            np.add.at(out, (rows, self.a * k + j), t)
-            np.add.at(out, (rows, self.b * k + j), -t)
-        if self.gates:
-            out[:, n * k : n * k + k] = v
-        out[:, -1] = u
+            c = columns[j : n * k : k]
+            out += (u + self.eta * v[:, j])[:, None] * (c[self.a] - c[self.b])
+            if self.gates:
+                out += v[:, j][:, None] * columns[n * k + j]
         return out
 
-    def sandwich(self, p: np.ndarray) -> np.ndarray:
-        u = self.scores_per_pair(p) @ np.linalg.inv(self.curve(p) + 1e-10 * np.eye(len(p)))
-        return u.T @ u
+    def inference(self, p: np.ndarray) -> dict[str, np.ndarray]:
+        """By criterion: sandwich errors of gate and spread, noise, kappa and rho (-inf without spread); errors of the position term."""
+        n, k, solve, (wz, wm) = self.n, self.K, self.solver(p), self.weights(p)
+        s, out = self.split(p)[0], {c: np.zeros(k) for c in ("spread", "noise", "se_spread", "se_gamma", "kappa")}
+        for j in range(k):  # a criterion's columns at a time
+            right = np.zeros((self.size, n + 1 + self.gates))
+            right[np.arange(n) * k + j, np.arange(n)] = 1.0
+            right[j : n * k : k, n] = (s[:, j] - s[:, j].mean()) / n
+            if self.gates:
+                right[n * k + j, n + 1] = 1.0
+            var = (self.moved(p, solve(right)) ** 2).sum(axis=0)
+            spread = s[:, j].var()
+            out["spread"][j], out["noise"][j] = math.sqrt(spread), var[:n].mean()
+            out["se_spread"][j] = math.sqrt(var[n] / spread) if spread > 0 else math.inf
+            out["se_gamma"][j] = math.sqrt(var[n + 1]) if self.gates else math.nan
+            out["kappa"][j] = connection(laplacian(self.a, self.b, wm[:, j], n))
+        spread = out["spread"] ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out["rho"] = np.where(spread > 0, (spread - out["noise"]) / spread, -np.inf)
+        out["spread_denoised"] = np.sqrt(np.maximum(0.0, spread - out["noise"]))
+        last = np.zeros((self.size, 1))
+        last[-1] = 1.0
+        out["se_beta"] = np.full(k, np.linalg.norm(self.moved(p, solve(last))))
+        out["kappa_winner"] = np.full(k, connection(laplacian(self.a, self.b, wz, n)))
+        return out
 
-    def diagnostics(self, p: np.ndarray) -> list[tuple[float, float]]:
-        """(kappa, rho) of each criterion's mention channel; rho is -inf without spread."""
-        _, zm = self.logits(p)
-        wm = sigmoid(zm) * sigmoid(-zm)
-        var = np.diag(self.sandwich(p))[: self.n * self.K].reshape(self.n, self.K)
-        s, _, _ = self.split(p)
-        return [(condition(self.a, self.b, wm[:, j], self.n), (s[:, j].var() - var[:, j].mean()) / s[:, j].var() if s[:, j].var() > 0 else -math.inf) for j in range(self.K)]
+    def signs(self, p: np.ndarray) -> np.ndarray:
+        """Correlation of every criterion's scores with how often an item won while it was mentioned."""
+        won = np.zeros((self.n, self.K))
+        np.add.at(won, np.where(self.w > 0, self.a, self.b), self.r)
+        x, y = self.split(p)[0] - self.split(p)[0].mean(axis=0), won - won.mean(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (x * y).sum(axis=0) / np.sqrt((x * x).sum(axis=0) * (y * y).sum(axis=0))
 
 
-def condition(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> float:
-    """Largest over second smallest eigenvalue of a weighted Laplacian; infinite if its graph is not connected."""
-    m = incidence(a, b, n)
-    ev = np.linalg.eigvalsh(m.T @ (m * w[:, None]))
-    return float(ev[-1] / ev[1]) if n > 1 and ev[1] > 1e-12 * max(1.0, ev[-1]) else math.inf
+def inverted(m: np.ndarray) -> np.ndarray:
+    """The inverse, or the pseudo-inverse of a matrix that has none."""
+    try:
+        return np.linalg.inv(m)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(m)
 
 
 def bradley_terry(pairs: np.ndarray, w: np.ndarray, n: int, ridge: float = 1e-3, tol: float = 1e-8) -> tuple[np.ndarray, float]:
     """Scores with mean 0 and the position term of one feature's comparisons."""
-    m = np.concatenate([incidence(pairs[:, 0], pairs[:, 1], n), np.ones((len(w), 1))], axis=1)
-    keep = np.diag(np.append(np.full(n, ridge), 1e-9))
-    y = w.astype(float)
-    value = lambda x: float(0.5 * ridge * (x[:n] @ x[:n]) - np.where(y > 0, log_sigmoid(m @ x), log_sigmoid(-(m @ x))).sum())
-    slope = lambda x: m.T @ (sigmoid(m @ x) - y) + np.append(ridge * x[:n], 0.0)
-    curve = lambda x: m.T @ (m * (sigmoid(m @ x) * sigmoid(-(m @ x)))[:, None]) + keep
+    a, b, y = pairs[:, 0], pairs[:, 1], w.astype(float)
+    spread = lambda v: np.bincount(a, v, n) - np.bincount(b, v, n)
+    odds = lambda x: x[a] - x[b] + x[n]
+    value = lambda x: float(0.5 * ridge * (x[:n] @ x[:n]) - np.where(y > 0, log_sigmoid(odds(x)), log_sigmoid(-odds(x))).sum())
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        miss = sigmoid(odds(x)) - y
+        return np.append(spread(miss) + ridge * x[:n], miss.sum())
+
+    def curve(x: np.ndarray) -> np.ndarray:
+        v = sigmoid(odds(x)) * sigmoid(-odds(x))
+        h = np.zeros((n + 1, n + 1))
+        h[:n, :n] = laplacian(a, b, v, n) + ridge * np.eye(n)
+        h[:n, n] = h[n, :n] = spread(v)
+        h[n, n] = v.sum() + 1e-9
+        return h
+
     x, _ = newton(np.zeros(n + 1), value, slope, curve, tol)
     return x[:n] - x[:n].mean(), float(x[n])
 

@@ -55,14 +55,14 @@ s AS (SELECT k, rep, sum(n) AS n, sum(abs(sp - sy)) / nullif(sum(n), 0) AS ece,
 SELECT k, CAST(max(CASE WHEN rep = 0 THEN n END) AS BIGINT) AS n, {_bounds(C.STATS)} FROM s GROUP BY k""")
 def calibration_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration with intervals over resampled documents, all gates of a document together."""
-    return rounded(C.calibration_intervals(cells(spark, sf_dir), ["k"], "t", REPS), ["k", "n"], _three(C.STATS))
+    return rounded(C.calibration_intervals(cells(spark, sf_dir), ["k"], "t", REPS, md5=True), ["k", "n"], _three(C.STATS))
 
 
 @query("q_calibration_bins", BINS_SQL + f""",
 s AS (SELECT k, bin, rep, n, sp / nullif(n, 0) AS p_mean, sy / nullif(n, 0) AS y_mean FROM b)
 SELECT k, CAST(bin AS INTEGER) AS bin, CAST(max(CASE WHEN rep = 0 THEN n END) AS BIGINT) AS n, {_bounds(("p_mean", "y_mean"))} FROM s GROUP BY k, bin""")
 def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.bin_rates(cells(spark, sf_dir), ["k"], "t", REPS), ["k", "bin", "n"], _three(("p_mean", "y_mean")))
+    return rounded(C.bin_rates(cells(spark, sf_dir), ["k"], "t", REPS, md5=True), ["k", "bin", "n"], _three(("p_mean", "y_mean")))
 
 
 @query("q_ece_two_ways", BINS_SQL + """,

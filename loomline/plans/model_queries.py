@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import bin_index, log_sigmoid
-from ..operators import choice, kernels, rationale
+from ..operators import calibration, choice, gated, kernels, panel_fit, rationale
 from ..sources.shared import written
 from .fixtures import CRITERIA, items, judgments
 from .graph_queries import PLACED_SQL, cited, sql
@@ -142,18 +142,71 @@ def runs(spark: SparkSession, sf_dir: str, rounds: int = 6) -> DataFrame:
     return p.select(F.col("source").alias("run"), "t", "a", "b", "w", "e.k", x.alias("x"), F.abs(x).alias("r"))
 
 
+def gated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(runs(spark, sf_dir).select("run", "t", "a", "b", "k", "x"), "gated-runs")
+
+
 @query("q_fit_gated")
 def fit_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One gated fit per source, in parallel; kappa above 100 or rho below 0.5 fails the screen."""
-    out = choice.fit_gated(runs(spark, sf_dir).select("run", "t", "a", "b", "k", "x"))
-    return out.withColumn("reliable", (F.col("kappa") <= 100) & (F.col("rho") > 0.5))
+    """A gated fit per source with standard errors; kappa above 100 or rho of 0.5 or less fails the screen."""
+    out = gated.inference(gated.fit(gated_runs(spark, sf_dir), ["run"]), ["run"])
+    return out.select("*", *gated.wald("gamma", "se_gamma"), *gated.wald("beta", "se_beta")).withColumn("reliable", (F.col("kappa") <= 100) & (F.col("rho") > 0.5))
+
+
+@query("q_position_by_criterion")
+def position_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits with a position term a criterion beside those with one for all: terms, errors, reliability and a likelihood-ratio test a source."""
+    cells = gated_runs(spark, sf_dir)
+    shared, own = gated.fit(cells, ["run"]), gated.fit(cells, ["run"], own=True)
+    test = gated.position_test(shared, own, ["run"])
+    one = gated.inference(shared, ["run"]).select("run", "k", F.col("beta").alias("beta_shared"), F.col("kappa").alias("kappa_shared"), F.col("rho").alias("rho_shared"), F.col("spread").alias("spread_shared"))
+    each = gated.inference(own, ["run"]).select("run", "k", "beta", "se_beta", "se_beta_direction", "kappa", "rho", "spread", *gated.wald("beta", "se_beta"))
+    moved = scores_moved(gated.scores(shared, ["run"]), gated.scores(own, ["run"]))
+    return each.join(one, ["run", "k"]).join(moved, ["run", "k"]).join(test, "run")
+
+
+def scores_moved(a: DataFrame, b: DataFrame) -> DataFrame:
+    """By run and criterion, how the scores of two fits agree: ``r`` and the largest shift."""
+    both = a.select("run", "k", "item", F.col("s").alias("s0")).join(b.select("run", "k", "item", F.col("s").alias("s1")), ["run", "k", "item"])
+    sd = F.stddev_pop("s0") * F.stddev_pop("s1")
+    return both.groupBy("run", "k").agg((F.covar_pop("s0", "s1") / F.when(sd != 0, sd)).alias("r"), F.max(F.abs(F.col("s0") - F.col("s1"))).alias("shift"))
 
 
 @query("q_fit_holistic")
 def fit_holistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One holistic fit per source; the screen is strict in kappa here."""
     out = choice.fit_holistic(runs(spark, sf_dir).select("run", "t", "a", "b", "w", "k", "r"))
-    return out.withColumn("reliable", (F.col("kappa") < 100) & (F.col("rho") > 0.5))
+    return out.select("*", *gated.wald("gamma", "se_gamma"), *gated.wald("beta", "se_beta")).withColumn("reliable", (F.col("kappa") < 100) & (F.col("rho") > 0.5))
+
+
+FOLDS = 5
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs`` with a fold of each pair, all criteria of a pair together."""
+    return written(runs(spark, sf_dir).withColumn("fold", F.pmod(F.hash(F.lit("fold"), "run", "t"), F.lit(FOLDS))), "folded")
+
+
+@query("q_holistic_held_out")
+def holistic_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners and mentions of pairs that a fit has not seen, per source: accuracy on a fifth held out, and over all five."""
+    told = choice.holistic_forecasts(folded(spark, sf_dir).select("run", "t", "a", "b", "w", "k", "r", "fold"))
+    pairs = told.filter("k = 0").withColumn("right", ((F.col("p_win") > 0.5) == (F.col("w") == 1)).cast("double"))
+    one = pairs.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("held") == 0).alias("n_test"), F.avg(F.when(F.col("held") == 0, F.col("right"))).alias("accuracy_fifth"), F.avg("right").alias("accuracy"))
+    said = told.groupBy("run").agg(F.avg(F.pow(F.col("p_mention") - F.col("r"), F.lit(2.0))).alias("brier_mention"))
+    return one.join(said, "run")
+
+
+@query("q_calibration_fitted")
+def calibration_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration of both gates over out-of-fold forecasts of all sources and criteria, references from training folds.
+
+    Intervals over 2,000 replicates of resampled pairs, all cells of a pair together.
+    """
+    told = written(gated.forecasts(folded(spark, sf_dir).select("run", "t", "a", "b", "k", "x", "fold"), ["run"]), "forecasts")
+    cells = gated.gate_cells(told.withColumn("unit", F.concat_ws(":", "run", "t")), ["unit"])
+    metrics = calibration.forecast_metrics(cells, ["gate"]).drop("n")
+    return calibration.calibration_intervals(cells, ["gate"], "unit", 2000).join(metrics, "gate")
 
 
 @query("q_bradley_terry")
@@ -165,20 +218,55 @@ def bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_out_of_fold")
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winner probabilities of each pair from a fit without its fold: five folds and all sources in one parallel pass."""
-    import numpy as np
-    import pandas as pd
-
-    c = runs(spark, sf_dir).filter("k = 0").select("run", "t", "a", "b", "w").withColumn("fold", F.pmod(F.hash("run", "t"), F.lit(5)))
-    c = c.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, numbers = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-        pairs, out = numbers.reshape(-1, 2), (pdf["fold"] == pdf["held"]).to_numpy()
-        s, beta = kernels.bradley_terry(pairs[~out], pdf["w"].to_numpy()[~out], len(nodes), 0.1)
-        q = pairs[out]
-        return pd.DataFrame({"run": pdf["run"][out], "t": pdf["t"][out], "w": pdf["w"][out], "p": kernels.sigmoid(s[q[:, 0]] - s[q[:, 1]] + beta)})
-
-    return c.groupBy("run", "held").applyInPandas(fit, "run string, t long, w int, p double")
-
-
+    """Gate probabilities of every pair and criterion from gated fits without its fold, with the training folds' rates."""
+    return gated.forecasts(folded(spark, sf_dir).select("run", "t", "a", "b", "k", "x", "fold"), ["run"])
+
+
+def panel_judgments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cited comparisons as ``pair_index, feature, first, other, w``, and items of which every fifth is a test item."""
+    c = cells(spark, sf_dir).filter("x <> 0").select("pair_index", F.col("criterion").alias("feature"), F.col("ia").alias("first"), F.col("ib").alias("other"), F.when(F.col("x") == 1, 1.0).otherwise(0.0).alias("w"))
+    return c, items(spark, sf_dir).select(F.col("i").alias("item"), F.when(F.col("i") % 5 == 0, "test").otherwise("train").alias("split"))
+
+
+PANEL_SQL = GRID_SQL + """,
+j AS (SELECT pair_index, criterion AS feature, ia, ib, pos AS w, ia % 5 = 0 AS ta, ib % 5 = 0 AS tb FROM terms WHERE x <> 0),
+won AS (
+  SELECT feature, item, sum(y) AS y, count(*) AS n FROM (
+    SELECT feature, ia AS item, w AS y, ta, tb FROM j UNION ALL SELECT feature, ib, 1 - w, ta, tb FROM j) WHERE NOT ta AND NOT tb GROUP BY 1, 2),
+anchors AS (SELECT feature, item, ln((y + 0.5::DOUBLE) / (n - y + 0.5::DOUBLE)) AS s FROM won),
+tests AS (
+  SELECT pair_index, feature, CASE WHEN ta THEN ia ELSE ib END AS item, CASE WHEN ta THEN ib ELSE ia END AS anchor, CASE WHEN ta THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, w FROM j WHERE ta <> tb),
+met AS (SELECT t.*, a.s FROM tests t LEFT JOIN anchors a ON a.feature = t.feature AND a.item = t.anchor),
+q AS (
+  SELECT feature, item, count(*) AS n, count(s) AS known, list({'sign': sign, 'c': 0.1::DOUBLE - sign * s, 'w': w} ORDER BY pair_index) AS comps FROM met GROUP BY 1, 2),
+r AS (SELECT feature, item, n, list_reduce(range(31), lambda x, i: CAST(x AS DOUBLE) - (0.1::DOUBLE * x + list_sum(list_transform(comps, lambda q: q.sign * (1 / (1 + exp(-(q.sign * x + q.c))) - q.w)))) / (0.1::DOUBLE + list_sum(list_transform(comps, lambda q: (1 / (1 + exp(-(q.sign * x + q.c)))) * (1 - 1 / (1 + exp(-(q.sign * x + q.c))))))), 0.0::DOUBLE) AS s FROM q WHERE n = known)"""
+
+
+@query("q_panel_frozen", sql(PANEL_SQL + """
+SELECT q.feature, q.item, q.n, round(r.s, 5) + 0.0::DOUBLE AS score FROM q LEFT JOIN r ON r.feature = q.feature AND r.item = q.item"""))
+def panel_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items scored against frozen anchors: anchors' log odds of winning among themselves, joined by anchor and feature."""
+    j, it = panel_judgments(spark, sf_dir)
+    split = lambda c: F.when(F.col(c) % 5 == 0, "test").otherwise("train")
+    j = j.withColumns({"fs": split("first"), "os": split("other")})
+    both = F.explode(F.array(F.struct(F.col("first").alias("item"), F.col("w").alias("y")), F.struct(F.col("other").alias("item"), (1 - F.col("w")).alias("y")))).alias("e")
+    won = j.filter("fs = 'train' and os = 'train'").select("feature", both).groupBy("feature", "e.item").agg(F.sum("e.y").alias("y"), F.count("*").alias("n"))
+    anchors = won.select("feature", "item", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5)).alias("score"), F.lit(BETA).alias("beta"))
+    front = F.col("fs") == "test"
+    tests = j.filter("fs <> os").select("pair_index", "feature", F.when(front, F.col("first")).otherwise(F.col("other")).alias("item"), F.when(front, F.col("other")).otherwise(F.col("first")).alias("anchor"), F.when(front, 1.0).otherwise(-1.0).alias("sign"), "w")
+    out = panel_fit.score_tests(tests, anchors, [], ridge=0.1, steps=30)
+    return out.select("feature", "item", "n", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query("q_panel_fit")
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of all documents and criteria: anchors fitted once, tests scored against them, null where nothing was compared."""
+    return panel_fit.fit_panel(*panel_judgments(spark, sf_dir), [])
+
+
+@query("q_panel_halves")
+def panel_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the test scores of two disjoint halves of the comparisons, both halves fitted in the same jobs."""
+    j, it = panel_judgments(spark, sf_dir)
+    j = written(panel_fit.halves(j, it, []), "panel-halves")
+    return panel_fit.half_reliability(panel_fit.fit_panel(j, it, ["half"]), [])
