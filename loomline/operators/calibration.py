@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +40,24 @@ def weights(hashes: np.ndarray, reps: int) -> np.ndarray:
     return out
 
 
-def _weighed(by: list[str], reps: int):
-    """Sums of a batch for all replicates: the weights of its units times its rows, by group and bin."""
+def _weighed(n_keys: int, reps: int):
+    """Sums of a batch for all replicates: the weights of its units times its rows, by the first columns."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, g in frame.groupby([*by, "bin"], dropna=False, sort=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[c.to_pylist() for c in b.columns[:n_keys]], strict=True)):
+                places.setdefault(key, []).append(i)
+            h = b.column(n_keys).to_numpy().astype(np.int64).view(np.uint64)
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[n_keys + 1 :]])
+            first, out = [at[0] for at in places.values()], []
+            for at in places.values():
                 total = np.zeros((reps + 1, len(SUMS)))
-                for i in range(0, len(g), UNITS):
-                    part = g.iloc[i : i + UNITS]
-                    total += weights(part["h"].to_numpy().view(np.uint64), reps).T @ part[list(SUMS)].to_numpy(float)
-                yield pd.DataFrame([{**dict(zip([*by, "bin"], key, strict=True)), "sums": [row.tolist() for row in total]}])
+                for i in range(0, len(at), UNITS):
+                    total += weights(h[at[i : i + UNITS]], reps).T @ rows[at[i : i + UNITS]]
+                out.append(total.tolist())
+            keys = [c.take(pa.array(first, pa.int64())) for c in b.columns[:n_keys]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.list_(pa.list_(pa.float64())))], [*b.schema.names[:n_keys], "sums"])
 
     return run
 
@@ -67,8 +74,8 @@ def resampled_bins(cells: DataFrame, by: list[str], unit: str, reps: int, bins:
     rows = cells.withColumn("bin", bin_index(F.col("p"), bins)).groupBy(*by, unit, "bin")
     rows = rows.agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("y").alias("sy"), se("p").alias("se"), se("pr").alias("sr"))
     if not md5:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
-        parts = rows.withColumn("h", F.xxhash64(unit)).drop(unit).mapInPandas(_weighed(by, reps), f"{kinds + ', ' if by else ''}bin int, sums array<array<double>>")
+        kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, "bin"])
+        parts = rows.select(*by, "bin", F.xxhash64(unit).alias("h"), *SUMS).mapInArrow(_weighed(len(by) + 1, reps), f"{kinds}, sums array<array<double>>")
         parts = parts.select(*by, "bin", F.posexplode("sums").alias("rep", "s"))
         return parts.groupBy(*by, "rep", "bin").agg(F.sum(F.get("s", F.lit(0))).cast("long").alias("n"), *[F.sum(F.get("s", F.lit(i))).alias(c) for i, c in enumerate(SUMS) if i])
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", poisson_weight(F.col("rep"), F.col(unit)))

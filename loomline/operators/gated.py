@@ -81,7 +81,17 @@ class Criterion:
         return np.concatenate([won, [math.log(share / (1 - share)) - math.log(2)], [math.log(ahead / (1 - ahead))] if self.own else []])
 
     def fit(self, p: np.ndarray | None, beta: float, tol: float) -> tuple[np.ndarray, int]:
-        return newton(self.start() if p is None else p, lambda x: self.value(x, beta), lambda x: self.slope(x, beta), lambda x: self.curve(x, beta), tol)
+        return newton(self.start() if p is None else p, lambda x: self.value(x, beta), lambda x: self.slope(x, beta), lambda x: self.bowl(x, beta), tol)
+
+    def bowl(self, p: np.ndarray, beta: float) -> np.ndarray:
+        """The curvature, with as much added on its diagonal as makes it positive definite: nothing near a minimum."""
+        h, shift = self.curve(p, beta, bent=True), 0.0
+        while True:
+            try:
+                np.linalg.cholesky(h + shift * np.eye(len(h)))
+                return h + shift * np.eye(len(h))
+            except np.linalg.LinAlgError:
+                shift = max(0.01, 3 * shift)
 
     def moved(self, columns: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
         """Every pair's slope vector times ``columns`` (scores, gate and own position in rows)."""
@@ -97,14 +107,18 @@ def _blocks(cells: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "k", *[F.col(f"c.{c}").alias(c) for c in ("t", "a", "b", "x")])
 
 
-def _by_row(f: Callable[[pd.Series], dict]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _by_row(df: DataFrame, f: Callable[[dict], dict], keep: list[str], new: str) -> DataFrame:
+    """Columns ``keep`` of ``df`` and those that ``f`` gives of a row (``new``: names and types; a column may stay)."""
+    names = [*keep, *[c.split()[0] for c in new.split(", ")]]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(len(frame)):
-                row = frame.iloc[i]
-                yield pd.DataFrame([{**row, **f(row)}])
+                row = {**frame.iloc[i]}
+                row |= f(row)
+                yield pd.DataFrame([{c: row[c] for c in names}])
 
-    return run
+    return df.mapInPandas(run, f"{_kinds(df, keep)}, {new}")
 
 
 def _kinds(df: DataFrame, names: list[str]) -> str:
@@ -115,43 +129,45 @@ ARRAYS = ["t", "a", "b", "x"]
 FITTED = "p array<double>, beta double, nll double, grad double, steps int, place double, curve double, own boolean"
 
 
-def fit(cells: DataFrame, by: list[str], ridge: float = 1e-3, own: bool = False, beta: float | None = None, tol: float = 1e-6, rounds: int = 50) -> DataFrame:
+def fit(cells: DataFrame, by: list[str], ridge: float = 1e-3, own: bool = False, beta: float | None = None, start: DataFrame | None = None, tol: float = 1e-6, rounds: int = 50) -> DataFrame:
     """Fits of dense cells ``*by, t, a, b, k, x``: every run (``by``), pair ``t`` of items a and b, and criterion k.
 
     Returns a row per run and criterion: the cells as arrays in the order of t, ``p`` (scores of the run's items in
     their order, then the gate, then with ``own`` the criterion's own position term), ``beta``, ``nll`` with its
-    penalty, ``grad`` (largest slope), ``steps``. ``beta`` pins the position term. A run whose slope in beta is above
+    penalty, ``grad`` (largest slope), ``steps``. ``beta`` pins the position term; fits with ``own`` begin at those of
+    ``start``, a fit of the same cells with one position term. A run whose slope in beta is above
     ``tol`` moves on by a Newton step on what its criteria leave of it; all runs move in the same jobs.
     """
     spark = cells.sparkSession
     blocks = written(_blocks(cells, by), "gated-cells")
-    schema = f"{_kinds(blocks, [*by, 'k', *ARRAYS])}, {FITTED}"
+    keep = [*by, "k", *ARRAYS]
 
-    def one(row: pd.Series) -> dict:
+    def one(row: dict) -> dict:
         c = Criterion(row["a"], row["b"], row["x"], ridge, own)
         at = 0.0 if own else float(row["beta"])
-        p, steps = c.fit(None if row["p"] is None else np.array(row["p"]), at, tol)
+        p, steps = c.fit(None if row["p"] is None else np.array(row["p"]), at, tol / 100)
         q = c.parts(p, at)
         left = 1.0
         if not own:
             side = np.append(c.spread(q["db"]), 0.0)
-            for bent in (True, False):  # the curvature itself where it serves, else the expected one
-                left = q["db"].sum() - side @ np.linalg.solve(c.curve(p, at, bent), side)
-                if left > 1e-3 * q["db"].sum():
-                    break
+            left = q["db"].sum() - side @ np.linalg.solve(c.bowl(p, at), side)
         return {"p": p, "beta": float(p[-1]) if own else at, "nll": c.value(p, at), "grad": float(np.abs(c.slope(p, at)).max()), "steps": steps + int(row["steps"]), "place": float(-q["place"].sum()), "curve": float(left), "own": own}
 
     fresh = [F.lit(None).cast("array<double>").alias("p"), F.lit(0).alias("steps")]
+    if own and start is not None:
+        at = start.select(*by, "k", F.concat("p", F.array("beta")).alias("p"))
+        return written(_by_row(blocks.join(at, [*by, "k"]).select("*", F.lit(0).alias("steps"), F.lit(0.0).alias("beta")), one, keep, FITTED), "gated-fit")
     if own or beta is not None:
-        return written(blocks.select("*", *fresh, F.lit(float(beta or 0.0)).alias("beta")).mapInPandas(_by_row(one), schema), "gated-fit")
+        return written(_by_row(blocks.select("*", *fresh, F.lit(float(beta or 0.0)).alias("beta")), one, keep, FITTED), "gated-fit")
     first = F.sum(F.aggregate("x", F.lit(0), lambda n, x: n + (x == 1).cast("int"))) / F.greatest(F.lit(1), F.sum(F.aggregate("x", F.lit(0), lambda n, x: n + (x != 0).cast("int"))))
     share = F.greatest(F.least(first, F.lit(1 - 1e-6)), F.lit(1e-6))
     betas = blocks.groupBy(*by).agg(F.log(share / (1 - share)).alias("beta"))
     now, path = blocks.select("*", *fresh), None
     for _ in range(rounds):
         new = shared_dir(spark, "gated-round")
-        now.join(betas, by).mapInPandas(_by_row(one), schema).write.parquet(new)
-        done = spark.read.schema(f"{schema}").parquet(new)
+        moved = _by_row(now.join(betas, by), one, keep, FITTED)
+        moved.write.parquet(new)
+        done = spark.read.schema(moved.schema).parquet(new)
         if path:
             remove(spark, path)
         path = new
@@ -193,7 +209,7 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
     own = fitted.select("own").limit(1).collect()
     own = bool(own and own[0].own)
 
-    def system(row: pd.Series) -> tuple:
+    def system(row: dict) -> tuple:
         c = Criterion(row["a"], row["b"], row["x"], ridge, own)
         p = np.array(row["p"])
         q = c.parts(p, row["beta"])
@@ -201,19 +217,18 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
 
     rows = fitted.withColumns({"v": F.lit(None).cast("array<double>"), "sigma": F.lit(1.0)})
     if not own:  # by pair, what the position term takes from all criteria of a run
-        def border(row: pd.Series) -> dict:
+        def border(row: dict) -> dict:
             c, _, q, inverse = system(row)
             side = np.append(c.spread(q["db"]), 0.0)
             g = inverse @ side
             return {"v": c.moved(g[:, None], q)[:, 0] - q["place"], "sigma": float(q["db"].sum() - side @ g)}
 
-        told = fitted.mapInPandas(_by_row(border), f"{_kinds(fitted, [*by, 'k'])}, v array<double>, sigma double")
-        told = written(told, "gated-border")
+        told = written(_by_row(fitted, border, [*by, "k"], "v array<double>, sigma double"), "gated-border")
         v = told.select(*by, F.posexplode("v").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v"))
         v = v.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
         rows = fitted.join(v, by).join(told.groupBy(*by).agg(F.sum("sigma").alias("sigma")), by)
 
-    def judge(row: pd.Series) -> dict:
+    def judge(row: dict) -> dict:
         c, p, q, inverse = system(row)
         s = p[: c.n] - p[: c.n].mean()
         slant = s / c.n
@@ -236,7 +251,7 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
             "kappa": connection(laplacian(c.a, c.b, q["dd"], c.n)), "rho": (spread - noise) / spread if spread > 0 else math.nan,
         }
 
-    return rows.mapInPandas(_by_row(judge), f"{_kinds(fitted, [*by, 'k'])}, {INFERENCE}")
+    return _by_row(rows, judge, [*by, "k"], INFERENCE)
 
 
 def position_test(shared: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:

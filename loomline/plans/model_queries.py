@@ -157,7 +157,8 @@ def fit_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def position_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits with a position term a criterion beside those with one for all: terms, errors, reliability and a likelihood-ratio test a source."""
     cells = gated_runs(spark, sf_dir)
-    shared, own = gated.fit(cells, ["run"]), gated.fit(cells, ["run"], own=True)
+    shared = gated.fit(cells, ["run"])
+    own = gated.fit(cells, ["run"], own=True, start=shared)
     test = gated.position_test(shared, own, ["run"])
     one = gated.inference(shared, ["run"]).select("run", "k", F.col("beta").alias("beta_shared"), F.col("kappa").alias("kappa_shared"), F.col("rho").alias("rho_shared"), F.col("spread").alias("spread_shared"))
     each = gated.inference(own, ["run"]).select("run", "k", "beta", "se_beta", "se_beta_direction", "kappa", "rho", "spread", *gated.wald("beta", "se_beta"))

@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from loomline.operators import choice, graph, kernels, rationale, stats
+from loomline.operators import calibration, choice, gated, graph, kernels, panel_fit, rationale, stats
 from loomline.operators.order import numbered
 from loomline.plans import QUERIES
 from loomline.plans import model_queries as M
@@ -24,25 +24,58 @@ def problem(n=8, k=3, t=120, seed=0):
     return pairs, x, w, m, n
 
 
-@pytest.mark.parametrize("kind", ["gated", "holistic", "no gates"])
-def test_slopes_and_curvature_match_differences(kind):
-    pairs, x, w, m, n = problem()
-    model = kernels.Gated(pairs, x, n) if kind == "gated" else kernels.Holistic(pairs, w, m, n, gates=kind == "holistic")
-    r = np.random.default_rng(5)
-    size = n * 3 + (0 if kind == "no gates" else 3) + 1
-    p = r.normal(0, 0.5, size)
-    g = model.slope(p)
+def dense(model, p):
+    """The model's curvature by differences of its slope."""
     e = 1e-6
-    for i in range(size):
-        step = np.eye(size)[i] * e
+    return np.stack([(model.slope(p + np.eye(len(p))[i] * e) - model.slope(p - np.eye(len(p))[i] * e)) / (2 * e) for i in range(len(p))])
+
+
+@pytest.mark.parametrize("gates", [True, False])
+def test_holistic_slopes_and_blocks_match_differences(gates):
+    pairs, _, w, m, n = problem()
+    model = kernels.Holistic(pairs, w, m, n, gates=gates)
+    p = np.random.default_rng(5).normal(0, 0.5, model.size)
+    g, e = model.slope(p), 1e-6
+    for i in range(model.size):
+        step = np.eye(model.size)[i] * e
         assert abs((model.value(p + step) - model.value(p - step)) / (2 * e) - g[i]) < 1e-4
-    h = model.curve(p)
-    assert np.allclose(h, h.T)
-    if kind != "gated":  # the gated model uses its expected curvature
-        num = np.stack([(model.slope(p + np.eye(size)[i] * e) - model.slope(p - np.eye(size)[i] * e)) / (2 * e) for i in range(size)])
-        assert np.allclose(h - 1e-9 * np.eye(size), num, atol=1e-3)
+    solve = model.solver(p)
+    assert np.allclose(solve(dense(model, p)), np.eye(model.size), atol=1e-4)
+    right = np.random.default_rng(6).normal(0, 1, (model.size, 4))
+    assert np.allclose(solve(right)[:, 2], solve(right[:, 2]))
     best, _ = model.fit()
-    assert np.abs(model.slope(best)).max() < 0.1 and model.value(best) <= model.value(p)
+    assert np.abs(model.slope(best)).max() < 1e-3 and model.value(best) <= model.value(p)
+
+
+def scores_by_pair(model, p):
+    """Every pair's slope of the negative log likelihood, by differences."""
+    out, ridge = [], model.ridge
+    for t in range(len(model.a)):
+        one = kernels.Holistic(np.array([[model.a[t], model.b[t]]]), model.w[t : t + 1], model.r[t : t + 1], model.n, 0.0, model.gates)
+        out.append(one.slope(p))
+    assert np.allclose(np.sum(out, axis=0) + np.concatenate([ridge * p[: model.n * model.K], np.zeros(model.size - model.n * model.K)]), model.slope(p))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("gates", [True, False])
+def test_holistic_sandwich_by_blocks_equals_the_dense_one(gates):
+    pairs, _, w, m, n = problem(seed=4)
+    model = kernels.Holistic(pairs, w, m, n, gates=gates)
+    p, _ = model.fit()
+    solve = model.solver(p)
+    inverse = solve(np.eye(model.size))
+    u = scores_by_pair(model, p) @ inverse
+    cov, got, k = u.T @ u, model.inference(p), model.K
+    s = p[: n * k].reshape(n, k)
+    assert np.allclose(got["noise"], np.diag(cov)[: n * k].reshape(n, k).mean(axis=0), rtol=1e-8)
+    assert np.allclose(got["se_beta"], np.sqrt(cov[-1, -1]), rtol=1e-8)
+    if gates:
+        assert np.allclose(got["se_gamma"], np.sqrt(np.diag(cov)[n * k : n * k + k]), rtol=1e-8)
+    for j in range(k):
+        at = np.arange(n) * k + j
+        slant = s[:, j] / (n * s[:, j].std())
+        assert abs(got["se_spread"][j] - math.sqrt(slant @ cov[np.ix_(at, at)] @ slant)) < 1e-8
+    assert (got["kappa"] > 1).all() and (got["rho"] < 1).all() and np.isfinite(model.signs(p)).all()
 
 
 def test_frozen_gates_reduce_to_the_model_without():
@@ -55,13 +88,11 @@ def test_frozen_gates_reduce_to_the_model_without():
 
 
 def test_sandwich_shrinks_with_more_pairs():
-    small, large = problem(t=300, seed=3), problem(t=1200, seed=3)
     size = []
-    for pairs, _, w, m, n in (small, large):
+    for t in (300, 1200):
+        pairs, _, w, m, n = problem(t=t, seed=3)
         model = kernels.Holistic(pairs, w, m, n)
-        p, _ = model.fit()
-        size.append(np.diag(model.sandwich(p))[: n * 3].mean())
-        assert all(k > 1 for k, _ in model.diagnostics(p))
+        size.append(model.inference(model.fit()[0])["noise"].mean())
     assert size[1] < 0.5 * size[0]
 
 
@@ -95,19 +126,201 @@ def test_frozen_newton_matches_the_kernel(spark):
     assert abs(sum(a * (kernels.sigmoid(np.array(a * x + b)) - w) for a, b, w in q) + 1e-3 * x) < 1e-9
 
 
-def test_fits_run_side_by_side(spark):
+def gated_cells(spark, runs):
+    rows = [(run, t, int(a), int(b), k, int(x[t, k])) for run, (pairs, x, *_) in runs.items() for t, (a, b) in enumerate(pairs) for k in range(x.shape[1])]
+    return spark.createDataFrame(rows, "run string, t long, a long, b long, k int, x int")
+
+
+class DenseGated:
+    """The whole model of one run, criterion by criterion in one vector (scores of items, gates, position)."""
+
+    def __init__(self, pairs, x, ridge=1e-3):
+        self.parts = [gated.Criterion(pairs[:, 0], pairs[:, 1], x[:, k], ridge, False) for k in range(x.shape[1])]
+        self.n, self.K, self.ridge = self.parts[0].n, x.shape[1], ridge
+
+    def of(self, p):
+        return [np.append(p[k * self.n : (k + 1) * self.n], p[self.n * self.K + k]) for k in range(self.K)], p[-1]
+
+    def value(self, p):
+        own, beta = self.of(p)
+        return sum(c.value(q, beta) for c, q in zip(self.parts, own, strict=True))
+
+    def join(self, own, last):
+        return np.concatenate([*[q[: self.n] for q in own], [q[self.n] for q in own], [last]])
+
+    def slope(self, p):
+        own, beta = self.of(p)
+        return self.join([c.slope(q, beta) for c, q in zip(self.parts, own, strict=True)], -sum(c.parts(q, beta)["place"].sum() for c, q in zip(self.parts, own, strict=True)))
+
+    def sandwich(self, p):
+        (own, beta), n, k = self.of(p), self.n, self.K
+        size, t = n * k + k + 1, len(self.parts[0].a)
+        h, u = np.zeros((size, size)), np.zeros((t, size))
+        for j, (c, q) in enumerate(zip(self.parts, own, strict=True)):
+            at, w = np.append(np.arange(n) + j * n, n * k + j), c.parts(q, beta)
+            h[np.ix_(at, at)] = c.curve(q, beta)
+            side = np.append(c.spread(w["db"]), 0.0)
+            h[at, -1], h[-1, at] = side, side
+            h[-1, -1] += w["db"].sum()
+            u[np.arange(t), j * n + c.a] += w["d"]
+            u[np.arange(t), j * n + c.b] -= w["d"]
+            u[:, n * k + j], u[:, -1] = w["gate"], u[:, -1] + w["place"]
+        v = u @ np.linalg.inv(h)
+        return v.T @ v
+
+
+def test_gated_fits_and_sandwiches_equal_the_dense_model(spark):
+    runs = {"u": problem(seed=7), "v": problem(seed=8, t=200)}
+    cells = gated_cells(spark, runs)
+    fitted = gated.fit(cells, ["run"])
+    got = {(r.run, r.k): r for r in fitted.collect()}
+    told = {(r.run, r.k): r for r in gated.inference(fitted, ["run"]).collect()}
+    assert len(got) == 6 and all(r.grad < 1e-6 for r in got.values())
+    for run, (pairs, x, *_) in runs.items():
+        m = DenseGated(pairs, x)
+        p = m.join([np.array(got[run, k].p) for k in range(3)], got[run, 0].beta)
+        g = m.slope(p)
+        assert np.abs(g).max() < 1e-5
+        for i in range(0, len(p), 5):
+            step = np.eye(len(p))[i] * 1e-5
+            assert abs((m.value(p + step) - m.value(p - step)) / 2e-5 - g[i]) < 1e-5
+        r = np.random.default_rng(1)
+        assert all(m.value(p + r.normal(0, 1e-3, len(p))) >= m.value(p) for _ in range(20))
+        cov, n = m.sandwich(p), m.n
+        for k in range(3):
+            own = told[run, k]
+            s = p[k * n : (k + 1) * n]
+            s = s - s.mean()
+            slant = s / (n * s.std())
+            assert abs(own.noise / np.diag(cov)[k * n : (k + 1) * n].mean() - 1) < 1e-8
+            assert abs(own.se_gamma / math.sqrt(cov[n * 3 + k, n * 3 + k]) - 1) < 1e-8 and abs(own.se_beta / math.sqrt(cov[-1, -1]) - 1) < 1e-8
+            assert abs(own.se_spread / math.sqrt(slant @ cov[k * n : (k + 1) * n, k * n : (k + 1) * n] @ slant) - 1) < 1e-7
+            assert abs(own.spread - s.std()) < 1e-9 and own.kappa > 1 and own.rho < 1 and own.se_spread_denoised >= own.se_spread
+    s = gated.scores(fitted, ["run"]).groupBy("run", "k").agg(F.sum("s").alias("s"), F.count("*").alias("n")).collect()
+    assert all(abs(r.s) < 1e-9 and r.n == 8 for r in s)
+
+
+def test_own_position_terms(spark):
+    runs = {"u": problem(seed=9, t=200)}
+    cells = gated_cells(spark, runs)
+    shared = gated.fit(cells, ["run"])
+    beta = shared.first().beta
+    pinned = {r.k: r for r in gated.fit(cells, ["run"], beta=beta).collect()}
+    own = gated.fit(cells, ["run"], own=True, start=shared)
+    for r in shared.collect():  # with the position term given, the criteria do not touch
+        assert np.allclose(r.p, pinned[r.k].p, atol=1e-4) and abs(r.nll - pinned[r.k].nll) < 1e-8
+    pairs, x, *_ = runs["u"]
+    for r in own.collect():
+        c = gated.Criterion(pairs[:, 0], pairs[:, 1], x[:, r.k], 1e-3, True)
+        p = np.array(r.p)
+        assert np.abs(c.slope(p, 0.0)).max() < 1e-6 and r.beta == p[-1]
+        num = [(c.value(p + d, 0.0) - c.value(p - d, 0.0)) / 2e-5 for d in np.eye(len(p)) * 1e-5]
+        assert np.allclose(num, c.slope(p, 0.0), atol=1e-5)
+        u = np.zeros((len(pairs), len(p)))
+        w = c.parts(p, 0.0)
+        u[np.arange(len(pairs)), c.a] += w["d"]
+        u[np.arange(len(pairs)), c.b] -= w["d"]
+        u[:, c.n], u[:, c.n + 1] = w["gate"], w["place"]
+        v = u @ np.linalg.inv(c.curve(p, 0.0))
+        told = gated.inference(own.filter(F.col("k") == r.k), ["run"]).first()
+        assert abs(told.se_beta / np.linalg.norm(v[:, -1]) - 1) < 1e-8 and abs(told.noise / (v[:, : c.n] ** 2).sum(axis=0).mean() - 1) < 1e-8
+    test = gated.position_test(shared, own, ["run"]).first()
+    assert test.lr >= 0 and test.df == 2 and abs(test.p - choice.likelihood_ratio_p(test.lr, 2)) < 1e-12
+
+
+def test_gated_forecasts_are_those_of_the_other_folds(spark):
+    pairs, x, *_ = problem(seed=11, t=150)
+    cells = gated_cells(spark, {"u": (pairs, x)}).withColumn("fold", (F.col("t") % 3).cast("int"))
+    told = gated.forecasts(cells, ["run"]).collect()
+    assert len(told) == 450
+    for held in range(3):
+        train = np.arange(150) % 3 != held
+        alone = {r.k: r for r in gated.fit(gated_cells(spark, {"u": (pairs[train], x[train])}), ["run"]).collect()}
+        for r in told:
+            if r.held == held and r.t < 12:
+                p = np.array(alone[r.k].p)
+                d = p[pairs[r.t, 0]] - p[pairs[r.t, 1]]
+                assert abs(r.p_dir - kernels.sigmoid(d + alone[r.k].beta)) < 1e-4 and r.x == x[r.t, r.k]
+                assert abs(r.ref_cite - (x[train][:, r.k] != 0).mean()) < 1e-12 and abs(r.ref_dir - (x[train][:, r.k] == 1).sum() / (x[train][:, r.k] != 0).sum()) < 1e-12
+    gates = gated.gate_cells(gated.forecasts(cells, ["run"]), ["t"]).groupBy("gate").count().collect()
+    assert {r.gate: r["count"] for r in gates} == {"citation": 450, "direction": int((x != 0).sum())}
+
+
+def test_holistic_fits_run_side_by_side(spark):
     rows = []
     for run in ("u", "v"):
         pairs, x, w, m, n = problem(seed=7)
         rows += [(run, t, int(a), int(b), int(w[t]), k, int(x[t, k]), int(m[t, k])) for t, (a, b) in enumerate(pairs) for k in range(3)]
     df = spark.createDataFrame(rows, "run string, t long, a long, b long, w int, k int, x int, r int")
-    g = choice.fit_gated(df.select("run", "t", "a", "b", "k", "x")).collect()
     h = choice.fit_holistic(df.select("run", "t", "a", "b", "w", "k", "r")).collect()
-    assert len(g) == len(h) == 6 and all(x.grad < 1e-3 for x in g) and len({(x.k, round(x.gamma, 9)) for x in g}) == 3
+    assert len(h) == 6 and all(r.restart_gap < 1e-4 and r.kappa_winner > 1 and r.sign > 0 for r in h) and len({(r.k, round(r.gamma, 9)) for r in h}) == 3
+    told = choice.holistic_forecasts(df.select("run", "t", "a", "b", "w", "k", "r", (F.col("t") % 4).cast("int").alias("fold"))).collect()
+    assert len(told) == 720
+    out = np.arange(120) % 4 == 1
+    model = kernels.Holistic(pairs[~out], w[~out], m[~out], n)
+    z, _ = kernels.Holistic(pairs[out], w[out], m[out], n).logits(model.fit()[0])
+    want = dict(zip(np.flatnonzero(out).tolist(), kernels.sigmoid(z).tolist(), strict=True))
+    assert all(abs(r.p_win - want[r.t]) < 1e-8 for r in told if r.held == 1)
     s = choice.fit_bradley_terry(df.filter("k = 0").select("run", "a", "b", "w"), ["run"]).groupBy("run").agg(F.sum("score").alias("s")).collect()
     assert all(abs(x.s) < 1e-9 for x in s)
 
 
+def test_panels_and_halves(spark):
+    r = np.random.default_rng(12)
+    items = spark.createDataFrame([(i, "test" if i % 5 == 0 else "train") for i in range(31)], "item long, split string")  # item 30 is never compared
+    truth = r.normal(0, 1, 30)
+    rows = []
+    for t in range(500):
+        a, b = (int(v) for v in r.choice(30, 2, replace=False))
+        for f in ("x", "y"):
+            rows.append((t, f, a, b, float(r.random() < kernels.sigmoid(truth[a] - truth[b] + 0.3))))
+    j = spark.createDataFrame(rows, "pair_index long, feature string, first long, other long, w double")
+    out = panel_fit.fit_panel(j, items, []).collect()
+    assert len(out) == 62 and {x.item for x in out if x.score is None} == {30}
+    for f in ("x", "y"):
+        s = {x.item: x.score for x in out if x.feature == f}
+        beta = next(x.beta for x in out if x.feature == f)
+        for q in (0, 5, 25):  # the score of a test item is where its slope against the anchors vanishes
+            g = 1e-3 * s[q]
+            for t, g_, a, b, w in rows:
+                if g_ == f and q in (a, b) and (a % 5 == 0) != (b % 5 == 0):
+                    g += (kernels.sigmoid(np.array(s[a] - s[b] + beta)) - w) * (1 if a == q else -1)
+            assert abs(g) < 1e-6
+        known = [i for i in range(30) if i % 5]
+        assert np.corrcoef([s[i] for i in known], truth[known])[0, 1] > 0.8
+    h = panel_fit.halves(j, items, []).select("pair_index", "half", "first", "other").distinct().collect()
+    use = {t for t, _, a, b, _ in rows if a % 5 or b % 5}
+    assert len(h) == len(use) == len({x.pair_index for x in h})
+    among = [x.half for x in h if x.first % 5 and x.other % 5]
+    assert abs(sum(among) * 2 - len(among)) <= 1
+    for q in range(0, 30, 5):
+        own = [x.half for x in h if q in (x.first, x.other)]
+        assert 0 <= sum(own) * 2 - len(own) <= 1
+    rel = panel_fit.half_reliability(panel_fit.fit_panel(panel_fit.halves(j, items, []), items, ["half"]), []).collect()
+    assert {x.feature for x in rel} == {"x", "y"} and all(x.n == 6 and x.r > 0 and x.stepped_up >= x.r for x in rel)
+
+
+def test_an_unknown_anchor_gives_no_score(spark):
+    tests = spark.createDataFrame([(1, "f", 0, 1, 1.0, 1.0), (2, "f", 5, 9, -1.0, 1.0)], "pair_index long, feature string, item long, anchor long, sign double, w double")
+    anchors = spark.createDataFrame([("f", 1, 0.5, 0.1)], "feature string, item long, score double, beta double")
+    got = {x.item: x.score for x in panel_fit.score_tests(tests, anchors, []).collect()}
+    assert got[5] is None and got[0] > 0.5
+
+
+def test_resampled_sums_equal_weights_by_hand(spark):
+    r = np.random.default_rng(3)
+    rows = [("g" if i % 3 else None, i // 4, float(r.random()), float(r.integers(0, 2)), 0.4) for i in range(200)]
+    cells = spark.createDataFrame(rows, "g string, unit long, p double, y double, pr double").repartition(5)
+    got = calibration.resampled_bins(cells, ["g"], "unit", 30).collect()
+    h = {x.unit: x.h for x in cells.select("unit", F.xxhash64("unit").alias("h")).distinct().collect()}
+    w = {u: calibration.weights(np.array([x]).view(np.uint64), 30)[0] for u, x in h.items()}
+    for x in got:
+        mine = [row for row in rows if row[0] == x.g and sum(row[2] >= e * 0.1 for e in range(1, 10)) == x.bin]
+        assert x.n == sum(w[row[1]][x.rep] for row in mine) and abs(x.se - sum(w[row[1]][x.rep] * (row[2] - row[3]) ** 2 for row in mine)) < 1e-9
+    all_ = np.concatenate([calibration.weights(np.arange(2000, dtype=np.uint64) * np.uint64(77), 200)[:, 1:].ravel()])
+    assert abs(all_.mean() - 1) < 0.01 and abs(all_.var() - 1) < 0.02
+
+
 def test_circle_pairs_are_regular_connected_and_distinct(spark):
     for n, d in ((10, 2), (20, 5), (8, 7)):
         p = graph.circle_pairs(spark, n, d)
