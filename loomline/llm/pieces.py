@@ -1,19 +1,18 @@
 """SentencePiece encoding by a table of distinct marked words, and decoding.
 
 In a model whose pieces hold the whitespace marker only in front, no piece and no merge crosses from a word into the
-next marker, so a text's pieces are those of its marked words one after the other. All distinct marked words of the
-table are gathered, each is segmented once, and the ids are joined back by position: words that occur much (a number
-of them with a proven bound) are broadcast; the places of all others are joined with the table in a shuffle and come
-back as lists by file and row, which the tasks that read the texts read beside them. Texts are not shuffled.
+next marker, so a text's pieces are those of its marked words one after the other. Every block of rows names its
+distinct marked words; these meet in one table in the order of the words, where each distinct word is segmented once,
+and the ids go back to the blocks that have the word, as files in the shared folder. A task that reads the texts looks
+up its block's words and joins the ids by position. A word has one row a block, so none is a hot key, and texts are not
+shuffled.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,14 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from ..sources.files import store
-from ..sources.shared import keyed, shared_dir, written
+from ..sources.shared import keyed, shared_dir
 from .slices import slices
 
 MARK = "▁"
-#: Broadcast words: so many, with so many bytes, at most.
-MOST_COMMON, MOST_BYTES = 1 << 17, 1 << 24
-#: Distinct words that a task counts before it hands them on.
-MOST_COUNTED = 1 << 19
-#: Rows of a file whose rare words come back in one file; rare words of one text that come back in one list.
-ROWS, LIST = 8192, 1 << 16
+#: Bytes of text of a block of rows, on average; its distinct words are held in one task.
+BLOCK_BYTES = 1 << 26
+#: Distinct words that a task gathers before it hands them on.
+MOST_GATHERED = 1 << 20
 MARKED = re.compile(rb" +[^ ]*")
 
 
@@ -67,94 +64,116 @@ def marked_words(text: str | None) -> Iterator[list[bytes]]:
         yield [w[1:] for w in MARKED.findall(part)] if b"  " in part else part[1:].split(b" ")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marked words of a task and how often each occurs there."""
-    seen: Counter = Counter()
+def _place(key: pa.Scalar, rows: int) -> tuple[int, int]:
+    """The file (its hash as a signed number) and the block of a row's name."""
+    file, _, row = key.as_py().rpartition(":")
+    n = int(file, 16)
+    return n - (1 << 64) if n >> 63 else n, int(row) // rows
 
-    def handed_on() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
 
-    for b in batches:
-        for text in b.column(0):
-            for words in marked_words(text.as_py()):
-                seen.update(words)
-                if len(seen) > MOST_COUNTED:
+def _words(rows: int) -> Callable:
+    """The distinct marked words of every block of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        at = None
+
+        def handed_on() -> pa.RecordBatch:
+            words = pa.array(seen, pa.binary()).cast(pa.string())
+            file, block = (pa.array(np.full(len(seen), x, np.int64)) for x in (at or (0, 0)))
+            seen.clear()
+            return pa.RecordBatch.from_arrays([words, file, block], ["word", "file", "block"])
+
+        for b in batches:
+            for text, key in zip(b.column(0), b.column(1), strict=True):
+                if at != (place := _place(key, rows)):
                     yield handed_on()
-    yield handed_on()
+                    at = place
+                for words in marked_words(text.as_py()):
+                    seen.update(words)
+                    if len(seen) > MOST_GATHERED:
+                        yield handed_on()
+        yield handed_on()
+
+    return run
 
 
 def _segment(model: bytes) -> Callable:
-    """The ids of every word of the table."""
+    """From rows in the order of words and blocks: a row for each block of a batch with its words and their ids.
+
+    Every word is segmented once. ``words`` are joined by 0xFF, which UTF-8 never holds; ``sizes`` are numbers of ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         alone = [sp.piece_to_id(MARK)]
+        last, last_ids, last_row = None, b"", None
         for b in batches:
             words = b.column(0).to_pylist()
-            ids = [x if w else alone for w, x in zip(words, sp.encode(words, num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before] if words else []
+            found = iter([np.array(x if w else alone, id_type(sp)).tobytes() for w, x in zip(new, sp.encode(new, num_threads=1), strict=True)])
+            blocks: dict[tuple[int, int], tuple[list, list]] = {}
+            for row in zip(words, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if row[0] != last:
+                    last, last_ids = row[0], next(found)
+                if row != last_row:  # a block that two tasks read names a word twice
+                    own = blocks.setdefault(row[1:], ([], []))
+                    own[0].append(last.encode())
+                    own[1].append(last_ids)
+                last_row = row
+            width = np.dtype(id_type(sp)).itemsize
+            out = [(*at, b"\xff".join(w), (np.array(list(map(len, ids)), "<u4") // width).astype("<u4").tobytes(), b"".join(ids)) for at, (w, ids) in blocks.items()]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["file", "block", "words", "sizes", "ids"])
 
     return run
 
 
-def _rare_places(common) -> Callable:
-    """Every text's words that are not broadcast, in order, as rows ``file, row, part, words``."""
+def id_type(sp: sentencepiece.SentencePieceProcessor) -> str:
+    return "<u2" if sp.vocab_size() <= 1 << 16 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
-        for b in batches:
-            out: list[tuple] = []
-            for text, key in zip(b.column(0), b.column(1), strict=True):
-                file, _, row = key.as_py().rpartition(":")
-                part, rare = 0, []
-                for words in marked_words(text.as_py()):
-                    rare += [w for w in words if w not in known]
-                    while len(rare) >= LIST:
-                        out.append((file, int(row), part, rare[:LIST]))
-                        part, rare = part + 1, rare[LIST:]
-                if rare:
-                    out.append((file, int(row), part, rare))
-            columns = [list(x) for x in zip(*out, strict=True)] if out else [[], [], [], []]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
-            arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].cast(pa.list_(pa.string()))], ["file", "row", "part", "words"])
 
-    return run
+class Lookup:
+    """A block's words and their ids."""
 
+    def __init__(self, path: str, file: int, block: int, kind: str):
+        where, top = store(f"{path}/file={file}/block={block}")
+        words, sizes, ids = [], [np.zeros(0, "<u4")], [np.zeros(0, kind)]
+        if where.get_file_info(top).type != fs.FileType.NotFound:
+            for x in ds.dataset(top, filesystem=where, format="parquet").to_table(columns=["words", "sizes", "ids"]).to_pylist():
+                words += x["words"].split(b"\xff")
+                sizes.append(np.frombuffer(x["sizes"], "<u4"))
+                ids.append(np.frombuffer(x["ids"], kind))
+        self.of = {w: i for i, w in enumerate(words)}
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
 
-def _ids_of_block(path: str, file: str, block: int) -> dict[int, Iterator[list[int]]]:
-    """The ids of rare words by row, in order, of a block of rows of a file."""
-    where, top = store(f"{path}/file={file}/block={block}")
-    if where.get_file_info(top).type == fs.FileType.NotFound:
-        return {}
-    t = ds.dataset(top, filesystem=where, format="parquet").to_table(columns=["row", "part", "ids"]).sort_by([("row", "ascending"), ("part", "ascending")])
-    parts: dict[int, list] = {}
-    for row, ids in zip(t["row"].to_pylist(), t["ids"], strict=True):
-        parts.setdefault(row, []).append(ids)
-    return {row: chain.from_iterable(x.as_py() for x in lists) for row, lists in parts.items()}
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The ids of a text, word by word."""
+        out = [np.zeros(0, np.int32)]
+        for words in marked_words(text):
+            at = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - size), size)
+            out.append(self.ids[place].astype(np.int32))
+        return np.concatenate(out)
 
 
-def _join_back(model: bytes, common, path: str | None) -> Callable:
+def _join_back(model: bytes, path: str, rows: int) -> Callable:
     """Every text's ids by position, and the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, known, at, rare = processor(model), common.value.get, None, {}
+        sp, at, lookup = processor(model), None, None
         for b in batches:
             ids, decoded = [], []
             for text, key in zip(b.column(1), b.column(2), strict=True):
-                file, _, row = key.as_py().rpartition(":")
-                if path and at != (at := (file, int(row) // ROWS)):
-                    rare = _ids_of_block(path, *at)
-                others, mine = rare.get(int(row)), []
-                for words in marked_words(text.as_py()):
-                    found = list(map(known, words))
-                    if None in found:
-                        found = [next(others) if x is None else x for x in found]
-                    mine.extend(chain.from_iterable(found))
-                decoded.append(sp.decode(mine))
-                ids.append(np.array(mine, np.int32))
+                if at != (place := _place(key, rows)):
+                    lookup = None  # the block before goes first
+                    at, lookup = place, Lookup(path, *place, id_type(sp))
+                ids.append(lookup(text.as_py()))
+                decoded.append(sp.decode(ids[-1].tolist()))
             sizes = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists, pa.array(decoded, pa.string())], ["doc_id", "row_key", "ids", "decoded"])
@@ -174,43 +193,27 @@ def _whole(model: bytes) -> Callable:
     return run
 
 
-def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", most_common: int = MOST_COMMON, most_bytes: int = MOST_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, row_key, ids, decoded``.
 
     ``ids`` are those that the sentencepiece library gives for the whole text under ``model`` (a model file's bytes),
     without begin or end; ``decoded`` is what it makes of them again. Null and empty texts have no ids and decode to an
     empty text. Null ids and repeated rows are carried as they come; other columns are not read; an empty table gives
-    an empty result. A text is split in slices of 4 MB; its ids are held at once. ``most_common`` and ``most_bytes``
-    bound what is broadcast and do not change the result.
+    an empty result. A text is split in slices of 4 MB; its ids are held at once, and so are the distinct words of a
+    block of rows (``block_bytes`` of text on average, one row at least). The blocks' words stay in the shared folder.
     """
     spark = docs.sparkSession
     named = keyed(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("__row").alias("row_key"))
     out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, row_key string, ids array<int>, decoded string"
     if not separable(model):
         return named.mapInArrow(_whole(model), out)
-    words = named.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    table = written(words.mapInArrow(_segment(model), "word string, n long, ids array<int>"), "pieces-table")
-    # how common a word is, in steps of a twelfth to a half: some hundred values at most
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    size = F.octet_length("word") + 4 * F.size("ids") + 16
-    steps = table.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).orderBy(F.desc("step")).collect()
-    least, n, n_bytes = 1 << 30, 0, 0
-    for s in steps:
-        n, n_bytes = n + s.n, n_bytes + s.bytes
-        if n > most_common or n_bytes > most_bytes:
-            break
-        least = s.step
-    near = table.filter(step >= least).select("word", "ids").toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(near["word"].cast(pa.binary()).to_pylist(), map(tuple, near["ids"].to_pylist()), strict=True)))
-    path = None
-    if steps and least > steps[-1].step:
-        places = named.select("text", "row_key").mapInArrow(_rare_places(common), "file string, row long, part int, words array<string>")
-        places = places.select("file", "row", "part", F.posexplode("words").alias("k", "word"))
-        met = places.join(table.filter(step < least).select("word", "ids"), "word").withColumn("block", F.floor(F.col("row") / ROWS).cast("long"))
-        lists = met.repartition("file", "block").groupBy("file", "block", "row", "part").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("ids"))
-        path = shared_dir(spark, "pieces-rare")
-        lists.withColumn("ids", F.transform("ids", lambda x: x["ids"])).sortWithinPartitions("file", "block", "row", "part").write.partitionBy("file", "block").parquet(path)
-    return named.mapInArrow(_join_back(model, common, path), out)
+    n, size = named.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rows = max(1, block_bytes * n // max(1, size or 0)) if n else 1
+    words = named.select("text", "row_key").mapInArrow(_words(rows), "word string, file long, block long")
+    table = words.repartition("word").sortWithinPartitions("word", "file", "block").mapInArrow(_segment(model), "file long, block long, words binary, sizes binary, ids binary")
+    path = shared_dir(spark, "pieces")
+    table.repartition("file", "block").write.option("compression", "zstd").partitionBy("file", "block").parquet(path)
+    return named.mapInArrow(_join_back(model, path, rows), out)
 
 
 def query(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

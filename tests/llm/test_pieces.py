@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -27,8 +28,8 @@ def test_ids_and_texts_are_the_library_s(spark, model):
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = made(1, 1500) + [(None, None), (5000, ""), (5001, " "), (5002, "x" * 200_000), (5003, ("ab  " * 30 + " ") * 90_000), (5004, "same"), (5004, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as ids", "2 as word", "'f' as file").repartition(3)
-    for most in (pieces.MOST_COMMON, 40, 0):  # all words broadcast, some, none
-        out = pieces.encoded(df, model, most_common=most).collect()
+    for most in (pieces.BLOCK_BYTES, 20_000, 1):  # one block of rows, several, one a row
+        out = pieces.encoded(df, model, block_bytes=most).collect()
         assert len(out) == len(rows)
         got = {x.doc_id: x for x in out}
         for i, t in rows:
@@ -62,23 +63,31 @@ def test_models_that_cross_markers_take_whole_texts(spark, model):
         assert all(list(x.ids) == sp.encode(dict(rows)[x.doc_id]) for x in out) and len(out) == len(rows)
 
 
-def test_lists_of_rare_words_are_cut(spark, model, monkeypatch):
-    monkeypatch.setattr(pieces, "LIST", 3)
-    monkeypatch.setattr(pieces, "MOST_COUNTED", 5)
-    rows = []
-
-    class Common:
-        value = {b"a": (1,)}
-
+def test_each_word_is_segmented_once(spark, model, monkeypatch):
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(["a b c a d e f g h", "a", None]), pa.array(["F:1", "F:2", "F:3"])], ["text", "key"])
-    for out in pieces._rare_places(Common)(iter([batch])):
-        rows += out.to_pylist()
-    assert [x["part"] for x in rows] == list(range(len(rows))) and {x["row"] for x in rows} == {1}
-    assert [w for x in rows for w in x["words"]] == ["b", "c", "d", "e", "f", "g", "h"]
-    counted = [dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for b in pieces._count(iter([batch]))]
-    assert sum(x.get("a", 0) for x in counted) == 3
+    monkeypatch.setattr(pieces, "MOST_GATHERED", 3)
+    texts = ["a b c a d e", "a", None, "a f  "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["F:1", "F:2", "F:3", "F:4"])], ["text", "key"])
+    rows = [tuple(x.values()) for b in pieces._words(3)(iter([batch])) for x in b.to_pylist()]
+    assert set(rows) == {(w, 15, 0) for w in "abcde"} | {(w, 15, 1) for w in ("a", "f", " ")}
+    asked = []
+
+    class Spy:
+        sp = pieces.processor(model)
+        piece_to_id, vocab_size = sp.piece_to_id, sp.vocab_size
+
+        def encode(self, words, **kw):
+            asked.extend(words)
+            return self.sp.encode(words, **kw)
+
+    monkeypatch.setattr(pieces, "processor", lambda m: Spy())
+    rows = sorted([*rows, ("a", 15, 0), ("", 15, 1)])
+    parts = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["word", "file", "block"]) for p in (rows[:3], rows[3:5], [], rows[5:])]
+    out = [x for b in pieces._segment(model)(iter(parts)) for x in b.to_pylist()]
+    found = [(w.decode(), x["file"], x["block"]) for x in out for w in x["words"].split(b"\xff")]
+    assert sorted(asked) == sorted({r[0] for r in rows}) and sorted(found) == sorted(set(rows))
+    assert all(2 * sum(np.frombuffer(x["sizes"], "<u4")) == len(x["ids"]) and len(x["sizes"]) == 4 * len(x["words"].split(b"\xff")) for x in out)
 
 
 def test_encoding_of_nothing(spark, model):
