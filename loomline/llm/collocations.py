@@ -26,7 +26,7 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" els
 #: Bits of the bitmap for each frequent phrase, and its largest size (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Words that a task numbers before it starts anew.
-MOST_NUMBERED = 1 << 20
+MOST_NUMBERED = 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 

@@ -27,7 +27,9 @@ SLOTS = 1024
 #: Up to so many sources are broadcast.
 FEW_SOURCES = 100_000
 #: The knapsack starts with so many lengths and widens; a table of sums never has more than MOST_SUMS entries.
-LENGTHS, MOST_SUMS = 64, 1 << 26
+LENGTHS, MOST_SUMS = 8, 1 << 26
+#: Where sums are too long for a table: sums of either half of the documents that may move, and how often others are tried.
+HALF, TRIES = 1 << 20, 64
 
 
 def source_key(source: Column) -> Column:
@@ -67,14 +69,69 @@ def best_subset(items: list[tuple[int, int]], most: int) -> dict[int, int]:
     return out
 
 
+def half_sums(lengths: list[int], free: dict[int, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """All sums of up to ``free`` documents of the first of ``lengths``, as many as HALF allows, and what was used.
+
+    The place of a sum tells its choice: digits in the bases of the numbers used.
+    """
+    sums, used = np.zeros(1, np.int64), []
+    for n in lengths:
+        k = min(free[n], HALF // len(sums) - 1)
+        if k < 1:
+            break
+        sums = (sums[None, :] + n * np.arange(k + 1, dtype=np.int64)[:, None]).ravel()
+        used.append((n, k))
+    return sums, used
+
+
+def choice_at(place: int, used: list[tuple[int, int]]) -> dict[int, int]:
+    out = {}
+    for n, k in used:
+        place, out[n] = divmod(place, k + 1)
+    return out
+
+
+def met_in_the_middle(left: dict[int, int], taken: dict[int, int], rest: int) -> int:
+    """Change ``taken`` so that the sum grows by up to ``rest``, as far as found; what is then left of ``rest``.
+
+    The documents that may move fall in two halves with at most HALF sums each; of every sum of one half the best
+    partner in the other is found by bisection. If both halves hold all documents the result is the best there is.
+    Otherwise other documents are tried, in seeded order: with a million sums a half there are about 10^12 to choose
+    from, so a budget that many documents can meet is met.
+    """
+    r, lengths = np.random.default_rng(5), sorted(left)
+    for _ in range(TRIES):
+        order = [lengths[i] for i in r.permutation(len(lengths))]
+        a, used_a = half_sums(order, left)
+        b, used_b = half_sums(order[len(used_a) :], left)
+        moving = dict(used_a) | dict(used_b)
+        # of a length with more documents than may move, those that stay are taken first
+        stay = {n: max(0, taken[n] - k) for n, k in moving.items()}
+        most = rest + sum(n * (taken[n] - stay[n]) for n in moving)
+        by = np.argsort(b, kind="stable")
+        at = np.searchsorted(b[by], most - a, side="right") - 1
+        total = np.where(at >= 0, a + b[by][np.maximum(at, 0)], -1)
+        best = int(np.argmax(total))
+        if most - total[best] < rest:
+            chosen = choice_at(best, used_a) | choice_at(int(by[at[best]]), used_b)
+            for n in moving:
+                taken[n] = stay[n] + chosen[n]
+            rest = int(most - total[best])
+        if not rest or all(moving.get(n) == c for n, c in left.items()):
+            break
+    return rest
+
+
 def fit_budget(counts: dict[int, int], budget: int, most_sums: int = MOST_SUMS) -> dict[int, int]:
     """How many documents of each length to take so that the sum of lengths is the largest up to ``budget``.
 
     ``counts`` maps a length to its number of documents; lengths below 1 are never needed. An equal share of each
     length and the longest that still fit are a start. Then a bounded knapsack over the rest may add documents and give
     some back: at most q of a length for m of the lengths, with m and q doubled until the budget itself is reached or
-    all documents were free to move. So the sum is the best there is, unless the budget cannot be reached and a table
-    that tells so would have more than ``most_sums`` entries; then it is the best of the tables before.
+    all documents were free to move. Where a table of sums would have more than ``most_sums`` entries, as with texts of
+    millions of words, sums of two halves of the documents meet in the middle instead. So the sum is the best there is,
+    unless the budget cannot be reached, a table would be too large, and there are more documents than the halves hold
+    (about 40 of different lengths); then it is the best found.
     """
     left = {n: c for n, c in sorted(counts.items()) if n > 0 and c > 0}
     total = sum(n * c for n, c in left.items())
@@ -96,6 +153,7 @@ def fit_budget(counts: dict[int, int], budget: int, most_sums: int = MOST_SUMS)
         back = {n: min(taken[n], q) for n in chosen}
         most = rest + sum(n * k for n, k in back.items())
         if most >= most_sums:
+            met_in_the_middle(left, taken, rest)
             break
         items = [(n, back[n] + min(left[n] - taken[n], q)) for n in reversed(chosen)]
         better = best_subset(items, most)
@@ -135,7 +193,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` (``doc_id, row_key, source, size``) with ``skey`` and ``more`` (one copy beyond whole epochs: 0 or 1);
     and per ``skey`` its ``source, source_size, target, epochs``."""
-    light = rows.withColumn("pick", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows without an id would share one hash: their place in the table tells them apart
+    light = rows.withColumn("pick", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("row_key"))))
     light = light.withColumns({"slot": F.pmod("pick", F.lit(SLOTS)), "skey": source_key(F.col("source"))})
     slots = written(light.groupBy("skey", "size", "slot").agg(F.count("*").alias("n")), "mix-slots")
     lengths = slots.groupBy("skey", "size").agg(F.sum("n").alias("n"))
@@ -178,7 +237,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes of the document: 0 or a
     multiple of its size, ``most`` times at most. Each source's sum of ``taken`` is the largest up to its rounded
     target (see ``fit_budget``). A null source is a source of its own. Documents of one length tie: those with the
-    smallest seeded hash of their id, then id, then row are taken. Rows that repeat are chosen one by one. Other
+    smallest seeded hash of their id (of their place in the table, without an id), then id, then row are taken. Rows that repeat are chosen one by one. Other
     columns are not read. An empty table gives an empty result; texts without words take and are given nothing.
     """
     out, aims = _plan(_light(keyed(docs, "__row"), id_col, text_col, source_col), weights, share, most, seed)
@@ -190,14 +249,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Columns of ``docs`` with one of these three names give way to them. Texts are not shuffled.
     """
-    rows = keyed(docs, "__row")
-    out, aims = _plan(_light(rows, id_col, text_col, source_col), weights, share, most, seed)
+    key = "__row"
+    while key.lower() in map(str.lower, docs.columns):
+        key += "_"
+    # the table's columns go in a struct, where none of them meets a name of this function
+    rows = keyed(docs, key).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{key}`").alias("__row"))
+    own = lambda c: F.col("doc").getField(c)
+    light = written(rows.select(own(id_col).alias("doc_id"), own(source_col).alias("source"), word_count(own(text_col)).alias("size"), F.col("__row").alias("row_key")), "mix-light")
+    out, aims = _plan(light, weights, share, most, seed)
     chosen = out.filter("more > 0").select(F.col("row_key").alias("__row"))
-    aims = aims.select("skey", F.col("epochs").alias("__epochs"))
-    met = _with_aims(marked(rows, "__row", chosen, "__more").withColumn("skey", source_key(F.col(source_col))), aims)
-    new = {"repeats": F.col("__epochs") + F.col("__more").cast("long"), "size": word_count(F.col(text_col))}
-    met = met.withColumns(new).withColumn("taken", F.col("size") * F.col("repeats")).filter("taken > 0")
-    return met.select(*[c for c in docs.columns if c.lower() not in ("size", "taken", "repeats")], "size", "taken", "repeats")
+    met = _with_aims(marked(rows, "__row", chosen, "more").withColumn("skey", source_key(own(source_col))), aims.select("skey", "epochs"))
+    met = met.withColumns({"repeats": F.col("epochs") + F.col("more").cast("long"), "size": word_count(own(text_col))})
+    met = met.withColumn("taken", F.col("size") * F.col("repeats")).filter("taken > 0")
+    return met.select(*[own(c).alias(c) for c in docs.columns if c.lower() not in ("size", "taken", "repeats")], "size", "taken", "repeats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

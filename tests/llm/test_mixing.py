@@ -31,6 +31,45 @@ def test_fit_budget_of_many_lengths_meets_the_budget():
     assert all(0 < k <= counts[n] for n, k in took.items()) and sum(n * k for n, k in took.items()) == budget
 
 
+def total(took):
+    return sum(n * k for n, k in took.items())
+
+
+def test_fit_budget_of_very_long_texts_meets_the_budget():
+    r = random.Random(6)
+    assert total(mixing.fit_budget({70_000_000: 1, 80_000_001: 1, 90_000_007: 1}, 150_000_001)) == 150_000_001
+    for _ in range(5):
+        lengths = r.sample(range(25_000_000, 35_000_000), 12)
+        budget = sum(r.sample(lengths, 5))
+        assert total(mixing.fit_budget(dict.fromkeys(lengths, 1), budget)) == budget
+        lengths = r.sample(range(1_900_000, 2_100_000), 200)
+        budget = sum(r.sample(lengths, 57))
+        assert total(mixing.fit_budget(dict.fromkeys(lengths, 1), budget)) == budget
+        lengths = r.sample(range(10**8, 10**10), 60)
+        budget = sum(r.sample(lengths, 30))
+        took = mixing.fit_budget(dict.fromkeys(lengths, 3), budget)
+        assert total(took) == budget and max(took.values()) <= 3
+
+
+def test_fit_budget_of_long_texts_equals_brute_force():
+    r = random.Random(7)
+    for case in range(300):
+        top = 10 ** r.randrange(2, 8)
+        counts = {r.randrange(1, top): r.randrange(1, 5) for _ in range(r.randrange(1, 6))}
+        budget = r.randrange(0, sum(n * c for n, c in counts.items()) + 5)
+        took = mixing.fit_budget(counts, budget, most_sums=r.choice((1, 1 << 12, mixing.MOST_SUMS)))
+        assert all(k <= counts[n] for n, k in took.items()) and total(took) == best_sum(counts, budget), case
+
+
+def test_rows_without_ids_do_not_share_a_slot(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 4000 + [(1, "x", "t")], "doc_id long, text string, source string")
+    out, _ = mixing._plan(mixing._light(mixing.keyed(docs, "__row"), "doc_id", "text", "source"), (1, 2, 3), 1.0, 3, 17)
+    assert out.count() == 4001
+    light = mixing._light(mixing.keyed(docs, "__row"), "doc_id", "text", "source")
+    pick = mixing.F.xxhash64(mixing.F.lit(17), mixing.F.coalesce(mixing.F.col("doc_id").cast("string"), mixing.F.col("row_key")))
+    assert light.groupBy(mixing.F.pmod(pick, mixing.F.lit(mixing.SLOTS))).count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_mix_is_near_targets_and_repeatable(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randrange(0, 40)), r.choice(["a", "b", "c", None])) for i in range(800)] + [(900, None, "d"), (None, "x y", "a"), (5, "same row", "b"), (5, "same row", "b")]
@@ -65,3 +104,14 @@ def test_mix_of_nothing_and_clashing_names(spark):
     out = mixing.mixed(docs)
     assert sorted(out.columns) == ["doc_id", "repeats", "size", "source", "taken", "text"]
     assert [(x.doc_id, x.taken, x.repeats) for x in out.collect()] == [(1, 3, 1)]
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 3}", f"KEEP{i}", i, i + 1, i + 2, f"d{i}", i + 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, skey string, __epochs int, __row int, more int, doc string, epochs int")
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "size", "taken", "repeats"]
+    for x in out.collect():
+        assert tuple(x)[:9] == rows[x.doc_id] and x.taken == x["size"] * x.repeats > 0
+    plain = mixing.mixed(docs.select("doc_id", "text", "source")).select("doc_id", "taken")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, out.select("doc_id", "taken").collect()))
