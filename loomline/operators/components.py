@@ -11,18 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, shared_dir
-from .skew import hot_safe_join
+from .skew import HOT_SHARE, hot_safe_join
 
 #: Bytes of edges that a task contracts at once.
 BUFFER = 1 << 25
 
 
-def _star(edges: DataFrame, total: int) -> DataFrame:
-    """Rows (u, v, m): m is the smallest node among u and its v. A node with much of the edges is no hot key."""
+def _star(edges: DataFrame, total: int, tables: list[str]) -> DataFrame:
+    """Rows (u, v, m): m is the smallest node among u and its v. A node with much of the edges is no hot key.
+
+    Minima are written first (the path goes to ``tables``), so the plan of a step stays small.
+    """
     low = edges.groupBy("u").agg(F.min("v").alias("v_low"), F.count("*").alias("n")).select("u", F.least("u", "v_low").alias("m"), "n")
+    low = _kept(low, tables)
+    most = low.agg(F.max("n")).first()[0] or 0
+    if most <= max(1.0, total * HOT_SHARE):
+        return edges.join(low.drop("n"), "u")
     return hot_safe_join(edges, low, ["u"], "n", total, "inner")
 
 
+def _kept(df: DataFrame, tables: list[str]) -> DataFrame:
+    path = shared_dir(df.sparkSession, "components")
+    df.write.parquet(path)
+    tables.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     """The smallest node of each node's component among nodes 0 to n - 1, by passing minima on and jumping pointers."""
     low = np.arange(n)
@@ -97,21 +111,18 @@ def connected_components(edges: DataFrame, max_steps: int = 100, contract: bool
     kind = now.schema["u"].dataType.simpleString()
     if contract:
         now = now.mapInArrow(_contract, f"u {kind}, v {kind}")
-    path = shared_dir(spark, "components")
-    now.distinct().write.parquet(path)
-    now = spark.read.schema(now.schema).parquet(path)
+    tables: list[str] = []
+    now = _kept(now.distinct(), tables)
     before = _state(now)
     total = before[0]
     for _ in range(max_steps if total else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(large, 2 * total)
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        new = shared_dir(spark, "components")
-        small.write.parquet(new)
-        now = spark.read.schema(small.schema).parquet(new)
-        remove(spark, path)
-        path = new
+        large = _star(both, 2 * total, tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _star(_kept(large, tables), 2 * total, tables)
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = _kept(small.filter("u <> v").distinct(), tables)
+        while len(tables) > 1:
+            remove(spark, tables.pop(0))
         state = _state(now)
         if state == before:  # stars around the smallest nodes stay as they are, nothing else does
             break

@@ -37,6 +37,31 @@ def place(phrases: DataFrame, members: DataFrame, rule: str = "last", rest: str
     return out.select("phrase_norm", F.coalesce("criterion", fill).alias("criterion"))
 
 
+def joined_groups(replies: DataFrame) -> DataFrame:
+    """Members of a taxonomy and its repairs with the order in which they were placed: ``entry, criterion, reply, ord``.
+
+    ``replies`` has ``reply`` (0 for the taxonomy, 1 and on for repairs), ``grp`` and ``place`` (the group's and the
+    member's place in the reply), ``criterion`` and ``entry``. Groups of one name are one group, at the place where the
+    name came up first; a repair's members follow those that are there.
+    """
+    first = replies.groupBy("criterion").agg(F.min(F.struct("reply", "grp")).alias("at"))
+    return replies.join(first, "criterion").select("entry", "criterion", "reply", F.struct("at", "reply", "grp", "place").alias("ord"))
+
+
+def repaired(replies: DataFrame, entries: DataFrame) -> DataFrame:
+    """``entry, before, after, change``: where the taxonomy alone and with its repairs puts each of ``entries``.
+
+    The last placement wins (see ``joined_groups``). ``change`` is kept, moved, added or left out (placed by no reply);
+    members that are no entry come out as invented, with their criteria.
+    """
+    members = joined_groups(replies)
+    last = lambda rows, name: rows.groupBy("entry").agg(F.max_by("criterion", "ord").alias(name))
+    known = entries.select("entry", F.lit(True).alias("known"))
+    out = known.join(last(members, "after"), "entry", "full").join(last(members.filter("reply = 0"), "before"), "entry", "left")
+    change = F.when(F.col("known").isNull(), "invented").when(F.col("after").isNull(), "left out").when(F.col("before").isNull(), "added").when(F.col("before") == F.col("after"), "kept").otherwise("moved")
+    return out.select("entry", "before", "after", change.alias("change"))
+
+
 def active_criteria(cited: DataFrame, floor: float = 0.05) -> DataFrame:
     """Criteria whose share of comparison-level citations is at least ``floor``: number by share, mentions, share.
 

@@ -217,3 +217,61 @@ def grouping_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = k + F.when(k % 11 == 0, 1).otherwise(0)
     m = s.select(F.expr("cast(s_suppkey as bigint) div 3").alias("cluster"), shifted.alias("entry"), F.concat(F.lit("j"), shifted % 4).alias("judge"), F.when(k % 13 == 0, "other").otherwise(F.concat(F.lit("n"), shifted)).alias("name"))
     return rationale.grouping_faults(m, e)
+
+
+BANDED_ROUNDS = 4
+
+
+def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds over all documents in five bands of length: same-source neighbours preferred, half of the pairs within bands led across."""
+    it = items(spark, sf_dir)
+    n = table(spark, sf_dir, "documents").count() // 2 * 2  # an odd last document has no partner
+    it = written(it.filter(F.col("i") < n).select(F.col("i").alias("node"), F.least(F.floor(F.col("length") / 1000), F.lit(4)).cast("int").alias("band")), "band-items")
+    wish = it.filter("node % 10 = 0 and node + 1 < {}".format(n)).select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
+    return graph.nested_pairs(it, BANDED_ROUNDS, 0.5, wish)
+
+
+@query("q_banded_pairs")
+def banded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return banded(spark, sf_dir)
+
+
+@query("q_banded_report", f"""
+WITH size AS (SELECT count(*) - count(*) % 2 AS n FROM documents)
+SELECT CAST(r AS INTEGER) AS round, n // 2 AS n_pairs, n AS n_nodes, 0 AS n_loops, 0 AS n_repeats, n // 10 + CASE WHEN n % 10 > 1 THEN 1 ELSE 0 END AS n_preferred, true AS fewer_within FROM size, (SELECT unnest(range({BANDED_ROUNDS})) AS r)""")
+def banded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every round is perfect, no pair repeats, all preferred edges are in some round, and fewer pairs are within a band than chance has."""
+    p = written(banded(spark, sf_dir), "banded")
+    ends = p.select("round", F.explode(F.array("a", "b")).alias("node")).groupBy("round").agg(F.countDistinct("node").alias("n_nodes"))
+    n = p.groupBy("round").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("a") == F.col("b")).alias("n_loops"), F.avg((F.col("band_a") == F.col("band_b")).cast("double")).alias("within"))
+    repeats = graph.faults(p).agg(F.count("*").alias("n_repeats"))
+    wish = p.filter("least(a, b) % 10 = 0 and abs(a - b) = 1").agg(F.count("*").alias("n_preferred"))
+    bands = p.select(F.explode(F.array("band_a", "band_b")).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    chance = bands.agg((F.sum(F.pow(F.col("n").cast("double"), F.lit(2.0))) / F.pow(F.sum("n").cast("double"), F.lit(2.0))).alias("chance"))
+    out = n.join(ends, "round").crossJoin(repeats).crossJoin(wish).crossJoin(chance)  # single rows
+    return out.select("round", "n_pairs", "n_nodes", "n_loops", "n_repeats", "n_preferred", (F.col("within") < F.col("chance")).alias("fewer_within"))
+
+
+REPAIR_SQL = """
+WITH r AS (
+  SELECT 0 AS reply, doc_id % 7 AS grp, doc_id AS place, 'g' || (doc_id % 7) AS criterion, doc_id AS entry FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL SELECT 1, doc_id % 11, doc_id, 'g' || (doc_id % 11), doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0 OR doc_id % 13 = 0
+  UNION ALL SELECT 2, doc_id % 3, doc_id, 'new' || (doc_id % 3), -1 - doc_id FROM documents WHERE doc_id % 17 = 0),
+f AS (SELECT criterion, min(reply * 1000 + grp) AS pos FROM r GROUP BY 1),
+m AS (SELECT r.*, f.pos FROM r JOIN f USING (criterion)),
+a AS (SELECT entry, arg_max(criterion, row(pos, reply, grp, place)) AS after FROM m GROUP BY 1),
+b AS (SELECT entry, arg_max(criterion, row(pos, reply, grp, place)) AS before FROM m WHERE reply = 0 GROUP BY 1)
+SELECT coalesce(d.doc_id, a.entry) AS entry, before, after,
+  CASE WHEN d.doc_id IS NULL THEN 'invented' WHEN after IS NULL THEN 'left out' WHEN before IS NULL THEN 'added' WHEN before = after THEN 'kept' ELSE 'moved' END AS change
+FROM documents d FULL JOIN a ON a.entry = d.doc_id LEFT JOIN b ON b.entry = coalesce(d.doc_id, a.entry)"""
+
+
+@query("q_taxonomy_repair", REPAIR_SQL)
+def taxonomy_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy and two repairs: groups of one name are joined, the last placement wins, and what moved is told."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    reply = lambda r, m, name, entry: d.select(F.lit(r).alias("reply"), (F.col("doc_id") % m).alias("grp"), F.col("doc_id").alias("place"), F.concat(F.lit(name), (F.col("doc_id") % m).cast("string")).alias("criterion"), entry.alias("entry"))
+    replies = reply(0, 7, "g", F.col("doc_id")).filter("place % 5 <> 0")
+    replies = replies.unionByName(reply(1, 11, "g", F.col("doc_id")).filter("place % 5 = 0 and place % 3 <> 0 or place % 13 = 0"))
+    replies = replies.unionByName(reply(2, 3, "new", -1 - F.col("doc_id")).filter("place % 17 = 0"))
+    return rationale.repaired(replies, d.select(F.col("doc_id").alias("entry")))
