@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.marks import without
+from ..operators.order import dealt_by_weight
 from ..sources.shared import keyed, written
 from .fm_index import FMIndex
 
@@ -25,7 +26,7 @@ WINDOW = 13
 #: A shard ends at so many indexed words or so many words read, whichever comes first.
 SHARD_INDEXED, SHARD_READ = 1 << 20, 1 << 22
 #: Test texts of up to this many bytes go to the executors at once; more are searched in blocks of this size.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Phrases searched together.
 SEARCH = 1 << 16
 
@@ -196,13 +197,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = _named(spark, out, ids, ["doc_id", "n_words", "spans"])
     else:
         base = written(base.withColumn("row_key", F.uuid()), "decontam-docs")
-        cut = written(tests.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), "decontam-tests")
+        # rows, not ids, are dealt: an id in several blocks, or none at all, is joined again below
+        cut = tests.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item"), F.lit(0)))
+        cut = written(dealt_by_weight(cut, ["item", "text"], "n", block_bytes, "block"), "decontam-tests")
         merged = None
-        for b in range(n_blocks):
-            out, ids = _scan(base, ["row_key", "doc_id"], [tuple(r) for r in cut.filter(F.col("block") == b).select("item", "text").collect()], window, whole)
+        for b in range(cut.agg(F.max("block")).first()[0] + 1):
+            mine = [tuple(r) for r in cut.filter(F.col("block") == b).select("item", "text").collect()]
+            if not mine:  # a text longer than a block takes the numbers of several
+                continue
+            out, ids = _scan(base, ["row_key", "doc_id"], mine, window, whole)
             out = _named(spark, out, ids, ["row_key", "doc_id", "n_words", "spans"])
             merged = out if merged is None else merged.unionByName(out)
-        merged = merged.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.sum("n_items").alias("n_items"))
+        merged = merged.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.bool_or(F.col("n_items") > F.size("item_ids")).alias("nameless"))
+        merged = merged.withColumn("n_items", (F.size("item_ids") + F.col("nameless").cast("int")).cast("long"))
         join = """aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
             if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
                concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),

@@ -121,7 +121,8 @@ def _features(swaps: dict[bytes, list[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [features(t.as_py(), swaps) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.list_(pa.int32())))], ["y", "here", "copies"])
+            told = [pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *told, *b.columns[2:]], ["y", "here", "copies", *b.schema.names[2:]])
 
     return run
 
@@ -191,8 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, groups:
     usable = labels.select("doc_id", F.col("toxic").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id")))
     first = [F.xxhash64("doc_id"), "doc_id", "y"]
     few = usable.orderBy(*first).limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(*first, F.xxhash64("text")).limit(fit_rows).select("y", "text")
-    rows = sample.mapInArrow(_features(swaps_of(groups)), "y double, here array<int>, copies array<array<int>>").toArrow()
+    # features first: no text leaves the task that reads it
+    told = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("y", "text", "doc_id", F.xxhash64("text").alias("h"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = told.mapInArrow(_features(swaps_of(groups)), f"y double, here array<int>, copies array<array<int>>, doc_id {kind}, h long")
+    rows = told.orderBy(*first, "h").limit(fit_rows).select("y", "here", "copies").toArrow()
     return fit(rows["y"].to_numpy(), [x.values.to_numpy() for x in rows["here"]], [x.as_py() for x in rows["copies"]], fairness=fairness)
 
 
