@@ -32,7 +32,7 @@ class Criterion:
     def __init__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, ridge: float, own: bool):
         self.items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         self.a, self.b, self.n = at[: len(a)], at[len(a) :], len(self.items)
-        self.ridge, self.own = ridge, own
+        self.ridge, self.own, self.shift = ridge, own, 0.0
         self.cited, self.first = (x != 0).astype(float), (x == 1).astype(float)
 
     def gates(self, p: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,13 +85,16 @@ class Criterion:
 
     def bowl(self, p: np.ndarray, beta: float) -> np.ndarray:
         """The curvature, with as much added on its diagonal as makes it positive definite: nothing near a minimum."""
-        h, shift = self.curve(p, beta, bent=True), 0.0
+        h = self.curve(p, beta, bent=True)
+        shift = self.shift / 9 if self.shift > 0.02 else 0.0  # what served last tells where to begin
         while True:
             try:
                 np.linalg.cholesky(h + shift * np.eye(len(h)))
-                return h + shift * np.eye(len(h))
+                break
             except np.linalg.LinAlgError:
                 shift = max(0.01, 3 * shift)
+        self.shift = shift
+        return h + shift * np.eye(len(h))
 
     def moved(self, columns: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
         """Every pair's slope vector times ``columns`` (scores, gate and own position in rows)."""

@@ -118,6 +118,17 @@ def write_chunked_lines(df: DataFrame, path: str, order: str, max_bytes: int = 1
     dealt.select("value").write.text(path)
 
 
+def word_list(spark: SparkSession, path: str, most: int = 10_000) -> tuple[str, ...]:
+    """The distinct words of a file with one a line, lower-cased, in order: a stop list for ``word_set_overlap``.
+
+    Blank lines are skipped; a list of more than ``most`` words is an error, as it becomes part of a plan.
+    """
+    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w <> ''").distinct().limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return tuple(sorted(r.w for r in words))
+
+
 def running_bytes(df: DataFrame, size: str, order: str, by: list[str]) -> DataFrame:
     """Cumulated bytes within ``by``, for request batches of bounded size."""
     return df.withColumn("running", F.sum(size).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))

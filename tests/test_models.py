@@ -410,3 +410,20 @@ def test_unclamped_frozen_scores_are_the_minimum(spark):
     assert want.keys() == got.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-3
     assert len({round(x, 3) for x in got.values() if abs(x) > 6}) > 2
+
+
+def test_bands_leave_out_what_is_missing(spark):
+    from loomline.operators import resampling
+
+    s = spark.createDataFrame([(float(i), float("nan") if i == 3 else 1.0, None) for i in range(101)], "a double, b double, c double")
+    got = {r.name: r for r in resampling.bands(s, ["a", "b", "c"]).collect()}
+    assert got["a"].n == 101 and np.allclose([got["a"].mean, got["a"].lo, got["a"].hi], [50.0, 2.5, 97.5]) and got["b"].n == 100 and "c" not in got
+
+
+def test_replicates_with_few_items_are_skipped(spark):
+    from loomline.operators import resampling
+
+    pairs = spark.createDataFrame([(i, i, (i + 1) % 30) for i in range(30)], "pair_index long, first long, other long")
+    draws = spark.createDataFrame([(0, i) for i in range(19)] + [(1, i) for i in range(20)], "rep long, item long")
+    out = resampling.drawn_pairs(pairs, draws).collect()
+    assert {(r.rep, r.n_items) for r in out} == {(1, 20)} and len(out) == 19

@@ -72,3 +72,16 @@ def test_answers_stream_into_the_cache_once(spark, tmp_path):
         q = streaming.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "ckpt"))
         q.awaitTermination(120)
     assert sorted(x.request_hash for x in spark.read.parquet(str(tmp_path / "cache")).collect()) == ["a", "c"]
+
+
+def test_word_list_serves_as_stop_words(spark, tmp_path):
+    from loomline.functions import text as T
+
+    (tmp_path / "stop.txt").write_text("The\n\n of \nthe\nzebra\n")
+    stop = loaders.word_list(spark, str(tmp_path / "stop.txt"))
+    assert stop == ("of", "the", "zebra")
+    df = spark.createDataFrame([("the zebra runs", "a zebra of the plain runs")], "a string, o string")
+    v = df.select(T.word_set_overlap(T.letter_tokens("a"), T.letter_tokens("o"), stop).alias("v")).first().v
+    assert v[0] == 2.0 and v[4] == 1.0 and v[8] == 3.0
+    with pytest.raises(ValueError):
+        loaders.word_list(spark, str(tmp_path / "stop.txt"), 2)
