@@ -95,7 +95,11 @@ def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 JUDGES = 3
 GS = ("constant", "en", "parity", "size")
 COS_SQL = f""",
-cosines AS (SELECT j, f, g, {MD5.format("j || ':' || f || ':' || g")} % 100003 / 100003.0::DOUBLE AS cos FROM (SELECT unnest(range({JUDGES})) AS j), (SELECT DISTINCT f, g FROM r)),
+mv AS (SELECT vec_id % {JUDGES} AS j, label, pos, avg(v) AS v FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
+cosines AS (
+  SELECT a.j, f, g, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS cos FROM mv a JOIN mv b ON b.j = a.j AND b.pos = a.pos
+  JOIN (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(NAMES))}) nf(label, f) ON nf.label = a.label
+  JOIN (VALUES {', '.join(f"({i + len(NAMES)}, '{g}')" for i, g in enumerate(GS))}) ng(label, g) ON ng.label = b.label GROUP BY ALL),
 orders(pid, g, f) AS (VALUES {', '.join(f"({i}, '{g}', '{f}')" for i, perm in enumerate(itertools.permutations(sorted(NAMES))) for g, f in zip(GS, perm, strict=True))}),
 sums AS (SELECT j, pid, sum(cos) AS total FROM orders JOIN cosines USING (f, g) GROUP BY ALL),
 best AS (SELECT j, arg_max(pid, total) AS pid FROM sums GROUP BY 1),
@@ -106,22 +110,29 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.correlations(features(spark, sf_dir), dials(spark, sf_dir))
 
 
-def cosines(spark: SparkSession) -> DataFrame:
-    """Hashed similarities of every feature's name with every dial's, by each of some judges."""
-    rows = [(j, f, g) for j in range(JUDGES) for f in NAMES for g in GS]
-    c = spark.createDataFrame(rows, "j long, f string, g string")
-    return c.withColumn("cos", md5_number(F.concat_ws(":", F.col("j").cast("string"), "f", "g")) % 100003 / 100003.0)
+def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of every feature with every dial: cosines of mean vectors of labels that stand for them.
+
+    A third of the vectors each belongs to one of three judges.
+    """
+    v = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % JUDGES).alias("j"), "label", F.posexplode("embedding").alias("pos", "v"))
+    mean = v.groupBy("j", "label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    named = lambda names, first: F.element_at(F.array(*map(F.lit, names)), F.col("label") - first + 1)
+    f = mean.filter(F.col("label").between(0, len(NAMES) - 1)).select("j", "pos", named(NAMES, 0).alias("f"), F.col("v").alias("a"))
+    g = mean.filter(F.col("label").between(len(NAMES), len(NAMES) + len(GS) - 1)).select("j", "pos", named(GS, len(NAMES)).alias("g"), F.col("v").alias("b"))
+    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+    return f.join(g, ["j", "pos"]).groupBy("j", "f", "g").agg((dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))).alias("cos"))
 
 
 @query("q_semantic_matches", sql(DIALS_SQL + COS_SQL + " SELECT j, g, f, round(cos, 6) AS cos FROM matches"))
 def semantic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.matched(cosines(spark), ["j"]).withColumn("cos", F.round("cos", 6))
+    return recovery.matched(cosines(spark, sf_dir), ["j"]).withColumn("cos", F.round("cos", 6))
 
 
 @query("q_theta_calibration", sql(DIALS_SQL + COS_SQL + " SELECT round(quantile_cont(c.cos, 0.95), 6) AS theta, count(*) AS n FROM cosines c ANTI JOIN matches m ON m.j = c.j AND m.f = c.f AND m.g = c.g"))
 def theta_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 95th percentile of cosines that no matching picked: the least cosine to be taken for a match."""
-    return recovery.rejected_quantile(cosines(spark), ["j"]).select(F.round("theta", 6).alias("theta"), "n")
+    return recovery.rejected_quantile(cosines(spark, sf_dir), ["j"]).select(F.round("theta", 6).alias("theta"), "n")
 
 
 TAUS = (0.3, 0.35, 0.4, 0.45, 0.5)
@@ -137,7 +148,7 @@ lk AS (SELECT tau, avg(l) AS lk FROM (SELECT tau, a.g, avg(a.a) AS l FROM a JOIN
 SELECT tau, (SELECT count(*) FROM k) AS k, n_tracked, round(sf, 6) AS sf, round(sm, 6) AS sm, round(sr, 6) AS sr, (SELECT round(avg(CAST(alone AS INT)), 6) FROM alone n WHERE n.tau = one.tau) AS af, round(lk, 6) AS lk FROM one LEFT JOIN lk USING (tau)"""))
 def recovery_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recovery scores of one method at every threshold of a sweep."""
-    m = recovery.matched(cosines(spark).filter("j = 0"), ["j"])
+    m = recovery.matched(cosines(spark, sf_dir).filter("j = 0"), ["j"])
     return rounded(recovery.scorecard(correlation(spark, sf_dir), m, list(TAUS)), ["tau", "k", "n_tracked"], ["sf", "sm", "sr", "af", "lk"])
 
 

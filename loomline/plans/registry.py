@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Tables that the running query has made so far; None outside of queries.
-_MADE: dict | None = None
+#: Tables that the query running in a thread has made so far; absent outside of queries.
+_RUN = threading.local()
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -20,12 +21,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            global _MADE
-            before, _MADE = _MADE, {}
+            before, _RUN.made = getattr(_RUN, "made", None), {}
             try:
                 return f(spark, sf_dir)
             finally:
-                _MADE = before
+                _RUN.made = before
 
         QUERIES[name] = run
         if sql is not None:
@@ -40,12 +40,13 @@ def once(f: Query) -> Query:
 
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if _MADE is None:
+        made = getattr(_RUN, "made", None)
+        if made is None:
             return f(spark, sf_dir)
         key = (f.__module__, f.__name__, sf_dir)
-        if key not in _MADE:
-            _MADE[key] = f(spark, sf_dir)
-        return _MADE[key]
+        if key not in made:
+            made[key] = f(spark, sf_dir)
+        return made[key]
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Paths handed out by ``shared_dir`` and not removed since.
-_MADE: list[str] = []
+#: Paths handed out by ``shared_dir`` and not removed since, of each thread: runs side by side keep their own.
+_RUN = threading.local()
+
+
+def _made() -> list[str]:
+    if not hasattr(_RUN, "paths"):
+        _RUN.paths = []
+    return _RUN.paths
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
@@ -27,7 +34,7 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
         app = spark.sparkContext.applicationId
         base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomline-"))
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
-    _MADE.append(path)
+    _made().append(path)
     return path
 
 
@@ -55,8 +62,8 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _MADE:
-        _MADE.remove(path)
+    if path in _made():
+        _made().remove(path)
 
 
 def settled(df: DataFrame, tag: str, since: int = 0) -> DataFrame:
@@ -66,11 +73,11 @@ def settled(df: DataFrame, tag: str, since: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     out = written(df, tag)
-    for path in _MADE[since:-1]:
+    for path in _made()[since:-1]:
         remove(spark, path)
     return out
 
 
 def made() -> int:
     """How many paths ``shared_dir`` has handed out that are not removed."""
-    return len(_MADE)
+    return len(_made())
