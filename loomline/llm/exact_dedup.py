@@ -26,7 +26,7 @@ def normalised(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = True, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, row_key, n_chars, keep_id, group_size, kept, text_sha256``.
 
-    ``row_key`` is ``row_col``, a name for each row, or made here.
+    ``row_key`` is ``row_col``, a name for each row, or made here. Ids are whole numbers above the least 64-bit one.
 
     Of equal normalised texts the row with the most code points, then the smallest id, is kept; a null id counts as
     the largest. Null text counts as empty, so all blank texts form one group. Of rows that repeat with the same id

@@ -70,7 +70,9 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def ruled(places: DataFrame, rules: DataFrame, few: bool) -> DataFrame:
     """``places`` (distinct ``host, path``) that a rule fits, with ``rule, decision`` of the longest; allow wins ties."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    longest = rules.agg(F.max(F.size(F.split("r_host", r"\.")))).first()[0] or 1
+    first = F.greatest(F.lit(1), F.size(labels) - longest + 1)  # no rule fits a longer end of a host
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = places.withColumn("suffix", F.explode(suffixes)).join(F.broadcast(rules) if few else rules, F.col("suffix") == F.col("r_host"))
     met = met.filter(F.col("path").startswith(F.col("r_path")))
     rule = F.concat("r_host", "r_path")
@@ -84,7 +86,8 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, id
     ``rules`` has ``decision`` (allow or block), ``host``, ``path``; a rule fits its host and all subdomains if the
     address's path starts with the rule's, and the longest wins. ``edges`` adds ``src, dst`` urls, for example from a
     crawler's redirect log, to those in ``html_col``. A null url, or one without ``://``, has an empty host and path,
-    fits no rule and joins no class. Repeated pages stay; an empty table gives an empty result; without rules all is
+    fits no rule and joins no class; of a host with many labels as many of the last are looked up as the longest rule
+    has, so a very long url costs no more than its own length. Repeated pages stay; an empty table gives an empty result; without rules all is
     allowed. Other columns are not read.
     """
     host, path, query = parts(F.col("url"))

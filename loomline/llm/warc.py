@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record per row of ``pages`` to archives in ``folder`` and return their list ``archive, n_records``.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least ``least`` bytes, rows with the
-    largest id are responses and the others revisits of it; smaller payloads, and those whose ids are all null, are
+    largest id (a whole number) are responses and the others revisits of it; smaller payloads, and those whose ids are all null, are
     responses. Null urls give no target; other columns are not read; an empty table gives no archive. Archives have
     new names in each attempt of a task; the returned list names those of the attempts that counted.
     """

@@ -229,3 +229,9 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert set(docs.columns) < set(last.columns) and last.filter("taken <= 0").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_hosts_with_very_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "x.org/de/"), (2, "http://" + "b." * 200_000 + "net/de/"), (3, "http://x.org/de/")], "page_id long, url string").selectExpr("page_id", "url", "cast(null as string) as html")
+    rules = spark.createDataFrame([("block", "x.org", "/de/")], "decision string, host string, path string")
+    assert {x.page_id: x.verdict for x in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block"}
