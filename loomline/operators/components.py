@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import remove, shared_dir
 from .skew import HOT_SHARE, hot_safe_join
 
-#: Bytes of edges that a task contracts at once.
-BUFFER = 1 << 25
+#: Bytes of edges that a task contracts at once; edges that a task of a step writes.
+BUFFER, EDGES = 1 << 25, 1 << 19
 
 
 def _star(edges: DataFrame, total: int, tables: list[str]) -> DataFrame:
@@ -23,16 +23,17 @@ def _star(edges: DataFrame, total: int, tables: list[str]) -> DataFrame:
     Minima are written first (the path goes to ``tables``), so the plan of a step stays small.
     """
     low = edges.groupBy("u").agg(F.min("v").alias("v_low"), F.count("*").alias("n")).select("u", F.least("u", "v_low").alias("m"), "n")
-    low = _kept(low, tables)
+    low = _kept(low, tables, total)
     most = low.agg(F.max("n")).first()[0] or 0
     if most <= max(1.0, total * HOT_SHARE):
         return edges.join(low.drop("n"), "u")
     return hot_safe_join(edges, low, ["u"], "n", total, "inner")
 
 
-def _kept(df: DataFrame, tables: list[str]) -> DataFrame:
+def _kept(df: DataFrame, tables: list[str], rows: int | None = None) -> DataFrame:
+    """``df`` written and read again, by as many tasks as its number of ``rows`` (at most) asks for."""
     path = shared_dir(df.sparkSession, "components")
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // EDGES)).write.parquet(path)
     tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -118,9 +119,9 @@ def connected_components(edges: DataFrame, max_steps: int = 100, contract: bool
     for _ in range(max_steps if total else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, 2 * total, tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(_kept(large, tables), 2 * total, tables)
+        small = _star(_kept(large, tables, 2 * total), 2 * total, tables)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = _kept(small.filter("u <> v").distinct(), tables)
+        now = _kept(small.filter("u <> v").distinct(), tables, 2 * total)
         while len(tables) > 1:
             remove(spark, tables.pop(0))
         state = _state(now)
