@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import md5_number
-from ..operators import graph, rationale
+from ..operators import graph, rationale, spectrum
 from ..operators.components import connected_components
 from ..operators.skew import hot_safe_join
 from ..sources.shared import written
@@ -275,3 +275,13 @@ def taxonomy_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = replies.unionByName(reply(1, 11, "g", F.col("doc_id")).filter("place % 5 = 0 and place % 3 <> 0 or place % 13 = 0"))
     replies = replies.unionByName(reply(2, 3, "new", -1 - F.col("doc_id")).filter("place % 17 = 0"))
     return rationale.repaired(replies, d.select(F.col("doc_id").alias("entry")))
+
+
+@query("q_fiedler_budgets")
+def fiedler_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fiedler values and condition of the banded rounds after two, three and all of them, by Lanczos steps."""
+    p = written(banded(spark, sf_dir), "banded")
+    n = table(spark, sf_dir, "documents").count() // 2
+    budgets = F.filter(F.array(*[F.lit(n * k).cast("long") for k in (2, 3, BANDED_ROUNDS)]), lambda b: F.col("pair_index") < b)
+    edges = p.select(F.explode(budgets).alias("graph"), "a", "b", F.lit(1.0).alias("w"))
+    return spectrum.laplacian_ends(edges, most=60, tol=1e-7).withColumnRenamed("graph", "budget")
