@@ -25,6 +25,15 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * s + 0.5 + 1e-6) / s
 
 
+def half_away(x: Column, digits: int = 0) -> Column:
+    """Rounded as DuckDB's ``round`` does: the product with the power of ten, a double, goes half away from zero.
+
+    Spark's ``round`` goes by the decimal digits instead, so 323 / 640 = 0.5046875 ends in 8 there and in 7 here.
+    """
+    s = float(10**digits)
+    return F.round(x * s) / s
+
+
 def half_even_clamped(x: Column, low: int = 0, high: int = 10) -> Column:
     return F.greatest(F.least(F.bround(x, 0), F.lit(float(high))), F.lit(float(low))).cast("int")
 

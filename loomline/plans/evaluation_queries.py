@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import md5_number
+from ..functions.numeric import half_away, md5_number
 from ..operators import calibration as C
 from ..operators import panels, recovery, stats
 from .graph_queries import sql
@@ -39,7 +39,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, keep: list[str], names: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keep, *[(F.round(c, digits) + 0.0).alias(c) for c in names])
+    return df.select(*keep, *[(half_away(F.col(c), digits) + 0.0).alias(c) for c in names])
 
 
 def _bounds(names) -> str:
