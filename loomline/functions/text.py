@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +17,7 @@ LEADING = ("the", "a", "an", "more", "better")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 #: What de-identification of forum posts removes or replaces, in this order.
 FOOTERS = (r"(?is)_{3,}.*?Happy CMVing!?\*?", r"(?is)(Hello,?\s*users of|This is a footnote from the moderators).*?Happy CMVing!?\*?")
+DELTAS = r"[∆Δ]"
 SCRUB = (
     (r"(?i)changemyview", " this forum "),
     (r"(?i)cmv\w*:?", " "),
@@ -24,12 +26,25 @@ SCRUB = (
     (r"(?i)\breddit(ors?)?\b", " "),
     (r"(?i)\bdelta\s*bot\b", " "),
     (r"(?i)!?\bdeltas?\b", " point "),
-    (r"[∆Δ]", " "),
+    (DELTAS, " "),
     (r"(?i)\baward(ed|ing|s)?\b\s*(a\s*)?(point|view|change)?", " "),
 )
 SPACE = r"(?U)\s+"
 
 
+def re2(pattern: str) -> str:
+    """A pattern of RE2 (DuckDB's) for Java: classes and word bounds are ASCII, blanks without U+000B.
+
+    Ignoring case goes by Unicode in RE2, its ``\\w`` included: the long s and the Kelvin sign match s and k. Java's own
+    ``\\b`` (before 19) takes all letters for word characters.
+    """
+    folded = "(?i)" in pattern
+    word = r"(?-iu:[0-9A-Za-z_])"
+    bound = rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    kinds = {r"\b": bound, r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]", r"\w": r"[0-9A-Za-z_\u017F\u212A]" if folded else word}
+    return re.sub(r"\\.", lambda m: kinds.get(m[0], m[0]), pattern.replace("(?i)", "(?iu)"))
+
+
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once per row, however often ``f`` names it."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -131,15 +146,20 @@ def sentence_chunks(c: Column, max_words: int = 60, max_chunks: int = 64) -> Col
     return F.when(F.size(packed) == 0, F.array(F.lit("."))).otherwise(F.slice(packed, 1, max_chunks))
 
 
-def deidentified(c: Column, footers: tuple[str, ...] = FOOTERS, scrub: tuple[tuple[str, str], ...] = SCRUB) -> Column:
+def deidentified(c: Column, footers: tuple[str, ...] = FOOTERS, scrub: tuple[tuple[str, str], ...] = SCRUB, url: str = r"https?://\S+", edge: str | None = None) -> Column:
+    """Without footers, links, addresses (``url``) and what ``scrub`` replaces; blanks collapsed, and cut off both ends.
+
+    ``edge``: the characters cut off both ends (by default all Unicode blanks).
+    """
     t = text_or_empty(c)
     for pattern in footers:
         t = F.regexp_replace(t, pattern, " ")
     t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    t = F.regexp_replace(t, r"https?://\S+", " ")
+    t = F.regexp_replace(t, url, " ")
     for pattern, new in scrub:
         t = F.regexp_replace(t, pattern, new)
-    return F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"[ \t]{2,}", " ")
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "") if edge is None else F.btrim(t, F.lit(edge))
 
 
 def item_blob(title: Column, body: Column, challenge: Column) -> Column:
