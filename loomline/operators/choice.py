@@ -53,7 +53,7 @@ def fit_holistic(cells: DataFrame, run: str = "run", ridge: float = 1e-3, seed:
 
     ``kappa`` and ``rho`` are those of the mention channel, ``kappa_winner`` that of the winners. ``sign`` is the
     correlation of scores with wins while mentioned; ``restart_gap`` is the difference in value to a fit from a random
-    start, near 0 as the likelihood is concave. A run is one task of K n^2 numbers for K criteria and n items.
+    start, near 0 as the likelihood is concave. A run is one task that factors K criteria by the levels of its graph.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,7 +4,8 @@ A pair cites a criterion with odds log 2cosh(d) + gamma, and then favours the si
 d is the difference of the two items' scores. Given the position term beta the criteria of a run do not touch, so a
 round fits every criterion by itself (scores and gate, a system of n + 1), and Spark adds up the slope and the curvature
 of beta that is left over the criteria of a run. The variance of an estimate needs, of the other criteria, one number a
-pair: these are added up by pair in a shuffle between two passes over the criteria. Memory is n squared a criterion.
+pair: these are added up by pair in a shuffle between two passes over the criteria. A criterion's curvature is factored
+by the levels of its graph of pairs (``levels``).
 
 With a position term of its own each criterion is a fit of its own (n + 2), and one round is enough.
 """
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import remove, shared_dir, written
 from .choice import likelihood_ratio_p
-from .kernels import connection, laplacian, log_sigmoid, newton, sigmoid
+from .kernels import condition, laplacian, log_sigmoid, newton, sigmoid
+from .levels import Bordered, Levels
 
 Z95 = 1.959963984540054
 
@@ -34,6 +36,7 @@ class Criterion:
         self.a, self.b, self.n = at[: len(a)], at[len(a) :], len(self.items)
         self.ridge, self.own, self.shift = ridge, own, 0.0
         self.cited, self.first = (x != 0).astype(float), (x == 1).astype(float)
+        self.levels = Levels(self.a, self.b, self.n)
 
     def gates(self, p: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = p[self.a] - p[self.b]
@@ -61,7 +64,7 @@ class Criterion:
         return np.concatenate([self.ridge * p[: self.n] - self.spread(q["d"]), [-q["gate"].sum()], [-q["place"].sum()] if self.own else []])
 
     def curve(self, p: np.ndarray, beta: float, bent: bool = False) -> np.ndarray:
-        """Expected curvature, or with ``bent`` the curvature itself."""
+        """Expected curvature, or with ``bent`` the curvature itself, as a dense matrix (for few items)."""
         q = self.parts(p, beta)
         h = np.zeros((len(p), len(p)))
         h[: self.n, : self.n] = laplacian(self.a, self.b, q["dd"] - q["bend"] if bent else q["dd"], self.n)
@@ -73,6 +76,14 @@ class Criterion:
             h[-1, -1] = q["db"].sum() + 1e-9
         return h
 
+    def system(self, p: np.ndarray, beta: float, bent: bool = False, shift: float = 0.0) -> Bordered:
+        """What solves with ``curve`` plus ``shift`` on its diagonal; with ``bent`` LinAlgError if it is not positive definite."""
+        q = self.parts(p, beta)
+        names = ["dg", "db"] if self.own else ["dg"]
+        corner = np.diag([q[c].sum() + 1e-9 + shift for c in (["gg", "db"] if self.own else ["gg"])])
+        factor = self.levels.factor(q["dd"] - q["bend"] if bent else q["dd"], self.ridge + shift)
+        return Bordered(factor, np.column_stack([self.spread(q[c]) for c in names]), corner, bent)
+
     def start(self) -> np.ndarray:
         """Scores of signed wins: at all equal scores the gate's slopes vanish."""
         share = np.clip(self.cited.mean(), 1e-6, 1 - 1e-6)
@@ -83,18 +94,17 @@ class Criterion:
     def fit(self, p: np.ndarray | None, beta: float, tol: float) -> tuple[np.ndarray, int]:
         return newton(self.start() if p is None else p, lambda x: self.value(x, beta), lambda x: self.slope(x, beta), lambda x: self.bowl(x, beta), tol)
 
-    def bowl(self, p: np.ndarray, beta: float) -> np.ndarray:
-        """The curvature, with as much added on its diagonal as makes it positive definite: nothing near a minimum."""
-        h = self.curve(p, beta, bent=True)
+    def bowl(self, p: np.ndarray, beta: float) -> Callable[[np.ndarray], np.ndarray]:
+        """Solves with the curvature and as much on its diagonal as makes it positive definite: nothing near a minimum."""
         shift = self.shift / 9 if self.shift > 0.02 else 0.0  # what served last tells where to begin
         while True:
             try:
-                np.linalg.cholesky(h + shift * np.eye(len(h)))
+                system = self.system(p, beta, True, shift)
                 break
             except np.linalg.LinAlgError:
                 shift = max(0.01, 3 * shift)
         self.shift = shift
-        return h + shift * np.eye(len(h))
+        return system.solve
 
     def moved(self, columns: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
         """Every pair's slope vector times ``columns`` (scores, gate and own position in rows)."""
@@ -153,7 +163,7 @@ def fit(cells: DataFrame, by: list[str], ridge: float = 1e-3, own: bool = False,
         left = 1.0
         if not own:
             side = np.append(c.spread(q["db"]), 0.0)
-            left = q["db"].sum() - side @ np.linalg.solve(c.bowl(p, at), side)
+            left = q["db"].sum() - side @ c.bowl(p, at)(side)
         return {"p": p, "beta": float(p[-1]) if own else at, "nll": c.value(p, at), "grad": float(np.abs(c.slope(p, at)).max()), "steps": steps + int(row["steps"]), "place": float(-q["place"].sum()), "curve": float(left), "own": own}
 
     fresh = [F.lit(None).cast("array<double>").alias("p"), F.lit(0).alias("steps")]
@@ -215,15 +225,14 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
     def system(row: dict) -> tuple:
         c = Criterion(row["a"], row["b"], row["x"], ridge, own)
         p = np.array(row["p"])
-        q = c.parts(p, row["beta"])
-        return c, p, q, np.linalg.inv(c.curve(p, row["beta"]))
+        return c, p, c.parts(p, row["beta"]), c.system(p, row["beta"])
 
     rows = fitted.withColumns({"v": F.lit(None).cast("array<double>"), "sigma": F.lit(1.0)})
     if not own:  # by pair, what the position term takes from all criteria of a run
         def border(row: dict) -> dict:
-            c, _, q, inverse = system(row)
+            c, _, q, found = system(row)
             side = np.append(c.spread(q["db"]), 0.0)
-            g = inverse @ side
+            g = found.solve(side)
             return {"v": c.moved(g[:, None], q)[:, 0] - q["place"], "sigma": float(q["db"].sum() - side @ g)}
 
         told = written(_by_row(fitted, border, [*by, "k"], "v array<double>, sigma double"), "gated-border")
@@ -232,26 +241,29 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
         rows = fitted.join(v, by).join(told.groupBy(*by).agg(F.sum("sigma").alias("sigma")), by)
 
     def judge(row: dict) -> dict:
-        c, p, q, inverse = system(row)
+        c, p, q, found = system(row)
         s = p[: c.n] - p[: c.n].mean()
-        slant = s / c.n
-        columns = np.column_stack([inverse[:, : c.n], inverse[:, : c.n] @ slant, inverse[:, c.n :]])
-        w = c.moved(columns, q)
-        direction = q["db"].sum()
+        right = np.zeros((len(p), 1 + len(p) - c.n))
+        right[: c.n, 0], right[c.n :, 1:] = s / c.n, np.eye(len(p) - c.n)
+        w = c.moved(found.solve(right), q)
+        direction, more, ends = q["db"].sum(), None, None
         if own:
             se_beta = math.sqrt(float(w[:, -1] @ w[:, -1]))
         else:
             v = np.array(row["v"])
-            g = inverse @ np.append(c.spread(q["db"]), 0.0)
-            w += np.outer(v, np.concatenate([g[: c.n], [g[: c.n] @ slant], g[c.n :]])) / row["sigma"]
+            g = found.solve(np.append(c.spread(q["db"]), 0.0))
+            w += np.outer(v, g @ right) / row["sigma"]
             se_beta = math.sqrt(float(v @ v)) / row["sigma"]
+            more, ends = v, g[: c.n] / row["sigma"]
+        back = lambda columns: np.column_stack([c.spread(q["d"] * x) for x in columns.T])
+        noise = float(found.variances(q["d"] ** 2, lambda columns: c.moved(columns, q), back, more, ends).mean())
         var = (w * w).sum(axis=0)
-        spread, noise, tilt = float((s * s).mean()), float(var[: c.n].mean()), math.sqrt(float(var[c.n]))
+        spread, tilt = float((s * s).mean()), math.sqrt(float(var[0]))
         rest = math.sqrt(max(0.0, spread - noise))
         return {
-            "n_items": c.n, "gamma": p[c.n], "beta": row["beta"], "se_gamma": math.sqrt(float(var[c.n + 1])), "se_beta": se_beta, "se_beta_direction": 1 / math.sqrt(max(direction, 1e-12)),
+            "n_items": c.n, "gamma": p[c.n], "beta": row["beta"], "se_gamma": math.sqrt(float(var[1])), "se_beta": se_beta, "se_beta_direction": 1 / math.sqrt(max(direction, 1e-12)),
             "spread": math.sqrt(spread), "noise": noise, "se_spread": tilt / math.sqrt(spread) if spread > 0 else math.inf, "spread_denoised": rest, "se_spread_denoised": tilt / rest if rest > 0 else math.inf,
-            "kappa": connection(laplacian(c.a, c.b, q["dd"], c.n)), "rho": (spread - noise) / spread if spread > 0 else math.nan,
+            "kappa": condition(c.a, c.b, q["dd"], c.n, c.levels), "rho": (spread - noise) / spread if spread > 0 else math.nan,
         }
 
     return _by_row(rows, judge, [*by, "k"], INFERENCE)
