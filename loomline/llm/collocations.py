@@ -25,6 +25,8 @@ from .slices import slices
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 #: Bits of the bitmap for each frequent phrase, and its largest size (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Rows of a batch that a task gives back, and bytes of texts that it puts in one run.
+MOST_ROWS, MOST_BYTES = 1 << 15, 7 << 19
 #: Words that a task numbers before it starts anew.
 MOST_NUMBERED = 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -59,8 +61,8 @@ def mixed(lang: str, hashes: list[np.ndarray], bits: int) -> np.ndarray:
     return (total & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _counted(lang: str, ids: np.ndarray, numbers: Numbers, n: int, bits: int, bitmap: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
-    """Distinct phrases of ``n`` words in a run of numbered words, and how often each occurs."""
+def _counted(lang: str, ids: np.ndarray, numbers: Numbers, n: int, bits: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct phrases of ``n`` words in a run of numbered words (where each is first), and how often each occurs."""
     starts = np.flatnonzero(ids[: len(ids) - n + 1] > 0) if len(ids) >= n else np.zeros(0, np.int64)
     for k in range(1, n):
         starts = starts[ids[starts + k] > 0]
@@ -70,15 +72,27 @@ def _counted(lang: str, ids: np.ndarray, numbers: Numbers, n: int, bits: int, bi
             at = mixed(lang, [h[ids[starts + k + j]] for j in range(n - 1)], bits)
             starts = starts[bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
     if not len(starts):
-        return [], np.zeros(0, np.int64)
+        return starts, np.zeros(0, np.int64)
     key = ids[starts].astype(np.int64)
     for k in range(1, n):  # pairs of numbers become numbers again, so keys stay exact
         if k > 1:
             _, key = np.unique(key, return_inverse=True)
         key = key * len(numbers.words) + ids[starts + k]
     _, first, count = np.unique(key, return_index=True, return_counts=True)
-    words, at = numbers.words, ids[starts[first][:, None] + np.arange(n)].tolist()
-    return [b" ".join([words[i] for i in row]) for row in at], count
+    return starts[first], count
+
+
+def _runs(texts: Iterator[bytes]) -> Iterator[bytes]:
+    """Texts one a line, in runs of about MOST_BYTES."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= MOST_BYTES:
+            yield b"\n".join(run)
+            run, size = [], 0
+    if run:
+        yield b"\n".join(run)
 
 
 def _phrases(n: int, bits: int, bitmap) -> Callable:
@@ -87,20 +101,26 @@ def _phrases(n: int, bits: int, bitmap) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table = Numbers(), None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
 
-        def rows(lang: str, ids: np.ndarray) -> pa.RecordBatch:
-            phrases, count = _counted(lang, ids, numbers, n, bits, table)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count)], ["lang", "phrase", "a"])
+        def rows(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts, count = _counted(lang, ids, numbers, n, bits, table)
+            words = numbers.words
+            for i in range(0, len(starts), MOST_ROWS):  # the phrases themselves only a batch at a time
+                phrases = [b" ".join([words[w] for w in row]) for row in ids[starts[i : i + MOST_ROWS, None] + np.arange(n)].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count[i : i + MOST_ROWS])], ["lang", "phrase", "a"])
 
         for b in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(b.column(0), b.column(1), strict=True):
-                texts.setdefault(lang.as_py(), []).append((text.as_py() or "").encode("utf-8", "surrogatepass"))
-            for lang, own in texts.items():
-                carry = np.zeros(0, np.int64)
-                for part in slices(b"\n".join(own).translate(TABLE).replace(b"\xff", b" \xff ")):
+            of: dict[str, list[int]] = {}
+            for i, lang in enumerate(b.column(0)):
+                of.setdefault(lang.as_py(), []).append(i)
+            for lang, own in of.items():
+                texts = ((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass") for i in own)
+                for part in (part for run in _runs(texts) for part in (None, *slices(run.translate(TABLE).replace(b"\xff", b" \xff ")))):
+                    if part is None:  # a new text begins
+                        carry = np.zeros(0, np.int64)
+                        continue
                     words = part.split()
                     ids = np.concatenate([carry, np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))])
-                    yield rows(lang, ids)
+                    yield from rows(lang, ids)
                     carry = ids[max(0, len(ids) - n + 1) :]  # the next slice's phrases may begin here
                     if len(numbers.words) > MOST_NUMBERED:
                         kept, numbers = [numbers.words[i] for i in carry.tolist()], Numbers()

@@ -82,3 +82,23 @@ def test_large_counts_are_exact(spark):
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert collocations.collocations(spark.createDataFrame([("en", None), (None, " ,. ")], "lang string, text string"), least=1).count() == 0
+
+
+def test_a_task_gives_back_bounded_batches_and_reads_texts_in_runs(monkeypatch):
+    texts = [" ".join(f"w{i * j % 37}" for j in range(200)) for i in range(1, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+
+    def found():
+        out = {}
+        sizes = []
+        for b in collocations._phrases(3, 0, None)(iter([batch])):
+            sizes.append(len(b))
+            for phrase, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out[phrase] = out.get(phrase, 0) + a
+        return out, max(sizes)
+
+    whole, _ = found()
+    monkeypatch.setattr(collocations, "MOST_ROWS", 100)
+    monkeypatch.setattr(collocations, "MOST_BYTES", 2000)
+    parts, largest = found()
+    assert parts == whole and largest <= 100 and sum(whole.values()) == 39 * 198
