@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from loomline.operators import gated, kernels
+from loomline.operators import kernels
 from loomline.operators.levels import Bordered, Levels
 
 
