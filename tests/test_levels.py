@@ -75,3 +75,12 @@ def test_a_long_run_takes_seconds_and_no_square_of_its_items():
     slope = np.bincount(a[cited], miss, 20000) - np.bincount(b[cited], miss, 20000) + 1e-3 * s
     assert np.abs(slope).max() < 1e-4 and abs(miss.sum()) < 1e-6
     assert time.process_time() - began < 60
+
+
+def test_condition_of_many_weights_near_zero_takes_seconds():
+    n = 12000
+    a, b = circle(n, 6)
+    w = 10.0 ** -np.random.default_rng(5).uniform(0, 24, len(a))
+    began = time.process_time()
+    assert kernels.condition(a, b, w, n) == math.inf
+    assert time.process_time() - began < 10
