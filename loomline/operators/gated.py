@@ -26,6 +26,8 @@ from .kernels import condition, laplacian, log_sigmoid, newton, sigmoid
 from .levels import Bordered, Levels
 
 Z95 = 1.959963984540054
+#: By how much a score moves in a step at most.
+MOST = 2.0
 
 
 class Criterion:
@@ -34,7 +36,7 @@ class Criterion:
     def __init__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, ridge: float, own: bool):
         self.items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         self.a, self.b, self.n = at[: len(a)], at[len(a) :], len(self.items)
-        self.ridge, self.own, self.shift = ridge, own, 0.0
+        self.ridge, self.own = ridge, own
         self.cited, self.first = (x != 0).astype(float), (x == 1).astype(float)
         self.levels = Levels(self.a, self.b, self.n)
 
@@ -53,7 +55,8 @@ class Criterion:
         pc, pd_, t = sigmoid(zc), sigmoid(zd), np.tanh(d)
         gate, place = self.cited - pc, self.first - self.cited * pd_
         wc, wd = pc * (1 - pc), self.cited * pd_ * (1 - pd_)
-        return {"d": gate * t + place, "gate": gate, "place": place, "dd": wc * t * t + wd, "dg": wc * t, "gg": wc, "db": wd, "bend": gate * (1 - t * t)}
+        bend = gate * (1 - t * t)  # what the gate takes from the curvature; the round part leaves each pair's at 0 or above
+        return {"d": gate * t + place, "gate": gate, "place": place, "dd": wc * t * t + wd, "dg": wc * t, "gg": wc, "db": wd, "bend": bend, "round": np.minimum(bend, 0.0 if self.own else wd)}
 
     def spread(self, w: np.ndarray) -> np.ndarray:
         """A weight a pair put on its first item and taken from its second."""
@@ -76,13 +79,15 @@ class Criterion:
             h[-1, -1] = q["db"].sum() + 1e-9
         return h
 
-    def system(self, p: np.ndarray, beta: float, bent: bool = False, shift: float = 0.0) -> Bordered:
-        """What solves with ``curve`` plus ``shift`` on its diagonal; with ``bent`` LinAlgError if it is not positive definite."""
-        q = self.parts(p, beta)
+    def border(self, q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of gate and own position beside the scores' curvature, and their corner."""
         names = ["dg", "db"] if self.own else ["dg"]
-        corner = np.diag([q[c].sum() + 1e-9 + shift for c in (["gg", "db"] if self.own else ["gg"])])
-        factor = self.levels.factor(q["dd"] - q["bend"] if bent else q["dd"], self.ridge + shift)
-        return Bordered(factor, np.column_stack([self.spread(q[c]) for c in names]), corner, bent)
+        return np.column_stack([self.spread(q[c]) for c in names]), np.diag([q[c].sum() + 1e-9 for c in (["gg", "db"] if self.own else ["gg"])])
+
+    def system(self, p: np.ndarray, beta: float) -> Bordered:
+        """What solves with the expected curvature."""
+        q = self.parts(p, beta)
+        return Bordered(self.levels.factor(q["dd"], self.ridge), *self.border(q))
 
     def start(self) -> np.ndarray:
         """Scores of signed wins: at all equal scores the gate's slopes vanish."""
@@ -91,20 +96,48 @@ class Criterion:
         won = 0.1 * np.tanh(self.spread(2 * self.first - self.cited))
         return np.concatenate([won, [math.log(share / (1 - share)) - math.log(2)], [math.log(ahead / (1 - ahead))] if self.own else []])
 
-    def fit(self, p: np.ndarray | None, beta: float, tol: float) -> tuple[np.ndarray, int]:
-        return newton(self.start() if p is None else p, lambda x: self.value(x, beta), lambda x: self.slope(x, beta), lambda x: self.bowl(x, beta), tol)
+    def fit(self, p: np.ndarray | None, beta: float, tol: float, tries: int = 8) -> tuple[np.ndarray, int]:
+        p, total = self.start() if p is None else p, 0
+        for i in range(tries):
+            p, steps = newton(p, lambda x: self.value(x, beta), lambda x: self.slope(x, beta), lambda x: self.bowl(x, beta), tol, most=MOST)
+            total += steps
+            off = self.downhill(p, beta, i)
+            if off is None:
+                break
+            p = p + off
+        return p, total
+
+    def downhill(self, p: np.ndarray, beta: float, seed: int) -> np.ndarray | None:
+        """A small way off a saddle along what bends down there; None at a minimum."""
+        q = self.parts(p, beta)
+        factor = self.levels.factor(q["dd"] - q["bend"], self.ridge, 1e-3)
+        if not factor.bent:
+            return None
+        way = np.zeros(len(p))
+        way[: self.n] = factor.solve(factor.solve(np.random.default_rng(seed).normal(size=self.n)))
+        way *= 0.1 / np.abs(way).max()
+        return min(way, -way, key=lambda x: self.value(p + x, beta))
 
     def bowl(self, p: np.ndarray, beta: float) -> Callable[[np.ndarray], np.ndarray]:
-        """Solves with the curvature and as much on its diagonal as makes it positive definite: nothing near a minimum."""
-        shift = self.shift / 9 if self.shift > 0.02 else 0.0  # what served last tells where to begin
-        while True:
-            try:
-                system = self.system(p, beta, True, shift)
-                break
-            except np.linalg.LinAlgError:
-                shift = max(0.01, 3 * shift)
-        self.shift = shift
-        return system.solve
+        """Solves with the curvature. Where that is not positive definite, the blocks at fault are bent upwards; if steps
+        are then far, with what is left of the curvature pair by pair."""
+        q = self.parts(p, beta)
+        side, corner = self.border(q)
+        factor = self.levels.factor(q["dd"] - q["bend"], self.ridge, 0.05)
+        try:
+            solve = Bordered(factor, side, corner, True).solve
+        except np.linalg.LinAlgError:
+            return self.rounded(p, beta)
+
+        def near(right: np.ndarray) -> np.ndarray:
+            step = solve(right)
+            return step if np.abs(step).max() <= MOST else self.rounded(p, beta)(right)
+
+        return near if factor.bent else solve
+
+    def rounded(self, p: np.ndarray, beta: float) -> Callable[[np.ndarray], np.ndarray]:
+        q = self.parts(p, beta)
+        return Bordered(self.levels.factor(q["dd"] - q["round"], self.ridge, 1e-6), *self.border(q)).solve
 
     def moved(self, columns: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
         """Every pair's slope vector times ``columns`` (scores, gate and own position in rows)."""

@@ -84,3 +84,14 @@ def test_condition_of_many_weights_near_zero_takes_seconds():
     began = time.process_time()
     assert kernels.condition(a, b, w, n) == math.inf
     assert time.process_time() - began < 10
+
+
+def test_a_gated_fit_of_many_items_takes_few_steps_to_a_minimum():
+    from loomline.operators.gated import Criterion
+
+    a, b, _, cited, first = simulated(6000)
+    c = Criterion(a, b, np.where(cited, np.where(first, 1, -1), 0), 1e-3, False)
+    p, steps = c.fit(None, 0.2, 1e-8)
+    assert np.abs(c.slope(p, 0.2)).max() < 1e-6 and steps < 80
+    q = c.parts(p, 0.2)
+    Bordered(c.levels.factor(q["dd"] - q["bend"], 1e-3), *c.border(q), True)  # positive definite: no saddle
