@@ -252,6 +252,42 @@ def average_linkage(similarity: np.ndarray, cutoff: float) -> np.ndarray:
     return np.array([order[int(k)] for k in of])
 
 
+def average_linkage_of(vectors: np.ndarray, cutoff: float, block: int = 512) -> np.ndarray:
+    """``average_linkage`` of the vectors' products, from sums of clusters: no matrix of all pairs is made.
+
+    The mean similarity of two clusters is the product of their sums over their sizes. Every cluster keeps its nearest;
+    a merger brings none nearer to others, so only clusters whose nearest was merged look again.
+    """
+    n = len(vectors)
+    total, size, of, alive = vectors.astype(float).copy(), np.ones(n), np.arange(n), np.ones(n, bool)
+    near, best = np.zeros(n, np.int64), np.full(n, -np.inf)
+
+    def look(rows: np.ndarray) -> None:
+        for i in range(0, len(rows), block):
+            at = rows[i : i + block]
+            s = (total[at] @ total.T) / (size[at][:, None] * size)
+            s[:, ~alive] = -np.inf
+            s[np.arange(len(at)), at] = -np.inf
+            near[at] = s.argmax(axis=1)
+            best[at] = s[np.arange(len(at)), near[at]]
+
+    if n > 1:
+        look(np.arange(n))
+    for _ in range(n - 1):
+        i = int(np.argmax(best))
+        if best[i] < cutoff:
+            break
+        i, j = min(i, int(near[i])), max(i, int(near[i]))
+        total[i] += total[j]
+        size[i] += size[j]
+        alive[j], best[j] = False, -np.inf
+        of[of == j] = i
+        look(np.flatnonzero(alive & ((near == i) | (near == j) | (np.arange(n) == i))))
+    _, first = np.unique(of, return_index=True)
+    order = {int(of[k]): r for r, k in enumerate(sorted(first))}
+    return np.array([order[int(k)] for k in of], int)
+
+
 def participation_ratio(r: np.ndarray) -> float:
     """(sum of eigenvalues)^2 / sum of their squares, negative ones clipped to 0."""
     ev = np.maximum(np.linalg.eigvalsh(r), 0)

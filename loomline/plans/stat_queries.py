@@ -185,7 +185,7 @@ def linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "cluster": kernels.average_linkage(v @ v.T, 0.3)})
+        return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "cluster": kernels.average_linkage_of(v, 0.3)})
 
     return table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(cut, "label int, vec_id long, cluster int")
 

@@ -95,3 +95,19 @@ def test_a_gated_fit_of_many_items_takes_few_steps_to_a_minimum():
     assert np.abs(c.slope(p, 0.2)).max() < 1e-6 and steps < 80
     q = c.parts(p, 0.2)
     Bordered(c.levels.factor(q["dd"] - q["bend"], 1e-3), *c.border(q), True)  # positive definite: no saddle
+
+
+def test_linkage_of_vectors_is_that_of_their_matrix_without_it():
+    import tracemalloc
+
+    for seed in range(6):
+        v = np.random.default_rng(seed).normal(size=(150, 6))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        for cutoff in (-2.0, 0.0, 0.3, 0.8):
+            assert kernels.average_linkage_of(v, cutoff).tolist() == kernels.average_linkage(v @ v.T, cutoff).tolist()
+    v = np.random.default_rng(9).normal(size=(3000, 6))
+    tracemalloc.start()
+    kernels.average_linkage_of(v, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 8
