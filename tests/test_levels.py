@@ -2,6 +2,7 @@
 
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,3 +112,14 @@ def test_linkage_of_vectors_is_that_of_their_matrix_without_it():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3000 * 3000 * 8
+
+
+def test_anchors_of_a_panel_and_of_its_halves_take_no_square_of_their_items():
+    n = 3000
+    a, b, _, cited, first = simulated(n, 4)
+    for keep in (cited & (a % 5 > 0) & (b % 5 > 0), cited & (a % 5 > 0) & (b % 5 > 0) & (np.arange(len(a)) % 2 == 0)):
+        tracemalloc.start()
+        kernels.bradley_terry(np.column_stack([a, b])[keep], first[keep].astype(int), n)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 8 * n * n / 3  # a third of one dense matrix
