@@ -36,3 +36,13 @@ def test_budgets_of_nested_pairs(spark):
                 m[[i, j], [j, i]] -= 1
         assert abs(got[b] - max(0.0, np.linalg.eigvalsh(m)[1])) < 1e-6
     assert spectrum.laplacian_ends(spark.createDataFrame([], "graph int, a long, b long, w double")).count() == 0
+
+
+def test_nested_graphs_share_the_rows_of_nodes_and_edges(spark, monkeypatch):
+    rows, kept, count = [(g, i, (i + 1) % 7, 1.0 + g) for g in range(10) for i in range(6 + g % 2)], {}, spectrum.written
+    monkeypatch.setattr(spectrum, "written", lambda df, tag: kept.setdefault(tag, count(df, tag)))
+    got = {x.graph: x for x in spectrum.laplacian_ends(spark.createDataFrame(rows, "graph int, a long, b long, w double")).collect()}
+    assert kept["spectrum-edges"].count() == 2 * 2 * 7 and kept["spectrum-start"].count() == 2 * 7  # two parts of 8 and 2 graphs
+    for g in range(10):
+        angle = 2 * math.pi / 7 if g % 2 else math.pi / 7  # a ring, a path
+        assert abs(got[g].lambda_2 - (1 + g) * (2 - 2 * math.cos(angle))) < 1e-6 and got[g].n_nodes == 7
