@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from loomline.operators import kernels
-from loomline.operators.levels import Bordered, Levels
+from loomline.operators.levels import Bordered, Levels, parts
 
 
 def circle(n, rounds):
@@ -123,3 +123,34 @@ def test_anchors_of_a_panel_and_of_its_halves_take_no_square_of_their_items():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 8 * n * n / 3  # a third of one dense matrix
+
+
+def test_a_fit_holds_the_factor_of_one_run_of_components_at_a_time():
+    n, copies = 500, 60
+    a, b, _, cited, first = simulated(n, 4)
+    pairs, w = np.column_stack([a, b])[cited], first[cited].astype(int)
+    s, beta = kernels.bradley_terry(pairs, w, n)
+    many = np.concatenate([pairs + n * i for i in range(copies)])
+    tracemalloc.start()
+    got, same = kernels.bradley_terry(many, np.tile(w, copies), n * copies)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(got.reshape(copies, n) - s).max() < 1e-7 and abs(beta - same) < 1e-7
+    assert most < 700 * n * copies  # with the factor of all runs at once 1540 bytes an item
+
+
+def test_runs_of_components_hold_every_node_and_edge_once():
+    a, b = np.array([0, 3, 5, 5, 8, 2]), np.array([3, 9, 6, 5, 2, 7])
+    for most in (1, 3, 100):
+        runs = parts(a, b, 11, most)
+        assert sorted(np.concatenate([x for x, _, _ in runs])) == list(range(11)) and sorted(np.concatenate([x for _, x, _ in runs])) == list(range(6))
+        assert all({a[i], b[i]} <= set(nodes) for nodes, edges, _ in runs for i in edges) and len(runs) == {1: 6, 3: 4, 100: 1}[most]
+        whole, right, v = np.empty(11), np.arange(11.0), np.arange(1.0, 7.0)
+        for nodes, edges, levels in runs:
+            whole[nodes] = levels.factor(v[edges], 0.1).solve(right[nodes])
+        m = 0.1 * np.eye(11)
+        for i, j, x in zip(a, b, v, strict=True):
+            if i != j:
+                m[[i, j], [i, j]] += x
+                m[[i, j], [j, i]] -= x
+        assert np.abs(m @ whole - right).max() < 1e-9
