@@ -37,6 +37,10 @@ def newton(x: np.ndarray, value, slope, curve, tol: float, steps: int = 200, mos
         if (far := np.abs(step).max()) > most:
             near = np.clip(step, -most, most)
             step = near if g @ near > 0 else step * (most / far)
+        if 0 <= g @ step <= 1e-12 * max(1.0, abs(f)) and np.abs(slope(x - step)).max() < np.abs(g).max():
+            x = x - step  # the value's rounding hides what is left to fall
+            f = min(f, value(x))
+            continue
         t = 1.0
         while t > 1e-10:
             new = x - t * step

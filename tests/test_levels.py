@@ -154,3 +154,9 @@ def test_runs_of_components_hold_every_node_and_edge_once():
                 m[[i, j], [i, j]] += x
                 m[[i, j], [j, i]] -= x
         assert np.abs(m @ whole - right).max() < 1e-9
+
+
+def test_newton_ends_where_rounding_of_the_value_hides_its_fall():
+    noise = iter(range(10**6))
+    x, steps = kernels.newton(np.array([1e-6, -2e-6]), lambda x: 1e8 + float(x @ x) / 2 + 1e-7 * next(noise), np.sinh, lambda x: np.diag(np.cosh(x)), 1e-8)
+    assert steps < 4 and np.abs(x).max() < 1e-8
