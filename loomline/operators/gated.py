@@ -1,13 +1,13 @@
 """Gated fits as Spark jobs: a row per run and criterion, joined by what the criteria of a run share.
 
 A pair cites a criterion with odds log 2cosh(d) + gamma, and then favours the side shown first with odds d + beta, where
-d is the difference of the two items' scores. Given the position term beta the criteria of a run do not touch, so a
-round fits every criterion by itself (scores and gate, a system of n + 1), and Spark adds up the slope and the curvature
-of beta that is left over the criteria of a run. The variance of an estimate needs, of the other criteria, one number a
-pair: these are added up by pair in a shuffle between two passes over the criteria. A criterion's curvature is factored
-by the levels of its graph of pairs (``levels``).
+d is the difference of the two items' scores. Given the position term beta the criteria of a run do not touch, so every
+criterion is first fitted by itself (scores and gate, a system of n + 1) at the beta of its rate of wins. A run's
+criteria then move on together from their mean beta (``Run``), in steps that lower the value of all. The variance of an
+estimate needs, of the other criteria, one number a pair: these are added up by pair in a shuffle between two passes
+over the criteria. A criterion's curvature is factored by the levels of its graph of pairs (``levels``).
 
-With a position term of its own each criterion is a fit of its own (n + 2), and one round is enough.
+With a position term of its own each criterion is a fit of its own (n + 2).
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import remove, shared_dir, written
+from ..sources.shared import written
 from .choice import likelihood_ratio_p
 from .kernels import condition, laplacian, log_sigmoid, newton, sigmoid
 from .levels import Bordered, Levels
@@ -28,17 +28,20 @@ from .levels import Bordered, Levels
 Z95 = 1.959963984540054
 #: By how much a score moves in a step at most.
 MOST = 2.0
+#: Largest slope of a criterion's fit from which its run moves on.
+ROUGH = 1e-2
 
 
 class Criterion:
     """One criterion's comparisons: its likelihood, slope and curvature in scores s, gate g and, if ``own``, position b."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, ridge: float, own: bool):
+    def __init__(self, a: np.ndarray, b: np.ndarray, x: np.ndarray, ridge: float, own: bool, like: Criterion | None = None):
         self.items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         self.a, self.b, self.n = at[: len(a)], at[len(a) :], len(self.items)
-        self.ridge, self.own = ridge, own
+        self.ridge, self.own, self.far = ridge, own, 0  # far: in so many steps more the curvature itself is not tried
         self.cited, self.first = (x != 0).astype(float), (x == 1).astype(float)
-        self.levels = Levels(self.a, self.b, self.n)
+        same = like is not None and np.array_equal(self.a, like.a) and np.array_equal(self.b, like.b)
+        self.levels = like.levels if same else Levels(self.a, self.b, self.n)
 
     def gates(self, p: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = p[self.a] - p[self.b]
@@ -92,9 +95,13 @@ class Criterion:
     def start(self) -> np.ndarray:
         """Scores of signed wins: at all equal scores the gate's slopes vanish."""
         share = np.clip(self.cited.mean(), 1e-6, 1 - 1e-6)
-        ahead = np.clip(self.first.sum() / max(1.0, self.cited.sum()), 1e-6, 1 - 1e-6)
         won = 0.1 * np.tanh(self.spread(2 * self.first - self.cited))
-        return np.concatenate([won, [math.log(share / (1 - share)) - math.log(2)], [math.log(ahead / (1 - ahead))] if self.own else []])
+        return np.concatenate([won, [math.log(share / (1 - share)) - math.log(2)], [self.ahead()] if self.own else []])
+
+    def ahead(self) -> float:
+        """The odds of the side shown first at equal scores."""
+        share = np.clip(self.first.sum() / max(1.0, self.cited.sum()), 1e-6, 1 - 1e-6)
+        return math.log(share / (1 - share))
 
     def fit(self, p: np.ndarray | None, beta: float, tol: float, tries: int = 8) -> tuple[np.ndarray, int]:
         p, total = self.start() if p is None else p, 0
@@ -119,25 +126,33 @@ class Criterion:
         return min(way, -way, key=lambda x: self.value(p + x, beta))
 
     def bowl(self, p: np.ndarray, beta: float) -> Callable[[np.ndarray], np.ndarray]:
-        """Solves with the curvature. Where that is not positive definite, the blocks at fault are bent upwards; if steps
-        are then far, with what is left of the curvature pair by pair."""
-        q = self.parts(p, beta)
-        side, corner = self.border(q)
-        factor = self.levels.factor(q["dd"] - q["bend"], self.ridge, 0.05)
-        try:
-            solve = Bordered(factor, side, corner, True).solve
-        except np.linalg.LinAlgError:
-            return self.rounded(p, beta)
-
-        def near(right: np.ndarray) -> np.ndarray:
-            step = solve(right)
-            return step if np.abs(step).max() <= MOST else self.rounded(p, beta)(right)
-
-        return near if factor.bent else solve
+        return lambda right: self.along(p, beta, right[:, None])[:, 0]
 
-    def rounded(self, p: np.ndarray, beta: float) -> Callable[[np.ndarray], np.ndarray]:
+    def along(self, p: np.ndarray, beta: float, columns: np.ndarray) -> np.ndarray:
+        """Solves with the curvature; the first column's is a step. Where the curvature is not positive definite, the
+        blocks at fault are bent upwards; if the step is then far, with what is left of the curvature pair by pair. After
+        a step farther still, that comes first in the next ones."""
         q = self.parts(p, beta)
-        return Bordered(self.levels.factor(q["dd"] - q["round"], self.ridge, 1e-6), *self.border(q)).solve
+        border = self.border(q)
+        if not self.far:
+            factor = self.levels.factor(q["dd"] - q["bend"], self.ridge, 0.05)
+            try:
+                out = Bordered(factor, *border, True).solve(columns)
+                if not factor.bent or np.abs(out[:, 0]).max() <= MOST:
+                    return out
+            except np.linalg.LinAlgError:
+                pass
+        out = Bordered(self.levels.factor(q["dd"] - q["round"], self.ridge, 1e-6), *border).solve(columns)
+        self.far = (self.far or 4) - 1 if np.abs(out[:, 0]).max() > 5 * MOST else 0
+        return out
+
+    def beside(self, p: np.ndarray, beta: float, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the curvature, as ``along`` takes it: solves of ``right`` and of beta's column, what they take from beta's
+        slope and leave of its curvature, and the whole of that."""
+        q = self.parts(p, beta)
+        side, whole = np.append(self.spread(q["db"]), 0.0), float(q["db"].sum())
+        out = self.along(p, beta, np.column_stack([right, side]))
+        return out, np.array([0.0, whole]) + np.array([1.0, -1.0]) * (side @ out), whole
 
     def moved(self, columns: np.ndarray, q: dict[str, np.ndarray]) -> np.ndarray:
         """Every pair's slope vector times ``columns`` (scores, gate and own position in rows)."""
@@ -145,11 +160,64 @@ class Criterion:
         return out + q["place"][:, None] * columns[self.n + 1] if self.own else out
 
 
+class Run:
+    """The criteria of a run with the position term for all: unknowns are those of each criterion, then beta.
+
+    Curvatures of two criteria touch in beta only, so a step factors one criterion at a time.
+    """
+
+    def __init__(self, criteria: list[Criterion]):
+        self.criteria, self.ends = criteria, np.cumsum([c.n + 1 for c in criteria])
+
+    def split(self, x: np.ndarray) -> tuple[list[np.ndarray], float]:
+        return np.split(x[:-1], self.ends[:-1]), float(x[-1])
+
+    def value(self, x: np.ndarray) -> float:
+        ps, beta = self.split(x)
+        return sum(c.value(p, beta) for c, p in zip(self.criteria, ps, strict=True))
+
+    def slope(self, x: np.ndarray) -> np.ndarray:
+        ps, beta = self.split(x)
+        place = sum(c.parts(p, beta)["place"].sum() for c, p in zip(self.criteria, ps, strict=True))
+        return np.concatenate([*[c.slope(p, beta) for c, p in zip(self.criteria, ps, strict=True)], [-place]])
+
+    def bowl(self, x: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """Solves with the curvature; where that is not positive definite, with what is bent upwards."""
+        ps, beta = self.split(x)
+
+        def solve(right: np.ndarray) -> np.ndarray:
+            sides, last = self.split(right)
+            found, left, whole = [], 0.0, 0.0
+            for c, p, r in zip(self.criteria, ps, sides, strict=True):
+                columns, rest, of = c.beside(p, beta, r)
+                found.append(columns)
+                last, left, whole = last - rest[0], left + rest[1], whole + of
+            step = last / max(left, 0.05 * whole, 1e-9)
+            return np.concatenate([*[y[:, 0] - y[:, 1] * step for y in found], [step]])
+
+        return solve
+
+    def fit(self, x: np.ndarray, tol: float, tries: int = 8) -> tuple[np.ndarray, int]:
+        total = 0
+        for i in range(tries):
+            x, steps = newton(x, self.value, self.slope, self.bowl, tol, most=MOST)
+            total += steps
+            ps, beta = self.split(x)
+            offs = [c.downhill(p, beta, i) for c, p in zip(self.criteria, ps, strict=True)]
+            if all(off is None for off in offs):
+                break
+            x = x + np.concatenate([*[np.zeros(len(p)) if off is None else off for p, off in zip(ps, offs, strict=True)], [0.0]])
+        return x, total
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Several a core: fits take unlike times."""
+    return max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _blocks(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Dense cells as a row per run and criterion with the pairs in order, on as many partitions as there are cores."""
-    spark = cells.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = cells.repartition(n, *by, "k").groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct("t", "a", "b", "x"))).alias("c"))
+    """Dense cells as a row per run and criterion with the pairs in order."""
+    rows = cells.repartition(_tasks(cells.sparkSession), *by, "k").groupBy(*by, "k").agg(F.array_sort(F.collect_list(F.struct("t", "a", "b", "x"))).alias("c"))
     return rows.select(*by, "k", *[F.col(f"c.{c}").alias(c) for c in ("t", "a", "b", "x")])
 
 
@@ -172,59 +240,61 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
 
 
 ARRAYS = ["t", "a", "b", "x"]
-FITTED = "p array<double>, beta double, nll double, grad double, steps int, place double, curve double, own boolean"
+FITTED = "p array<double>, beta double, nll double, grad double, steps int, own boolean"
+
 
+def _together(now: DataFrame, by: list[str], ridge: float, tol: float) -> DataFrame:
+    """Fits of single criteria (``*by, k, t, a, b, x, p, beta, steps``) moved on to the least of all of a run and one beta."""
+    names = [*ARRAYS, "p", "beta", "steps"]
+    runs = now.repartition(_tasks(now.sparkSession), *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", *names))).alias("c"))
+    runs = runs.select(*by, *[F.col(f"c.{c}").alias(c) for c in ("k", *names)])
+    keep = [*by, "k", *ARRAYS]
 
-def fit(cells: DataFrame, by: list[str], ridge: float = 1e-3, own: bool = False, beta: float | None = None, start: DataFrame | None = None, tol: float = 1e-6, rounds: int = 50) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(len(frame)):
+                row, criteria = {**frame.iloc[i]}, []
+                for a, b, x in zip(row["a"], row["b"], row["x"], strict=True):
+                    criteria.append(Criterion(a, b, x, ridge, False, criteria[0] if criteria else None))
+                model = Run(criteria)
+                cited = [c.cited.sum() + 1e-9 for c in criteria]
+                x, steps = model.fit(np.concatenate([*row["p"], [np.average(row["beta"], weights=cited)]]), tol / 100)
+                ps, beta = model.split(x)
+                grad = np.abs(model.slope(x))
+                if not grad.max() < 100 * tol:
+                    raise RuntimeError(f"the fit of {[row[c] for c in by]} did not settle: slope {grad.max()}")
+                for j, (c, p) in enumerate(zip(criteria, ps, strict=True)):
+                    told = {"p": p, "beta": beta, "nll": c.value(p, beta), "grad": float(np.abs(c.slope(p, beta)).max()), "steps": steps + int(row["steps"][j]), "own": False}
+                    own = {**{c: row[c] for c in by}, **{c: row[c][j] for c in ("k", *ARRAYS)}}
+                    yield pd.DataFrame([{**own, **told}])
+
+    return runs.mapInPandas(run, f"{_kinds(now, keep)}, {FITTED}")
+
+
+def fit(cells: DataFrame, by: list[str], ridge: float = 1e-3, own: bool = False, beta: float | None = None, start: DataFrame | None = None, tol: float = 1e-6) -> DataFrame:
     """Fits of dense cells ``*by, t, a, b, k, x``: every run (``by``), pair ``t`` of items a and b, and criterion k.
 
     Returns a row per run and criterion: the cells as arrays in the order of t, ``p`` (scores of the run's items in
     their order, then the gate, then with ``own`` the criterion's own position term), ``beta``, ``nll`` with its
     penalty, ``grad`` (largest slope), ``steps``. ``beta`` pins the position term; fits with ``own`` begin at those of
-    ``start``, a fit of the same cells with one position term. A run whose slope in beta is above
-    ``tol`` moves on by a Newton step on what its criteria leave of it; all runs move in the same jobs.
+    ``start``, a fit of the same cells with one position term. Else each criterion is fitted roughly at the beta of its
+    rate of wins, and then a run is a task.
     """
-    spark = cells.sparkSession
-    blocks = written(_blocks(cells, by), "gated-cells")
+    blocks = _blocks(cells, by)
     keep = [*by, "k", *ARRAYS]
+    shared = not own and beta is None
 
     def one(row: dict) -> dict:
         c = Criterion(row["a"], row["b"], row["x"], ridge, own)
-        at = 0.0 if own else float(row["beta"])
-        p, steps = c.fit(None if row["p"] is None else np.array(row["p"]), at, tol / 100)
-        q = c.parts(p, at)
-        left = 1.0
-        if not own:
-            side = np.append(c.spread(q["db"]), 0.0)
-            left = q["db"].sum() - side @ c.bowl(p, at)(side)
-        return {"p": p, "beta": float(p[-1]) if own else at, "nll": c.value(p, at), "grad": float(np.abs(c.slope(p, at)).max()), "steps": steps + int(row["steps"]), "place": float(-q["place"].sum()), "curve": float(left), "own": own}
+        at = c.ahead() if shared else float(beta or 0.0)
+        p, steps = c.fit(None if row["p"] is None else np.array(row["p"]), at, ROUGH if shared else tol / 100)
+        return {"p": p, "beta": float(p[-1]) if own else at, "nll": c.value(p, at), "grad": float(np.abs(c.slope(p, at)).max()), "steps": steps, "own": own}
 
-    fresh = [F.lit(None).cast("array<double>").alias("p"), F.lit(0).alias("steps")]
     if own and start is not None:
         at = start.select(*by, "k", F.concat("p", F.array("beta")).alias("p"))
-        return written(_by_row(blocks.join(at, [*by, "k"]).select("*", F.lit(0).alias("steps"), F.lit(0.0).alias("beta")), one, keep, FITTED), "gated-fit")
-    if own or beta is not None:
-        return written(_by_row(blocks.select("*", *fresh, F.lit(float(beta or 0.0)).alias("beta")), one, keep, FITTED), "gated-fit")
-    first = F.sum(F.aggregate("x", F.lit(0), lambda n, x: n + (x == 1).cast("int"))) / F.greatest(F.lit(1), F.sum(F.aggregate("x", F.lit(0), lambda n, x: n + (x != 0).cast("int"))))
-    share = F.greatest(F.least(first, F.lit(1 - 1e-6)), F.lit(1e-6))
-    betas = blocks.groupBy(*by).agg(F.log(share / (1 - share)).alias("beta"))
-    now, path = blocks.select("*", *fresh), None
-    for _ in range(rounds):
-        new = shared_dir(spark, "gated-round")
-        moved = _by_row(now.join(betas, by), one, keep, FITTED)
-        moved.write.parquet(new)
-        done = spark.read.schema(moved.schema).parquet(new)
-        if path:
-            remove(spark, path)
-        path = new
-        step = F.greatest(F.least(F.sum("place") / F.sum("curve"), F.lit(2.0)), F.lit(-2.0))
-        told = done.groupBy(*by).agg(F.first("beta").alias("beta"), F.sum("place").alias("place"), step.alias("step"))
-        worst = told.agg(F.max(F.abs("place"))).first()[0]
-        if worst is None or worst < tol:
-            return done
-        betas = written(told.select(*by, F.when(F.abs("place") < tol, F.col("beta")).otherwise(F.col("beta") - F.col("step")).alias("beta")), "gated-betas")
-        now = done.select(*by, "k", *ARRAYS, "p", "steps")
-    raise RuntimeError(f"position terms did not settle in {rounds} rounds")
+        return written(_by_row(blocks.join(at, [*by, "k"]), one, keep, FITTED), "gated-fit")
+    fresh = _by_row(blocks.withColumn("p", F.lit(None).cast("array<double>")), one, keep, FITTED)
+    return written(_together(written(fresh, "gated-start"), by, ridge, tol) if shared else fresh, "gated-fit")
 
 
 def scores(fitted: DataFrame, by: list[str]) -> DataFrame:
@@ -233,7 +303,8 @@ def scores(fitted: DataFrame, by: list[str]) -> DataFrame:
     n = F.size(items)
     s = F.slice("p", F.lit(1), n)
     mean = F.aggregate(s, F.lit(0.0), lambda m, x: m + x) / n
-    rows = fitted.select(*by, "k", "beta", F.element_at("p", n + 1).alias("gamma"), mean.alias("mean"), F.explode(F.arrays_zip(items.alias("item"), s.alias("s"))).alias("e"))
+    one = fitted.select(*by, "k", "beta", F.element_at("p", n + 1).alias("gamma"), mean.alias("mean"), F.arrays_zip(items.alias("item"), s.alias("s")).alias("e"))
+    rows = one.select(*by, "k", "beta", "gamma", "mean", F.explode("e").alias("e"))  # beside explode, n and mean would be worked out for every item
     return rows.select(*by, "k", F.col("e.item").alias("item"), (F.col("e.s") - F.col("mean")).alias("s"), "gamma", "beta")
 
 

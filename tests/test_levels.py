@@ -98,6 +98,28 @@ def test_a_gated_fit_of_many_items_takes_few_steps_to_a_minimum():
     Bordered(c.levels.factor(q["dd"] - q["bend"], 1e-3), *c.border(q), True)  # positive definite: no saddle
 
 
+def test_criteria_of_a_run_settle_together_with_their_position_term():
+    from loomline.operators.gated import Criterion, Run
+
+    draw, n = np.random.default_rng(4), 840
+    a, b = circle(n, 6)
+    a, b = (x[kept] for kept in [draw.random(len(a)) < 0.8] for x in (a, b))
+    criteria, ps = [], []
+    for _ in range(4):
+        d = (s := draw.normal(size=n) * 4)[a] - s[b]
+        x = np.where(np.abs(d) > 3, np.where((d > 0) == (draw.random(len(a)) < 0.9), 1, -1), 0)
+        criteria.append(Criterion(a, b, x, 1e-3, False, criteria[0] if criteria else None))
+        ps.append(criteria[-1].fit(None, criteria[-1].ahead(), 1e-2)[0])
+    assert all(c.levels is criteria[0].levels for c in criteria)
+    run, start = Run(criteria), np.concatenate([*ps, [0.0]])
+    x, _ = run.fit(start, 1e-8)
+    assert np.abs(run.slope(x)).max() < 1e-6 and run.value(x) <= run.value(start)  # scores and position term at once
+    r = np.random.default_rng(1)
+    assert all(run.value(x + r.normal(0, 1e-3, len(x))) >= run.value(x) for _ in range(10))
+    none = Run([Criterion(a, b, np.zeros(len(a), int), 1e-3, False)])
+    assert np.isfinite(none.fit(np.append(none.criteria[0].start(), 0.0), 1e-8)[0]).all()  # nothing cited
+
+
 def test_linkage_of_vectors_is_that_of_their_matrix_without_it():
     import tracemalloc
 

@@ -246,6 +246,16 @@ def test_gated_forecasts_are_those_of_the_other_folds(spark):
     assert {r.gate: r["count"] for r in gates} == {"citation": 450, "direction": int((x != 0).sum())}
 
 
+def test_scores_are_listed_without_work_on_all_items_for_each(spark):
+    n = 500
+    row = [("u", 0, list(range(n)), [*range(1, n), 0], [float(i) for i in range(n)] + [0.5], 0.1)]
+    fitted = spark.createDataFrame(row, "run string, k int, a array<bigint>, b array<bigint>, p array<double>, beta double")
+    out = gated.scores(fitted.repartition(2), ["run"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_union" not in plan.partition("Generate")[0]  # what stands above explode is worked out for every item
+    assert {r.item: round(r.s, 9) for r in out.collect()} == {i: i - (n - 1) / 2 for i in range(n)}
+
+
 def test_holistic_fits_run_side_by_side(spark):
     rows = []
     for run in ("u", "v"):
