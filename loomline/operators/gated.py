@@ -325,6 +325,7 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
     """
     own = fitted.select("own").limit(1).collect()
     own = bool(own and own[0].own)
+    dealt = lambda rows: rows.repartition(_tasks(rows.sparkSession), *by, "k")  # noqa: E731  small tables are else read and joined in a few tasks
 
     def system(row: dict) -> tuple:
         c = Criterion(row["a"], row["b"], row["x"], ridge, own)
@@ -339,7 +340,7 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
             g = found.solve(side)
             return {"v": c.moved(g[:, None], q)[:, 0] - q["place"], "sigma": float(q["db"].sum() - side @ g)}
 
-        told = written(_by_row(fitted, border, [*by, "k"], "v array<double>, sigma double"), "gated-border")
+        told = written(_by_row(dealt(fitted), border, [*by, "k"], "v array<double>, sigma double"), "gated-border")
         v = told.select(*by, F.posexplode("v").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v"))
         v = v.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
         rows = fitted.join(v, by).join(told.groupBy(*by).agg(F.sum("sigma").alias("sigma")), by)
@@ -370,7 +371,7 @@ def inference(fitted: DataFrame, by: list[str], ridge: float = 1e-3) -> DataFram
             "kappa": condition(c.a, c.b, q["dd"], c.n, c.levels), "rho": (spread - noise) / spread if spread > 0 else math.nan,
         }
 
-    return _by_row(rows, judge, [*by, "k"], INFERENCE)
+    return _by_row(dealt(rows), judge, [*by, "k"], INFERENCE)
 
 
 def position_test(shared: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
